@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import decontaminate, packing, sharding, tokens
+from candela.llm import chat, decontaminate, packing, quality_rules, secrets, sharding, tokens
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -34,6 +34,20 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), sha(F.array_join("hit_items", ",")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return d.select("doc_id", "n_assign", "n_access", "n_hex", sha(secrets.listed(F.col("spans"), base_only=True)).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = quality_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -45,9 +59,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_shards": op1_shards,
+        "op2_perspectives": op2_perspectives,
         "op3_decontaminate": op3_decontaminate,
+        "op4_secrets": op4_secrets,
         "op7_pack": op7_pack,
         "op8_token_counts": op8_token_counts,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
@@ -73,5 +90,20 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP2_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+j AS (SELECT t.conv_id, p.perspective, t.turn, t.text, t.speaker = p.perspective AS mine,
+             CASE WHEN t.speaker = p.perspective THEN 'assistant' WHEN t.speaker = 'system' THEN 'system' ELSE 'user' END AS role,
+             CASE WHEN t.speaker <> p.perspective AND t.speaker <> 'system' THEN t.speaker END AS name
+      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+h AS (SELECT *, '<|' || role || coalesce(' name=' || name, '') || '|>' || chr(10) AS head FROM j)
+SELECT conv_id, perspective, turn, role, name, head || text || '<|end|>' || chr(10) AS rendered,
+       CASE WHEN mine THEN CAST(length(head) AS BIGINT) ELSE 0 END AS loss_start,
+       CASE WHEN mine THEN CAST(length(head) + length(text) + 7 AS BIGINT) ELSE 0 END AS loss_end
+FROM h
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL}
+    return {"op2_perspectives": OP2_SQL, "op3_decontaminate": OP3_SQL}
