@@ -25,7 +25,7 @@ WORDS = sorted({w for ws in COMMON.values() for w in ws.split()})
 CLASSES = (("lower", r"\p{Ll}+"), ("space", r"\s+"), ("upper", r"\p{Lu}+"), ("punctuation", r"[.,;:'\"!?()-]+"), ("digit", r"\p{N}+"))
 
 MIN_WORDS, MIN_CHARS, MIN_COMPARED = 50, 400, 80
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.6
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.36
 _WS = r"[\x20\x09-\x0D]+"
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import chat, decontaminate, packing, quality_rules, secrets, sharding, tokens
+from candela.llm import chat, decontaminate, packing, quality_rules, secrets, sharding, simhash, substrings, tokens
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -48,6 +48,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_words", "n_removed", sha(F.col("kept")).alias("kept_sha256"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -62,8 +72,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_perspectives": op2_perspectives,
         "op3_decontaminate": op3_decontaminate,
         "op4_secrets": op4_secrets,
+        "op5_simhash": op5_simhash,
         "op7_pack": op7_pack,
         "op8_token_counts": op8_token_counts,
+        "op9_substrings": op9_substrings,
         "op10_quality_rules": op10_quality_rules,
     }
 
@@ -105,5 +117,20 @@ FROM h
 """
 
 
+_SPACE = r"[^\x20\x09-\x0D]+"
+
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+least_of AS (SELECT t, min(doc_id) AS first FROM win GROUP BY t),
+gone AS (SELECT DISTINCT win.doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN least_of USING (t) WHERE first < win.doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.p) AS s FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p WHERE gone.p IS NULL GROUP BY word.doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_perspectives": OP2_SQL, "op3_decontaminate": OP3_SQL}
+    return {"op9_substrings": OP9_SQL, "op2_perspectives": OP2_SQL, "op3_decontaminate": OP3_SQL}
