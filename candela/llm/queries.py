@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import chat, decontaminate, packing, quality_rules, secrets, sharding, simhash, substrings, tokens
+from candela.llm import chat, decontaminate, ngram_quality, packing, quality_rules, secrets, sharding, simhash, substrings, tokens
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -58,6 +58,11 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "n_removed", sha(F.col("kept")).alias("kept_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = ngram_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return d.select("doc_id", "lang", "n_units", "perplexity", "low", "high", "kept")
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": op3_decontaminate,
         "op4_secrets": op4_secrets,
         "op5_simhash": op5_simhash,
+        "op6_quality": op6_quality,
         "op7_pack": op7_pack,
         "op8_token_counts": op8_token_counts,
         "op9_substrings": op9_substrings,

@@ -141,20 +141,30 @@ def components(links: DataFrame) -> DataFrame:
     return root
 
 
-def classes(prints: DataFrame, *, id_col: str = "doc_id", radius: int = 4) -> DataFrame:
-    """(fp, component_id): the smallest id reachable from each distinct fingerprint; ``prints`` (id, fp) must be stored.
-
-    Null ids never name a component that has another id. An empty table gives no rows.
-    """
-    distinct = stored(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "fps")
+def rooted_prints(prints: DataFrame, radius: int = 4) -> DataFrame:
+    """(fp, root, first): every distinct fingerprint, the root of its component and its least id; ``prints`` (doc_id, fp) must be stored."""
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
     root = components(edges(distinct, radius))
-    rooted = distinct.join(root.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = stored(rooted, "roots")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return stored(distinct.join(root.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """doc_id, fp and component_id a row; repeated rows and copies share a fingerprint and so a component."""
+    """doc_id, fp and component_id (the least id of the component) a row; repeated rows and copies share a fingerprint
+    and so a component. Null ids never name a component that has another id; an empty table gives no rows."""
     prints = stored(fingerprints(docs.withColumn("doc_id", F.col(id_col)), text_col=text_col, keep=["doc_id"]), "prints")
-    return prints.join(classes(prints, radius=radius), "fp")
+    rooted = rooted_prints(prints, radius)
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
+    """``docs`` with one row of each component: the least id, null ids last, then the least text hash.
+
+    Rows that repeat in id and text count once. All columns stay as they are.
+    """
+    owner = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    prints = stored(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), owner.alias("owner")), keep=["doc_id", "owner"]), "prints")
+    one = prints.join(rooted_prints(prints, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "owner")).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.owner").alias("k_owner"))
+    left = docs.join(one, F.col(id_col).eqNullSafe(F.col("k_id")) & (owner == F.col("k_owner")), "left_semi")
+    twice = prints.groupBy("doc_id", "owner").count().where("count > 1")
+    return left if twice.isEmpty() else left.dropDuplicates([id_col, text_col])
