@@ -45,11 +45,23 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Spark's own switch that removes a query's shuffle files once the query has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path = f"{shared_root(df.sparkSession)}/candela-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet in the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    The shuffle files behind it go once it is written, so a job of several such steps needs the disk of its largest.
+    """
+    spark, path = df.sparkSession, f"{shared_root(df.sparkSession)}/candela-{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candela.llm.common import slices, space_words, with_columns
+from candela.llm.common import slices, space_words, stored, with_columns
 
 WIDTH, SEED = 13, 5
 CACHE_WORDS = 500_000
@@ -139,13 +139,13 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     least = Window.partitionBy("key")
     seen = ids.select("doc_id", "owner", F.unhex(F.sha2("text", 256)).alias("digest"))
     first = seen.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    copies = seen.join(first, "digest").where("doc_id > first").select("doc_id", "owner").distinct()
+    copies = stored(seen.join(first, "digest").where("doc_id > first").select("doc_id", "owner").distinct(), "copies")
     shared = anchors(ids, width, seed).withColumn("lo", F.min("owner").over(least)).withColumn("hi", F.max("owner").over(least)).where("sure or lo < hi")
     places = shared.groupBy("doc_id", "owner").agg(F.collect_list("pos").alias("at")).join(copies, ["doc_id", "owner"], "left_anti")
-    found = ids.join(places, ["doc_id", "owner"])
+    found = ids.join(stored(places, "places"), ["doc_id", "owner"])
     same = Window.partitionBy("h1", "h2")
     covered = extended(found, width, seed).withColumn("lo", F.min("doc_id").over(same)).where("sure or lo < doc_id")
-    starts = covered.groupBy("doc_id", "owner").agg(F.collect_list("start").alias("starts"))
+    starts = stored(covered.groupBy("doc_id", "owner").agg(F.collect_list("start").alias("starts")), "covered")
     return starts.select("doc_id", "owner", "starts", F.lit(False).alias("whole")).union(copies.select("doc_id", "owner", F.lit(None).cast("array<int>"), F.lit(True)))
 
 
