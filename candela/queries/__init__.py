@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ["sequences", "governance"]
+SUBJECTS = ["sequences", "governance", "selection"]
 
 
 def _all(name: str) -> dict:
