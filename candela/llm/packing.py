@@ -9,6 +9,7 @@ its size depends on the capacity and the grid, not on the input. Executors look
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, insort
 from collections import defaultdict
 
@@ -61,8 +62,22 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
     return x
 
 
+#: Least lengths, as shares of the capacity, that patterns may use: what is shorter is kept to fill their gaps.
+FLOORS = (1 / 16, 1 / 8, 3 / 16, 1 / 4, 3 / 8, 1 / 2)
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, count, first sequence, offset): the i-th of a run goes to sequence first + i at offset."""
+    """The runs of ``fitted`` with the fewest sequences over the lengths that patterns may use."""
+    plans = [fitted(histogram, capacity, math.ceil(capacity * f)) for f in FLOORS]
+    return min(plans, key=lambda runs: max((first + n for _, _, n, first, _ in runs), default=0))
+
+
+def fitted(histogram: dict[int, int], capacity: int, floor: int) -> list[tuple[int, int, int, int, int]]:
+    """Runs (length, first rank, count, first sequence, offset): the i-th of a run goes to sequence first + i at offset.
+
+    Patterns are fitted to lengths of at least ``floor``; coarse lengths are rounded up, so a pattern never overflows,
+    and the shorter lengths then go into the gaps.
+    """
     left, used = dict(histogram), defaultdict(int)
     runs: list[tuple[int, int, int, int, int]] = []
     gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> (first sequence, count)
@@ -77,10 +92,11 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     bin_of = {x: -(-x * grid // capacity) for x in left}
     stock = defaultdict(list)
     for x in sorted(left):
-        stock[bin_of[x]].append(x)  # the longest is last
+        if x >= floor:
+            stock[bin_of[x]].append(x)  # the longest is last
     want = np.zeros(grid)
     for x, n in left.items():
-        want[bin_of[x] - 1] += n
+        want[bin_of[x] - 1] += n * (x >= floor)
     ways = patterns(grid)
     a = np.zeros((grid, len(ways)))
     for j, w in enumerate(ways):
