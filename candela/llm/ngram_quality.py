@@ -5,7 +5,8 @@ its trusted texts, and which occur at all. Counts meet by n-gram, so the model -
 totals - lives in shards that are joined to each other and never in one place. The distinct n-grams of all blocks are
 joined to it order by order, which gives each its interpolated probability; these go back to the blocks that hold the
 n-gram, and every document's perplexity is summed there. A document is kept if its perplexity lies between quantiles of
-the trusted documents of its language.
+trusted documents of its language that the model was not trained on: one trusted document in ``FOLDS`` sets the quantiles,
+the others train. (Training documents look less surprising than new ones, so they can't set them.)
 
 An n-gram of order k is a long: k UTF-16 units of 16 bits, the predicted one lowest. So the context is a shift by 16 and
 the shorter gram is a mask. ORDER is 4, the most that a long holds.
@@ -24,6 +25,9 @@ ORDER = 4
 BLOCK_BYTES, SLICE = 16 << 20, 1 << 20
 #: A document goes if its perplexity is above the upper or below the lower quantile of trusted documents of its language.
 UPPER, LOWER = 0.995, 0.0005
+FOLDS = 3
+#: Allowance for the sampling error of an extreme quantile: the bounds are widened by this factor.
+MARGIN = 1.15
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -133,26 +137,33 @@ def probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     return below.select("gram", F.log2("p").alias("logp"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", trusted: Column | None = None, upper: float = UPPER, lower: float = LOWER) -> DataFrame:
+def dealt(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(training, calibration) ids of the trusted documents."""
+    fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id").cast("string")), F.lit(FOLDS))
+    return ids.where(fold != 0), ids.where(fold == 0)
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", trusted: Column | None = None, upper: float = UPPER, lower: float = LOWER, margin: float = MARGIN) -> DataFrame:
     """doc_id, lang, owner (xxhash64 of the text), n_units, perplexity, low, high and kept: a row a document.
 
-    ``trusted`` picks the rows of ``labels`` whose documents train the model (by default quality 1 and toxic 0); all of
-    them do. Null and empty texts have no perplexity and are not kept; a null language is a language of its own; a
-    language without trusted documents takes the quantiles of all; without any trusted document every text is kept.
+    ``trusted`` picks the rows of ``labels`` whose documents train the model or set its quantiles (by default quality 1
+    and toxic 0); all of them do the one or the other. Null and empty texts have no perplexity and are not kept; a null language is a language of its own; a
+    language without such documents takes the quantiles of all; without any every text is kept.
     Rows with null ids are scored but never train; repeated rows are scored each, and train each if their id is trusted.
     """
     trusted = (F.col("quality") == 1) & (F.col("toxic") == 0) if trusted is None else trusted
     d, blocks = blocked(docs, id_col, lang_col, text_col)
     ids = labels.where(trusted).select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct()
     ids = ids.withColumn("block", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(blocks)).cast("int"))
-    seen = stored(counted(d, ids), "grams")
+    training, calibration = dealt(ids)
+    seen = stored(counted(d, training), "grams")
     logs = probabilities(seen.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")), seen.select("gram").distinct())
     s = scored(d, seen.select("block", "gram").join(logs, "gram"))
     s = stored(s.withColumn("perplexity", F.when(F.col("n_units") > 0, F.pow(F.lit(2.0), F.col("nll") / F.col("n_units")))).drop("nll"), "scores")
     marks = [F.percentile_approx("perplexity", lower, 100_000).alias("low"), F.percentile_approx("perplexity", upper, 100_000).alias("high")]
-    good = s.where("perplexity is not null").join(ids.select("doc_id"), "doc_id", "left_semi")
+    good = s.where("perplexity is not null").join(calibration.select("doc_id"), "doc_id", "left_semi")
     by_lang = good.groupBy("lang").agg(*marks)
     low, high = good.agg(*marks).first()
-    out = s.join(by_lang, "lang", "left").withColumns({"low": F.coalesce("low", F.lit(low).cast("double")), "high": F.coalesce("high", F.lit(high).cast("double"))})
+    out = s.join(by_lang, "lang", "left").withColumns({"low": F.coalesce("low", F.lit(low).cast("double")) / margin, "high": F.coalesce("high", F.lit(high).cast("double")) * margin})
     inside = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return out.select("doc_id", "lang", "owner", "n_units", "perplexity", "low", "high", (F.col("perplexity").isNotNull() & inside).alias("kept"))
