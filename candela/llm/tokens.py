@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from candela.llm.common import fresh, with_columns
 
 #: Chunks and pieces that one worker remembers; the tables are emptied beyond it, which costs time, not results.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 250_000
 
 
 #: How byte-level vocabularies spell each byte: visible Latin characters stand for themselves, the rest follow from 256 on.
