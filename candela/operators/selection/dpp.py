@@ -37,8 +37,9 @@ def greedy_map(candidates: DataFrame, q: int, *, order_col: str, vector_col: str
     spark, trace, chosen, total = d.sparkSession, [], [], 0.0
     width = gamma if gamma is not None else 1.0 / max(1, len(d.select("x").first()[0]))
     kind = d.schema["key"].dataType.simpleString()
+    singular = False  # once a set is singular, so is every larger one
     for step in range(q):
-        if chosen:
+        if chosen and not singular:
             x = np.array([c["x"] for c in chosen])
             w = np.exp((np.array([c["s"] for c in chosen]) - top) / temperature)
             sq = ((x[:, None] - x[None]) ** 2).sum(-1)
@@ -47,7 +48,7 @@ def greedy_map(candidates: DataFrame, q: int, *, order_col: str, vector_col: str
             x, w, factor = None, None, None
         sent = spark.sparkContext.broadcast((x, w, factor, {c["key"] for c in chosen}))
 
-        def best(batches, sent=sent):
+        def best(batches, sent=sent, singular=singular):
             x, w, factor, done = sent.value
             found: dict[bool, tuple] = {}
             for b in batches:
@@ -62,7 +63,7 @@ def greedy_map(candidates: DataFrame, q: int, *, order_col: str, vector_col: str
                 for i, key in enumerate(keys):
                     if key in done:
                         continue
-                    positive = bool(gain[i] > 1e-14 * quality[i] ** 2) and gain[i] > 0
+                    positive = not singular and bool(gain[i] > 1e-12 * quality[i] ** 2)
                     rank = (-gain[i] if positive else -s[i], key)
                     if positive not in found or rank < found[positive][0]:
                         found[positive] = (rank, key, float(gain[i]), float(s[i]), b.column("x")[i].as_py())
@@ -77,7 +78,7 @@ def greedy_map(candidates: DataFrame, q: int, *, order_col: str, vector_col: str
             break
         pick = min(bests, key=lambda r: (not r["positive"], -(r["gain"] if r["positive"] else r["s"]), r["key"]))
         gain = math.log(pick["gain"]) if pick["positive"] else 0.0
-        total = total + gain if pick["positive"] else 0.0
+        total, singular = (total + gain, singular) if pick["positive"] else (0.0, True)
         chosen.append({"key": pick["key"], "x": list(pick["x"]), "s": pick["s"]})
         trace.append({"step": step + 1, "key": pick["key"], "quality": pick["s"], "gain": gain, "log_det": total})
     return trace, mean_pairwise_distance([c["x"] for c in chosen])

@@ -25,6 +25,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def empty_files(spark: SparkSession, path: str, recursive: bool = True) -> list[str]:
+    """JSON files without content, which Spark's readers pass over: from the same listing that a read starts with."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, recursive), []
+    while found.hasNext():
+        f = found.next()
+        name = f.getPath().toString()
+        if f.getLen() == 0 and name.endswith((".json", ".jsonl")):
+            out.append(name)
+    return out
+
+
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file or folder with a header: every value a trimmed string, ``_row_number`` from 2."""
     d = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
@@ -93,6 +105,7 @@ def edge_list(spark: SparkSession, path: str) -> DataFrame:
 def json_payloads(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """(path, index, payload, error) of JSON and JSON-lines files: a top-level list gives a row an item, a JSONL file a row
     a line, an object one row without index; what does not parse, and empty files, have an error."""
+    blank = spark.createDataFrame([(f, None, "") for f in empty_files(spark, path, recursive)], "path string, index int, payload string")
     files = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.json*").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     lines = files.where(F.col("path").endswith(".jsonl")).select("path", F.posexplode(F.split("text", "\n")).alias("index", "payload")).where(F.trim("payload") != "")
     whole = files.where(~F.col("path").endswith(".jsonl")).withColumn("v", F.try_parse_json("text"))
@@ -100,7 +113,7 @@ def json_payloads(spark: SparkSession, path: str, recursive: bool = True) -> Dat
     items = whole.where(is_list).select("path", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("index", "x")).select("path", "index", F.to_json("x").alias("payload"))
     single = whole.where(~F.coalesce(is_list, F.lit(False))).select("path", F.lit(None).cast("int").alias("index"), F.col("text").alias("payload"))
     error = F.when(F.trim(F.coalesce("payload", F.lit(""))) == "", "file is empty").when(F.try_parse_json("payload").isNull(), "invalid JSON")
-    return lines.unionByName(items).unionByName(single).withColumn("error", error)
+    return lines.unionByName(items).unionByName(single).unionByName(blank).withColumn("error", error)
 
 
 def candidate_records(spark: SparkSession, path: str, reset_status: bool = False) -> DataFrame:
