@@ -57,7 +57,7 @@ def near_duplicates_budgeted(spark, sf_dir):
 def benchmark_leakage(spark, sf_dir):
     """Documents whose sequence starts like a benchmark item's."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.left(F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[^ACDEFGHIKLMNPQRSTVWY]", ""), F.lit(10)).alias("head")).where(F.length("head") == 10)
-    d = seq_text(spark, sf_dir).withColumn("head", F.explode(F.expr("transform(sequence(1, greatest(length(sequence) - 9, 1)), lambda i: substr(sequence, i, 10))")))
+    d = seq_text(spark, sf_dir).withColumn("head", F.explode(F.expr("transform(sequence(1, greatest(length(sequence) - 9, 1)), i -> substr(sequence, i, 10))")))
     return d.where(F.length("head") == 10).join(b, "head").select("doc_id", "item_id").distinct()
 
 
