@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from candela.operators import health, results, review
+from candela.operators import health, results, review, summaries
 from candela.operators import telemetry as T
 from candela.queries.tables import SEQ_HASH, seq_hash, table
 
@@ -154,6 +154,16 @@ def triage(spark, sf_dir):
     return out.groupBy("l_suppkey", "colour").agg(F.count("*").alias("n"))
 
 
+def distinct_sources(spark, sf_dir):
+    """Distinct parts of a separated column, with their rows."""
+    d = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("; "), "lang", F.lit(" ;"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise("")).alias("s"))
+    return summaries.distinct_parts(d, "s")
+
+
+def failure_attribution(spark, sf_dir):
+    return summaries.attribution(_results(spark, sf_dir))
+
+
 def motif_sweep(spark, sf_dir):
     motifs = spark.createDataFrame([("DG", "ASP"), ("PPP", "PRO"), ("CYC", "CYS")], "motif string, flag string")
     return review.motif_sweep(seq_hash(spark, sf_dir).select(F.col("doc_id").alias("candidate_id"), "sequence"), F.broadcast(motifs))
@@ -198,7 +208,7 @@ _REV = f"(SELECT r.*, CASE WHEN len(modes) > 0 THEN 'rejected' ELSE 'advanced' E
 _STEPS = f"(SELECT step, count(*) AS n, min(seq * 1000 + pos) AS f FROM (SELECT seq, unnest(recs) AS step, unnest(range(len(recs))) AS pos FROM {_REV} AS r) GROUP BY step)"
 _RATIONALE = "CASE WHEN status = 'rejected' THEN 'Candidate ' || candidate_id || ' is rejected due to inferred failures (' || array_to_string(modes, ', ') || ') in result ' || result_id || '.' ELSE 'Candidate ' || candidate_id || ' advanced because no failure modes were inferred from result ' || result_id || '.' END"
 
-QUERIES = {f.__name__: f for f in (telemetry_stage1, telemetry_stage2, telemetry_stage3, telemetry_lifecycle, telemetry_counts, telemetry_headers, plate_failures, conversion_rate, control_normalised, failure_modes, failure_mode_counts, review_rollup, review_decisions, review_unmatched, next_round_buckets, first_transitions, campaign_decision, closed_loop_check, failure_rate_window, breaker_states, triage, motif_sweep)}
+QUERIES = {f.__name__: f for f in (telemetry_stage1, telemetry_stage2, telemetry_stage3, telemetry_lifecycle, telemetry_counts, telemetry_headers, plate_failures, conversion_rate, control_normalised, failure_modes, failure_mode_counts, review_rollup, review_decisions, review_unmatched, next_round_buckets, first_transitions, campaign_decision, closed_loop_check, failure_rate_window, breaker_states, triage, distinct_sources, failure_attribution, motif_sweep)}
 SQL = {
     "telemetry_stage1": f"SELECT candidate_id, ingest_order, plate, mass_observed_da, {_MATCH} AS is_mass_matched, {_JOIN.format(_C1)} AS codes FROM {_DROP} AS d",
     "telemetry_stage2": f"SELECT candidate_id, ingest_order, plate, solubility_mg_ml, {_JOIN.format(_C2)} AS codes FROM {_DROP} AS d",
@@ -225,5 +235,7 @@ SQL = {
     "closed_loop_check": f"SELECT 'error' AS severity, code, n FROM (SELECT 'REVIEW_BLANK_ID' AS code, count(*) AS n FROM {_REV} AS r WHERE seq % 100 = 0 UNION ALL SELECT 'REVIEW_COUNT', 1 UNION ALL SELECT 'DECISION_ID', 1) WHERE n > 0",
     "failure_rate_window": "SELECT CAST(user_id AS VARCHAR) AS agent, event_id AS seq, round(avg((value % 1 < 0.35)::INT) OVER w, 6) AS failure_rate, count(*) OVER w AS n_calls FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)",
     "triage": "SELECT l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'red' WHEN l_quantity / 50 >= 0.80 AND 1 - l_tax * 2 >= 0.85 AND l_discount <= 0.08 AND l_tax * 5 <= 0.35 THEN 'green' ELSE 'amber' END AS colour, count(*) AS n FROM lineitem GROUP BY 1, 2",
+    "distinct_sources": "SELECT v AS value, count(*) AS n FROM (SELECT source AS v FROM documents UNION ALL SELECT lang FROM documents) GROUP BY v",
+    "failure_attribution": f"SELECT cause, count(*) AS n FROM (SELECT DISTINCT seq, CASE WHEN m IN ('NO_BINDING', 'WEAK_BINDING') THEN 'binding' WHEN m IN ('PRECIPITATION', 'AGGREGATION') THEN 'solubility' ELSE 'other' END AS cause FROM (SELECT seq, unnest(modes) AS m FROM {_RES} AS r)) GROUP BY cause",
     "motif_sweep": f"SELECT doc_id AS candidate_id, motif, flag FROM {SEQ_HASH} AS t JOIN (VALUES ('DG', 'ASP'), ('PPP', 'PRO'), ('CYC', 'CYS')) AS m(motif, flag) ON contains(sequence, motif)",
 }

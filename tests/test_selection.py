@@ -111,3 +111,17 @@ def test_conformal(spark, monkeypatch):
     for level in (0.0, 0.1, 0.5, 0.9137, 1.0):
         assert conformal.quantile(big, F.col("v"), level) == pytest.approx(np.quantile(values, level))
     assert conformal.quantile(big.limit(0), F.col("v"), 0.5) is None
+
+
+def test_summaries_and_feasibility(spark):
+    from candela.operators import summaries
+
+    d = spark.createDataFrame([("DBAASP; APD3",), ("APD3 ;",), (None,)], "s string")
+    assert {(r.value, r.n) for r in summaries.distinct_parts(d, "s").collect()} == {("DBAASP", 1), ("APD3", 2)}
+    r = spark.createDataFrame([(["SYN_LOW_YIELD", "NO_BINDING", "CYTOTOXICITY"],), (["SYN_SCALE_UP_FAILED"],)], "failure_modes array<string>")
+    assert {(x.cause, x.n) for x in summaries.attribution(r).collect()} == {("synthesis", 2), ("binding", 1), ("other", 1)}
+    rng = np.random.default_rng(1)
+    h = spark.createDataFrame([([float(a)], int(a > 0)) for a in rng.normal(size=80)], "x array<double>, made int")
+    m = summaries.feasibility_model(h)
+    got = {r.x[0]: r.weighted_acquisition for r in summaries.with_feasibility(spark.createDataFrame([([2.0], 1.0), ([-2.0], 1.0)], "x array<double>, acquisition double"), m).collect()}
+    assert got[2.0] > 0.9 and got[-2.0] < 0.1
