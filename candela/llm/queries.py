@@ -138,5 +138,38 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 """
 
 
+def _op10_sql() -> str:
+    words = quality_rules.WORDS
+    quoted = ", ".join(f"'{w}'" for w in words)
+    chain, last = [], "t"
+    for k, (_, pattern) in enumerate(quality_rules.CLASSES):
+        sql_pattern = pattern.replace(r"\s", r"\x20\x09-\x0D") if pattern != r"\s+" else r"[\x20\x09-\x0D]+"
+        chain.append(f"regexp_replace({last}, '{sql_pattern.replace(chr(39), chr(39) * 2)}', '', 'g') AS r{k}")
+        last = f"r{k}"
+    steps = "".join(f", c{k} AS (SELECT *, {c} FROM {'d' if k == 0 else f'c{k - 1}'})" for k, c in enumerate(chain))
+    n = len(chain)
+    classes = ", ".join([f"length({'t' if k == 0 else f'r{k - 1}'}) - length(r{k})" for k in range(n)] + [f"length(r{n - 1})"])
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS w FROM documents){steps},
+tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS k FROM tri) WHERE k > 1) GROUP BY doc_id),
+f AS (SELECT c{n - 1}.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_SPACE}')) AS ls, coalesce(rep.n, 0) AS n_repeat_words, [{classes}] AS ch,
+        list_filter(string_split_regex(lower(t), '[^\\p{{L}}]+'), lambda x: x IN ({quoted})) AS cw
+      FROM c{n - 1} LEFT JOIN rep USING (doc_id)),
+g AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        list_append(list_transform([{quoted}], lambda v: len(list_filter(cw, lambda x: x = v))), greatest(n_words - len(cw), 0)) AS hw FROM f),
+b AS (SELECT doc_id, lang, base_failed, unnest([1, 2]) AS kind, unnest([ch, hw]) AS h FROM g),
+e AS (SELECT doc_id, lang, base_failed, kind, unnest(h) AS c, unnest(range(len(h))) AS bin, list_sum(h) AS s FROM b),
+ref AS (SELECT lang, kind, bin, sum(c) AS c FROM e WHERE NOT base_failed GROUP BY ALL),
+rt AS (SELECT *, c / sum(c) OVER (PARTITION BY lang, kind) AS q FROM ref),
+js AS (SELECT doc_id, kind, sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))) AS dist
+       FROM (SELECT e.doc_id, e.kind, e.c / nullif(e.s, 0)::DOUBLE AS p, rt.q::DOUBLE AS q FROM e JOIN rt USING (lang, kind, bin)) GROUP BY doc_id, kind)
+SELECT g.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND (list_sum(ch) < {quality_rules.MIN_CHARS} OR coalesce(a.dist, 0) <= {quality_rules.MAX_CHAR_DISTANCE}) AND (n_words < {quality_rules.MIN_COMPARED} OR coalesce(z.dist, 0) <= {quality_rules.MAX_WORD_DISTANCE}) AS kept
+FROM g LEFT JOIN js AS a ON a.doc_id = g.doc_id AND a.kind = 1 LEFT JOIN js AS z ON z.doc_id = g.doc_id AND z.kind = 2
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_substrings": OP9_SQL, "op2_perspectives": OP2_SQL, "op3_decontaminate": OP3_SQL}
+    return {"op9_substrings": OP9_SQL, "op10_quality_rules": _op10_sql(), "op2_perspectives": OP2_SQL, "op3_decontaminate": OP3_SQL}
