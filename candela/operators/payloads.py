@@ -56,12 +56,18 @@ def repaired(payloads: DataFrame, json_col: str = "payload", expected: dict[str,
 
     ``expected`` maps context ids to columns; a non-null expectation replaces what the payload says.
     """
-    v = F.try_parse_json(json_col)
-    d = payloads.withColumn("__v", v)
-    get = lambda k, t="string": F.try_variant_get("__v", f"$.{k}", t)
+    d = payloads.withColumn("__v", F.try_parse_json(json_col))
+    raw = {k: F.try_variant_get("__v", f"$.{k}", "string").alias(f"__text_{k}") for k in [*CONTEXT_IDS, "sequence", *SCORES, *LISTS]}
+    kinds = {k: F.schema_of_variant(F.try_variant_get("__v", f"$.{k}", "variant")).alias(f"__kind_{k}") for k in [*SCORES, *LISTS]}
+    lists = {k: F.try_variant_get("__v", f"$.{k}", "array<string>").alias(f"__list_{k}") for k in LISTS}
+    wanted = [(expected or {}).get(k, F.lit(None).cast("string")).alias(f"__want_{k}") for k in CONTEXT_IDS]
+    # Every field is read once; what follows names columns only.
+    d = d.select(*payloads.columns, *raw.values(), *kinds.values(), *lists.values(), *wanted)
+    d = d.select("*", *(F.trim(f"__text_{k}").try_cast("double").alias(f"__number_{k}") for k in SCORES))
+    get = lambda k: F.col(f"__text_{k}")
     cols, log, bad = {}, [], []
     for k in CONTEXT_IDS:
-        want = (expected or {}).get(k, F.lit(None).cast("string"))
+        want = F.col(f"__want_{k}")
         differs = want.isNotNull() & ~get(k).eqNullSafe(want)
         cols[k] = F.coalesce(want, get(k))
         log.append(F.when(differs, F.array(F.concat(F.lit(f"Injected/aligned context field '{k}' = '"), want, F.lit("'")))))
@@ -69,18 +75,17 @@ def repaired(payloads: DataFrame, json_col: str = "payload", expected: dict[str,
     cols["sequence"] = seq
     log.append(F.when(seq != get("sequence"), F.array(F.lit("Normalized sequence (stripped whitespace and uppercased)"))))
     for k in SCORES:
-        text, kind = get(k), F.schema_of_variant(F.try_variant_get("__v", f"$.{k}", "variant"))
-        number = F.trim(text).try_cast("double")
+        text, kind, number = get(k), F.col(f"__kind_{k}"), F.col(f"__number_{k}")
         cols[k] = clamped(number, k in SHARES)
         log += [F.when((kind == "STRING") & number.isNotNull(), F.array(F.concat(F.lit(f"Coerced '{k}' from string to float "), number.cast("string")))), F.when(number.isNotNull(), clamp_log(k, number, k in SHARES))]
         bad.append(F.when(text.isNotNull() & number.isNull(), F.lit(k)))
     for k in LISTS:
-        kind = F.schema_of_variant(F.try_variant_get("__v", f"$.{k}", "variant"))
-        as_list = F.try_variant_get("__v", f"$.{k}", "array<string>")
+        kind, as_list = F.col(f"__kind_{k}"), F.col(f"__list_{k}")
         cols[k] = F.when(kind == "STRING", listed(get(k))).when(kind.isNotNull(), F.coalesce(as_list, F.array().cast("array<string>")))
         log.append(F.when(kind == "STRING", F.array(F.concat(F.lit(f"Coerced comma-delimited string '{k}' into list of "), F.size(listed(get(k))).cast("string"), F.lit(" items")))))
     nothing = F.array().cast("array<string>")
-    return d.withColumns(cols | {"repairs": F.flatten(F.array(*(F.coalesce(x, nothing) for x in log))), "invalid_fields": F.array_compact(F.array(*bad))}).withColumn("requires_repair", F.size("invalid_fields") > 0).drop("__v")
+    out = d.withColumns(cols | {"repairs": F.flatten(F.array(*(F.coalesce(x, nothing) for x in log))), "invalid_fields": F.array_compact(F.array(*bad))}).withColumn("requires_repair", F.size("invalid_fields") > 0)
+    return out.drop(*(c for c in d.columns if c.startswith("__")))
 
 
 def evaluated(outputs: DataFrame, *, json_col: str = "output", kind_col: str = "artifact", expected: dict[str, Column] | None = None, allowed_ids: Column | None = None, attempt: Column | int = 1, max_attempts: int = 3) -> DataFrame:

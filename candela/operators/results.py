@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candela.functions.binding import let
+
 # The ontology of failure codes.
 ONTOLOGY = """
 SYN_FAIL_UNKNOWN SYN_LOW_CRUDE_PURITY SYN_SEQUENCE_LENGTH_RISK SYN_HYDROPHOBIC_SEQUENCE SYN_CYCLISATION_FAILED SYN_MODIFICATION_FAILED SYN_LOW_YIELD SYN_SCALE_UP_FAILED
@@ -102,7 +104,7 @@ def key_values(lines: Column) -> Column:
     rows = F.transform(F.filter(lines, lambda x: x.contains("|")), lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\|+|\|+$", ""), r"\|", -1), lambda x: F.trim(x)))
     rows = F.filter(rows, lambda r: (F.size(r) >= 2) & (r[0] != "") & ~F.replace(F.lower(r[0]), F.lit(" "), F.lit("")).isin("metric", "value", "notes", "---") & ~r[0].rlike("^-+$"))
     rows = F.filter(F.transform(rows, lambda r: F.struct(r[0].alias("key"), scalar(r[1]).alias("value"))), lambda e: e["value"].isNotNull())
-    return F.map_from_entries(F.filter(rows, lambda e, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda o: o["key"] == e["key"])))
+    return let(rows, lambda all_: F.map_from_entries(F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda o: o["key"] == e["key"]))))
 
 
 def metric(values: Column, aliases: str) -> Column:

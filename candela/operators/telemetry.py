@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candela.functions.binding import let
+
 # Canonical fields and the vendor headers that mean them.
 ALIASES = {
     "candidate_id": "candidate_id candidateid id peptide_id name sample_id",
@@ -34,8 +36,7 @@ def canonical_keys(fields: Column) -> Column:
     entries = F.filter(F.map_entries(fields), lambda e: F.coalesce(F.trim(e["value"].cast("string")), F.lit("")) != "")
     named = F.transform(entries, lambda e: F.struct(F.replace(F.lower(F.trim(e["key"])), F.lit(" "), F.lit("_")).alias("key"), e["value"].alias("value")))
     named = F.transform(named, lambda e: F.struct(F.coalesce(F.try_element_at(to, e["key"]), e["key"]).alias("key"), e["value"].alias("value")))
-    last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda o: o["key"] == e["key"]))
-    return F.map_from_entries(last)
+    return let(named, lambda all_: F.map_from_entries(F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda o: o["key"] == e["key"]))))
 
 
 def records(drop: DataFrame, fields_col: str = "fields") -> DataFrame:
