@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candela.functions import sequence as S
@@ -23,9 +23,9 @@ def _violation(rule: str, name: str, severity: Column, code: str, message: Colum
 
 
 def _starts(seq: Column, pattern: str) -> Column:
-    """1-based positions at which ``pattern`` matches."""
-    at = F.when(F.length(seq) > 0, F.sequence(F.lit(1), F.length(seq))).otherwise(F.array().cast("array<int>"))
-    return F.filter(at, lambda i: F.substring(seq, i, F.length(seq)).rlike("^(?:" + pattern + ")"))
+    """1-based positions at which ``pattern`` matches; sequences without any match are passed over at the cost of one search."""
+    at = F.filter(F.sequence(F.lit(1), F.length(seq)), lambda i: F.substring(seq, i, F.length(seq)).rlike("^(?:" + pattern + ")"))
+    return F.when(seq.rlike(pattern), at).otherwise(F.array().cast("array<int>"))
 
 
 def motif_violations(seq: Column) -> Column:
@@ -34,13 +34,15 @@ def motif_violations(seq: Column) -> Column:
         text = F.concat(F.lit("High risk of base-catalyzed aspartimide formation at '"), motif, F.lit("' under piperidine Fmoc-deprotection."))
         return _violation("DRC-001", "Aspartimide Cyclization Liability", F.when(motif == "DG", "fatal").otherwise("high_risk"), "SYN_MODIFICATION_FAILED", text, motif, F.array(i, i + 1))
 
-    return F.transform(_starts(seq, "D[GSN]"), one)
+    return F.when(seq.rlike("D[GSN]"), F.transform(_starts(seq, "D[GSN]"), one)).otherwise(F.array().cast(VIOLATION))
 
 
 def _runs(seq: Column, residues: str, least: int, build) -> Column:
     """``build(motif, start)`` for every maximal run of at least ``least`` of ``residues``."""
-    first = F.filter(_starts(seq, f"[{residues}]{{{least},}}"), lambda i: (i == 1) | ~F.substring(seq, i - 1, F.lit(1)).rlike(f"[{residues}]"))
-    return F.transform(first, lambda i: build(F.regexp_extract(F.substring(seq, i, F.length(seq)), f"^[{residues}]+", 0), i))
+    pattern = f"[{residues}]{{{least},}}"
+    first = F.filter(_starts(seq, pattern), lambda i: (i == 1) | ~F.substring(seq, i - 1, F.lit(1)).rlike(f"[{residues}]"))
+    found = F.transform(first, lambda i: build(F.regexp_extract(F.substring(seq, i, F.length(seq)), f"^[{residues}]+", 0), i))
+    return F.when(seq.rlike(pattern), found).otherwise(F.array().cast(VIOLATION))
 
 
 def run_violations(seq: Column, most: int = 5) -> Column:
@@ -60,7 +62,7 @@ def precipitation_violations(charge: Column, hydropathy: Column) -> Column:
 def cysteine_violations(seq: Column) -> Column:
     n = S.count_of(seq, "C")
     text = F.concat(F.lit("Odd number of cysteines ("), n.cast("string"), F.lit(") yields unpaired reactive thiol prone to air oxidation and oligomerization."))
-    one = _violation("DRC-004", "Unpaired Cysteine Disulfide Scrambling", F.lit("high_risk"), "OXIDATION_LIABILITY", text, F.lit("C"), _starts(seq, "C"))
+    one = _violation("DRC-004", "Unpaired Cysteine Disulfide Scrambling", F.lit("high_risk"), "OXIDATION_LIABILITY", text, F.lit("C"), F.filter(F.sequence(F.lit(1), F.length(seq)), lambda i: F.substring(seq, i, F.lit(1)) == "C"))
     return F.when(n % 2 != 0, F.array(one)).otherwise(F.array().cast(VIOLATION))
 
 
@@ -73,11 +75,24 @@ def proline_violations(seq: Column) -> Column:
 
 
 def suite(seq: Column) -> dict[str, Column]:
-    """violations in rule order, net_charge_ph74, gravy_index, hard_stop_reasons, passed_hard_drc, suggested_remediations."""
+    """violations in rule order, net_charge_ph74 and gravy_index; ``summary`` of the violations gives the rest."""
     s = S.clean(seq)
     charge, hydropathy = S.net_charge(s), S.gravy(s)
+    return {"violations": violations(s, charge, hydropathy), "net_charge_ph74": charge, "gravy_index": hydropathy}
+
+
+def violations(s: Column, charge: Column, hydropathy: Column) -> Column:
+    """All violations of a clean sequence, in rule order."""
     found = F.concat(motif_violations(s), run_violations(s), precipitation_violations(charge, hydropathy), cysteine_violations(s), proline_violations(s)).cast(VIOLATION)
-    return {"violations": found, "net_charge_ph74": charge, "gravy_index": hydropathy} | summary(found)
+    return found
+
+
+def screened(df: DataFrame, sequence_col: str = "sequence") -> DataFrame:
+    """``df`` with the suite's columns and its summary, each computed once: sequence, then charge and hydropathy, then violations."""
+    d = df.withColumn("__clean", S.clean(F.col(sequence_col)))
+    d = d.withColumns({"net_charge_ph74": S.net_charge(F.col("__clean")), "gravy_index": S.gravy(F.col("__clean"))})
+    d = d.withColumn("violations", violations(F.col("__clean"), F.col("net_charge_ph74"), F.col("gravy_index"))).drop("__clean")
+    return d.withColumns(summary(F.col("violations")))
 
 
 def summary(violations: Column) -> dict[str, Column]:

@@ -85,10 +85,6 @@ def gravy(seq: Column) -> Column:
     return F.when(F.length(seq) > 0, total / F.length(seq)).otherwise(0.0)
 
 
-def _positions(seq: Column) -> Column:
-    return F.when(F.length(seq) > 0, F.sequence(F.lit(1), F.length(seq))).otherwise(F.array().cast("array<int>"))
-
-
 def identity(a: Column, b: Column) -> Column:
     """Share of equal positions of two sequences of one length; 0 if the lengths differ by more than one or one is empty,
     and the best one-indel alignment if they differ by one."""

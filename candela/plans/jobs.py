@@ -34,9 +34,7 @@ def scored_candidates(candidates: DataFrame) -> DataFrame:
     draft becomes scored. One narrow pass."""
     modality = F.col("modality") if "modality" in candidates.columns else None
     flags, score = C.flags_and_score(F.col("sequence"), modality)
-    suite = D.suite(F.col("sequence"))
-    d = candidates.withColumns({"__flags": flags, "overall_score": score, "violations": suite["violations"], "net_charge_ph74": suite["net_charge_ph74"], "gravy_index": suite["gravy_index"]})
-    d = d.withColumns(D.summary(F.col("violations")))
+    d = D.screened(candidates.withColumns({"__flags": flags, "overall_score": score}))
     own = F.coalesce("risk_flags", F.array().cast("array<string>")) if "risk_flags" in candidates.columns else F.array().cast("array<string>")
     codes = F.transform("violations", lambda v: v["failure_code"])
     d = d.withColumn("risk_flags", F.array_distinct(F.concat(own, F.col("__flags"), codes)))
@@ -166,9 +164,7 @@ def next_batch(candidates: DataFrame, *, batch_size: int = 5, weights: tuple[flo
 
 def dialectic_screen(candidates: DataFrame, threshold: float = 0.35) -> DataFrame:
     """Advocate and sceptic scores (own ``affinity`` and ``liability`` columns take part) and the verdict of each candidate."""
-    suite = D.suite(F.col("sequence"))
-    d = candidates.withColumn("violations", suite["violations"])
-    d = d.withColumn("passed_hard_drc", D.summary(F.col("violations"))["passed_hard_drc"])
+    d = D.screened(candidates)
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c.cast("double")))
     a, s = D.advocate_score(F.col("sequence")), D.liability_score(F.col("violations"))
     d = d.withColumn("advocate_score", F.coalesce(clip(F.col("affinity")), a) if "affinity" in candidates.columns else a)

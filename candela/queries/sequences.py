@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from candela.functions import design_rules as D
 from candela.functions import scoring as C
 from candela.functions import sequence as S
+from candela.operators.staging import staged
 from candela.queries.tables import SEQ_HASH, SEQ_RAW, SEQ_TEXT, count_sql, seq_hash, seq_raw, seq_text
 
 
@@ -15,6 +16,7 @@ def flagship(spark, sf_dir):
     d = screened(spark, sf_dir)
     flags, score = C.flags_and_score(F.col("sequence"))
     d = d.select("doc_id", "sequence", score.alias("overall_score"), F.array_join(flags, ";").alias("risk_flags"), "passed_hard_drc", F.when(F.col("passed_hard_drc"), C.recommendation(score)).otherwise("reject_or_redesign_drc_failure").alias("recommendation"))
+    d = staged(d, "flagship")  # the sort samples its input: the scores are not computed twice
     return d.orderBy(F.desc("passed_hard_drc"), F.desc("overall_score"), "doc_id")
 
 
@@ -58,9 +60,7 @@ def drc_runs(spark, sf_dir):
 
 
 def screened(spark, sf_dir):
-    d = seq_hash(spark, sf_dir)
-    parts = D.suite(F.col("sequence"))
-    return d.withColumns({k: parts[k] for k in ("violations", "net_charge_ph74", "gravy_index")}).withColumns(D.summary(F.col("violations")))
+    return D.screened(seq_hash(spark, sf_dir))
 
 
 def drc_summary(spark, sf_dir):
@@ -69,6 +69,15 @@ def drc_summary(spark, sf_dir):
     return screened(spark, sf_dir).select("doc_id", "passed_hard_drc", n("fatal"), n("high_risk"), n("warning"), F.size("suggested_remediations").alias("n_remediations"), F.round("net_charge_ph74", 3).alias("net_charge_ph74"), F.round("gravy_index", 8).alias("gravy_index"))
 
 
+def rule_screening(spark, sf_dir):
+    """Design rules over a sequence of every lineitem: how many pass, by findings."""
+    from candela.queries.tables import hashed, table
+
+    d = D.screened(table(spark, sf_dir, "lineitem").select(hashed(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sequence")))
+    n = lambda level: F.size(F.filter("violations", lambda x: x["severity"] == level))
+    return d.select("passed_hard_drc", n("fatal").alias("n_fatal"), n("high_risk").alias("n_high_risk"), n("warning").alias("n_warning")).groupBy("passed_hard_drc", "n_fatal", "n_high_risk", "n_warning").agg(F.count("*").alias("n"))
+
+
 def drc_violations(spark, sf_dir):
     """Every violation with its motif and positions, as text."""
     return screened(spark, sf_dir).select("doc_id", _violations(F.col("violations")).alias("violations"), F.array_join("hard_stop_reasons", "; ").alias("hard_stop_reasons"))
@@ -149,7 +158,7 @@ _FEATS = "[" + ", ".join(f"{count_sql(a)} / {_N}::DOUBLE" for a in S.STANDARD) +
 _SORTED = "array_to_string(list_sort(list_distinct(regexp_extract_all(sequence, '{}'))), '')"
 _UNC = "round(least(100.0, greatest(0.0, 100.0 - abs(s - 70.0) * 2.0) + least(15.0, len(f) * 5.0)), 3)"
 
-QUERIES = {f.__name__: f for f in (flagship, basic_features, curation_features, manufacturability_score, dimension_scores, net_charge_gravy, drc_motifs, drc_runs, drc_summary, drc_violations, dialectic_verdict, feature_vectors, selection_scores, weighted_profile, residue_validation, curation_gates)}
+QUERIES = {f.__name__: f for f in (flagship, basic_features, curation_features, manufacturability_score, dimension_scores, net_charge_gravy, drc_motifs, drc_runs, drc_summary, rule_screening, drc_violations, dialectic_verdict, feature_vectors, selection_scores, weighted_profile, residue_validation, curation_gates)}
 SQL = {
     "flagship": f"SELECT d.doc_id, d.sequence, s AS overall_score, array_to_string(f, ';') AS risk_flags, n_fatal = 0 AS passed_hard_drc, CASE WHEN n_fatal > 0 THEN 'reject_or_redesign_drc_failure' WHEN s >= 80 THEN 'test_or_keep' WHEN s >= 60 THEN 'revise_or_test_with_caution' ELSE 'revise_before_testing' END AS recommendation FROM {_DRC} AS d JOIN (SELECT doc_id, {_FLAGS} AS f, greatest(0.0, least(100.0, {_SCORE})) AS s FROM {SEQ_HASH} AS t) USING (doc_id)",
     "basic_features": f"SELECT doc_id, nullif({_N}, 0)::DOUBLE AS length, round({_H}, 6) AS hydrophobic_fraction, {_CH}::DOUBLE AS net_charge_proxy, {_OX}::DOUBLE AS oxidation_count, {_DE}::DOUBLE AS deamidation_count, {_CY}::DOUBLE AS cysteine_count FROM {SEQ_TEXT} AS t",
@@ -159,6 +168,7 @@ SQL = {
     "net_charge_gravy": f"SELECT doc_id, round({_CHARGE}, 5) AS net_charge, round({_GRAVY}, 8) AS gravy FROM {SEQ_HASH} AS t",
     "drc_motifs": f"SELECT doc_id, substr(sequence, i, 2) AS motif, CASE WHEN substr(sequence, i, 2) = 'DG' THEN 'fatal' ELSE 'high_risk' END AS severity, i::INT AS position FROM (SELECT doc_id, sequence, unnest({_MOTIFS}) AS i FROM {SEQ_HASH} AS t)",
     "drc_runs": f"SELECT doc_id, 'DRC-002' AS rule_id, unnest(regexp_extract_all(sequence, '[VILFYW]{{5,}}')) AS motif FROM {SEQ_HASH} AS t UNION ALL SELECT doc_id, 'DRC-005', unnest(regexp_extract_all(sequence, 'P{{3,}}')) FROM {SEQ_HASH} AS t",
+    "rule_screening": "SELECT n_fatal = 0 AS passed_hard_drc, n_fatal::INT AS n_fatal, n_high_risk::INT AS n_high_risk, n_warning::INT AS n_warning, count(*) AS n FROM " + _DRC.replace(SEQ_HASH, SEQ_HASH.replace("doc_id, substr", "k AS doc_id, substr").replace("|| doc_id", "|| k").replace("doc_id % 25", "k % 25").replace("FROM documents", "FROM (SELECT l_orderkey * 10 + l_linenumber AS k FROM lineitem)")) + " AS d GROUP BY ALL",
     "drc_summary": f"SELECT doc_id, n_fatal = 0 AS passed_hard_drc, n_fatal::INT AS n_fatal, n_high_risk::INT AS n_high_risk, n_warning::INT AS n_warning, n_remediations::INT AS n_remediations, round(charge, 3) AS net_charge_ph74, round(gravy, 8) AS gravy_index FROM {_DRC} AS d",
     "dialectic_verdict": f"""SELECT doc_id, a AS advocate_score, s AS sceptic_score, round(abs(a - (1.0 - s)), 6) AS dissensus_delta,
         CASE WHEN n_fatal > 0 THEN 'REJECT' WHEN s >= 0.70 THEN 'REJECT' WHEN abs(a - (1.0 - s)) > 0.35 THEN 'DISCRIMINATIVE_ASSAY' WHEN a >= 0.75 AND s <= 0.30 THEN 'PASS' WHEN a >= 0.60 THEN 'PASS' ELSE 'REJECT' END AS decision

@@ -53,7 +53,7 @@ def test_order_can_be_enforced(spark):
 
 def test_design_rules(spark):
     d = spark.createDataFrame([("AAAADGAA",), ("AAAAFVVVVVAA",), ("KPPPPK",), ("ACAC",), ("ACA",), ("",)], "s string")
-    rows = {r.s: r for r in d.select("s", *(v.alias(k) for k, v in design_rules.suite(F.col("s")).items())).collect()}
+    rows = {r.s: r for r in design_rules.screened(d, "s").collect()}
     v = {s: [(x.rule_id, x.severity, x.positions) for x in r.violations] for s, r in rows.items()}
     assert v["AAAADGAA"][0] == ("DRC-001", "fatal", [5, 6]) and not rows["AAAADGAA"].passed_hard_drc
     assert v["AAAAFVVVVVAA"][0] == ("DRC-002", "fatal", [5, 6, 7, 8, 9, 10]) and ("DRC-005", "warning", [2, 3, 4, 5]) in v["KPPPPK"]
