@@ -80,6 +80,16 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
         yield batch.slice(at, step)
 
 
+#: Spark's bound on the bytes of one Arrow batch, and its default.
+BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """8 MB an Arrow batch instead of 64, unless the session has its own bound: texts are long, and a task holds a batch on both sides."""
+    if spark.conf.get(BATCH_BYTES) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_BYTES, "8m")
+
+
 def with_columns(df: DataFrame, fields: Sequence[T.StructField], make: Callable[[], Callable], inputs: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """``keep`` columns of ``df`` plus ``fields``, which ``make()(*input columns as lists)`` computes row by row in Arrow batches.
 
@@ -99,4 +109,5 @@ def with_columns(df: DataFrame, fields: Sequence[T.StructField], make: Callable[
                 made = apply(*(part.column(c).to_pylist() for c in inputs))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))], names=schema.names)
 
+    small_batches(df.sparkSession)
     return df.select(*dict.fromkeys([*keep, *inputs])).mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candela.llm.common import slices, space_words, stored, with_columns
+from candela.llm.common import slices, small_batches, space_words, stored, with_columns
 
 WIDTH, SEED = 13, 5
 CACHE_WORDS = 500_000
@@ -136,6 +136,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("owner"), text.alias("text"))
     ids = d.where("doc_id is not null")
+    small_batches(docs.sparkSession)
     least = Window.partitionBy("key")
     seen = ids.select("doc_id", "owner", F.unhex(F.sha2("text", 256)).alias("digest"))
     first = seen.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
