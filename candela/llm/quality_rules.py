@@ -48,7 +48,7 @@ def features(docs: DataFrame, keep: list[str], lang_col: str = "lang", text_col:
         d = d.withColumn(f"__r{k}", F.regexp_replace(f"__r{k - 1}", pattern, ""))
     left = [F.col("__c0"), *(F.length(f"__r{k}") for k in range(1, len(CLASSES) + 1)), F.lit(0)]
     chars = F.array(*((a - b).cast("long") for a, b in zip(left, left[1:], strict=False)))
-    common = F.array(*(F.size(F.filter("__common", lambda x: x == v)).cast("long") for v in WORDS), F.greatest(F.col("__n") - F.size("__common"), F.lit(0)).cast("long"))  # the last: all other words
+    common = F.array(*((F.size("__common") - F.size(F.array_remove("__common", v))).cast("long") for v in WORDS), F.greatest(F.col("__n") - F.size("__common"), F.lit(0)).cast("long"))  # the last: all other words
     repeated = F.when(F.size(F.array_distinct("__tri")) < F.size("__tri"), F.sort_array(F.transform("__tri", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     d = d.select(
         *keep,
