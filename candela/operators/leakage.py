@@ -40,6 +40,23 @@ def near_pairs(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
     return j.select("row", "id", "other_row", "other_id", "sequence", "other_sequence", "split", "other_split", "similarity")
 
 
+def distinct_rows(rows: DataFrame) -> DataFrame:
+    """sequence, row (the first that has it), splits (how many rows each split has) and n_pairs (its own pairs across splits)."""
+    g = rows.groupBy("sequence", "split").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    d = g.groupBy("sequence").agg(F.min("first").alias("row"), F.map_from_entries(F.collect_list(F.struct("split", "n"))).alias("splits"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    return d.select("sequence", "row", "splits", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).cast("long").alias("n_pairs"))
+
+
+def near_groups(distinct: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """row, other_row, similarity, n_pairs of unequal sequences of one length, head and tail: ``near_pairs`` with the copies
+    of a sequence counted, not paired. ``distinct`` is ``distinct_rows``."""
+    d = fingerprinted(distinct)
+    o = d.select(*_FINGERPRINT, F.col("row").alias("other_row"), F.col("sequence").alias("other_sequence"), F.col("splits").alias("other_splits"), F.col("n").alias("other_n"))
+    same = F.aggregate(F.map_entries("splits"), F.lit(0).cast("long"), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("other_splits", e["key"]), F.lit(0)))
+    j = d.drop("n_pairs").join(o, _FINGERPRINT).where(F.col("other_row") < F.col("row")).withColumn("n_pairs", F.col("n") * F.col("other_n") - same).where("n_pairs > 0")
+    return j.withColumn("similarity", S.identity(F.col("sequence"), F.col("other_sequence"))).where(F.col("similarity") >= threshold).select("row", "other_row", "similarity", "n_pairs")
+
+
 def with_pairs_before(rows: DataFrame, blocks: int = 1024) -> DataFrame:
     """``rank`` in the row's block and ``pairs_before``: pairs compared before the row, in row order.
 

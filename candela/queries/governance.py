@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from candela.operators import governance as G
 from candela.operators import leakage as L
-from candela.queries.tables import SEQ_RAW, SEQ_TEXT, SPLIT_ROWS, seq_raw, seq_text, split_rows, table
+from candela.operators.staging import staged
+from candela.queries.tables import SEQ_RAW, SEQ_TEXT, SPLIT_ROWS, seq_raw, seq_text, split_rows, table, whole_sql
 
 TAGS = ["s0", "s1"]
 
@@ -33,11 +34,15 @@ def unlisted_split_tags(spark, sf_dir):
     return G.split_events(split_rows(spark, sf_dir), "split", TAGS, True).select("severity", "code", "message", "location")
 
 
-def contract_event_counts(spark, sf_dir):
-    d = seq_raw(spark, sf_dir).select(F.col("doc_id").alias("_row_number"), F.concat(F.lit("p"), (F.col("doc_id") % 950).cast("string")).alias("peptide_id"), "sequence")
+def contract_event_counts(spark, sf_dir, whole=False):
+    d = seq_raw(spark, sf_dir, whole).select(F.col("doc_id").alias("_row_number"), F.concat(F.lit("p"), (F.col("doc_id") % 950).cast("string")).alias("peptide_id"), "sequence")
     return G.contract_events(d, allow_ambiguous=False).groupBy("severity", "code").agg(F.count("*").alias("n"))
 
 
+def contract_event_counts_whole(spark, sf_dir):
+    return contract_event_counts(spark, sf_dir, whole=True)
+
+
 def exact_leakage_pairs(spark, sf_dir):
     return L.exact_pairs(split_rows(spark, sf_dir))
 
@@ -46,10 +51,20 @@ def exact_leakage_groups(spark, sf_dir):
     return L.exact_groups(split_rows(spark, sf_dir))
 
 
+def exact_leakage_groups_whole(spark, sf_dir):
+    """Equal whole texts: groups with their first row, of which every pair of exact_leakage_pairs' kind follows."""
+    return L.exact_groups(split_rows(spark, sf_dir, whole=True))
+
+
 def near_duplicates(spark, sf_dir):
     return L.near_pairs(split_rows(spark, sf_dir), 0.8).select("row", "other_row", F.round("similarity", 6).alias("similarity"))
 
 
+def near_duplicates_whole(spark, sf_dir):
+    """Near-duplicate whole texts, each by the first row that has it, and the pairs of rows in different splits behind each."""
+    return L.near_groups(staged(L.distinct_rows(split_rows(spark, sf_dir, whole=True)), "texts"), 0.8).select("row", "other_row", F.round("similarity", 6).alias("similarity"), "n_pairs")
+
+
 def near_duplicates_budgeted(spark, sf_dir):
     return L.near_pairs_budgeted(split_rows(spark, sf_dir), 0.8, 2000).select("row", "other_row", F.round("similarity", 6).alias("similarity"))
 
@@ -73,8 +88,19 @@ def preflight_counts(spark, sf_dir):
     return e.groupBy("severity", "code").agg(F.count("*").alias("n"))
 
 
-def seed_rule_counts(spark, sf_dir):
-    d = seq_raw(spark, sf_dir).select(
+def preflight_counts_whole(spark, sf_dir):
+    """preflight_counts over whole texts. Pairs are counted from groups, not made."""
+    rows = seq_text(spark, sf_dir, whole=True).select(F.col("doc_id").alias("_row_number"), F.concat(F.lit("p"), "doc_id").alias("peptide_id"), "sequence", F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")).alias("split"))
+    one = G.split_events(rows, "split", TAGS, True).select("severity", "code").unionByName(G.contract_events(rows, required=["peptide_id", "sequence", "split"], allow_ambiguous=True).select("severity", "code"))
+    wrong = rows.where(~F.col("split").isin(TAGS)).select(F.lit("error").alias("severity"), F.lit("DATASET_SPLIT_TAG_MISMATCH").alias("code"))
+    d = staged(L.distinct_rows(split_rows(spark, sf_dir, whole=True)), "texts")
+    exact = d.select(F.lit("error").alias("severity"), F.lit("SPLIT_LEAKAGE_EXACT_SEQUENCE").alias("code"), F.col("n_pairs").alias("n"))
+    near = d.where("sequence <> ''").select("n_pairs").unionByName(L.near_groups(d, 0.95).select("n_pairs")).select(F.lit("warning").alias("severity"), F.lit("SPLIT_LEAKAGE_NEAR_DUPLICATE").alias("code"), F.col("n_pairs").alias("n"))
+    return one.unionByName(wrong).withColumn("n", F.lit(1).cast("long")).unionByName(exact).unionByName(near).groupBy("severity", "code").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def seed_rule_counts(spark, sf_dir, whole=False):
+    d = seq_raw(spark, sf_dir, whole).select(
         F.col("doc_id").alias("_row_number"), F.concat(F.lit("p"), (F.col("doc_id") % 900).cast("string")).alias("peptide_id"), "sequence", F.when(F.col("doc_id") % 5 == 0, "x").when(F.col("doc_id") % 5 == 1, "").otherwise("30").alias("length"),
         F.when(F.col("doc_id") % 3 == 0, "").otherwise("n").alias("name"), F.element_at(F.array(F.lit("linear"), F.lit("Cyclic"), F.lit("ring"), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int")).alias("linear_or_cyclic"),
         F.element_at(F.array(F.lit("Unknown"), F.lit("other"), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int")).alias("gram_status"), F.lit("m").alias("target_microbe"),
@@ -82,12 +108,16 @@ def seed_rule_counts(spark, sf_dir):
     return G.seed_rules(d).groupBy("severity", "code").agg(F.count("*").alias("n"))
 
 
+def seed_rule_counts_whole(spark, sf_dir):
+    return seed_rule_counts(spark, sf_dir, whole=True)
+
+
 _SIM = "len(list_filter(range(1, length(a.sequence) + 1), lambda i: substr(a.sequence, i, 1) = substr(b.sequence, i, 1))) / length(a.sequence)::DOUBLE"
 _BUCKET = "length(a.sequence) = length(b.sequence) AND left(a.sequence, 3) = left(b.sequence, 3) AND right(a.sequence, 3) = right(b.sequence, 3)"
 _BAD20 = "regexp_matches(sequence, '[^ACDEFGHIKLMNPQRSTVWY]')"
 _PRE = f"(SELECT * FROM {SPLIT_ROWS} AS t)"
 
-QUERIES = {f.__name__: f for f in (identifier_validation, duplicate_ids, split_distribution, unlisted_split_tags, contract_event_counts, exact_leakage_pairs, exact_leakage_groups, near_duplicates, near_duplicates_budgeted, benchmark_leakage, reference_check, preflight_counts, seed_rule_counts)}
+QUERIES = {f.__name__: f for f in (identifier_validation, duplicate_ids, split_distribution, unlisted_split_tags, contract_event_counts, exact_leakage_pairs, exact_leakage_groups, near_duplicates, near_duplicates_budgeted, benchmark_leakage, reference_check, preflight_counts, seed_rule_counts, contract_event_counts_whole, exact_leakage_groups_whole, near_duplicates_whole, preflight_counts_whole, seed_rule_counts_whole)}
 SQL = {
     "identifier_validation": "SELECT c_custkey, CASE WHEN trim(id) = '' THEN 'identifier is empty' WHEN NOT regexp_matches(trim(id), '^[A-Za-z0-9][A-Za-z0-9._-]*$') THEN 'identifier has unsupported characters' END AS reason FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_name || ' x' WHEN c_custkey % 11 = 0 THEN '  ' ELSE c_name END AS id FROM customer)",
     "duplicate_ids": "SELECT id AS row_id, r AS row, f AS previous_row FROM (SELECT CAST(n_chars AS VARCHAR) AS id, doc_id AS r, min(doc_id) OVER (PARTITION BY n_chars) AS f FROM documents) WHERE r > f",
@@ -119,3 +149,8 @@ SQL = {
         UNION ALL SELECT 'warning', 'SEED_TOPOLOGY_MISSING' FROM s WHERE top = '' UNION ALL SELECT 'error', 'SEED_TOPOLOGY' FROM s WHERE top = 'ring'
         UNION ALL SELECT 'warning', 'SEED_GRAM_STATUS' FROM s WHERE gram = 'other' UNION ALL SELECT 'warning', 'SEED_GRAM_STATUS_MISSING' FROM s WHERE gram = '') GROUP BY severity, code""",
 }
+SQL |= {f"{n}_whole": whole_sql(SQL[n]) for n in ("contract_event_counts", "exact_leakage_groups", "preflight_counts", "seed_rule_counts")}
+_ROWS = whole_sql(SPLIT_ROWS)
+SQL["near_duplicates_whole"] = f"""WITH d AS (SELECT sequence, min(row) AS f FROM {_ROWS} AS t GROUP BY sequence)
+    SELECT greatest(x.f, y.f) AS row, least(x.f, y.f) AS other_row, round({_SIM}, 6) AS similarity, count(*) AS n_pairs FROM {_ROWS} AS a JOIN {_ROWS} AS b ON {_BUCKET} AND a.row < b.row AND a.split <> b.split AND a.sequence <> b.sequence
+    JOIN d AS x ON x.sequence = a.sequence JOIN d AS y ON y.sequence = b.sequence WHERE a.sequence <> '' AND {_SIM} >= 0.8 GROUP BY 1, 2, 3"""

@@ -16,16 +16,16 @@ def letters(text: Column) -> Column:
     return F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
 
 
-def seq_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as (doc_id, sequence): the first 30 standard residues of the text."""
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.left(F.regexp_replace(letters(F.col("text")), f"[^{STANDARD}]", ""), F.lit(30)).alias("sequence"))
+def seq_text(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """documents as (doc_id, sequence): the first 30 standard residues of the text, or all if ``whole``."""
+    s = F.regexp_replace(letters(F.col("text")), f"[^{STANDARD}]", "")
+    return table(spark, sf_dir, "documents").select("doc_id", (s if whole else F.left(s, F.lit(30))).alias("sequence"))
 
 
-def seq_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as (doc_id, sequence): the first 30 letters of the text."""
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.left(letters(F.col("text")), F.lit(30)).alias("sequence"))
+def seq_raw(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """documents as (doc_id, sequence): the first 30 letters of the text, or all if ``whole``."""
+    s = letters(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", (s if whole else F.left(s, F.lit(30))).alias("sequence"))
 
 
 def hashed(key: Column) -> Column:
@@ -39,9 +39,9 @@ def seq_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", hashed(F.col("doc_id")).alias("sequence"))
 
 
-def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def split_rows(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """seq_text as (row, id, sequence, split) with three splits."""
-    return seq_text(spark, sf_dir).select(F.col("doc_id").alias("row"), F.col("doc_id").cast("string").alias("id"), "sequence", F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")).alias("split"))
+    return seq_text(spark, sf_dir, whole).select(F.col("doc_id").alias("row"), F.col("doc_id").cast("string").alias("id"), "sequence", F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")).alias("split"))
 
 
 SEQ_TEXT = f"(SELECT doc_id, left(regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^{STANDARD}]', '', 'g'), 30) AS sequence FROM documents)"
@@ -49,6 +49,14 @@ SEQ_RAW = "(SELECT doc_id, left(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')
 SEQ_HASH = "(SELECT doc_id, substr(translate(md5('s' || doc_id), '0123456789abcdef', 'ACDFGIKLNPRSVWYE'), 1, CAST(8 + doc_id % 25 AS INT)) AS sequence FROM documents)"
 SPLIT_ROWS = f"(SELECT doc_id AS row, CAST(doc_id AS VARCHAR) AS id, sequence, 's' || (doc_id % 3) AS split FROM {SEQ_TEXT} AS t)"
 
+WHOLE_TEXT = f"(SELECT doc_id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^{STANDARD}]', '', 'g') AS sequence FROM documents)"
+WHOLE_RAW = "(SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence FROM documents)"
+
+
+def whole_sql(sql: str) -> str:
+    """The SQL of a query over prefixes, over the whole texts."""
+    return sql.replace(SEQ_TEXT, WHOLE_TEXT).replace(SEQ_RAW, WHOLE_RAW)
+
 
 def count_sql(residues: str, s: str = "sequence") -> str:
     return f"(length({s}) - length(translate({s}, '{residues}', '')))"
