@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from candela.operators import governance as G
 from candela.operators import leakage as L
+from candela.functions.sequence import STANDARD
 from candela.operators.staging import staged
-from candela.queries.tables import SEQ_RAW, SEQ_TEXT, SPLIT_ROWS, seq_raw, seq_text, split_rows, table, whole_sql
+from candela.queries.tables import SEQ_RAW, SEQ_TEXT, SPLIT_ROWS, WHOLE_TEXT, letters, seq_raw, seq_text, split_rows, table, whole_sql
 
 TAGS = ["s0", "s1"]
 
@@ -76,6 +77,18 @@ def benchmark_leakage(spark, sf_dir):
     return d.where(F.length("head") == 10).join(b, "head").select("doc_id", "item_id").distinct()
 
 
+def benchmark_leakage_whole(spark, sf_dir):
+    """Documents that share any 10 successive residues with a benchmark item, wherever they stand in both: how many different
+    ones (n_shared) of how many the item has (n_item). An item of fewer than 10 residues is sought as a whole."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(letters(F.col("text")), f"[^{STANDARD}]", "").alias("sequence")).where("sequence <> ''")
+    b = b.select("item_id", F.expr("array_distinct(transform(sequence(1, greatest(length(sequence) - 9, 1)), i -> substr(sequence, i, 10)))").alias("heads"))
+    b = staged(b.select("item_id", F.size("heads").alias("n_item"), F.explode("heads").alias("head")), "items")
+    lengths = sorted(r[0] for r in b.select(F.length("head")).distinct().collect()) or [10]  # 10 and less: at most ten
+    heads = F.concat(*(F.regexp_extract_all("sequence", F.lit(f"(?=(.{{{n}}}))"), 1) for n in lengths))  # overlapping, linear in the text
+    d = seq_text(spark, sf_dir, whole=True).select("doc_id", F.explode(heads).alias("head"))
+    return d.join(b, "head").groupBy("doc_id", "item_id", "n_item").agg(F.count_distinct("head").alias("n_shared"))
+
+
 def reference_check(spark, sf_dir):
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").where("c_nationkey <> 3")
     return G.unmatched(o, "o_custkey", c, "c_custkey").select("o_orderkey", "o_custkey")
@@ -117,7 +130,7 @@ _BUCKET = "length(a.sequence) = length(b.sequence) AND left(a.sequence, 3) = lef
 _BAD20 = "regexp_matches(sequence, '[^ACDEFGHIKLMNPQRSTVWY]')"
 _PRE = f"(SELECT * FROM {SPLIT_ROWS} AS t)"
 
-QUERIES = {f.__name__: f for f in (identifier_validation, duplicate_ids, split_distribution, unlisted_split_tags, contract_event_counts, exact_leakage_pairs, exact_leakage_groups, near_duplicates, near_duplicates_budgeted, benchmark_leakage, reference_check, preflight_counts, seed_rule_counts, contract_event_counts_whole, exact_leakage_groups_whole, near_duplicates_whole, preflight_counts_whole, seed_rule_counts_whole)}
+QUERIES = {f.__name__: f for f in (identifier_validation, duplicate_ids, split_distribution, unlisted_split_tags, contract_event_counts, exact_leakage_pairs, exact_leakage_groups, near_duplicates, near_duplicates_budgeted, benchmark_leakage, reference_check, preflight_counts, seed_rule_counts, contract_event_counts_whole, exact_leakage_groups_whole, near_duplicates_whole, preflight_counts_whole, seed_rule_counts_whole, benchmark_leakage_whole)}
 SQL = {
     "identifier_validation": "SELECT c_custkey, CASE WHEN trim(id) = '' THEN 'identifier is empty' WHEN NOT regexp_matches(trim(id), '^[A-Za-z0-9][A-Za-z0-9._-]*$') THEN 'identifier has unsupported characters' END AS reason FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_name || ' x' WHEN c_custkey % 11 = 0 THEN '  ' ELSE c_name END AS id FROM customer)",
     "duplicate_ids": "SELECT id AS row_id, r AS row, f AS previous_row FROM (SELECT CAST(n_chars AS VARCHAR) AS id, doc_id AS r, min(doc_id) OVER (PARTITION BY n_chars) AS f FROM documents) WHERE r > f",
@@ -154,3 +167,7 @@ _ROWS = whole_sql(SPLIT_ROWS)
 SQL["near_duplicates_whole"] = f"""WITH d AS (SELECT sequence, min(row) AS f FROM {_ROWS} AS t GROUP BY sequence)
     SELECT greatest(x.f, y.f) AS row, least(x.f, y.f) AS other_row, round({_SIM}, 6) AS similarity, count(*) AS n_pairs FROM {_ROWS} AS a JOIN {_ROWS} AS b ON {_BUCKET} AND a.row < b.row AND a.split <> b.split AND a.sequence <> b.sequence
     JOIN d AS x ON x.sequence = a.sequence JOIN d AS y ON y.sequence = b.sequence WHERE a.sequence <> '' AND {_SIM} >= 0.8 GROUP BY 1, 2, 3"""
+SQL["benchmark_leakage_whole"] = f"""WITH b AS (SELECT item_id, sequence, least(length(sequence), 10) AS w FROM {WHOLE_TEXT.replace("doc_id", "item_id").replace("FROM documents", "FROM benchmark")} AS t WHERE sequence <> ''),
+    k AS (SELECT DISTINCT item_id, w, substr(sequence, unnest(range(1, length(sequence) - w + 2)), w) AS head FROM b), n AS (SELECT item_id, count(*) AS n_item FROM k GROUP BY item_id),
+    d AS (SELECT DISTINCT doc_id, w, substr(sequence, unnest(range(1, length(sequence) - w + 2)), w) AS head FROM {WHOLE_TEXT} AS t, (SELECT DISTINCT w FROM k) AS ws WHERE length(sequence) >= w)
+    SELECT doc_id, item_id, CAST(n_item AS INT) AS n_item, count(*) AS n_shared FROM d JOIN k USING (w, head) JOIN n USING (item_id) GROUP BY ALL"""

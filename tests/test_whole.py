@@ -58,3 +58,17 @@ def test_residues_and_features(spark, folder):
     assert rows[3].cysteine_count == c["C"]
     contract = counts(folder, spark, "contract_event_counts_whole")
     assert contract["DATASET_INVALID_SEQUENCE"] == 2  # the empty text, and the B behind letter 30
+
+
+def test_benchmark_passages(spark, tmp_path):
+    """A quote from an item's middle at a document's end is found, and an item of fewer than 10 residues."""
+    item = HEAD + "WYWYAAGGTTRRSSNNPPQQ" + HEAD
+    docs = ["M" * 50 + item[32:46], "M" * 50 + item[32:41], "K" * 40 + "WWWAAA" + "K", "", "M" * 40 + item[35:50] + "V" + item[35:50]]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, item), (1, "WWWAAA"), (2, ""), (3, "1234")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = R.queries()["benchmark_leakage_whole"](spark, str(tmp_path)).collect()
+    cut = lambda t, w: {t[i : i + w] for i in range(len(t) - w + 1)}
+    want = {(d, k): len(cut(t, w) & cut(x, w)) for d, t in enumerate(docs) for k, x, w in ((0, item, 10), (1, "WWWAAA", 6)) if cut(t, w) & cut(x, w)}
+    assert {(r.doc_id, r.item_id): r.n_shared for r in rows} == want == {(0, 0): 5, (2, 1): 1, (4, 0): 6}
+    assert {r.item_id: r.n_item for r in rows} == {0: len(cut(item, 10)), 1: 1}
+    assert not R.queries()["benchmark_leakage"](spark, str(tmp_path)).collect()
