@@ -24,10 +24,11 @@ from candela.llm.common import slices, stored
 ORDER = 4
 BLOCK_BYTES, SLICE = 16 << 20, 1 << 20
 #: A document goes if its perplexity is above the upper or below the lower quantile of trusted documents of its language.
-UPPER, LOWER = 0.995, 0.0005
+UPPER, LOWER = 0.99, 0.005
 FOLDS = 3
-#: Allowance for the sampling error of an extreme quantile: the bounds are widened by this factor.
-MARGIN = 1.15
+#: Allowance for the sampling error of an extreme quantile: few documents widen the bounds by this factor, and from FEW on
+#: its logarithm falls with the root of their number.
+MARGIN, FEW = 1.15, 25
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -160,10 +161,11 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", lang
     logs = probabilities(seen.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")), seen.select("gram").distinct())
     s = scored(d, seen.select("block", "gram").join(logs, "gram"))
     s = stored(s.withColumn("perplexity", F.when(F.col("n_units") > 0, F.pow(F.lit(2.0), F.col("nll") / F.col("n_units")))).drop("nll"), "scores")
-    marks = [F.percentile_approx("perplexity", lower, 100_000).alias("low"), F.percentile_approx("perplexity", upper, 100_000).alias("high")]
+    marks = [F.percentile_approx("perplexity", lower, 100_000).alias("low"), F.percentile_approx("perplexity", upper, 100_000).alias("high"), F.count("*").alias("n_good")]
     good = s.where("perplexity is not null").join(calibration.select("doc_id"), "doc_id", "left_semi")
     by_lang = good.groupBy("lang").agg(*marks)
-    low, high = good.agg(*marks).first()
-    out = s.join(by_lang, "lang", "left").withColumns({"low": F.coalesce("low", F.lit(low).cast("double")) / margin, "high": F.coalesce("high", F.lit(high).cast("double")) * margin})
+    low, high, n_good = good.agg(*marks).first()
+    wider = F.pow(F.lit(margin), F.sqrt(F.lit(FEW) / F.greatest(F.lit(FEW), F.coalesce("n_good", F.lit(n_good)))))
+    out = s.join(by_lang, "lang", "left").withColumns({"low": F.coalesce("low", F.lit(low).cast("double")) / wider, "high": F.coalesce("high", F.lit(high).cast("double")) * wider})
     inside = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return out.select("doc_id", "lang", "owner", "n_units", "perplexity", "low", "high", (F.col("perplexity").isNotNull() & inside).alias("kept"))
