@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import stored
+from candela.llm.common import fresh, stored
 from candela.llm.tokens import token_pieces
 
 GRID, PATTERN_DOCS = 32, 6
@@ -179,14 +179,15 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             for v, f, c in zip(values.tolist(), first.tolist(), counts.tolist(), strict=True):
                 ranks[f : f + c] = np.arange(seen[v], seen[v] + c)
                 seen[v] += c
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(ranks)], names=[*names, "__part", "__rank"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(ranks)], names=[*names, part_col, rank_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", __part int, __rank long"
+    part_col, rank_col = fresh(pieces, "pack_part"), fresh(pieces, "pack_rank")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + f", {part_col} int, {rank_col} long"
     ranked = stored(pieces.repartitionByRange(parts, "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece").mapInArrow(rank, schema), "ranked")
-    counts = ranked.groupBy("length", "__part").count().collect()
+    counts = ranked.groupBy("length", part_col).count().collect()
     base, histogram = {}, defaultdict(int)
-    for r in sorted(counts, key=lambda r: (r["length"], r["__part"])):
-        base[r["length"], r["__part"]] = histogram[r["length"]]
+    for r in sorted(counts, key=lambda r: (r["length"], r[part_col])):
+        base[r["length"], r[part_col]] = histogram[r["length"]]
         histogram[r["length"]] += r["count"]
     runs = sorted(plan(dict(histogram), capacity))
     at = {x: i for i, x in reversed(list(enumerate(r[0] for r in runs)))}
@@ -195,8 +196,8 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     def place(batches):
         base, at, runs = table.value
         for b in batches:
-            length, part = np.asarray(b.column("length")), np.asarray(b.column("__part"))
-            ranks, row = np.asarray(b.column("__rank")).copy(), np.zeros(b.num_rows, np.int64)
+            length, part = np.asarray(b.column("length")), np.asarray(b.column(part_col))
+            ranks, row = np.asarray(b.column(rank_col)).copy(), np.zeros(b.num_rows, np.int64)
             pair = length.astype(np.int64) << 32 | part
             for p in np.unique(pair).tolist():
                 mine = pair == p
@@ -211,7 +212,13 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     return ranked.mapInArrow(place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """Tokenise, cut what is longer than ``capacity`` and pack: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+    """Tokenise, cut what is longer than ``capacity`` and pack: doc_id, piece, start, length, ids_crc32, on request ids,
+    sequence_id and offset.
+
+    Null and empty texts are a document of the end token alone; very long ones are cut, all pieces kept; null ids, repeated
+    rows and ties in length are packed each; an empty table gives no rows. Only the id and the text are read, so other
+    columns may have any name.
+    """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return pack(stored(token_pieces(named, vocabulary, capacity=capacity, end_id=end_id, keep=["doc_id"]), "pieces"), capacity)
+    return pack(stored(token_pieces(named, vocabulary, capacity=capacity, end_id=end_id, keep=["doc_id"], with_ids=with_ids), "pieces"), capacity)
