@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candela.functions import sequence as S
+from candela.functions.binding import let
 
 VIOLATION = "array<struct<rule_id:string,rule_name:string,severity:string,failure_code:string,message:string,culprit_motif:string,positions:array<int>>>"
 
@@ -22,27 +23,29 @@ def _violation(rule: str, name: str, severity: Column, code: str, message: Colum
     return F.struct(F.lit(rule).alias("rule_id"), F.lit(name).alias("rule_name"), severity.alias("severity"), F.lit(code).alias("failure_code"), message.alias("message"), motif.cast("string").alias("culprit_motif"), positions.cast("array<int>").alias("positions"))
 
 
-def _starts(seq: Column, pattern: str) -> Column:
-    """1-based positions at which ``pattern`` matches; sequences without any match are passed over at the cost of one search."""
-    at = F.filter(F.sequence(F.lit(1), F.length(seq)), lambda i: F.substring(seq, i, F.length(seq)).rlike("^(?:" + pattern + ")"))
-    return F.when(seq.rlike(pattern), at).otherwise(F.array().cast("array<int>"))
+def _found(seq: Column, pattern: str, build) -> Column:
+    """``build(motif, start)`` for every match of ``pattern``, starts from 1: one search each for the matches and for what is
+    between them; sequences without a match are passed over at the cost of one."""
+
+    def place(hits: Column) -> Column:
+        pairs = F.zip_with(hits, F.slice(F.split(seq, pattern, -1), F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("motif"), F.length(g).alias("gap")))
+        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<motif:string,start:int>>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            at = acc["at"] + x["gap"]
+            return F.struct((at + F.length(x["motif"])).alias("at"), F.concat(acc["out"], F.array(F.struct(x["motif"].alias("motif"), at.alias("start")))).alias("out"))
+
+        return F.transform(F.aggregate(pairs, start, step)["out"], lambda f: build(f["motif"], f["start"]))
+
+    return F.when(seq.rlike(pattern), let(F.regexp_extract_all(seq, F.lit(pattern), F.lit(0)), place)).otherwise(F.array().cast(VIOLATION))
 
 
 def motif_violations(seq: Column) -> Column:
-    def one(i: Column) -> Column:
-        motif = F.substring(seq, i, F.lit(2))
+    def one(motif: Column, i: Column) -> Column:
         text = F.concat(F.lit("High risk of base-catalyzed aspartimide formation at '"), motif, F.lit("' under piperidine Fmoc-deprotection."))
         return _violation("DRC-001", "Aspartimide Cyclization Liability", F.when(motif == "DG", "fatal").otherwise("high_risk"), "SYN_MODIFICATION_FAILED", text, motif, F.array(i, i + 1))
 
-    return F.when(seq.rlike("D[GSN]"), F.transform(_starts(seq, "D[GSN]"), one)).otherwise(F.array().cast(VIOLATION))
-
-
-def _runs(seq: Column, residues: str, least: int, build) -> Column:
-    """``build(motif, start)`` for every maximal run of at least ``least`` of ``residues``."""
-    pattern = f"[{residues}]{{{least},}}"
-    first = F.filter(_starts(seq, pattern), lambda i: (i == 1) | ~F.substring(seq, i - 1, F.lit(1)).rlike(f"[{residues}]"))
-    found = F.transform(first, lambda i: build(F.regexp_extract(F.substring(seq, i, F.length(seq)), f"^[{residues}]+", 0), i))
-    return F.when(seq.rlike(pattern), found).otherwise(F.array().cast(VIOLATION))
+    return _found(seq, "D[GSN]", one)
 
 
 def run_violations(seq: Column, most: int = 5) -> Column:
@@ -50,7 +53,7 @@ def run_violations(seq: Column, most: int = 5) -> Column:
         text = F.concat(F.lit("Severe SPPS coupling failure risk: run of "), F.length(motif).cast("string"), F.lit(" consecutive hydrophobic residues '"), motif, F.lit("' causes resin aggregation."))
         return _violation("DRC-002", "SPPS Interchain Beta-Sheet Collapse", F.lit("fatal"), "SYN_HYDROPHOBIC_SEQUENCE", text, motif, F.sequence(i, i + F.length(motif) - 1))
 
-    return _runs(seq, "VILFYW", most, one)
+    return _found(seq, f"[VILFYW]{{{most},}}", one)
 
 
 def precipitation_violations(charge: Column, hydropathy: Column) -> Column:
@@ -71,7 +74,7 @@ def proline_violations(seq: Column) -> Column:
         text = F.concat(F.lit("Consecutive proline run '"), motif, F.lit("' causes steric hindrance and reduced SPPS coupling efficiency."))
         return _violation("DRC-005", "Poly-Proline Steric Coupling Hindrance", F.lit("warning"), "SYN_LOW_YIELD", text, motif, F.sequence(i, i + F.length(motif) - 1))
 
-    return _runs(seq, "P", 3, one)
+    return _found(seq, "P{3,}", one)
 
 
 def suite(seq: Column) -> dict[str, Column]:

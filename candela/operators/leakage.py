@@ -21,6 +21,17 @@ def exact_pairs(rows: DataFrame) -> DataFrame:
     return rows.join(a, "sequence").where((F.col("prior_row") < F.col("row")) & (F.col("prior_split") != F.col("split"))).select("row", "id", "prior_row", "prior_id", "sequence")
 
 
+def exact_links(rows: DataFrame) -> DataFrame:
+    """row, id, first_row (of its sequence), n_links (rows of other splits with that sequence), where there are any: linear
+    in the rows, and counts are taken per (sequence, split) before anything is joined back, so no group is gathered."""
+    key = F.unhex(F.sha2("sequence", 256))
+    r = rows.select("row", "id", "split", key.alias("key"))
+    each = r.groupBy("key", "split").agg(F.count("*").alias("mine"), F.min("row").alias("first"))
+    all_ = each.groupBy("key").agg(F.sum("mine").alias("n"), F.min("first").alias("first_row"), F.count("*").alias("n_splits")).where("n_splits > 1")
+    links = each.join(all_, "key").select("key", "split", "first_row", (F.col("n") - F.col("mine")).alias("n_links"))
+    return r.join(links, ["key", "split"]).select("row", "id", "first_row", "n_links")
+
+
 def exact_groups(rows: DataFrame) -> DataFrame:
     """sequence, n_rows, n_splits of sequences that are in more than one split: linear however often a sequence occurs."""
     g = rows.groupBy("sequence", "split").agg(F.count("*").alias("n"), F.min("row").alias("first"))

@@ -63,10 +63,10 @@ def telemetry_counts(spark, sf_dir):
 
 def telemetry_headers(spark, sf_dir):
     """Vendor headers made canonical: two headers of one field, a blank value and an unknown header."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    li = table(spark, sf_dir, "lineitem")
     m = F.create_map(F.lit("Sample ID"), F.col("l_partkey").cast("string"), F.lit(" Yield (mg)"), F.col("l_quantity").cast("string"), F.lit("yield"), F.when(F.col("l_returnflag") == "R", "7.5").otherwise(" "), F.lit("Operator X"), F.col("l_linestatus"))
-    d = li.select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("s"), T.canonical_keys(m).alias("m"))
-    return d.select("k", "s", F.expr("m['candidate_id']").alias("candidate_id"), F.expr("try_cast(m['yield_mg'] as double)").alias("yield_mg"), F.expr("m['operator_x']").alias("operator_x"), F.size("m").alias("n"))
+    d = li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("s"), T.canonical_keys(m).alias("m"))
+    return d.select("k", "line", "s", F.expr("m['candidate_id']").alias("candidate_id"), F.expr("try_cast(m['yield_mg'] as double)").alias("yield_mg"), F.expr("m['operator_x']").alias("operator_x"), F.size("m").alias("n"))
 
 
 def plate_failures(spark, sf_dir):
@@ -85,9 +85,14 @@ def control_normalised(spark, sf_dir):
     return out.groupBy("plate").agg(F.round(F.avg("ratio"), 5).alias("mean_ratio"), F.count("ratio").alias("n"))
 
 
+def _candidate(doc_id):
+    """Three results a candidate, but one result in 20 of a candidate that nobody knows."""
+    return F.when(doc_id % 20 == 0, F.concat(F.lit("x"), doc_id.cast("string"))).otherwise(F.concat(F.lit("c"), (F.floor(doc_id / 3) + 1).cast("string")))
+
+
 def _results(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("seq"), F.concat(F.lit("r"), "doc_id").alias("result_id"), F.concat(F.lit("c"), (F.col("doc_id") % 400).cast("string")).alias("candidate_id"), results.classify(F.col("text"), rules=WORD_RULES).alias("failure_modes"))
+    return d.select(F.col("doc_id").alias("seq"), F.concat(F.lit("r"), "doc_id").alias("result_id"), _candidate(F.col("doc_id")).alias("candidate_id"), results.classify(F.col("text"), rules=WORD_RULES).alias("failure_modes"))
 
 
 def failure_modes(spark, sf_dir):
@@ -99,7 +104,7 @@ def failure_mode_counts(spark, sf_dir):
 
 
 def _reviews(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("candidate_id"), F.lit("scored").alias("status")).where(F.expr("cast(substr(candidate_id, 2) as int) < 380"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("candidate_id"), F.lit("scored").alias("status"))
     return review.review(_results(spark, sf_dir), c, CAMPAIGN, RUN)
 
 
@@ -192,8 +197,8 @@ def _rules_sql(text: str = "text") -> str:
 
 
 _MODES = "list_filter([" + _rules_sql() + "], lambda x: x IS NOT NULL)"
-_RES = f"(SELECT doc_id AS seq, 'r' || doc_id AS result_id, 'c' || (doc_id % 400) AS candidate_id, {_MODES} AS modes FROM documents)"
-_KNOWN = "(SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey < 380)"
+_RES = f"(SELECT doc_id AS seq, 'r' || doc_id AS result_id, CASE WHEN doc_id % 20 = 0 THEN 'x' || doc_id ELSE 'c' || (doc_id // 3 + 1) END AS candidate_id, {_MODES} AS modes FROM documents)"
+_KNOWN = "(SELECT 'c' || c_custkey AS id FROM customer)"
 
 
 def _recommend_sql() -> str:
@@ -217,7 +222,7 @@ SQL = {
       CASE WHEN l.candidate_id IS NOT NULL THEN {_POT} END AS potency, CASE WHEN l.candidate_id IS NULL THEN '' ELSE {_JOIN.format(_C1 + ', ' + _C2 + ', ' + f"CASE WHEN NOT {_PASS3} AND {_BEYOND} THEN 'ASSAY_NON_BINDER' END, CASE WHEN {_NONE} THEN 'ASSAY_NO_ACTIVITY' END")} END AS risk_flags
       FROM part LEFT JOIN {_LAST} AS l ON 'P' || p_partkey = l.candidate_id""",
     "telemetry_counts": f"SELECT count(*) FILTER ({_PASS2}) AS passed_count, count(*) FILTER (NOT {_PASS2}) AS failed_count FROM {_LAST} AS l JOIN part ON 'P' || p_partkey = candidate_id",
-    "telemetry_headers": "SELECT l_orderkey AS k, l_suppkey AS s, CAST(l_partkey AS VARCHAR) AS candidate_id, CASE WHEN l_returnflag = 'R' THEN 7.5 ELSE l_quantity END AS yield_mg, l_linestatus AS operator_x, 3 AS n FROM lineitem WHERE l_linenumber = 1",
+    "telemetry_headers": "SELECT l_orderkey AS k, l_linenumber AS line, l_suppkey AS s, CAST(l_partkey AS VARCHAR) AS candidate_id, CASE WHEN l_returnflag = 'R' THEN 7.5 ELSE l_quantity END AS yield_mg, l_linestatus AS operator_x, 3 AS n FROM lineitem",
     "plate_failures": f"SELECT plate, round(avg((NOT {_PASS2})::INT), 6) AS failure_rate, count(*) AS n, avg((NOT {_PASS2})::INT) > 0.5 AS alert FROM {_DROP} AS d GROUP BY plate",
     "conversion_rate": f"SELECT plate, round(avg(ok), 6) AS rate, avg(ok) < 0.70 AS alert FROM (SELECT DISTINCT plate, candidate_id, (candidate_id IN (SELECT candidate_id FROM {_DROP} AS d WHERE {_PASS2}))::INT AS ok FROM {_DROP} AS d) GROUP BY plate",
     "control_normalised": f"SELECT d.plate, round(avg(kd / c), 5) AS mean_ratio, count(kd / c) AS n FROM {_DROP} AS d LEFT JOIN (SELECT plate, avg(kd) AS c FROM {_DROP} AS d WHERE ingest_order % 10 = 1 GROUP BY plate) AS k ON d.plate = k.plate GROUP BY d.plate",

@@ -49,7 +49,7 @@ def pareto_front(spark, sf_dir):
 
 
 def pareto_ranks(spark, sf_dir):
-    return pareto.fronts(_suppliers(spark, sf_dir).where("l_suppkey % 3 = 0"), "l_suppkey", ["volume", "discount"]).select("l_suppkey", "pareto_rank")
+    return pareto.fronts(_suppliers(spark, sf_dir), "l_suppkey", ["volume", "discount"]).select("l_suppkey", "pareto_rank")
 
 
 def crowding_topk(spark, sf_dir):
@@ -119,7 +119,7 @@ SQL = {
       c AS (SELECT v.*, 2 * a.g + 2 * b.g + 2 * v.g + ln(1 + 2 * {_K.format('a', 'b')} * {_K.format('v', 'a')} * {_K.format('v', 'b')} - pow({_K.format('a', 'b')}, 2) - pow({_K.format('v', 'a')}, 2) - pow({_K.format('v', 'b')}, 2)) AS ld FROM v, a, b WHERE v.vec_id NOT IN (a.vec_id, b.vec_id) ORDER BY ld DESC, v.vec_id LIMIT 1)
       SELECT 1 AS step, vec_id, s AS quality, round(ld, 5) AS log_det FROM a UNION ALL SELECT 2, vec_id, s, round(ld, 5) FROM b UNION ALL SELECT 3, vec_id, s, round(ld, 5) FROM c""",
     "pareto_front": f"SELECT * FROM {_SUP} AS p WHERE NOT EXISTS (SELECT 1 FROM {_SUP} AS o WHERE {_DOM})",
-    "pareto_ranks": f"""WITH RECURSIVE s AS MATERIALIZED (SELECT * FROM {_SUP} AS t WHERE l_suppkey % 3 = 0), e AS MATERIALIZED (SELECT o.l_suppkey AS a, p.l_suppkey AS b FROM s AS o JOIN s AS p ON {_DOM}),
+    "pareto_ranks": f"""WITH RECURSIVE s AS MATERIALIZED (SELECT * FROM {_SUP} AS t), e AS MATERIALIZED (SELECT o.l_suppkey AS a, p.l_suppkey AS b FROM s AS o JOIN s AS p ON {_DOM}),
       r AS (SELECT l_suppkey AS id, 1 AS k FROM s UNION SELECT e.b, r.k + 1 FROM r JOIN e ON e.a = r.id) SELECT id AS l_suppkey, max(k)::INT AS pareto_rank FROM r GROUP BY id""",
     "crowding_topk": f"""WITH RECURSIVE s AS MATERIALIZED (SELECT * FROM {_SUP} AS t), e AS MATERIALIZED (SELECT o.l_suppkey AS a, p.l_suppkey AS b FROM s AS o JOIN s AS p ON {_DOM}),
       r AS (SELECT l_suppkey AS id, 1 AS k FROM s UNION SELECT e.b, r.k + 1 FROM r JOIN e ON e.a = r.id WHERE r.k < 40), f AS (SELECT s.*, k FROM s JOIN (SELECT id, max(k)::INT AS k FROM r GROUP BY id) ON id = l_suppkey),

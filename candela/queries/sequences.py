@@ -8,7 +8,7 @@ from candela.functions import design_rules as D
 from candela.functions import scoring as C
 from candela.functions import sequence as S
 from candela.operators.staging import staged
-from candela.queries.tables import SEQ_HASH, SEQ_RAW, SEQ_TEXT, count_sql, seq_hash, seq_raw, seq_text, whole_sql
+from candela.queries.tables import SEQ_HASH, SEQ_RAW, SEQ_TEXT, count_sql, seq_hash, seq_raw, seq_text
 
 
 def flagship(spark, sf_dir):
@@ -20,22 +20,14 @@ def flagship(spark, sf_dir):
     return d.orderBy(F.desc("passed_hard_drc"), F.desc("overall_score"), "doc_id")
 
 
-def basic_features(spark, sf_dir, whole=False):
+def basic_features(spark, sf_dir):
     f = S.basic_features(F.col("sequence"))
     f["hydrophobic_fraction"] = F.round(f["hydrophobic_fraction"], 6)
-    return seq_text(spark, sf_dir, whole).select("doc_id", *(v.alias(k) for k, v in f.items()))
+    return seq_text(spark, sf_dir).select("doc_id", *(v.alias(k) for k, v in f.items()))
 
 
-def basic_features_whole(spark, sf_dir):
-    return basic_features(spark, sf_dir, whole=True)
-
-
-def curation_features(spark, sf_dir, whole=False):
-    return seq_text(spark, sf_dir, whole).select("doc_id", *(v.alias(k) for k, v in S.curation_features(F.col("sequence")).items()))
-
-
-def curation_features_whole(spark, sf_dir):
-    return curation_features(spark, sf_dir, whole=True)
+def curation_features(spark, sf_dir):
+    return seq_text(spark, sf_dir).select("doc_id", *(v.alias(k) for k, v in S.curation_features(F.col("sequence")).items()))
 
 
 def manufacturability_score(spark, sf_dir):
@@ -113,15 +105,11 @@ def weighted_profile(spark, sf_dir):
     return seq_hash(spark, sf_dir).select("doc_id", F.round(C.weighted_profile(C.dimension_scores(F.col("sequence")), w), 5).alias("profile"))
 
 
-def residue_validation(spark, sf_dir, whole=False):
+def residue_validation(spark, sf_dir):
     from candela.operators.governance import sequence_verdict
 
     v = sequence_verdict(F.col("sequence"))
-    return seq_raw(spark, sf_dir, whole).select("doc_id", v["ambiguous"].alias("ambiguous"), v["invalid"].alias("invalid"), v["ok"].alias("ok"))
-
-
-def residue_validation_whole(spark, sf_dir):
-    return residue_validation(spark, sf_dir, whole=True)
+    return seq_raw(spark, sf_dir).select("doc_id", v["ambiguous"].alias("ambiguous"), v["invalid"].alias("invalid"), v["ok"].alias("ok"))
 
 
 def curation_gates(spark, sf_dir):
@@ -170,7 +158,7 @@ _FEATS = "[" + ", ".join(f"{count_sql(a)} / {_N}::DOUBLE" for a in S.STANDARD) +
 _SORTED = "array_to_string(list_sort(list_distinct(regexp_extract_all(sequence, '{}'))), '')"
 _UNC = "round(least(100.0, greatest(0.0, 100.0 - abs(s - 70.0) * 2.0) + least(15.0, len(f) * 5.0)), 3)"
 
-QUERIES = {f.__name__: f for f in (flagship, basic_features, curation_features, manufacturability_score, dimension_scores, net_charge_gravy, drc_motifs, drc_runs, drc_summary, rule_screening, drc_violations, dialectic_verdict, feature_vectors, selection_scores, weighted_profile, residue_validation, curation_gates, basic_features_whole, curation_features_whole, residue_validation_whole)}
+QUERIES = {f.__name__: f for f in (flagship, basic_features, curation_features, manufacturability_score, dimension_scores, net_charge_gravy, drc_motifs, drc_runs, drc_summary, rule_screening, drc_violations, dialectic_verdict, feature_vectors, selection_scores, weighted_profile, residue_validation, curation_gates)}
 SQL = {
     "flagship": f"SELECT d.doc_id, d.sequence, s AS overall_score, array_to_string(f, ';') AS risk_flags, n_fatal = 0 AS passed_hard_drc, CASE WHEN n_fatal > 0 THEN 'reject_or_redesign_drc_failure' WHEN s >= 80 THEN 'test_or_keep' WHEN s >= 60 THEN 'revise_or_test_with_caution' ELSE 'revise_before_testing' END AS recommendation FROM {_DRC} AS d JOIN (SELECT doc_id, {_FLAGS} AS f, greatest(0.0, least(100.0, {_SCORE})) AS s FROM {SEQ_HASH} AS t) USING (doc_id)",
     "basic_features": f"SELECT doc_id, nullif({_N}, 0)::DOUBLE AS length, round({_H}, 6) AS hydrophobic_fraction, {_CH}::DOUBLE AS net_charge_proxy, {_OX}::DOUBLE AS oxidation_count, {_DE}::DOUBLE AS deamidation_count, {_CY}::DOUBLE AS cysteine_count FROM {SEQ_TEXT} AS t",
@@ -180,7 +168,7 @@ SQL = {
     "net_charge_gravy": f"SELECT doc_id, round({_CHARGE}, 5) AS net_charge, round({_GRAVY}, 8) AS gravy FROM {SEQ_HASH} AS t",
     "drc_motifs": f"SELECT doc_id, substr(sequence, i, 2) AS motif, CASE WHEN substr(sequence, i, 2) = 'DG' THEN 'fatal' ELSE 'high_risk' END AS severity, i::INT AS position FROM (SELECT doc_id, sequence, unnest({_MOTIFS}) AS i FROM {SEQ_HASH} AS t)",
     "drc_runs": f"SELECT doc_id, 'DRC-002' AS rule_id, unnest(regexp_extract_all(sequence, '[VILFYW]{{5,}}')) AS motif FROM {SEQ_HASH} AS t UNION ALL SELECT doc_id, 'DRC-005', unnest(regexp_extract_all(sequence, 'P{{3,}}')) FROM {SEQ_HASH} AS t",
-    "rule_screening": "SELECT n_fatal = 0 AS passed_hard_drc, n_fatal::INT AS n_fatal, n_high_risk::INT AS n_high_risk, n_warning::INT AS n_warning, count(*) AS n FROM " + _DRC.replace(SEQ_HASH, SEQ_HASH.replace("doc_id, substr", "k AS doc_id, substr").replace("|| doc_id", "|| k").replace("doc_id % 25", "k % 25").replace("FROM documents", "FROM (SELECT l_orderkey * 10 + l_linenumber AS k FROM lineitem)")) + " AS d GROUP BY ALL",
+    "rule_screening": "SELECT n_fatal = 0 AS passed_hard_drc, n_fatal::INT AS n_fatal, n_high_risk::INT AS n_high_risk, n_warning::INT AS n_warning, count(*) AS n FROM " + _DRC.replace(SEQ_HASH, SEQ_HASH.replace("doc_id, substr", "k AS doc_id, substr").replace("|| doc_id", "|| k").replace("doc_id % 63", "k % 63").replace("FROM documents", "FROM (SELECT l_orderkey * 10 + l_linenumber AS k FROM lineitem)")) + " AS d GROUP BY ALL",
     "drc_summary": f"SELECT doc_id, n_fatal = 0 AS passed_hard_drc, n_fatal::INT AS n_fatal, n_high_risk::INT AS n_high_risk, n_warning::INT AS n_warning, n_remediations::INT AS n_remediations, round(charge, 3) AS net_charge_ph74, round(gravy, 8) AS gravy_index FROM {_DRC} AS d",
     "dialectic_verdict": f"""SELECT doc_id, a AS advocate_score, s AS sceptic_score, round(abs(a - (1.0 - s)), 6) AS dissensus_delta,
         CASE WHEN n_fatal > 0 THEN 'REJECT' WHEN s >= 0.70 THEN 'REJECT' WHEN abs(a - (1.0 - s)) > 0.35 THEN 'DISCRIMINATIVE_ASSAY' WHEN a >= 0.75 AND s <= 0.30 THEN 'PASS' WHEN a >= 0.60 THEN 'PASS' ELSE 'REJECT' END AS decision
@@ -191,4 +179,5 @@ SQL = {
     "residue_validation": f"SELECT doc_id, {_SORTED.format('[BJOUXZ]')} AS ambiguous, {_SORTED.format('[^' + S.STANDARD + S.AMBIGUOUS + ']')} AS invalid, sequence <> '' AS ok FROM {SEQ_RAW} AS t",
     "curation_gates": f"SELECT doc_id, array_to_string(list_filter([CASE WHEN {count_sql('FWY')} > 8 THEN 'AROMATIC' END, CASE WHEN round({count_sql(S.HYDROPHOBIC_WIDE)} / {_N}::DOUBLE, 4) > 0.6 THEN 'HYDROPHOBIC' END, CASE WHEN {_CY} >= 4 THEN 'CYSTEINE' END], lambda x: x IS NOT NULL), ';') AS gates FROM {SEQ_HASH} AS t",
 }
-SQL |= {f"{n}_whole": whole_sql(SQL[n]) for n in ("basic_features", "curation_features", "residue_validation")}
+QUERIES |= {f"{n}_whole": QUERIES[n] for n in ("basic_features", "curation_features", "residue_validation")}  # the names of the round before
+SQL |= {f"{n}_whole": SQL[n] for n in ("basic_features", "curation_features", "residue_validation")}

@@ -16,22 +16,20 @@ def letters(text: Column) -> Column:
     return F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
 
 
-def seq_text(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """documents as (doc_id, sequence): the first 30 standard residues of the text, or all if ``whole``."""
-    s = F.regexp_replace(letters(F.col("text")), f"[^{STANDARD}]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", (s if whole else F.left(s, F.lit(30))).alias("sequence"))
+def seq_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as (doc_id, sequence): the standard residues of the whole text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(letters(F.col("text")), f"[^{STANDARD}]", "").alias("sequence"))
 
 
-def seq_raw(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """documents as (doc_id, sequence): the first 30 letters of the text, or all if ``whole``."""
-    s = letters(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", (s if whole else F.left(s, F.lit(30))).alias("sequence"))
+def seq_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as (doc_id, sequence): the letters of the whole text."""
+    return table(spark, sf_dir, "documents").select("doc_id", letters(F.col("text")).alias("sequence"))
 
 
 def hashed(key: Column) -> Column:
-    """A sequence of 8 to 32 residues from an integer key, which meets every design rule."""
-    digest = F.md5(F.concat(F.lit("s"), key.cast("string")))
-    return F.substring(F.translate(digest, "0123456789abcdef", "ACDFGIKLNPRSVWYE"), F.lit(1), (F.lit(8) + key % 25).cast("int"))
+    """A sequence of 8 to 70 residues from an integer key, which meets every design rule and every length rule."""
+    digest = F.concat(*(F.md5(F.concat(F.lit(x), key.cast("string"))) for x in "stu"))
+    return F.substring(F.translate(digest, "0123456789abcdef", "ACDFGIKLNPRSVWYE"), F.lit(1), (F.lit(8) + key % 63).cast("int"))
 
 
 def seq_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,23 +37,24 @@ def seq_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", hashed(F.col("doc_id")).alias("sequence"))
 
 
-def split_rows(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq_text as (row, id, sequence, split) with three splits."""
-    return seq_text(spark, sf_dir, whole).select(F.col("doc_id").alias("row"), F.col("doc_id").cast("string").alias("id"), "sequence", F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")).alias("split"))
+    return seq_text(spark, sf_dir).select(F.col("doc_id").alias("row"), F.col("doc_id").cast("string").alias("id"), "sequence", F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")).alias("split"))
 
 
-SEQ_TEXT = f"(SELECT doc_id, left(regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^{STANDARD}]', '', 'g'), 30) AS sequence FROM documents)"
-SEQ_RAW = "(SELECT doc_id, left(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 30) AS sequence FROM documents)"
-SEQ_HASH = "(SELECT doc_id, substr(translate(md5('s' || doc_id), '0123456789abcdef', 'ACDFGIKLNPRSVWYE'), 1, CAST(8 + doc_id % 25 AS INT)) AS sequence FROM documents)"
-SPLIT_ROWS = f"(SELECT doc_id AS row, CAST(doc_id AS VARCHAR) AS id, sequence, 's' || (doc_id % 3) AS split FROM {SEQ_TEXT} AS t)"
+def repeated(key: Column, every: int) -> Column:
+    """``key``, but one in ``every`` is that of the row before: ids that grow with the table, a few of them twice."""
+    return key - F.when(key % every == 0, 1).otherwise(0)
+
 
-WHOLE_TEXT = f"(SELECT doc_id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^{STANDARD}]', '', 'g') AS sequence FROM documents)"
-WHOLE_RAW = "(SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence FROM documents)"
+def repeated_sql(key: str, every: int) -> str:
+    return f"({key} - CASE WHEN {key} % {every} = 0 THEN 1 ELSE 0 END)"
 
 
-def whole_sql(sql: str) -> str:
-    """The SQL of a query over prefixes, over the whole texts."""
-    return sql.replace(SEQ_TEXT, WHOLE_TEXT).replace(SEQ_RAW, WHOLE_RAW)
+SEQ_TEXT = f"(SELECT doc_id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^{STANDARD}]', '', 'g') AS sequence FROM documents)"
+SEQ_RAW = "(SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence FROM documents)"
+SEQ_HASH = "(SELECT doc_id, substr(translate(md5('s' || doc_id) || md5('t' || doc_id) || md5('u' || doc_id), '0123456789abcdef', 'ACDFGIKLNPRSVWYE'), 1, CAST(8 + doc_id % 63 AS INT)) AS sequence FROM documents)"
+SPLIT_ROWS = f"(SELECT doc_id AS row, CAST(doc_id AS VARCHAR) AS id, sequence, 's' || (doc_id % 3) AS split FROM {SEQ_TEXT} AS t)"
 
 
 def count_sql(residues: str, s: str = "sequence") -> str:
