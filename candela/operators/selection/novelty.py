@@ -55,3 +55,29 @@ def select_batch(candidates: DataFrame, batch_size: int = 5, weights: tuple[floa
     step = F.coalesce(*(F.when(F.col("candidate_id") == i, F.lit(k)) for k, i in enumerate(ids, 1)))
     both = taken.withColumn("selected", F.lit(True)).unionByName(rest.withColumn("selected", F.lit(False))).withColumn("selection_step", step)
     return ranked(both, [F.desc("selected"), F.desc("priority_score"), F.col("candidate_id")]).select("candidate_id", "rank", "selected", "selection_step", "priority_score", F.round("score", 3).alias("manufacturability_score"), "exploration_score", "uncertainty_score", "risk_penalty", F.col("flags").alias("risk_flags"))
+
+
+def alike(d: DataFrame, least: float, *, id_col: str, kmers_col: str) -> DataFrame:
+    """id, other_id, similarity of all pairs with a Jaccard similarity of at least ``least`` (> 0), by prefix filtering: with
+    the k-mers of a set in order of their rarity, such pairs share one among the first ``n - ceil(least * n) + 1``."""
+    e = d.select(F.col(id_col).alias("id"), F.col(kmers_col).alias("k"), F.explode(kmers_col).alias("kmer"))
+    seen = e.groupBy("kmer").agg(F.count("*").alias("n"))
+    ranked = e.join(seen, "kmer").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "kmer"))).alias("r"))
+    n = F.size("r")
+    first = F.slice("r", F.lit(1), (n - F.ceil(F.lit(least) * n - F.lit(1e-9)) + 1).cast("int"))
+    heads = staged(ranked.select("id", F.size("r").alias("n"), F.explode(F.transform(first, lambda x: x["kmer"])).alias("kmer")), "heads")
+    o = heads.select(F.col("id").alias("other_id"), F.col("n").alias("m"), "kmer")
+    near = heads.join(o, "kmer").where((F.col("id") < F.col("other_id")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9)).select("id", "other_id").distinct()
+    k = d.select(F.col(id_col).alias("id"), F.col(kmers_col).alias("a"))
+    j = near.join(k, "id").join(k.select(F.col("id").alias("other_id"), F.col("a").alias("b")), "other_id")
+    return j.select(F.col("id").alias(id_col), "other_id", S.jaccard(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= least - 1e-9)
+
+
+def most_alike(d: DataFrame, k: int, *, id_col: str, kmers_col: str, levels: tuple[float, ...] = (0.7, 0.4, 0.2, 0.1, 1e-6)) -> DataFrame:
+    """The ``k`` most similar pairs by Jaccard similarity, then ids. The bound on the similarity falls until ``k`` pairs reach
+    it, so few candidates are made where similar pairs exist; pairs without a common k-mer never count."""
+    for least in levels:
+        found = staged(alike(d, least, id_col=id_col, kmers_col=kmers_col).orderBy(F.desc("similarity"), id_col, "other_id").limit(k), "alike")
+        if found.count() >= k:
+            break
+    return found.orderBy(F.desc("similarity"), id_col, "other_id")

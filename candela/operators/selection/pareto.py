@@ -1,11 +1,14 @@
 """Pareto fronts and crowding distance; all objectives are maximised, a missing one counts 0.
 
 A front is found in two phases: every part keeps its own non-dominated rows, then the survivors are compared with all
-survivors, sent in blocks of a bounded number of rows. Peeling fronts stops once enough rows are covered.
+survivors, sent in blocks of a bounded number of rows. Peeling fronts stops once enough rows are covered; the ranks of all rows come
+from one sweep in falling order of the objectives' sum.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -61,10 +64,13 @@ def front(d: DataFrame, objectives: list[str]) -> DataFrame:
 
 
 def fronts(d: DataFrame, id_col: str, objectives: list[str], cover: int | None = None) -> DataFrame:
-    """``d`` with pareto_rank from 1; peeling stops after the front that brings the ranked rows to ``cover``."""
+    """``d`` with pareto_rank from 1. With ``cover`` fronts are peeled until that many rows are ranked; without it all rows are
+    ranked in one ordered sweep."""
     left = staged(d.select(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in objectives else F.col(c) for c in d.columns)), "pareto")
+    if cover is None:
+        return swept(left, objectives)
     out, rank, covered = None, 0, 0
-    while True:
+    while covered < cover:
         rank += 1
         top = staged(front(left, objectives), "rank")
         n = top.count()
@@ -72,12 +78,79 @@ def fronts(d: DataFrame, id_col: str, objectives: list[str], cover: int | None =
             break
         one = top.withColumn("pareto_rank", F.lit(rank))
         out, covered = one if out is None else out.unionByName(one), covered + n
-        if cover is not None and covered >= cover:
-            break
         left = staged(left.join(top.select(id_col), id_col, "left_anti").select(*left.columns), "pareto")
     return out if out is not None else left.withColumn("pareto_rank", F.lit(0))
 
 
+def _chained(points: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Ranks of ``points``, dominators first: one more than the highest rank among a point's dominators, here or ``below``."""
+    ranks = below + 1
+    for i in range(1, len(points)):
+        p, o = points[i], points[:i]
+        over = (o >= p).all(1) & (o > p).any(1)
+        if over.any():
+            ranks[i] = max(ranks[i], ranks[:i][over].max() + 1)
+    return ranks
+
+
+def swept(d: DataFrame, objectives: list[str]) -> DataFrame:
+    """``d`` (stored, objectives without nulls) with pareto_rank. Rows are put in falling order of the objectives' sum, so that
+    dominators come first, and are ranked in blocks of BLOCK_ROWS: a block's points are sent to the tasks that hold the rows
+    ranked before, each answers with the highest rank that dominates a point, and the block's own chains are added. The rank
+    of a point is the length of the longest chain of dominators that ends in it."""
+    spark, names = d.sparkSession, d.columns
+    total, place, part = "sweep_total", "sweep_place", "sweep_part"
+    keys = [F.desc(total), *(F.desc(c) for c in objectives)]  # the objectives too: sums may be equal after rounding
+
+    def number(batches):
+        from pyspark import TaskContext
+
+        me, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(np.full(b.num_rows, me, np.int32)), pa.array(np.arange(at, at + b.num_rows))], names=[*names, part, place])
+            at += b.num_rows
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = d.withColumn(total, sum((F.col(c) for c in objectives[1:]), F.col(objectives[0]))).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    ordered = staged(ordered.mapInArrow(number, f"{fields}, {part} int, {place} long"), "sweep")
+    counts = {r[part]: r["count"] for r in ordered.groupBy(part).count().collect()}  # a row a task
+    lift, n = [], 0
+    for k in range(max(counts, default=-1) + 1):
+        lift.append(n)
+        n += counts.get(k, 0)
+    if not n:
+        return d.withColumn("pareto_rank", F.lit(0))
+    lifts = spark.createDataFrame(list(enumerate(lift)), f"{part} int, sweep_lift long")
+    ordered = staged(ordered.join(F.broadcast(lifts), part).withColumn(place, F.col(place) + F.col("sweep_lift")).drop("sweep_lift", part), "sweep")
+    done = []
+    for first in range(0, n, BLOCK_ROWS):
+        mine = ordered.where(F.col(place).between(first, first + BLOCK_ROWS - 1)).select(place, *objectives)
+        rows = sorted(tuple(r) for r in mine.collect())  # BLOCK_ROWS at most
+        points, below = np.array([r[1:] for r in rows], float), np.zeros(len(rows), np.int64)
+        if done:
+            sent = spark.sparkContext.broadcast(points)
+
+            def highest(batches, sent=sent):
+                best = np.zeros(len(sent.value), np.int64)
+                for b in batches:
+                    o, rank = _points(b, objectives), np.asarray(b.column("pareto_rank"))
+                    for at in range(0, len(o), 64):
+                        x = o[at : at + 64, None]
+                        over = (x >= sent.value[None]).all(-1) & (x > sent.value[None]).any(-1)
+                        best = np.maximum(best, (over * rank[at : at + 64, None]).max(0))
+                hit = np.flatnonzero(best)
+                yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(best[hit])], names=["i", "best"])
+
+            for r in reduce(DataFrame.unionByName, done).mapInArrow(highest, "i long, best long").groupBy("i").agg(F.max("best").alias("best")).collect():
+                below[r["i"]] = max(below[r["i"]], r["best"])
+        ranks = _chained(points, below)
+        made = spark.createDataFrame([(r[0], int(k)) for r, k in zip(rows, ranks, strict=True)], f"{place} long, pareto_rank int")
+        new = staged(ordered.join(made, place).select(*names, "pareto_rank"), "ranked")
+        done.append(new)
+    return reduce(DataFrame.unionByName, done)
+
+
 def with_crowding(ranked: DataFrame, id_col: str, objectives: list[str]) -> DataFrame:
     """crowding_distance within each front: gaps between neighbours over the front's range, summed over the objectives; the
     ends of each objective, and fronts of one or two rows, are infinite. Equal values are ordered by the objectives before,

@@ -1,7 +1,7 @@
 """Gaussian-process acquisition: the factor of the few measured rows is computed once and sent to the candidates.
 
-Measured and pending rows are laboratory-sized and bounded by ``MAX_ROWS``; beyond it the call refuses rather than
-pulling them together. Candidates, the side that grows, are scored in Arrow batches. The factor does not depend on the
+Measured and pending rows are laboratory-sized: more than ``max_rows`` of them, MAX_ROWS unless the caller says otherwise,
+are refused rather than pulled together. Candidates, the side that grows, are scored in Arrow batches. The factor does not depend on the
 outcomes, so all fantasy worlds share it and differ in one column of weights.
 """
 
@@ -66,19 +66,21 @@ def expected_improvement(mean, variance, best, xi: float = 0.01):
     return np.maximum(0.0, gain * 0.5 * (1.0 + _erf(z / math.sqrt(2)).astype(float)) + sigma * np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi))
 
 
-def _rows(df: DataFrame, *cols: str) -> list:
-    n = df.limit(MAX_ROWS + 1).count()
-    if n > MAX_ROWS:
-        raise ValueError(f"more than {MAX_ROWS} measured or pending rows")
+def _rows(df: DataFrame, most: int, *cols: str) -> list:
+    n = df.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} measured or pending rows: raise max_rows if the driver holds their square matrix")
     return df.select(*cols).collect()
 
 
-def acquisition(candidates: DataFrame, measured: DataFrame, pending: DataFrame | None = None, *, vector_col: str = "x", outcome_col: str = "y", kind: str = "EI", worlds: int = 32, xi: float = 0.01, kappa: float = 2.0, seed: int) -> DataFrame:
-    """``candidates`` with mean, variance (of the measured model) and acquisition, averaged over the worlds if rows are pending."""
-    got = _rows(measured, vector_col, outcome_col)
+def acquisition(candidates: DataFrame, measured: DataFrame, pending: DataFrame | None = None, *, vector_col: str = "x", outcome_col: str = "y", kind: str = "EI", worlds: int = 32, xi: float = 0.01, kappa: float = 2.0, seed: int, max_rows: int = MAX_ROWS) -> DataFrame:
+    """``candidates`` with mean, variance (of the measured model) and acquisition, averaged over the worlds if rows are pending.
+
+    The exact posterior needs the factor of all measured rows at once; ``max_rows`` is what the caller lets the driver solve."""
+    got = _rows(measured, max_rows, vector_col, outcome_col)
     x, y = np.array([r[0] for r in got], float), np.array([r[1] for r in got], float)
     factor, weights = fit(x, y)
-    out = _rows(pending, vector_col) if pending is not None else []
+    out = _rows(pending, max_rows, vector_col) if pending is not None else []
     if out:
         p = np.array([r[0] for r in out], float)
         draws = fantasies(x, factor, weights, p, worlds, seed)

@@ -19,11 +19,9 @@ def novelty_batch(spark, sf_dir):
 
 
 def kmer_jaccard_topk(spark, sf_dir):
-    """The ten pairs of documents most alike by 3-mers, among those that share their first three residues."""
-    d = seq_hash(spark, sf_dir).select("doc_id", F.left("sequence", F.lit(3)).alias("head"), S.kmers(F.col("sequence")).alias("k"))
-    o = d.select(F.col("doc_id").alias("other_id"), "head", F.col("k").alias("ok"))
-    j = d.join(o, "head").where("doc_id < other_id").select("doc_id", "other_id", F.round(S.jaccard(F.col("k"), F.col("ok")), 6).alias("similarity"))
-    return j.orderBy(F.desc("similarity"), "doc_id", "other_id").limit(10)
+    """The ten pairs of documents most alike by 3-mers, among all pairs."""
+    d = seq_hash(spark, sf_dir).select("doc_id", S.kmers(F.col("sequence")).alias("k"))
+    return novelty.most_alike(d, 10, id_col="doc_id", kmers_col="k").select("doc_id", "other_id", F.round("similarity", 6).alias("similarity"))
 
 
 def _vectors(spark, sf_dir):
@@ -59,15 +57,18 @@ def crowding_topk(spark, sf_dir):
 
 
 def gp_acquisition(spark, sf_dir):
+    """Upper confidence bounds of all vectors, one in ten of them measured."""
     v = _vectors(spark, sf_dir).select("vec_id", F.transform("x", lambda e: e / 4).alias("x"), F.col("quality").alias("y"))
-    a = surrogate.acquisition(v, v.where("vec_id < 2").select("x", (F.col("y") / 100).alias("y")), kind="UCB", seed=1)
+    a = surrogate.acquisition(v, v.where("vec_id % 10 = 0").select("x", (F.col("y") / 100).alias("y")), kind="UCB", seed=1, max_rows=20_000)
     return a.select("vec_id", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"), F.round("acquisition", 6).alias("acquisition"))
 
 
 def async_batch(spark, sf_dir):
-    """Expected improvement over fantasy worlds of pending candidates, then a diverse batch."""
+    """Expected improvement over fantasy worlds of pending candidates, then a diverse batch: in fifty candidates one is
+    measured and one pending."""
     d = Q.seq_hash(spark, sf_dir).select(F.col("doc_id").alias("candidate_id"), S.feature_vector(F.col("sequence")).alias("x"), (F.col("doc_id") % 97 / 97).alias("y"))
-    return surrogate.propose(d.where("candidate_id >= 40"), d.where("candidate_id < 32"), d.where("candidate_id between 32 and 39"), batch_size=5, seed=11)
+    state = F.col("candidate_id") % 50
+    return surrogate.propose(d.where(state > 1), d.where(state == 0), d.where(state == 1), batch_size=5, seed=11, max_rows=20_000)
 
 
 def _predicted(spark, sf_dir):
@@ -112,7 +113,7 @@ SQL = {
       m AS (SELECT b.*, {_NOV.format('greatest(' + ', '.join(_JAC.format('b', x) for x in ('s1', 's2', 's3')) + ')')} AS nov FROM b, s1, s2, s3 WHERE b.id NOT IN (s1.id, s2.id, s3.id)),
       a AS (SELECT id, TRUE AS selected, 1 AS st, pri, nov FROM s1 UNION ALL SELECT id, TRUE, 2, pri, nov FROM s2 UNION ALL SELECT id, TRUE, 3, pri, nov FROM s3 UNION ALL SELECT id, FALSE, NULL, {_PRI.format('b.nov')}, nov FROM m AS b)
       SELECT id AS candidate_id, row_number() OVER (ORDER BY selected DESC, pri DESC, id) AS rank, selected, st AS selection_step, pri::DOUBLE AS priority_score, nov::DOUBLE AS exploration_score FROM a""",
-    "kmer_jaccard_topk": f"WITH d AS (SELECT doc_id, left(sequence, 3) AS head, {_KM} AS k FROM {SEQ_HASH} AS t) SELECT a.doc_id, b.doc_id AS other_id, round({_JAC.format('a', 'b')}, 6) AS similarity FROM d AS a JOIN d AS b ON a.head = b.head AND a.doc_id < b.doc_id ORDER BY similarity DESC, 1, 2 LIMIT 10",
+    "kmer_jaccard_topk": f"WITH d AS (SELECT doc_id, {_KM} AS k FROM {SEQ_HASH} AS t) SELECT a.doc_id, b.doc_id AS other_id, round({_JAC.format('a', 'b')}, 6) AS similarity FROM d AS a JOIN d AS b ON a.doc_id < b.doc_id ORDER BY {_JAC.format('a', 'b')} DESC, 1, 2 LIMIT 10",
     "dpp_batch": f"""WITH v AS (SELECT *, (s - max(s) OVER ()) / 10.0::DOUBLE AS g FROM {_V} AS t),
       a AS (SELECT *, 2 * g AS ld FROM v ORDER BY ld DESC, vec_id LIMIT 1),
       b AS (SELECT v.*, 2 * a.g + 2 * v.g + ln(1 - pow({_K.format('v', 'a')}, 2)) AS ld FROM v, a WHERE v.vec_id <> a.vec_id ORDER BY ld DESC, v.vec_id LIMIT 1),
@@ -127,10 +128,6 @@ SQL = {
         FROM f WINDOW v AS (PARTITION BY k ORDER BY volume, l_suppkey), d AS (PARTITION BY k ORDER BY discount, volume, l_suppkey)),
       h AS (SELECT l_suppkey, k, n <= 2 OR nv IS NULL OR pv IS NULL OR nd IS NULL OR pd IS NULL AS is_end, coalesce((nv - pv) / nullif(sv, 0), 0) + coalesce((nd - pd) / nullif(sd, 0), 0) AS c FROM g)
       SELECT l_suppkey, k AS pareto_rank, CASE WHEN NOT is_end THEN round(c, 5) END AS crowding_distance, is_end FROM h ORDER BY k, is_end DESC, c DESC, l_suppkey LIMIT 12""",
-    "gp_acquisition": f"""WITH v AS (SELECT vec_id, list_transform(x, lambda e: e / 4) AS x, s / 100 AS y FROM {_V} AS t), a AS (SELECT * FROM v WHERE vec_id = 0), b AS (SELECT * FROM v WHERE vec_id = 1),
-      k AS (SELECT v.vec_id, exp(-0.5::DOUBLE * pow(list_distance(v.x, a.x), 2)) AS p, exp(-0.5::DOUBLE * pow(list_distance(v.x, b.x), 2)) AS q, exp(-0.5::DOUBLE * pow(list_distance(a.x, b.x), 2)) AS c, 1 + 1e-4::DOUBLE + 1e-6::DOUBLE AS d, a.y AS ya, b.y AS yb FROM v, a, b),
-      m AS (SELECT vec_id, (p * (d * ya - c * yb) + q * (d * yb - c * ya)) / (d * d - c * c) AS mean, greatest(1e-10, 1 - (d * p * p - 2 * c * p * q + d * q * q) / (d * d - c * c)) AS var FROM k)
-      SELECT vec_id, round(mean, 6) AS mean, round(var, 6) AS variance, round(mean + 2 * sqrt(var), 6) AS acquisition FROM m""",
     "conformal_interval": f"SELECT round(lo, 7) AS lower_bound, round(hi, 7) AS upper_bound, round(hi - lo, 7) AS interval_width, 2 * m > 0.35 AS is_high_uncertainty, count(*) AS n FROM (SELECT m, greatest(0.0, p - m) AS lo, least(1.0, p + m) AS hi FROM {_ERR} AS e, (SELECT {_MARGIN} AS m)) GROUP BY 1, 2, 3, 4",
     "conformal_coverage": f"SELECT round(avg((t BETWEEN greatest(0.0, p - m) AND least(1.0, p + m))::INT), 6) AS coverage FROM {_ERR} AS e, (SELECT {_MARGIN} AS m)",
 }

@@ -125,3 +125,50 @@ def test_summaries_and_feasibility(spark):
     m = summaries.feasibility_model(h)
     got = {r.x[0]: r.weighted_acquisition for r in summaries.with_feasibility(spark.createDataFrame([([2.0], 1.0), ([-2.0], 1.0)], "x array<double>, acquisition double"), m).collect()}
     assert got[2.0] > 0.9 and got[-2.0] < 0.1
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_swept_ranks(spark, monkeypatch, block):
+    """Ranks of the sweep, one block and many, equal those by peeling."""
+    monkeypatch.setattr(pareto, "BLOCK_ROWS", block)
+    rnd = np.random.default_rng(5)
+    pts = {i: (float(a), float(b), float(c)) for i, (a, b, c) in enumerate(rnd.integers(0, 6, (60, 3)))}
+    d = spark.createDataFrame([(i, *p) for i, p in pts.items()], "i long, a double, b double, c double")
+    got = {r.i: r.pareto_rank for r in pareto.fronts(d, "i", ["a", "b", "c"]).collect()}
+    left, want, rank = set(pts), {}, 1
+    over = lambda q, p: all(x >= y for x, y in zip(q, p, strict=True)) and q != p
+    while left:
+        top = {i for i in left if not any(over(pts[j], pts[i]) for j in left)}
+        want |= {i: rank for i in top}
+        left, rank = left - top, rank + 1
+    assert got == want
+    assert pareto.fronts(d.limit(0), "i", ["a", "b"]).count() == 0
+
+
+def test_most_alike_pairs(spark):
+    rnd = np.random.default_rng(6)
+    sets = {i: sorted({f"k{x}" for x in rnd.integers(0, 40, rnd.integers(1, 25))}) for i in range(80)}
+    sets[80], sets[81] = sets[3], []
+    d = spark.createDataFrame(list(sets.items()), "i long, k array<string>")
+    jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    pairs = [(-jac(sets[a], sets[b]), a, b) for a in sets for b in sets if a < b and set(sets[a]) & set(sets[b])]
+    got = [(r.i, r.other_id, r.similarity) for r in novelty.most_alike(d, 15, id_col="i", kmers_col="k").collect()]
+    assert got == [(a, b, pytest.approx(-s)) for s, a, b in sorted(pairs)[:15]]
+    assert {(r.i, r.other_id) for r in novelty.alike(d, 0.3, id_col="i", kmers_col="k").collect()} == {(a, b) for s, a, b in pairs if -s >= 0.3 - 1e-9}
+
+
+def test_acquisition_queries_against_brute_force(spark, tmp_path):
+    """gp_acquisition over a small table: the posterior by plain linear algebra, one vector in ten measured."""
+    from candela import queries as R
+
+    rnd = np.random.default_rng(7)
+    vec = rnd.normal(size=(45, 6)).astype("float32")
+    spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vec)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    x, y = vec.astype(float) / 4, np.arange(45) * 37 % 101 / 100
+    some = np.arange(0, 45, 10)
+    k = lambda a, b: np.exp(-0.5 * ((a[:, None] - b[None]) ** 2).sum(-1))
+    inv = np.linalg.inv(k(x[some], x[some]) + (1e-4 + 1e-6) * np.eye(len(some)))
+    mean = k(x, x[some]) @ inv @ y[some]
+    var = np.maximum(1e-10, 1 - np.einsum("ij,jk,ik->i", k(x, x[some]), inv, k(x, x[some])))
+    for r in R.queries()["gp_acquisition"](spark, str(tmp_path)).collect():
+        assert r.mean == pytest.approx(mean[r.vec_id], abs=2e-6) and r.variance == pytest.approx(var[r.vec_id], abs=2e-6) and r.acquisition == pytest.approx(mean[r.vec_id] + 2 * var[r.vec_id] ** 0.5, abs=4e-6)
