@@ -3,18 +3,19 @@
 Seeds: of every run of ``width - seed + 1`` word ``seed``-grams the one with the least hash is an anchor (winnowing), so
 any two equal windows of ``width`` words share an anchor at the same place. Anchors meet by hash; those of a single text
 are dropped. Extend: around each remaining anchor all windows of ``width`` words that hold it are taken, to the left and
-to the right, and equal windows meet by a 128-bit hash. A window that starts in a document with a smaller id is covered;
+to the right, and equal windows meet by a 128-bit hash whose halves come from independent word hashes. A window that starts in a document with a smaller id is covered;
 covered windows that overlap make up the maximal repeats, whose words are removed.
 
 Whole copies of a text need no extension: all but the copy with the least id are covered outright. Within a slice of
-documents equal anchors or windows are settled on the spot, so a passage that very many documents share brings one
-document's rows a slice to the shuffle.
+documents equal anchors or windows are settled on the spot, and those that one text repeats are one row with all their
+places, so a passage that very many documents share, or that one repeats, brings one document's row a slice to the shuffle.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,12 +28,18 @@ _ODD = np.random.default_rng(7).integers(1, 2**63, (3, 64), dtype=np.uint64) * n
 
 
 class WordHashes(dict):
+    """Words of this task to a 64-bit hash; emptied beyond CACHE_WORDS words, which costs time, not results."""
+
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
         if len(self) > CACHE_WORDS:
             self.clear()
-        self[word] = h = xxh64_intdigest(word, 11)
+        self[word] = h = xxh64_intdigest(word, self.seed)
         return h
 
 
@@ -47,88 +54,93 @@ def rolled(words: np.ndarray, width: int, which: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def hashed(text: str | None, table: WordHashes) -> np.ndarray:
-    words = space_words(text)
-    return np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
-
-
-def settled(key: np.ndarray, other: np.ndarray | None, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows in documents ``doc``: is the key in several documents here; is this a document beyond the least of them."""
-    order = np.lexsort((doc, key) if other is None else (doc, other, key))
-    k, d = key[order], doc[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    if other is not None:
-        new[1:] |= other[order][1:] != other[order][:-1]
-    group = np.cumsum(new) - 1
-    starts = np.flatnonzero(new)
-    least = d[starts][group] if len(k) else d
-    most = np.maximum.reduceat(d, starts)[group] if len(k) else d
-    several, beyond = np.zeros(len(k), bool), np.zeros(len(k), bool)
-    several[order], beyond[order] = most > least, d > least
-    return several, beyond
+def hashed(texts: pa.Array, *tables: WordHashes) -> tuple[list[np.ndarray], np.ndarray]:
+    """The word hashes of all texts, one after the other, by each table, and the bounds of each text; a distinct word is
+    looked up once."""
+    lists = pc.ascii_split_whitespace(texts)
+    bounds = np.asarray(lists.offsets).astype(np.int64)
+    coded = lists.flatten().cast(pa.binary()).dictionary_encode()
+    names, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)
+    word = np.array([len(x) > 0 for x in names], bool)[code]  # white space at an end leaves an empty string
+    bounds = np.concatenate(([0], np.cumsum(word)))[bounds - bounds[0]]
+    code = code[word]
+    return [np.fromiter(map(t.__getitem__, names), np.uint64, len(names))[code] for t in tables], bounds
+
+
+def settled(keys: tuple[np.ndarray, ...], row: np.ndarray, place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The distinct (keys, row): an index of each, is its key in several documents here, is this a document beyond the least
+    of them, its row, and the list of its places. A key that a text repeats is thus one entry, however often."""
+    order = np.lexsort((place, row, doc[row], *keys))
+    new_key = np.ones(len(order), bool)
+    new_key[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    new = new_key.copy()
+    new[1:] |= row[order][1:] != row[order][:-1]
+    at = np.flatnonzero(new)
+    d, group = doc[row[order[at]]], np.cumsum(new_key[at]) - 1
+    starts = np.flatnonzero(new_key[at])
+    least, most = d[starts][group], np.maximum.reduceat(d, starts)[group] if len(d) else d
+    places = pa.ListArray.from_arrays(pa.array(np.append(at, len(order)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+    return order[at], most > least, d > least, row[order[at]], places
+
+
+def least_at(values: np.ndarray, span: int) -> np.ndarray:
+    """For each run of ``span`` values: the place of its least, the first of equals."""
+    n = max(0, len(values) - span + 1)
+    best, at = values[:n].copy(), np.zeros(n, np.int64)
+    for j in range(1, span):
+        less = values[j : j + n] < best
+        best[less], at[less] = values[j : j + n][less], j
+    return at + np.arange(n)
 
 
 def anchors(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """(key, owner, doc_id, pos, sure) of ``docs`` (doc_id, owner, text); sure: known here to be in several texts."""
-    span = width - seed + 1
 
     def run(batches):
-        table = WordHashes()
+        table = WordHashes(11)
         for batch in batches:
             for part in slices(batch):
-                ids, owners, texts = part.column("doc_id").to_numpy(), part.column("owner").to_numpy(), part.column("text").to_pylist()
-                first = {}
-                for i in np.argsort(ids, kind="stable").tolist():
-                    first.setdefault(owners[i], i)  # of copies in this slice only the least id can count
-                keys, rows, places = [], [], []
-                for i in sorted(first.values()):
-                    grams = rolled(hashed(texts[i], table), seed, 0)
-                    if len(grams) < span:
-                        continue
-                    view = np.lib.stride_tricks.sliding_window_view(grams, span)
-                    at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
-                    keys.append(grams[at])
-                    rows.append(np.full(len(at), i))
-                    places.append(at)
-                if not keys:
+                ids, owners = part.column("doc_id").to_numpy(), part.column("owner").to_numpy()
+                least = np.argsort(ids, kind="stable")
+                some = np.sort(least[np.unique(owners[least], return_index=True)[1]])  # of copies in this slice only the least id can count
+                (words,), bounds = hashed(part.column("text").take(pa.array(some)), table)
+                if len(words) < width:
                     continue
-                key, row, pos = np.concatenate(keys), np.concatenate(rows), np.concatenate(places)
-                doc = ids[row]
-                several, beyond = settled(key, None, doc)
-                key = np.where(beyond, key ^ (doc.astype(np.uint64) * _ODD[2, 1]) ^ (pos.astype(np.uint64) * _ODD[2, 2]), key)  # settled: any key will do
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owners[row]), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(several)], names=["key", "owner", "doc_id", "pos", "sure"])
+                of = np.repeat(np.arange(len(some)), np.diff(bounds))
+                inside = of[: len(of) - width + 1] == of[width - 1 :]
+                grams = rolled(words, seed, 0)
+                at = np.unique(least_at(grams, width - seed + 1)[inside])
+                row = some[of[at]]
+                index, several, beyond, row, places = settled((grams[at],), row, at - bounds[of[at]], ids)
+                key, doc = grams[at][index], ids[row]
+                key = np.where(beyond, key ^ (doc.astype(np.uint64) * _ODD[2, 1]) ^ (index.astype(np.uint64) * _ODD[2, 2]), key)  # settled: any key will do
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owners[row]), pa.array(doc), places, pa.array(several)], names=["key", "owner", "doc_id", "pos", "sure"])
 
-    return docs.select("doc_id", "owner", "text").mapInArrow(run, "key long, owner long, doc_id long, pos int, sure boolean")
+    return docs.select("doc_id", "owner", "text").mapInArrow(run, "key long, owner long, doc_id long, pos array<int>, sure boolean")
 
 
 def extended(found: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """(h1, h2, doc_id, owner, start, sure): the windows around the anchors ``at`` of ``found`` (doc_id, owner, text, at);
-    sure: known here to start in a smaller document."""
+    """(h1, h2, doc_id, owner, start, sure): the windows around the anchors ``at`` of ``found`` (doc_id, owner, text, at), by a
+    128-bit hash of two independent halves; sure: known here to start in a smaller document."""
 
     def run(batches):
-        table = WordHashes()
+        tables = WordHashes(11), WordHashes(12)
         for batch in batches:
             for part in slices(batch):
-                ids, owners, texts, ats = part.column("doc_id").to_numpy(), part.column("owner").to_numpy(), part.column("text").to_pylist(), part.column("at")
-                one, two, rows, places = [], [], [], []
-                for i, text in enumerate(texts):
-                    words = hashed(text, table)
-                    n = len(words) - width + 1
-                    at = np.asarray(ats[i].values)
-                    start = np.unique((at[:, None] - np.arange(width - seed + 1)[None, :]).ravel())
-                    start = start[(start >= 0) & (start < n)]
-                    one.append(rolled(words, width, 0)[start])
-                    two.append(rolled(words, width, 1)[start])
-                    rows.append(np.full(len(start), i))
-                    places.append(start)
-                h1, h2, row, start = (np.concatenate(x) for x in (one, two, rows, places))
+                ids, owners, at = part.column("doc_id").to_numpy(), part.column("owner").to_numpy(), part.column("at")
+                halves, bounds = hashed(part.column("text"), *tables)
+                row = np.repeat(np.arange(len(ids)), np.diff(np.asarray(at.offsets)))
+                start = (np.asarray(at.flatten()) + bounds[row])[:, None] - np.arange(width - seed + 1)[None, :]
+                start = np.unique(start[(start >= bounds[row][:, None]) & (start + width <= bounds[row + 1][:, None])])
+                h1, h2 = (rolled(h, width, k)[start] for k, h in enumerate(halves))
+                row = np.searchsorted(bounds, start, "right") - 1
+                index, _, beyond, row, places = settled((h1, h2), row, start - bounds[row], ids)
                 doc = ids[row]
-                _, beyond = settled(h1, h2, doc)
-                h2 = np.where(beyond, h2 ^ (doc.astype(np.uint64) * _ODD[2, 1]) ^ (start.astype(np.uint64) * _ODD[2, 2]), h2)
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(owners[row]), pa.array(start.astype(np.int32)), pa.array(beyond)], names=["h1", "h2", "doc_id", "owner", "start", "sure"])
+                h1, h2 = h1[index], h2[index]
+                h2 = np.where(beyond, h2 ^ (doc.astype(np.uint64) * _ODD[2, 1]) ^ (index.astype(np.uint64) * _ODD[2, 2]), h2)
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(owners[row]), places, pa.array(beyond)], names=["h1", "h2", "doc_id", "owner", "start", "sure"])
 
-    return found.select("doc_id", "owner", "text", "at").mapInArrow(run, "h1 long, h2 long, doc_id long, owner long, start int, sure boolean")
+    return found.select("doc_id", "owner", "text", "at").mapInArrow(run, "h1 long, h2 long, doc_id long, owner long, start array<int>, sure boolean")
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
@@ -142,11 +154,11 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     first = seen.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     copies = stored(seen.join(first, "digest").where("doc_id > first").select("doc_id", "owner").distinct(), "copies")
     shared = anchors(ids, width, seed).withColumn("lo", F.min("owner").over(least)).withColumn("hi", F.max("owner").over(least)).where("sure or lo < hi")
-    places = shared.groupBy("doc_id", "owner").agg(F.collect_list("pos").alias("at")).join(copies, ["doc_id", "owner"], "left_anti")
+    places = shared.groupBy("doc_id", "owner").agg(F.flatten(F.collect_list("pos")).alias("at")).join(copies, ["doc_id", "owner"], "left_anti")
     found = ids.join(stored(places, "places"), ["doc_id", "owner"])
     same = Window.partitionBy("h1", "h2")
     covered = extended(found, width, seed).withColumn("lo", F.min("doc_id").over(same)).where("sure or lo < doc_id")
-    starts = stored(covered.groupBy("doc_id", "owner").agg(F.collect_list("start").alias("starts")), "covered")
+    starts = stored(covered.groupBy("doc_id", "owner").agg(F.flatten(F.collect_list("start")).alias("starts")), "covered")
     return starts.select("doc_id", "owner", "starts", F.lit(False).alias("whole")).union(copies.select("doc_id", "owner", F.lit(None).cast("array<int>"), F.lit(True)))
 
 
@@ -154,7 +166,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) a row.
 
     Null and empty texts have no words; texts of fewer than ``width`` words lose none; rows with a null id lose none and
-    cover none; of rows that share an id none covers another.
+    cover none; of rows that share an id none covers another. Ids are integers, or strings of digits; very long texts are
+    cut whole; no rows, no rows.
     """
     hit = repeats(docs, id_col=id_col, text_col=text_col, width=width, seed=seed)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
