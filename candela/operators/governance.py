@@ -13,7 +13,12 @@ ID_PATTERN = r"^[A-Za-z0-9][A-Za-z0-9._-]*$"
 _AMBIGUOUS, _OTHER = f"[{S.AMBIGUOUS}]", f"[^{S.STANDARD}{S.AMBIGUOUS}]"
 
 # Required columns and allowed values of the two dataset kinds.
-SEED_COLUMNS = "peptide_id name sequence length source_database source_organism target_microbe gram_status activity_type mic_value mic_unit assay_conditions haemolysis_value cytotoxicity_value modifications linear_or_cyclic net_charge hydrophobic_fraction aromatic_count cysteine_count methionine_count asparagine_glutamine_count known_stability_notes known_solubility_notes reference notes".split()
+SEED_COLUMNS = [
+    "peptide_id", "name", "sequence", "length", "source_database", "source_organism", "target_microbe", "gram_status", "activity_type", "mic_value",
+    "mic_unit", "assay_conditions", "haemolysis_value", "cytotoxicity_value", "modifications", "linear_or_cyclic", "net_charge",
+    "hydrophobic_fraction", "aromatic_count", "cysteine_count", "methionine_count", "asparagine_glutamine_count", "known_stability_notes",
+    "known_solubility_notes", "reference", "notes",
+]
 LIABILITY_COLUMNS = "peptide_id name source_database source_organism liability_bucket liability_type sequence target_organism severity metric reference notes".split()
 TOPOLOGIES = ["cyclic", "linear"]
 GRAM = ["Gram-positive", "Gram-negative", "Gram+/Gram-", "Fungal", "Unknown"]

@@ -8,66 +8,69 @@ from pyspark.sql import functions as F
 from candela.functions.binding import let
 
 # The ontology of failure codes.
-ONTOLOGY = """
-SYN_FAIL_UNKNOWN SYN_LOW_CRUDE_PURITY SYN_SEQUENCE_LENGTH_RISK SYN_HYDROPHOBIC_SEQUENCE SYN_CYCLISATION_FAILED SYN_MODIFICATION_FAILED SYN_LOW_YIELD SYN_SCALE_UP_FAILED
-PURIFICATION_DIFFICULT COELUTING_IMPURITIES ANALYTICAL_AMBIGUITY LCMS_MISMATCH OXIDATION_PRODUCT DEAMIDATION_PRODUCT AGGREGATED_PRODUCT
-LOW_AQUEOUS_SOLUBILITY PRECIPITATION AGGREGATION STORAGE_INSTABILITY FREEZE_THAW_INSTABILITY BUFFER_INCOMPATIBILITY
-NO_BINDING WEAK_BINDING NON_SPECIFIC_BINDING POOR_SELECTIVITY NO_FUNCTIONAL_EFFECT ASSAY_INTERFERENCE OFF_TARGET_SIGNAL
-PROTEASE_LABILE SERUM_INSTABILITY OXIDATION_LIABILITY DEAMIDATION_LIABILITY HYDROLYSIS_LIABILITY CYTOTOXICITY IMMUNOGENICITY_RISK HEMOLYSIS_RISK POOR_PERMEABILITY DELIVERY_FAILURE
-MODEL_OVERCONFIDENCE BAD_TARGET_ASSUMPTION WRONG_BINDING_SITE DOCKING_ARTEFACT STRUCTURE_PREDICTION_ARTEFACT DATA_LEAKAGE INSUFFICIENT_CONTROLS AGENT_ORCHESTRATION_FAILURE MISSING_REPRODUCIBILITY_CONTEXT
-""".split()
-# Narrative rules in order; a code applies if the lower-cased text holds any of the phrases (and, after "&", any of these too).
+ONTOLOGY = [
+    "SYN_FAIL_UNKNOWN", "SYN_LOW_CRUDE_PURITY", "SYN_SEQUENCE_LENGTH_RISK", "SYN_HYDROPHOBIC_SEQUENCE", "SYN_CYCLISATION_FAILED",
+    "SYN_MODIFICATION_FAILED", "SYN_LOW_YIELD", "SYN_SCALE_UP_FAILED", "PURIFICATION_DIFFICULT", "COELUTING_IMPURITIES", "ANALYTICAL_AMBIGUITY",
+    "LCMS_MISMATCH", "OXIDATION_PRODUCT", "DEAMIDATION_PRODUCT", "AGGREGATED_PRODUCT", "LOW_AQUEOUS_SOLUBILITY", "PRECIPITATION", "AGGREGATION",
+    "STORAGE_INSTABILITY", "FREEZE_THAW_INSTABILITY", "BUFFER_INCOMPATIBILITY", "NO_BINDING", "WEAK_BINDING", "NON_SPECIFIC_BINDING",
+    "POOR_SELECTIVITY", "NO_FUNCTIONAL_EFFECT", "ASSAY_INTERFERENCE", "OFF_TARGET_SIGNAL", "PROTEASE_LABILE", "SERUM_INSTABILITY",
+    "OXIDATION_LIABILITY", "DEAMIDATION_LIABILITY", "HYDROLYSIS_LIABILITY", "CYTOTOXICITY", "IMMUNOGENICITY_RISK", "HEMOLYSIS_RISK",
+    "POOR_PERMEABILITY", "DELIVERY_FAILURE", "MODEL_OVERCONFIDENCE", "BAD_TARGET_ASSUMPTION", "WRONG_BINDING_SITE", "DOCKING_ARTEFACT",
+    "STRUCTURE_PREDICTION_ARTEFACT", "DATA_LEAKAGE", "INSUFFICIENT_CONTROLS", "AGENT_ORCHESTRATION_FAILURE", "MISSING_REPRODUCIBILITY_CONTEXT",
+]
+# Narrative rules in order; a code applies if the lower-cased text holds any phrase of every list.
 RULES = [
-    ("NO_BINDING", "no measurable activity|no antimicrobial activity|no binding"),
-    ("WEAK_BINDING", "weak activity|low activity|modest activity"),
-    ("NON_SPECIFIC_BINDING", "non-specific|nonspecific"),
-    ("POOR_SELECTIVITY", "poor selectivity"),
-    ("OFF_TARGET_SIGNAL", "off-target"),
-    ("NO_FUNCTIONAL_EFFECT", "no functional effect"),
-    ("ASSAY_INTERFERENCE", "assay interference|high background|interference"),
-    ("SYN_FAIL_UNKNOWN", "synthesis failed"),
-    ("SYN_HYDROPHOBIC_SEQUENCE", "hydrophobic sequence|hydrophobicity"),
-    ("SYN_CYCLISATION_FAILED", "cyclisation|cyclization"),
-    ("SYN_MODIFICATION_FAILED", "modification failed"),
-    ("SYN_SCALE_UP_FAILED", "scale-up"),
-    ("PURIFICATION_DIFFICULT", "difficult purification|difficult to purify"),
-    ("COELUTING_IMPURITIES", "co-eluting|coeluting"),
-    ("ANALYTICAL_AMBIGUITY", "analytical ambiguity|lcm sm ambiguous"),
-    ("LCMS_MISMATCH", "lcm s mismatch|lcms mismatch"),
-    ("OXIDATION_PRODUCT", "oxidized|oxidation"),
-    ("DEAMIDATION_PRODUCT", "deamidated|deamidation"),
-    ("AGGREGATED_PRODUCT", "aggregated product|aggregate"),
-    ("AGGREGATION", "aggregated product|aggregate"),
-    ("PRECIPITATION", "precipitation|precipitated"),
-    ("STORAGE_INSTABILITY", "storage instability"),
-    ("FREEZE_THAW_INSTABILITY", "freeze-thaw|freeze thaw"),
-    ("BUFFER_INCOMPATIBILITY", "buffer&incompatibility|failed condition"),
-    ("PROTEASE_LABILE", "protease"),
-    ("SERUM_INSTABILITY", "serum instability|serum degradation"),
-    ("CYTOTOXICITY", "cytotoxic"),
-    ("HEMOLYSIS_RISK", "hemolysis"),
-    ("IMMUNOGENICITY_RISK", "immunogenic"),
-    ("POOR_PERMEABILITY", "permeability"),
-    ("DELIVERY_FAILURE", "delivery failure"),
-    ("MODEL_OVERCONFIDENCE", "model overpredict|model over-confident|overconfident"),
-    ("WRONG_BINDING_SITE", "wrong target|target mismatch"),
-    ("DOCKING_ARTEFACT", "docking artefact|docking artifact"),
-    ("STRUCTURE_PREDICTION_ARTEFACT", "structure prediction artefact|structure prediction artifact"),
-    ("DATA_LEAKAGE", "data leakage"),
-    ("INSUFFICIENT_CONTROLS", "insufficient controls|control was missing"),
-    ("AGENT_ORCHESTRATION_FAILURE", "agent orchestration"),
-    ("MISSING_REPRODUCIBILITY_CONTEXT", "inconsistent|not reproducible|bad controls"),
-    ("INSUFFICIENT_CONTROLS", "no controls"),
-    ("SYN_SEQUENCE_LENGTH_RISK", "bad sequence length|length risk"),
+    ("NO_BINDING", ["no measurable activity", "no antimicrobial activity", "no binding"]),
+    ("WEAK_BINDING", ["weak activity", "low activity", "modest activity"]),
+    ("NON_SPECIFIC_BINDING", ["non-specific", "nonspecific"]),
+    ("POOR_SELECTIVITY", ["poor selectivity"]),
+    ("OFF_TARGET_SIGNAL", ["off-target"]),
+    ("NO_FUNCTIONAL_EFFECT", ["no functional effect"]),
+    ("ASSAY_INTERFERENCE", ["assay interference", "high background", "interference"]),
+    ("SYN_FAIL_UNKNOWN", ["synthesis failed"]),
+    ("SYN_HYDROPHOBIC_SEQUENCE", ["hydrophobic sequence", "hydrophobicity"]),
+    ("SYN_CYCLISATION_FAILED", ["cyclisation", "cyclization"]),
+    ("SYN_MODIFICATION_FAILED", ["modification failed"]),
+    ("SYN_SCALE_UP_FAILED", ["scale-up"]),
+    ("PURIFICATION_DIFFICULT", ["difficult purification", "difficult to purify"]),
+    ("COELUTING_IMPURITIES", ["co-eluting", "coeluting"]),
+    ("ANALYTICAL_AMBIGUITY", ["analytical ambiguity", "lcm sm ambiguous"]),
+    ("LCMS_MISMATCH", ["lcm s mismatch", "lcms mismatch"]),
+    ("OXIDATION_PRODUCT", ["oxidized", "oxidation"]),
+    ("DEAMIDATION_PRODUCT", ["deamidated", "deamidation"]),
+    ("AGGREGATED_PRODUCT", ["aggregated product", "aggregate"]),
+    ("AGGREGATION", ["aggregated product", "aggregate"]),
+    ("PRECIPITATION", ["precipitation", "precipitated"]),
+    ("STORAGE_INSTABILITY", ["storage instability"]),
+    ("FREEZE_THAW_INSTABILITY", ["freeze-thaw", "freeze thaw"]),
+    ("BUFFER_INCOMPATIBILITY", ["buffer"], ["incompatibility", "failed condition"]),
+    ("PROTEASE_LABILE", ["protease"]),
+    ("SERUM_INSTABILITY", ["serum instability", "serum degradation"]),
+    ("CYTOTOXICITY", ["cytotoxic"]),
+    ("HEMOLYSIS_RISK", ["hemolysis"]),
+    ("IMMUNOGENICITY_RISK", ["immunogenic"]),
+    ("POOR_PERMEABILITY", ["permeability"]),
+    ("DELIVERY_FAILURE", ["delivery failure"]),
+    ("MODEL_OVERCONFIDENCE", ["model overpredict", "model over-confident", "overconfident"]),
+    ("WRONG_BINDING_SITE", ["wrong target", "target mismatch"]),
+    ("DOCKING_ARTEFACT", ["docking artefact", "docking artifact"]),
+    ("STRUCTURE_PREDICTION_ARTEFACT", ["structure prediction artefact", "structure prediction artifact"]),
+    ("DATA_LEAKAGE", ["data leakage"]),
+    ("INSUFFICIENT_CONTROLS", ["insufficient controls", "control was missing"]),
+    ("AGENT_ORCHESTRATION_FAILURE", ["agent orchestration"]),
+    ("MISSING_REPRODUCIBILITY_CONTEXT", ["inconsistent", "not reproducible", "bad controls"]),
+    ("INSUFFICIENT_CONTROLS", ["no controls"]),
+    ("SYN_SEQUENCE_LENGTH_RISK", ["bad sequence length", "length risk"]),
 ]
 # Metric aliases (normalised), the bound below which a code applies.
 METRICS = [
-    ("SYN_LOW_YIELD", "yield crude_yield recovery synthesis_yield", 20.0),
-    ("SYN_LOW_CRUDE_PURITY", "purity crude_purity final_purity", 90.0),
-    ("LOW_AQUEOUS_SOLUBILITY", "solubility aqueous_solubility solubility_mg_ml solubility_mgml", 0.5),
+    ("SYN_LOW_YIELD", ["yield", "crude_yield", "recovery", "synthesis_yield"], 20.0),
+    ("SYN_LOW_CRUDE_PURITY", ["purity", "crude_purity", "final_purity"], 90.0),
+    ("LOW_AQUEOUS_SOLUBILITY", ["solubility", "aqueous_solubility", "solubility_mg_ml", "solubility_mgml"], 0.5),
 ]
+# Header lines and sections of a result document, and its line patterns.
 META = {"result id": "result_id", "candidate id": "candidate_id", "campaign id": "campaign_id", "vendor or lab": "vendor_or_lab", "result type": "result_type"}
-SECTIONS = ["summary", "interpretation", "failure_modes", "next_design_recommendation", "key_values"]
+SECTION_LINE, META_LINE, BULLET = r"^\s*##\s*(.+?)\s*$", r"^\s*([A-Za-z0-9 /_-]+)\s*:\s*(.*)\s*$", r"^[-*]\s+"
 
 
 def plain_key(c: Column) -> Column:
@@ -93,7 +96,7 @@ def scalar(c: Column) -> Column:
 
 def code_lines(lines: Column) -> dict[str, Column]:
     """The known and the unknown codes among a section's lines; prose that reads like a code once cleaned is unknown."""
-    bare = F.transform(lines, lambda x: F.trim(F.regexp_replace(F.trim(x), r"^[-*]\s+", "")))
+    bare = F.transform(lines, lambda x: F.trim(F.regexp_replace(F.trim(x), BULLET, "")))
     bare = F.filter(bare, lambda x: (x != "") & plain_code(x).rlike("^[A-Z0-9_]{6,}$") & ~F.lower(x).startswith("to be populated"))
     codes = F.transform(bare, plain_code)
     return {"known": F.filter(codes, lambda x: x.isin(ONTOLOGY)), "unknown": F.filter(codes, lambda x: ~x.isin(ONTOLOGY))}
@@ -107,9 +110,9 @@ def key_values(lines: Column) -> Column:
     return let(rows, lambda all_: F.map_from_entries(F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda o: o["key"] == e["key"]))))
 
 
-def metric(values: Column, aliases: str) -> Column:
+def metric(values: Column, aliases: list[str]) -> Column:
     """The first number among the entries whose key is one of the aliases."""
-    hits = F.filter(F.transform(F.filter(F.map_entries(values), lambda e: plain_key(e["key"]).isin(aliases.split())), lambda e: first_number(e["value"].cast("string"))), lambda x: x.isNotNull())
+    hits = F.filter(F.transform(F.filter(F.map_entries(values), lambda e: plain_key(e["key"]).isin(aliases)), lambda e: first_number(e["value"].cast("string"))), lambda x: x.isNotNull())
     return F.get(hits, 0)
 
 
@@ -120,16 +123,15 @@ def parse(docs: DataFrame, text_col: str = "text", source_col: str | None = None
     """
     text = F.trim(F.coalesce(F.col(text_col), F.lit("")))
     d = docs.withColumn("__lines", F.split(text, r"\r\n|\r|\n"))
-    head = lambda x: x.rlike(r"^\s*##\s*.+$")
+    head = lambda x: x.rlike(SECTION_LINE)
     empty = F.struct(F.lit(None).cast("string").alias("section"), F.array().cast("array<struct<section:string,line:string>>").alias("out"))
     folded = F.aggregate(
         "__lines", empty,
-        lambda acc, x: F.when(head(x), F.struct(plain_key(F.regexp_extract(x, r"^\s*##\s*(.+?)\s*$", 1)).alias("section"), acc["out"].alias("out"))).otherwise(F.struct(acc["section"].alias("section"), F.concat(acc["out"], F.array(F.struct(acc["section"].alias("section"), x.alias("line")))).alias("out"))),
+        lambda acc, x: F.when(head(x), F.struct(plain_key(F.regexp_extract(x, SECTION_LINE, 1)).alias("section"), acc["out"].alias("out"))).otherwise(F.struct(acc["section"].alias("section"), F.concat(acc["out"], F.array(F.struct(acc["section"].alias("section"), x.alias("line")))).alias("out"))),
         lambda acc: acc["out"],
     )
     d = d.withColumn("__all", folded)
-    pattern = r"^\s*([A-Za-z0-9 /_-]+)\s*:\s*(.*)\s*$"
-    meta = F.transform(F.filter("__all", lambda e: e["section"].isNull() & e["line"].rlike(pattern)), lambda e: F.struct(F.lower(F.trim(F.regexp_extract(e["line"], pattern, 1))).alias("key"), F.trim(F.regexp_extract(e["line"], pattern, 2)).alias("value")))
+    meta = F.transform(F.filter("__all", lambda e: e["section"].isNull() & e["line"].rlike(META_LINE)), lambda e: F.struct(F.lower(F.trim(F.regexp_extract(e["line"], META_LINE, 1))).alias("key"), F.trim(F.regexp_extract(e["line"], META_LINE, 2)).alias("value")))
     d = d.withColumn("__meta", meta)
     field = lambda k: F.element_at(F.filter("__meta", lambda e: e["key"] == k), -1)["value"]
     d = d.withColumns({v: F.when(F.exists("__meta", lambda e: e["key"] == k), field(k)) for k, v in META.items()})
@@ -147,16 +149,16 @@ def parse(docs: DataFrame, text_col: str = "text", source_col: str | None = None
     return out.drop("__lines", "__all", "__meta")
 
 
-def classify(narrative: Column, values: Column | None = None, explicit: Column | None = None, rules: list[tuple[str, str]] = RULES) -> Column:
+def classify(narrative: Column, values: Column | None = None, explicit: Column | None = None, rules: list[tuple] = RULES) -> Column:
     """Failure codes in order of discovery: given codes, measured values below their bounds, then the narrative's phrases."""
     text = F.lower(F.coalesce(narrative, F.lit("")))
-    any_of = lambda phrases: F.coalesce(*[F.when(text.contains(p), True) for p in phrases.split("|")], F.lit(False))
+    any_of = lambda phrases: F.coalesce(*[F.when(text.contains(p), True) for p in phrases], F.lit(False))
     parts = []
     if values is not None:
         parts += [F.when(metric(values, names) < bound, F.lit(code)) for code, names, bound in METRICS]
-    for code, phrases in rules:
-        cond = any_of(phrases.split("&")[0])
-        for more in phrases.split("&")[1:]:
+    for code, first, *others in rules:
+        cond = any_of(first)
+        for more in others:
             cond = cond & any_of(more)
         parts.append(F.when(cond, F.lit(code)))
     found = F.array_compact(F.array(*parts))

@@ -2,34 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candela.operators import events as E
 
-# Failure mode and its two recommendations, in order.
-RECOMMENDATIONS = """
-SYN_LOW_YIELD | Revisit synthesis chemistry and optimize equivalents/reaction conditions. | Add an alternate synthetic route contingency before rerunning this sequence.
-SYN_LOW_CRUDE_PURITY | Improve purification design before rerun (extra polishing step or alternate resin). | Benchmark impurity profile against historical route controls.
-SYN_HYDROPHOBIC_SEQUENCE | Review hydrophobe burden and consider polar substitutions. | Run solubility-focused analog redesign before repeating synthesis.
-SYN_SEQUENCE_LENGTH_RISK | Consider length-optimized truncation/extension experiments. | Retune design constraints to avoid out-of-distribution sequence lengths.
-SYN_CYCLISATION_FAILED | Reassess cyclization chemistry and protecting group strategy. | Explore orthogonal cyclization chemistry for the backup route.
-SYN_MODIFICATION_FAILED | Verify modification reagents and orthogonal reaction order. | Retry with a fallback modification route and tighter QC checks.
-SYN_SCALE_UP_FAILED | Prototype scale-up conditions in staged pilot batches before rerun. | Split process transfer into stages to isolate bottlenecks.
-PURIFICATION_DIFFICULT | Design purification handles or alternative cleanup strategy before synthesis. | Evaluate fast-condition screening for yield/purity tradeoffs.
-NO_BINDING | Recheck assay controls and replicate measurements. | Revisit target engagement assumptions and add orthogonal readouts.
-WEAK_BINDING | Run broader concentration-response series across orthogonal assays. | Prioritize analogs with improved contact surface and selectivity potential.
-NON_SPECIFIC_BINDING | Add counter-screening against an off-target panel. | Refine design constraints for selectivity before next synthesis.
-OFF_TARGET_SIGNAL | Run a cleaned specificity panel before repeating synthesis. | Trim motifs linked to known off-target signatures.
-NO_FUNCTIONAL_EFFECT | Investigate alternate functional readout and timing points. | Review model system validity and control gating before repeating.
-ASSAY_INTERFERENCE | Re-run in orthogonal assay chemistry with strengthened controls. | Collect signal-to-background and blank-corrected baseline first.
-LOW_AQUEOUS_SOLUBILITY | Improve assay and formulation pre-checks for solubility. | Screen polar substitutions before rerunning the assay.
-AGGREGATION | Run pre-assay aggregation diagnostics and adjust assay format. | Avoid formulation conditions that trigger rapid aggregation.
-AGGREGATED_PRODUCT | Check peptide handling conditions and storage before rerun. | Add stabilising workflow guards (shorter hold times, chilled handling).
-PRECIPITATION | Investigate buffer composition and concentration envelope changes. | Re-evaluate formulation conditions before next rerun.
-MODEL_OVERCONFIDENCE | Tighten uncertainty capture and reduce exploitation pressure. | Broaden exploration before additional synthesis commitments.
-WRONG_BINDING_SITE | Validate binding-site assumptions before revisiting design. | Add binding-site probes to next design batch.
-"""
+# Failure mode and its recommendations, in order.
+RECOMMENDATIONS = {
+    "SYN_LOW_YIELD": ["Revisit synthesis chemistry and optimize equivalents/reaction conditions.", "Add an alternate synthetic route contingency before rerunning this sequence."],
+    "SYN_LOW_CRUDE_PURITY": ["Improve purification design before rerun (extra polishing step or alternate resin).", "Benchmark impurity profile against historical route controls."],
+    "SYN_HYDROPHOBIC_SEQUENCE": ["Review hydrophobe burden and consider polar substitutions.", "Run solubility-focused analog redesign before repeating synthesis."],
+    "SYN_SEQUENCE_LENGTH_RISK": ["Consider length-optimized truncation/extension experiments.", "Retune design constraints to avoid out-of-distribution sequence lengths."],
+    "SYN_CYCLISATION_FAILED": ["Reassess cyclization chemistry and protecting group strategy.", "Explore orthogonal cyclization chemistry for the backup route."],
+    "SYN_MODIFICATION_FAILED": ["Verify modification reagents and orthogonal reaction order.", "Retry with a fallback modification route and tighter QC checks."],
+    "SYN_SCALE_UP_FAILED": ["Prototype scale-up conditions in staged pilot batches before rerun.", "Split process transfer into stages to isolate bottlenecks."],
+    "PURIFICATION_DIFFICULT": ["Design purification handles or alternative cleanup strategy before synthesis.", "Evaluate fast-condition screening for yield/purity tradeoffs."],
+    "NO_BINDING": ["Recheck assay controls and replicate measurements.", "Revisit target engagement assumptions and add orthogonal readouts."],
+    "WEAK_BINDING": ["Run broader concentration-response series across orthogonal assays.", "Prioritize analogs with improved contact surface and selectivity potential."],
+    "NON_SPECIFIC_BINDING": ["Add counter-screening against an off-target panel.", "Refine design constraints for selectivity before next synthesis."],
+    "OFF_TARGET_SIGNAL": ["Run a cleaned specificity panel before repeating synthesis.", "Trim motifs linked to known off-target signatures."],
+    "NO_FUNCTIONAL_EFFECT": ["Investigate alternate functional readout and timing points.", "Review model system validity and control gating before repeating."],
+    "ASSAY_INTERFERENCE": ["Re-run in orthogonal assay chemistry with strengthened controls.", "Collect signal-to-background and blank-corrected baseline first."],
+    "LOW_AQUEOUS_SOLUBILITY": ["Improve assay and formulation pre-checks for solubility.", "Screen polar substitutions before rerunning the assay."],
+    "AGGREGATION": ["Run pre-assay aggregation diagnostics and adjust assay format.", "Avoid formulation conditions that trigger rapid aggregation."],
+    "AGGREGATED_PRODUCT": ["Check peptide handling conditions and storage before rerun.", "Add stabilising workflow guards (shorter hold times, chilled handling)."],
+    "PRECIPITATION": ["Investigate buffer composition and concentration envelope changes.", "Re-evaluate formulation conditions before next rerun."],
+    "MODEL_OVERCONFIDENCE": ["Tighten uncertainty capture and reduce exploitation pressure.", "Broaden exploration before additional synthesis commitments."],
+    "WRONG_BINDING_SITE": ["Validate binding-site assumptions before revisiting design.", "Add binding-site probes to next design batch."],
+}
 # What is recommended without failure modes, and for modes without a recommendation.
 ADVANCED = ["Advance to orthogonal confirmation assays.", "Prioritize the candidate for synthesis and CRO handoff if not complete."]
 UNKNOWN_MODE = ["Re-check protocol assumptions and rerun only after controls are tightened."]
@@ -38,12 +38,6 @@ REJECTED_ALTERNATIVES = ["Retest under alternate assay conditions", "Revisit seq
 ADVANCED_ALTERNATIVES = ["Broaden orthogonal assay set", "Proceed to CRO confirmation if not already complete"]
 
 
-def recommendation_table(spark: SparkSession, text: str = RECOMMENDATIONS) -> DataFrame:
-    """(failure_mode, pos, recommendation): some forty rows."""
-    rows = [[x.strip() for x in line.split(" | ")] for line in text.strip().splitlines()]
-    return spark.createDataFrame([(r[0], k, x) for r in rows for k, x in enumerate(r[1:])], "failure_mode string, pos int, recommendation string")
-
-
 def _strings(values: list[str]) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
@@ -52,11 +46,10 @@ def status(modes: Column) -> Column:
     return F.when(F.size(modes) > 0, "rejected").otherwise("advanced")
 
 
-def recommended(modes: Column, text: str = RECOMMENDATIONS) -> Column:
+def recommended(modes: Column, table: dict[str, list[str]] = RECOMMENDATIONS) -> Column:
     """The recommendations of the modes in order, each once; fallbacks where there are none. Narrow: the table is a literal map."""
-    rows = [[x.strip() for x in line.split(" | ")] for line in text.strip().splitlines()]
-    table = F.create_map(*(y for r in rows for y in (F.lit(r[0]), _strings(r[1:]))))
-    found = F.array_distinct(F.flatten(F.transform(modes, lambda m: F.coalesce(F.try_element_at(table, m), F.array().cast("array<string>")))))
+    known = F.create_map(*(y for mode, texts in table.items() for y in (F.lit(mode), _strings(texts))))
+    found = F.array_distinct(F.flatten(F.transform(modes, lambda m: F.coalesce(F.try_element_at(known, m), F.array().cast("array<string>")))))
     return F.when(F.size(modes) == 0, _strings(ADVANCED)).when(F.size(found) > 0, found).otherwise(_strings(UNKNOWN_MODE))
 
 

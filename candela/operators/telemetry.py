@@ -9,20 +9,20 @@ from candela.functions.binding import let
 
 # Canonical fields and the vendor headers that mean them.
 ALIASES = {
-    "candidate_id": "candidate_id candidateid id peptide_id name sample_id",
-    "crude_purity_pct": "crude_purity crude_purity_pct crude_purity_% crude_purity(%) purity_crude",
-    "purified_purity_pct": "purified_purity purified_purity_pct purity purity_% hplc_purity purity_pct",
-    "yield_mg": "yield yield_mg yield_(mg) mass_yield_mg",
-    "mass_observed_da": "mass_obs mass_observed observed_mass mw_obs m_obs",
-    "mass_expected_da": "mass_exp mass_expected expected_mass mw_exp calc_mw m_exp",
-    "solubility_mg_ml": "solubility solubility_mg_ml solubility_(mg/ml) sol_mg_ml",
-    "aggregation_index": "aggregation aggregation_index agg_index agg_score",
-    "dls_polydispersity": "dls_pdi pdi polydispersity dls_polydispersity",
-    "kd_nm": "kd kd_nm kd_(nm) affinity_kd_nm",
-    "kon_1_ms": "kon kon_1_ms k_on kon_(1/ms)",
-    "koff_1_s": "koff koff_1_s k_off koff_(1/s)",
-    "ic50_nm": "ic50 ic50_nm ic50_(nm)",
-    "censored": "censored is_censored above_detection_limit censored_above_limit",
+    "candidate_id": ["candidate_id", "candidateid", "id", "peptide_id", "name", "sample_id"],
+    "crude_purity_pct": ["crude_purity", "crude_purity_pct", "crude_purity_%", "crude_purity(%)", "purity_crude"],
+    "purified_purity_pct": ["purified_purity", "purified_purity_pct", "purity", "purity_%", "hplc_purity", "purity_pct"],
+    "yield_mg": ["yield", "yield_mg", "yield_(mg)", "mass_yield_mg"],
+    "mass_observed_da": ["mass_obs", "mass_observed", "observed_mass", "mw_obs", "m_obs"],
+    "mass_expected_da": ["mass_exp", "mass_expected", "expected_mass", "mw_exp", "calc_mw", "m_exp"],
+    "solubility_mg_ml": ["solubility", "solubility_mg_ml", "solubility_(mg/ml)", "sol_mg_ml"],
+    "aggregation_index": ["aggregation", "aggregation_index", "agg_index", "agg_score"],
+    "dls_polydispersity": ["dls_pdi", "pdi", "polydispersity", "dls_polydispersity"],
+    "kd_nm": ["kd", "kd_nm", "kd_(nm)", "affinity_kd_nm"],
+    "kon_1_ms": ["kon", "kon_1_ms", "k_on", "kon_(1/ms)"],
+    "koff_1_s": ["koff", "koff_1_s", "k_off", "koff_(1/s)"],
+    "ic50_nm": ["ic50", "ic50_nm", "ic50_(nm)"],
+    "censored": ["censored", "is_censored", "above_detection_limit", "censored_above_limit"],
 }
 STAGES = ("stage_1_crude_lcms", "stage_2_purified_qc", "stage_3_bioassay")
 #: What a field counts as where a record lacks it; the expected mass falls back to the observed one.
@@ -32,7 +32,7 @@ DEFAULTS = {"crude_purity_pct": 50.0, "yield_mg": 5.0, "mass_observed_da": 1000.
 def canonical_keys(fields: Column) -> Column:
     """A map of raw headers to values with canonical keys: headers trimmed, lower-cased, spaces as underscores, known ones
     renamed, blank values dropped; of two headers for one field the later wins."""
-    to = F.create_map(*(F.lit(x) for k, names in ALIASES.items() for a in names.split() for x in (a, k)))
+    to = F.create_map(*(F.lit(x) for k, names in ALIASES.items() for a in names for x in (a, k)))
     entries = F.filter(F.map_entries(fields), lambda e: F.coalesce(F.trim(e["value"].cast("string")), F.lit("")) != "")
     named = F.transform(entries, lambda e: F.struct(F.replace(F.lower(F.trim(e["key"])), F.lit(" "), F.lit("_")).alias("key"), e["value"].alias("value")))
     named = F.transform(named, lambda e: F.struct(F.coalesce(F.try_element_at(to, e["key"]), e["key"]).alias("key"), e["value"].alias("value")))

@@ -9,8 +9,8 @@ from candela.operators import telemetry as T
 from candela.queries.tables import SEQ_HASH, seq_hash, table
 
 CAMPAIGN, RUN = "CAMP", "R1"
-#: Phrases that occur in the given texts, in place of laboratory narrative.
-WORD_RULES = [("NO_BINDING", "with the|avec"), ("WEAK_BINDING", "from the|mit der"), ("PRECIPITATION", "this is"), ("BUFFER_INCOMPATIBILITY", "and the&of the|in the"), ("AGGREGATION", "%%%"), ("ASSAY_INTERFERENCE", "licensed")]
+#: Every phrase of the narrative rules; one of them, or none, is written behind each text.
+PHRASES = [" and ".join(some) for _, *lists in results.RULES for some in ([*(x[0] for x in lists)], *([p] for p in lists[0][1:]))] + ["nothing of note"] * 20
 
 
 def _drop(spark, sf_dir):
@@ -92,7 +92,7 @@ def _candidate(doc_id):
 
 def _results(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("seq"), F.concat(F.lit("r"), "doc_id").alias("result_id"), _candidate(F.col("doc_id")).alias("candidate_id"), results.classify(F.col("text"), rules=WORD_RULES).alias("failure_modes"))
+    return d.select(F.col("doc_id").alias("seq"), F.concat(F.lit("r"), "doc_id").alias("result_id"), _candidate(F.col("doc_id")).alias("candidate_id"), results.classify(F.concat("text", F.lit(" "), F.get(F.array(*map(F.lit, PHRASES)), (F.col("doc_id") % len(PHRASES)).cast("int")))).alias("failure_modes"))
 
 
 def failure_modes(spark, sf_dir):
@@ -191,19 +191,21 @@ _LAST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id
 _PASS2 = "(crude >= 90 AND solubility_mg_ml >= 0.5 AND aggregation_index <= 0.30)"
 
 
-def _rules_sql(text: str = "text") -> str:
-    has = lambda ps: "(" + " OR ".join(f"contains(lower({text}), '{p}')" for p in ps.split("|")) + ")"
-    return ", ".join(f"CASE WHEN {' AND '.join(has(x) for x in phrases.split('&'))} THEN '{code}' END" for code, phrases in WORD_RULES)
+def _rules_sql() -> str:
+    has = lambda ps: "(" + " OR ".join(f"contains(t, '{p}')" for p in ps) + ")"
+    return ", ".join(f"CASE WHEN {' AND '.join(map(has, lists))} THEN '{code}' END" for code, *lists in results.RULES)
 
 
-_MODES = "list_filter([" + _rules_sql() + "], lambda x: x IS NOT NULL)"
-_RES = f"(SELECT doc_id AS seq, 'r' || doc_id AS result_id, CASE WHEN doc_id % 20 = 0 THEN 'x' || doc_id ELSE 'c' || (doc_id // 3 + 1) END AS candidate_id, {_MODES} AS modes FROM documents)"
+_NARRATIVE = "lower(text || ' ' || ([" + ", ".join(f"'{p}'" for p in PHRASES) + f"])[doc_id % {len(PHRASES)} + 1])"
+_FOUND = "list_filter([" + _rules_sql() + "], lambda x: x IS NOT NULL)"
+_MODES = f"list_transform(list_filter(range(1, len(f) + 1), lambda i: list_position(f, f[i]) = i), lambda i: f[i])"
+_RES = f"(SELECT doc_id AS seq, 'r' || doc_id AS result_id, CASE WHEN doc_id % 20 = 0 THEN 'x' || doc_id ELSE 'c' || (doc_id // 3 + 1) END AS candidate_id, {_MODES} AS modes FROM (SELECT doc_id, {_FOUND} AS f FROM (SELECT doc_id, {_NARRATIVE} AS t FROM documents)))"
 _KNOWN = "(SELECT 'c' || c_custkey AS id FROM customer)"
 
 
 def _recommend_sql() -> str:
-    rows = [[x.strip().replace("'", "''") for x in line.split(" | ")] for line in review.RECOMMENDATIONS.strip().splitlines()]
-    cases = " ".join(f"WHEN '{r[0]}' THEN ['{r[1]}', '{r[2]}']" for r in rows)
+    quoted = lambda texts: ", ".join("'" + x.replace("'", "''") + "'" for x in texts)
+    cases = " ".join(f"WHEN '{mode}' THEN [{quoted(texts)}]" for mode, texts in review.RECOMMENDATIONS.items())
     flat = f"flatten(list_transform(modes, lambda m: CASE m {cases} ELSE [] END))"
     first = f"list_transform(list_filter(range(1, len({flat}) + 1), lambda i: list_position({flat}, ({flat})[i]) = i), lambda i: ({flat})[i])"
     return f"CASE WHEN len(modes) = 0 THEN {review.ADVANCED!r} WHEN len({flat}) > 0 THEN {first} ELSE {review.UNKNOWN_MODE!r} END"
@@ -241,6 +243,6 @@ SQL = {
     "failure_rate_window": "SELECT CAST(user_id AS VARCHAR) AS agent, event_id AS seq, round(avg((value % 1 < 0.35)::INT) OVER w, 6) AS failure_rate, count(*) OVER w AS n_calls FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)",
     "triage": "SELECT l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'red' WHEN l_quantity / 50 >= 0.80 AND 1 - l_tax * 2 >= 0.85 AND l_discount <= 0.08 AND l_tax * 5 <= 0.35 THEN 'green' ELSE 'amber' END AS colour, count(*) AS n FROM lineitem GROUP BY 1, 2",
     "distinct_sources": "SELECT v AS value, count(*) AS n FROM (SELECT source AS v FROM documents UNION ALL SELECT lang FROM documents) GROUP BY v",
-    "failure_attribution": f"SELECT cause, count(*) AS n FROM (SELECT DISTINCT seq, CASE WHEN m IN ('NO_BINDING', 'WEAK_BINDING') THEN 'binding' WHEN m IN ('PRECIPITATION', 'AGGREGATION') THEN 'solubility' ELSE 'other' END AS cause FROM (SELECT seq, unnest(modes) AS m FROM {_RES} AS r)) GROUP BY cause",
+    "failure_attribution": f"SELECT cause, count(*) AS n FROM (SELECT DISTINCT seq, CASE WHEN m LIKE 'SYN%' THEN 'synthesis' WHEN m IN ('PURIFICATION_DIFFICULT', 'COELUTING_IMPURITIES', 'ANALYTICAL_AMBIGUITY', 'LCMS_MISMATCH') THEN 'purification' WHEN m IN ('LOW_AQUEOUS_SOLUBILITY', 'PRECIPITATION', 'AGGREGATION') THEN 'solubility' WHEN m IN ('NO_BINDING', 'WEAK_BINDING', 'WRONG_BINDING_SITE') THEN 'binding' WHEN m IN ('MODEL_OVERCONFIDENCE', 'DOCKING_ARTEFACT', 'STRUCTURE_PREDICTION_ARTEFACT', 'DATA_LEAKAGE') THEN 'model' ELSE 'other' END AS cause FROM (SELECT seq, unnest(modes) AS m FROM {_RES} AS r)) GROUP BY cause",
     "motif_sweep": f"SELECT doc_id AS candidate_id, motif, flag FROM {SEQ_HASH} AS t JOIN (VALUES ('DG', 'ASP'), ('PPP', 'PRO'), ('CYC', 'CYS')) AS m(motif, flag) ON contains(sequence, motif)",
 }
