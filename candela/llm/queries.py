@@ -109,13 +109,13 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 OP2_SQL = """
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(replace(coalesce(text, ''), '<|', '< |'), '|>', '| >') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 j AS (SELECT t.conv_id, p.perspective, t.turn, t.text, t.speaker = p.perspective AS mine,
              CASE WHEN t.speaker = p.perspective THEN 'assistant' WHEN t.speaker = 'system' THEN 'system' ELSE 'user' END AS role,
              CASE WHEN t.speaker <> p.perspective AND t.speaker <> 'system' THEN t.speaker END AS name
       FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-h AS (SELECT *, '<|' || role || coalesce(' name=' || name, '') || '|>' || chr(10) AS head FROM j)
+h AS (SELECT *, '<|' || role || coalesce(' name=' || replace(replace(name, '<|', '< |'), '|>', '| >'), '') || '|>' || chr(10) AS head FROM j)
 SELECT conv_id, perspective, turn, role, name, head || text || '<|end|>' || chr(10) AS rendered,
        CASE WHEN mine THEN CAST(length(head) AS BIGINT) ELSE 0 END AS loss_start,
        CASE WHEN mine THEN CAST(length(head) + length(text) + 7 AS BIGINT) ELSE 0 END AS loss_end

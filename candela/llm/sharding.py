@@ -128,7 +128,7 @@ def spread(sizes: list[int], shards: int) -> list[int]:
         return at if fit.bins <= shards else None
 
     total = sum(sizes)
-    low, high = max([math.ceil(total / shards), *sizes[:0], max(sizes, default=0)]), total
+    low, high = max(math.ceil(total / shards), max(sizes, default=0)), total
     best = [0] * len(order)
     step = max(1, (low // 4096))
     while low <= high:  # gallop from the lower bound, then bisect

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candela.llm.common import LOWER_BYTES, fresh, stored, with_columns
+from candela.llm.common import LOWER_BYTES, fresh, slices, small_batches, stored, with_columns
 
 #: Fingerprints that one bucket should hold, and variants that one step in a bucket sorts at once.
 BUCKET, STEP = 2048, 4_000_000
@@ -157,6 +157,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
 
 
+def one_row_each(docs: DataFrame, prints: DataFrame, roots: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of each root: ``prints`` has (doc_id, owner, ``key``), ``roots`` (``key``, root)."""
+    owner = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    k_id, k_owner = fresh(docs, "one_id"), fresh(docs, "one_owner")
+    one = prints.join(roots, key).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "owner")).alias("k")).select(F.col("k.doc_id").alias(k_id), F.col("k.owner").alias(k_owner))
+    left = docs.join(one, F.col(id_col).eqNullSafe(F.col(k_id)) & (owner == F.col(k_owner)), "left_semi")
+    twice = prints.groupBy("doc_id", "owner").count().where("count > 1")
+    return left if twice.isEmpty() else left.dropDuplicates([id_col, text_col])
+
+
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """``docs`` with one row of each component: the least id, null ids last, then the least text hash.
 
@@ -164,7 +174,178 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     owner = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     prints = stored(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), owner.alias("owner")), keep=["doc_id", "owner"]), "prints")
-    one = prints.join(rooted_prints(prints, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "owner")).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.owner").alias("k_owner"))
-    left = docs.join(one, F.col(id_col).eqNullSafe(F.col("k_id")) & (owner == F.col("k_owner")), "left_semi")
-    twice = prints.groupBy("doc_id", "owner").count().where("count > 1")
-    return left if twice.isEmpty() else left.dropDuplicates([id_col, text_col])
+    return one_row_each(docs, prints, rooted_prints(prints, radius).select("fp", "root"), "fp", id_col, text_col)
+
+
+#: The wide search for similar texts: bands of a long SimHash, bits a band, and its least certain bits that variants flip.
+BANDS, BAND_BITS, DOUBTFUL = 13, 48, 8
+_WORDS = -(-BANDS * BAND_BITS // 64)
+_KEYS = np.arange(1, _WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: str | None, width: int) -> set[bytes]:
+    """The distinct ``width``-word shingles of the lower-cased text; fewer words make one shingle."""
+    words = text.encode("utf-8", "replace").translate(LOWER_BYTES).split() if text else []
+    if len(words) <= width:
+        return {b" ".join(words)} if words else set()
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
+    return {joined[a:b] for a, b in zip(starts, ends[width - 1 :].tolist(), strict=False)}
+
+
+def long_bits(hashes: np.ndarray) -> np.ndarray:
+    """A row of ``BANDS * BAND_BITS`` bits a shingle hash (the finaliser of splitmix64 on keyed hashes)."""
+    z = hashes[:, None] + _KEYS[None, :]
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    return np.unpackbits(z.astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, : BANDS * BAND_BITS]
+
+
+def banded(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bands of each text's SimHash over distinct shingles, and masks of the DOUBTFUL bits nearest to a tie."""
+    from xxhash import xxh64_intdigest
+
+    each = [np.fromiter((xxh64_intdigest(x, 42) for x in shingles(t, width)), np.uint64) for t in texts]
+    sizes = np.array([len(h) for h in each])
+    hashes, doc = np.concatenate([np.zeros(0, np.uint64), *each]), np.repeat(np.arange(len(each)), sizes)
+    ones = np.zeros((len(each), BANDS * BAND_BITS), np.int32)
+    for at in range(0, len(hashes), 1 << 14):
+        of = doc[at : at + (1 << 14)]
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        ones[of[first]] += np.add.reduceat(long_bits(hashes[at : at + (1 << 14)]), first, axis=0, dtype=np.int32)
+    lean = (2 * ones - sizes[:, None]).reshape(-1, BANDS, BAND_BITS)
+    place = np.uint64(1) << np.arange(BAND_BITS, dtype=np.uint64)
+    doubt = np.argsort(np.abs(lean), axis=2, kind="stable")[:, :, :DOUBTFUL]
+    return ((lean > 0) * place).sum(axis=2, dtype=np.uint64), place[doubt].sum(axis=2, dtype=np.uint64)
+
+
+def bands(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(owner, fps, doubts) of ``docs`` (owner, text)."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 2 << 20):
+                fps, doubts = banded(part.column("text").to_pylist(), width)
+                bounds = pa.array(np.arange(0, fps.size + 1, BANDS, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("owner"), *(pa.ListArray.from_arrays(bounds, pa.array(x.ravel().view(np.int64))) for x in (fps, doubts))], names=["owner", "fps", "doubts"])
+
+    small_batches(docs.sparkSession)
+    return docs.select("owner", "text").mapInArrow(run, "owner long, fps array<long>, doubts array<long>")
+
+
+def subsets(masks: np.ndarray):
+    """(rows, all sub-masks of each row's mask), for rows with equally many bits at a time."""
+    many = np.bitwise_count(masks)
+    for k in np.unique(many).tolist():
+        rows = np.flatnonzero(many == k)
+        left, out = masks[rows], np.zeros((len(rows), 1 << k), np.uint64)
+        for j in range(k):
+            low = left & (~left + np.uint64(1))
+            left = left ^ low
+            out[:, 1 << j : 2 << j] = out[:, : 1 << j] ^ low[:, None]
+        yield rows, out
+
+
+def collide(fps: np.ndarray, doubts: np.ndarray, owners: np.ndarray, bits: int) -> list[np.ndarray]:
+    """(least owner, owner) of all that share a variant of their low ``bits`` bits; places with too many are halved first."""
+    if len(fps) < 2:
+        return []
+    if (1 << np.bitwise_count(doubts).astype(np.int64)).sum() > STEP and bits > 1:
+        one = np.uint64(1 << (bits - 1))
+        is_one, can, rest, out = (fps & one) != 0, (doubts & one) != 0, doubts & ~one, []
+        for side in (False, True):
+            mine = (is_one == side) | can
+            out += collide(fps[mine], rest[mine], owners[mine], bits - 1)
+        return out
+    low = np.uint64((1 << bits) - 1)
+    made = [((fps[rows] & low)[:, None] ^ flips, np.repeat(owners[rows], flips.shape[1])) for rows, flips in subsets(doubts)]
+    variants, owner = np.concatenate([v.ravel() for v, _ in made]), np.concatenate([o for _, o in made])
+    ordered = np.sort(variants)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return []
+    where = np.minimum(np.searchsorted(twice, variants), len(twice) - 1)
+    hit = twice[where] == variants
+    group, owner = where[hit], owner[hit]
+    order = np.lexsort((owner, group))
+    group, owner = group[order], owner[order]
+    first = np.concatenate(([True], group[1:] != group[:-1]))
+    head = owner[np.flatnonzero(first)][np.cumsum(first) - 1]
+    pairs = np.stack((head, owner), 1)[head != owner]
+    return [np.unique(pairs, axis=0)] if len(pairs) else []
+
+
+def candidates(prints: DataFrame) -> DataFrame:
+    """(a, b): owners of ``prints`` (owner, fps, doubts; distinct, stored) that share a variant, each with the least there."""
+    depth = min(24, max(2, math.ceil(math.log2(max(prints.count(), 1) / BUCKET + 1))))
+    low = np.uint64((1 << (BAND_BITS - depth)) - 1)
+
+    def emit(batches):
+        for b in batches:
+            owner = b.column("owner").to_numpy()
+            fps, doubts = (b.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, BANDS) for c in ("fps", "doubts"))
+            for band in range(BANDS):
+                fp, doubt = np.ascontiguousarray(fps[:, band]), np.ascontiguousarray(doubts[:, band])
+                for rows, flips in subsets(doubt & ~low):
+                    bucket = ((fp[rows][:, None] ^ flips) >> np.uint64(BAND_BITS - depth)) | np.uint64(band << depth)
+                    again = np.repeat(rows, flips.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), pa.array((fp[again] & low).view(np.int64)), pa.array((doubt[again] & low).view(np.int64)), pa.array(owner[again])], names=["bucket", "fp", "doubt", "owner"])
+
+    def join(table):
+        found = collide(table.column("fp").to_numpy().view(np.uint64), table.column("doubt").to_numpy().view(np.uint64), table.column("owner").to_numpy(), BAND_BITS - depth)
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+
+    return prints.mapInArrow(emit, "bucket long, fp long, doubt long, owner long").groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose ``texts`` (owner, text) have a Jaccard similarity of shingle sets of at least ``similarity``."""
+
+    def run(batches):
+        last, mine = None, set()
+        for batch in batches:
+            for part in slices(batch):
+                keep = []
+                for a, x, y in zip(part.column("a").to_pylist(), part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), strict=True):
+                    if a != last:
+                        last, mine = a, shingles(x, width)
+                    other = shingles(y, width)
+                    both = len(mine & other)
+                    keep.append(both >= similarity * (len(mine) + len(other) - both))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    j = pairs.join(texts.select(F.col("owner").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("owner").alias("a"), F.col("text").alias("text_a")), "a")
+    return j.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def similar(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """For ``docs`` (doc_id, owner, text): the distinct owners, and (owner, root) with equal roots for linked texts.
+
+    Copies are settled by their hash. Other texts meet by ball hashing of a banded SimHash: the fingerprint of every band
+    emits all variants of its DOUBTFUL least certain bits, so two meet wherever each bit in which they differ is doubtful to
+    one of them, and those that collide are verified by the exact similarity of their shingle sets.
+    """
+    ids = stored(docs.select("doc_id", "owner"), "ids")
+    first = docs.groupBy("owner").agg(F.min("text").alias("text"))
+    prints = stored(bands(first, width), "bands")
+    pairs = stored(candidates(prints), "candidates")
+    used = pairs.select(F.col("a").alias("owner")).union(pairs.select(F.col("b").alias("owner"))).distinct()
+    texts = stored(docs.join(used, "owner", "left_semi").groupBy("owner").agg(F.min("text").alias("text")), "compared")
+    root = components(verified(pairs, texts, width, similarity))
+    return ids, stored(prints.select("owner").join(root.withColumnRenamed("v", "owner"), "owner", "left").withColumn("root", F.coalesce("root", "owner")), "roots")
+
+
+def one_of_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of texts that are linked by a Jaccard similarity of ``width``-word shingles of at
+    least ``similarity``: the least id, null ids last, then the least text hash.
+
+    Null, empty and blank texts are one group; texts of fewer words are one shingle; very long texts are compared whole; rows
+    that repeat in id and text count once; no rows, no rows. All columns stay as they are and may have any name.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("owner"), text.alias("text"))
+    ids, roots = similar(plain, width=width, similarity=similarity)
+    return one_row_each(docs, ids, roots, "owner", id_col, text_col)

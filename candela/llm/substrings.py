@@ -23,26 +23,11 @@ from pyspark.sql import types as T
 from candela.llm.common import slices, small_batches, space_words, stored, with_columns
 
 WIDTH, SEED = 13, 5
-CACHE_WORDS = 500_000
+#: Parts of a group of copies, so that a text that very many documents share is no one task's.
+SALTS = 8
 _ODD = np.random.default_rng(7).integers(1, 2**63, (3, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # multipliers of the rolling hashes
 
 
-class WordHashes(dict):
-    """Words of this task to a 64-bit hash; emptied beyond CACHE_WORDS words, which costs time, not results."""
-
-    def __init__(self, seed: int):
-        super().__init__()
-        self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word, self.seed)
-        return h
-
-
 def rolled(words: np.ndarray, width: int, which: int) -> np.ndarray:
     """Hash of each run of ``width`` words."""
     n = len(words) - width + 1
@@ -54,9 +39,11 @@ def rolled(words: np.ndarray, width: int, which: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def hashed(texts: pa.Array, *tables: WordHashes) -> tuple[list[np.ndarray], np.ndarray]:
-    """The word hashes of all texts, one after the other, by each table, and the bounds of each text; a distinct word is
-    looked up once."""
+def hashed(texts: pa.Array, *keys: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The word hashes of all texts, one after the other, by each key, and the bounds of each text; a distinct word is hashed
+    once."""
+    from xxhash import xxh64_intdigest
+
     lists = pc.ascii_split_whitespace(texts)
     bounds = np.asarray(lists.offsets).astype(np.int64)
     coded = lists.flatten().cast(pa.binary()).dictionary_encode()
@@ -64,7 +51,7 @@ def hashed(texts: pa.Array, *tables: WordHashes) -> tuple[list[np.ndarray], np.n
     word = np.array([len(x) > 0 for x in names], bool)[code]  # white space at an end leaves an empty string
     bounds = np.concatenate(([0], np.cumsum(word)))[bounds - bounds[0]]
     code = code[word]
-    return [np.fromiter(map(t.__getitem__, names), np.uint64, len(names))[code] for t in tables], bounds
+    return [np.fromiter((xxh64_intdigest(x, k) for x in names), np.uint64, len(names))[code] for k in keys], bounds
 
 
 def settled(keys: tuple[np.ndarray, ...], row: np.ndarray, place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
@@ -97,13 +84,12 @@ def anchors(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """(key, owner, doc_id, pos, sure) of ``docs`` (doc_id, owner, text); sure: known here to be in several texts."""
 
     def run(batches):
-        table = WordHashes(11)
         for batch in batches:
             for part in slices(batch):
                 ids, owners = part.column("doc_id").to_numpy(), part.column("owner").to_numpy()
                 least = np.argsort(ids, kind="stable")
                 some = np.sort(least[np.unique(owners[least], return_index=True)[1]])  # of copies in this slice only the least id can count
-                (words,), bounds = hashed(part.column("text").take(pa.array(some)), table)
+                (words,), bounds = hashed(part.column("text").take(pa.array(some)), 11)
                 if len(words) < width:
                     continue
                 of = np.repeat(np.arange(len(some)), np.diff(bounds))
@@ -124,11 +110,10 @@ def extended(found: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFram
     128-bit hash of two independent halves; sure: known here to start in a smaller document."""
 
     def run(batches):
-        tables = WordHashes(11), WordHashes(12)
         for batch in batches:
             for part in slices(batch):
                 ids, owners, at = part.column("doc_id").to_numpy(), part.column("owner").to_numpy(), part.column("at")
-                halves, bounds = hashed(part.column("text"), *tables)
+                halves, bounds = hashed(part.column("text"), 11, 12)
                 row = np.repeat(np.arange(len(ids)), np.diff(np.asarray(at.offsets)))
                 start = (np.asarray(at.flatten()) + bounds[row])[:, None] - np.arange(width - seed + 1)[None, :]
                 start = np.unique(start[(start >= bounds[row][:, None]) & (start + width <= bounds[row + 1][:, None])])
@@ -152,7 +137,9 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     least = Window.partitionBy("key")
     seen = ids.select("doc_id", "owner", F.unhex(F.sha2("text", 256)).alias("digest"))
     first = seen.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    copies = stored(seen.join(first, "digest").where("doc_id > first").select("doc_id", "owner").distinct(), "copies")
+    first = first.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    salted = seen.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    copies = stored(salted.join(first, ["digest", "salt"]).where("doc_id > first").select("doc_id", "owner").distinct(), "copies")
     shared = anchors(ids, width, seed).withColumn("lo", F.min("owner").over(least)).withColumn("hi", F.max("owner").over(least)).where("sure or lo < hi")
     places = shared.groupBy("doc_id", "owner").agg(F.flatten(F.collect_list("pos")).alias("at")).join(copies, ["doc_id", "owner"], "left_anti")
     found = ids.join(stored(places, "places"), ["doc_id", "owner"])
