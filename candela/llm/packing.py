@@ -221,4 +221,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
     columns may have any name.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return pack(stored(token_pieces(named, vocabulary, capacity=capacity, end_id=end_id, keep=["doc_id"], with_ids=with_ids), "pieces"), capacity)
+    if not with_ids:
+        return pack(stored(token_pieces(named, vocabulary, capacity=capacity, end_id=end_id, keep=["doc_id"]), "pieces"), capacity)
+    cut = stored(token_pieces(named, vocabulary, capacity=capacity, end_id=end_id, keep=["doc_id"], with_ids=True).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    return pack(cut.drop("ids"), capacity).join(cut.select("row", "ids"), "row").drop("row")  # the ids stay out of the planning passes
