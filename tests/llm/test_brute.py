@@ -424,13 +424,134 @@ def test_op10_keeps_good_and_drops_bad(spark):
     assert rate(1) > 0.99 and rate(0) < 0.2
 
 
+def word_sets(texts, width=5):
+    cut = {k: SPACE.findall((t or "").translate(LOWER)) for k, t in texts.items()}
+    return {k: {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set() for k, w in cut.items()}
+
+
+def alike(sets):
+    """Every pair with its Jaccard similarity; two texts without words are alike."""
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            union = len(sets[a] | sets[b])
+            yield a, b, len(sets[a] & sets[b]) / union if union else 1.0
+
+
+def linked_groups(sets, least=0.8):
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b, j in alike(sets):
+        if j >= least:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {k: find(k) for k in sets}
+
+
+def test_similar_texts_against_all_pairs(spark, texts):
+    """Near copies from 0.6 upwards: nothing below 0.8 is linked, nearly all above it are, and everything from 0.9 on."""
+    rnd, made = random.Random(11), {k: t for k, t in list(texts.items())[:60]}
+    vocabulary = [w for t in made.values() for w in t.split()]
+    long_ones = [t for t in texts.values() if 40 <= len(t.split()) <= 800][:40]
+    for t in long_ones:
+        for share in (0.003, 0.01, 0.02, 0.03, 0.06):
+            w = t.split()
+            for i in rnd.sample(range(len(w)), max(1, int(len(w) * share))):
+                w[i] = rnd.choice(vocabulary)
+            made[10_000 + len(made)] = " ".join(w)
+    made |= {20_000: "one two", 20_001: "One  TWO", 20_002: "one three", 20_003: "", 20_004: " ", 20_005: None}
+    d = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    ids, roots = simhash.similar(d.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("owner"), F.coalesce("text", F.lit("")).alias("text")))
+    got = {r.doc_id: r.root for r in ids.join(roots, "owner").collect()}
+    sets = word_sets(made)
+    true, seen = linked_groups(sets), defaultdict(lambda: [0, 0])
+    for a, b, j in alike(sets):
+        if got[a] == got[b]:
+            assert true[a] == true[b]
+        if j >= 0.8:
+            seen[j >= 0.9][0] += got[a] == got[b]
+            seen[j >= 0.9][1] += 1
+    assert seen[True][0] == seen[True][1] > 50 and seen[False][0] >= 0.85 * seen[False][1] > 10
+    assert got[20_000] == got[20_001] != got[20_002] and got[20_003] == got[20_004] == got[20_005]
+    left = {r.doc_id for r in simhash.one_of_similar(d).collect()}
+    assert left == {min(k for k in got if got[k] == r) for r in set(got.values())}
+
+
+def test_dense_places_are_halved(monkeypatch):
+    """A place with too many variants is split by further bits and finds the same links."""
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 1 << 40, 12, dtype=np.uint64)
+    fps = np.concatenate([base, *(base ^ np.uint64(1 << int(b)) for b in rnd.integers(0, 40, 20))])
+    doubts = np.array([sum(1 << int(b) for b in rnd.choice(40, 6, replace=False)) for _ in fps], np.uint64)
+    owners = rnd.permutation(len(fps)).astype(np.int64)
+    pairs = lambda: {tuple(p) for e in simhash.collide(fps, doubts, owners, 40) for p in e.tolist()}
+    whole = pairs()
+    monkeypatch.setattr(simhash, "STEP", 500)
+    assert whole and pairs() == whole
+
+
+def test_op6_bounds_are_quantiles(spark):
+    """The bounds of each language are the widened quantiles of its calibration documents, and they decide."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = Q.op6_quality(spark, sf).collect()
+    _, calibration = ngram_quality.dealt(labels.where("quality = 1 and toxic = 0").select("doc_id").distinct())
+    chosen = {r.doc_id for r in calibration.collect()}
+    by_lang = defaultdict(list)
+    for r in rows:
+        if r.doc_id in chosen and r.perplexity is not None:
+            by_lang[r.lang].append(r.perplexity)
+    assert len(by_lang) > 1
+    for r in rows:
+        if r.lang in by_lang:
+            p = sorted(by_lang[r.lang])
+            wider = ngram_quality.MARGIN ** (ngram_quality.FEW / max(ngram_quality.FEW, len(p))) ** 0.5
+            at = lambda q: p[max(0, math.ceil(q * len(p)) - 1)]  # noqa: B023, E731
+            assert r.low == pytest.approx(at(ngram_quality.LOWER) / wider) and r.high == pytest.approx(at(ngram_quality.UPPER) * wider)
+        assert r.kept == (r.perplexity is not None and r.low <= r.perplexity <= r.high)
+
+
 def test_pipeline_leaves_no_junk_copies_leaks_or_secrets(spark, texts):
-    """The pieces of the pipeline's end hold no contaminated document and at most one of each near-equal group."""
+    """The pieces of the pipeline's end hold no contaminated document and one of each group of similar ones, as ids in place."""
     import corpus_pipeline
 
-    ids = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()}
+    rows = corpus_pipeline.run(spark, SF).collect()
+    ids = {r.doc_id for r in rows}
     leaks = {r.doc_id for r in Q.op3_decontaminate(spark, SF).where("contaminated").collect()}
     kept = {r.doc_id for r in Q.op6_quality(spark, SF).where("kept").collect()}
     assert ids and not ids & leaks and ids <= kept
-    want = groups({k: v for k, v in prints(texts).items() if k in kept})
+    want = linked_groups(word_sets({k: texts[k] for k in kept}))
     assert ids == {k for k, c in want.items() if k == c} - leaks
+    clean = {k: texts[k] for k in ids}
+    for k in ids:
+        for a, b in reversed([(a, b) for a, _, b, _ in all_spans(texts[k])]):
+            clean[k] = clean[k][:a] + "[SECRET]" + clean[k][b:]
+    lib, seqs = library(), defaultdict(list)
+    whole = {k: lib.encode(t, add_special_tokens=False).ids + [1] for k, t in clean.items()}
+    plain = {k for k in ids if not any(x[2] >= y[0] for x, y in zip(all_spans(texts[k]), all_spans(texts[k])[1:], strict=False))}  # no touching spans
+    for r in rows:
+        assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        assert r.doc_id not in plain or r.ids == whole[r.doc_id][r.start : r.start + r.length]
+        seqs[r.sequence_id].append((r.offset, r.length))
+    for parts in seqs.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 4096
+    assert len(plain) > 0.9 * len(ids)
+
+
+def test_secret_stage_leaves_no_base_span(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r for r in corpus_pipeline.secret_scan(spark, docs, SF).collect()}
+    assert set(after) == set(before) and any(base_spans(t) for t in before.values())
+    assert not any(base_spans(r.text) for r in after.values()) and all(r.n_chars == len(r.text) for r in after.values())
