@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ["sequences", "governance", "selection", "laboratory", "records", "jobs"]
+SUBJECTS = ["sequences", "governance", "selection", "laboratory", "records", "jobs", "files"]
 
 
 def _all(name: str) -> dict:

@@ -158,6 +158,8 @@ SQL = {
     "patch_roundtrip": "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 5 = 0 THEN 'add=2;' ELSE '' END || 'nat=' || c_nationkey || ';seg=' || CASE WHEN c_custkey % 4 = 0 THEN 'NEW' ELSE c_mktsegment END AS fields FROM customer",
     "graph_descendants": f"WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT s, t FROM {_EDGES} AS e), r AS (SELECT s AS start, t AS id FROM e WHERE s IN ('r1', 'n7') UNION SELECT r.start, e.t FROM r JOIN e ON e.s = r.id) SELECT start, left(id, 1) AS kind, count(*) AS n FROM r GROUP BY 1, 2",
     "graph_ancestors": f"WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT s, t FROM {_EDGES} AS e), r AS (SELECT t AS start, s AS id FROM e WHERE t IN (SELECT 'o' || o_orderkey FROM orders WHERE o_orderkey % 50 = 0) UNION SELECT r.start, e.s FROM r JOIN e ON e.t = r.id) SELECT start, id FROM r",
+    "graph_cycle_check": f"""WITH RECURSIVE back AS (SELECT 'o' || o_orderkey AS s, 'n' || c_nationkey AS t FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (1, 2, 3)), e AS MATERIALIZED (SELECT DISTINCT s, t FROM {_EDGES} AS e UNION SELECT s, t FROM back),
+      r AS (SELECT t AS id FROM back UNION SELECT e.t FROM r JOIN e ON e.s = r.id) SELECT left(s, 1) AS kind, count(DISTINCT s) AS n FROM e WHERE s IN (SELECT id FROM r) GROUP BY 1""",
     "graph_integrity": f"SELECT 'error' AS severity, code, count(*) AS n FROM (SELECT 'EDGE_SOURCE_UNKNOWN' AS code FROM {_EDGES} AS e WHERE s IN ('n3', 'r2') UNION ALL SELECT 'EDGE_TARGET_UNKNOWN' FROM {_EDGES} AS e WHERE t IN ('n3', 'r2')) GROUP BY code",
     "graph_merge": "WITH new AS (SELECT c_custkey + 100 AS id FROM customer WHERE c_custkey % 3 = 0) SELECT node_type, count(*) AS n FROM (SELECT c_mktsegment AS node_type FROM customer WHERE c_custkey NOT IN (SELECT id FROM new) UNION ALL SELECT 'moved' FROM new) GROUP BY node_type",
     "artifact_validation": """SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'candidate' WHEN 1 THEN 'candidate' WHEN 2 THEN 'hypothesis' WHEN 3 THEN 'target' WHEN 4 THEN 'experimental_result' WHEN 5 THEN 'decision_record' END AS artifact_type,

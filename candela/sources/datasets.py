@@ -43,6 +43,42 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     return numbered(d.select(*(F.trim(F.col(f"`{c}`")).alias(c) for c in d.columns)))
 
 
+def read_typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``read_dataset`` with the columns of a DDL ``schema``: values that don't fit are null and their columns listed in
+    ``_invalid``; columns that the file lacks are null."""
+    from pyspark.sql.types import StructType
+
+    d = read_dataset(spark, path)
+    have = {c.lower(): c for c in d.columns}
+    raw = {f.name: F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None).cast("string") for f in StructType.fromDDL(schema)}
+    cast = {f.name: raw[f.name].try_cast(f.dataType) for f in StructType.fromDDL(schema)}
+    bad = F.array_compact(F.array(*(F.when((raw[n] != "") & c.isNull(), F.lit(n)) for n, c in cast.items())))
+    return d.select("_row_number", *(c.alias(n) for n, c in cast.items()), bad.alias("_invalid"))
+
+
+def expanded(spark: SparkSession, paths: list[str], suffixes: tuple[str, ...] = (".json", ".jsonl")) -> tuple[list[str], DataFrame]:
+    """The files of a list of files and folders, sorted and each once, and (path, error) rows of what is missing or has
+    another suffix. Only the listing that a read starts with is on the driver."""
+    conf, files, wrong = spark._jsc.hadoopConfiguration(), set(), []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        if not fs.exists(p):
+            wrong.append((path, "file does not exist"))
+            continue
+        status = fs.getFileStatus(p)
+        if status.isFile():
+            name = status.getPath().toString()
+            files.add(name) if name.endswith(suffixes) else wrong.append((path, f"unsupported suffix, expected one of {', '.join(suffixes)}"))
+            continue
+        found = fs.listFiles(p, True)
+        while found.hasNext():
+            name = found.next().getPath().toString()
+            if name.endswith(suffixes):
+                files.add(name)
+    return sorted(files), spark.createDataFrame(wrong, "path string, error string")
+
+
 def load_manifest(spark: SparkSession, path: str) -> tuple[dict | None, list[dict]]:
     """(manifest, events): a JSON object with defaults filled in and unknown keys under ``extra``; None if unusable."""
     def bad(code: str, message: str) -> dict:
@@ -104,11 +140,15 @@ def edge_list(spark: SparkSession, path: str) -> DataFrame:
 
 def json_payloads(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """(path, index, payload, error) of JSON and JSON-lines files: a top-level list gives a row an item, a JSONL file a row
-    a line, an object one row without index; what does not parse, and empty files, have an error."""
+    a line, an object one row without index; what does not parse, and empty files, have an error. A JSON file all of whose
+    lines are JSON on their own, as Spark writes them, counts as JSON lines."""
     blank = spark.createDataFrame([(f, None, "") for f in empty_files(spark, path, recursive)], "path string, index int, payload string")
-    files = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.json*").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    lines = files.where(F.col("path").endswith(".jsonl")).select("path", F.posexplode(F.split("text", "\n")).alias("index", "payload")).where(F.trim("payload") != "")
-    whole = files.where(~F.col("path").endswith(".jsonl")).withColumn("v", F.try_parse_json("text"))
+    files = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.{json,jsonl}").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    each = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    by_line = F.col("path").endswith(".jsonl") | ((F.size(each) > 1) & F.forall(each, lambda x: F.try_parse_json(x).isNotNull()))
+    files = files.withColumn("by_line", by_line)
+    lines = files.where("by_line").select("path", F.posexplode(F.split("text", "\n")).alias("index", "payload")).where(F.trim("payload") != "")
+    whole = files.where("not by_line").withColumn("v", F.try_parse_json("text"))
     is_list = F.schema_of_variant("v").startswith("ARRAY")
     items = whole.where(is_list).select("path", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("index", "x")).select("path", "index", F.to_json("x").alias("payload"))
     single = whole.where(~F.coalesce(is_list, F.lit(False))).select("path", F.lit(None).cast("int").alias("index"), F.col("text").alias("payload"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candela.functions import sequence as S
+
 
 def write_records(df: DataFrame, path: str) -> None:
     """A JSON-lines table, replaced as a whole."""
@@ -29,9 +31,32 @@ def with_file_names(df: DataFrame, id_col: str, order_col: str) -> DataFrame:
 
 
 def write_bundle(artifacts: DataFrame, path: str, kind_col: str = "artifact_type") -> None:
-    """Artifacts in a folder a kind, and a manifest of counts."""
-    artifacts.write.mode("overwrite").partitionBy(kind_col).json(f"{path}/artifacts")
-    artifacts.groupBy(kind_col).agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    """Artifacts in a folder a kind with their fields in order of name, a manifest of counts, and a report in markdown."""
+    fields = sorted(c for c in artifacts.columns if c != kind_col)
+    artifacts.select(*fields, kind_col).write.mode("overwrite").partitionBy(kind_col).json(f"{path}/artifacts")
+    counts = artifacts.groupBy(kind_col).agg(F.count("*").alias("n"))
+    counts.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    report = counts.orderBy(kind_col).select(F.concat(F.lit("- "), kind_col, F.lit(": "), F.col("n").cast("string")).alias("value"))  # a row a kind
+    report.coalesce(1).write.mode("overwrite").text(f"{path}/report")
+
+
+def write_features(df: DataFrame, path: str, sequence_col: str = "sequence") -> None:
+    """A dataset as CSV with the curation features of its sequences; columns that have a feature's name are replaced."""
+    made = S.curation_features(F.col(sequence_col))
+    kept = [c for c in df.columns if c not in made]
+    df.select(*(F.col(c) for c in kept), *(v.alias(k) for k, v in made.items())).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_packets(packets: DataFrame, path: str) -> None:
+    """Packets of work in a folder an agent, and the manifest of their counts."""
+    packets.write.mode("overwrite").partitionBy("agent").json(f"{path}/packets")
+    packets.groupBy("agent", "artifact").agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as two JSON-lines tables, nodes and edges."""
+    write_records(nodes, f"{path}/nodes")
+    write_records(edges, f"{path}/edges")
 
 
 def read_bundle(spark, path: str, kinds: list[str] | None = None, kind_col: str = "artifact_type") -> DataFrame:
@@ -46,7 +71,10 @@ def card(fields: dict[str, Column], title: Column) -> Column:
     return F.concat(F.lit("# "), title, F.lit("\n\n"), F.concat_ws("\n", *lines), F.lit("\n"))
 
 
-def write_cards(df: DataFrame, text_col: str, path: str) -> None:
+def write_cards(df: DataFrame, text_col: str, path: str, needs: tuple[str, ...] = ()) -> None:
+    """Cards as text; rows whose ``needs`` (an id, a sequence) are null or blank are skipped."""
+    for c in needs:
+        df = df.where(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "")
     df.select(F.col(text_col).alias("value")).write.mode("overwrite").text(path)
 
 

@@ -35,6 +35,12 @@ def _advance(card: dict, r) -> dict:
     return card
 
 
+def in_order(batches, columns: list[str]):
+    """A key's rows of one micro-batch in order, however many Arrow batches they come in."""
+    parts = list(batches)
+    return pd.concat(parts).sort_values(columns).itertuples() if parts else iter(())
+
+
 def fold_cards(stream: DataFrame) -> DataFrame:
     """``outcomes`` rows folded a candidate in order of seq; a row a record with the card after it. State: the card."""
 
@@ -42,10 +48,9 @@ def fold_cards(stream: DataFrame) -> DataFrame:
         card = dict(zip(("experiment_state", "status", "potency", "risk_flags"), state.get, strict=True)) if state.exists else {"experiment_state": "designed", "status": "draft", "potency": None, "risk_flags": []}
         card["risk_flags"] = list(card["risk_flags"])
         rows = []
-        for b in batches:
-            for r in b.sort_values("seq").itertuples():
-                card = _advance(card, r)
-                rows.append((key[0], r.stage, card["experiment_state"], card["status"], card["potency"], list(card["risk_flags"])))
+        for r in in_order(batches, ["seq"]):
+            card = _advance(card, r)
+            rows.append((key[0], r.stage, card["experiment_state"], card["status"], card["potency"], list(card["risk_flags"])))
         state.update((card["experiment_state"], card["status"], card["potency"], card["risk_flags"]))
         yield pd.DataFrame(rows, columns=["candidate_id", "stage", "experiment_state", "status", "potency", "risk_flags"])
 
@@ -63,9 +68,8 @@ def fold_calls(stream: DataFrame, config: Config = Config()) -> DataFrame:
     def step(key, batches, state: GroupState):
         breaker = Breaker(config, *state.get) if state.exists else Breaker(config)
         rows = []
-        for b in batches:
-            for r in b.sort_values(["at", "seq"]).itertuples():
-                rows.append((key[0], int(r.seq), *breaker.call(bool(r.ok), float(r.at))))
+        for r in in_order(batches, ["at", "seq"]):
+            rows.append((key[0], int(r.seq), *breaker.call(bool(r.ok), float(r.at))))
         state.update(breaker.saved())
         yield pd.DataFrame(rows, columns=["agent", "seq", "state", "blocked"])
 

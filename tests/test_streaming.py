@@ -55,3 +55,20 @@ def test_replays_and_plates(spark, tmp_shared):
     p.write.parquet(f"{tmp_shared}/p")
     got = {r.plate: r.alert for r in _run(spark, cards.plate_alerts(spark.readStream.schema(p.schema).parquet(f"{tmp_shared}/p")), "plates", "complete").collect()}
     assert got == {"p": True, "q": False}
+
+
+def test_order_holds_across_arrow_batches(spark, tmp_shared):
+    """A key's rows that come in several Arrow batches, out of order, are folded in order."""
+    rnd = random.Random(4)
+    rows = [(f"a{k % 2}", float(k), k, rnd.random() > 0.4) for k in range(200)]
+    rnd.shuffle(rows)
+    d = spark.createDataFrame(rows, "agent string, at double, seq long, ok boolean")
+    d.coalesce(1).write.parquet(f"{tmp_shared}/shuffled")
+    batch = {(r.agent, r.seq, r.state, r.blocked) for r in health.states(d.withColumn("ts", F.timestamp_micros((F.col("at") * 1e6).cast("long"))).select("agent", "ts", "seq", "ok")).collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        got = _run(spark, cards.fold_calls(spark.readStream.schema(d.schema).parquet(f"{tmp_shared}/shuffled")), "shuffled")
+        assert {(r.agent, r.seq, r.state, r.blocked) for r in got.collect()} == batch
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
