@@ -141,5 +141,10 @@ def triage(potency: Column, manufacturability: Column, flags: Column, width: Col
 
 
 def motif_sweep(candidates: DataFrame, motifs: DataFrame) -> DataFrame:
-    """(candidate_id, motif, flag) of every historical candidate that holds a newly listed motif (motif, flag)."""
-    return candidates.join(motifs, F.col("sequence").contains(F.col("motif"))).select("candidate_id", "motif", "flag")
+    """(candidate_id, motif, flag) of every historical candidate that holds a newly listed motif (motif, flag): substrings of
+    the few lengths that motifs have meet them by equality."""
+    lengths = sorted(r[0] for r in motifs.select(F.length("motif")).where("motif <> ''").distinct().collect())
+    seq, none = F.col("sequence"), F.array().cast("array<string>")
+    cut = [F.when(F.length(seq) >= n, F.transform(F.sequence(F.lit(1), F.length(seq) - n + 1), lambda i: F.substring(seq, i, F.lit(n)))).otherwise(none) for n in lengths]  # noqa: B023
+    held = candidates.select("candidate_id", F.explode(F.array_distinct(F.concat(none, *cut))).alias("motif"))
+    return held.join(motifs, "motif").select("candidate_id", "motif", "flag")

@@ -171,7 +171,7 @@ def failure_attribution(spark, sf_dir):
 
 def motif_sweep(spark, sf_dir):
     motifs = spark.createDataFrame([("DG", "ASP"), ("PPP", "PRO"), ("CYC", "CYS")], "motif string, flag string")
-    return review.motif_sweep(seq_hash(spark, sf_dir).select(F.col("doc_id").alias("candidate_id"), "sequence"), F.broadcast(motifs))
+    return review.motif_sweep(seq_hash(spark, sf_dir).select(F.col("doc_id").alias("candidate_id"), "sequence"), motifs)
 
 
 _DROP = """(SELECT 'P' || l_partkey AS candidate_id, l_orderkey * 10 + l_linenumber AS ingest_order, l_quantity * 2 AS crude, l_discount * 100 AS yield_mg, round(l_extendedprice / 10) AS mass_observed_da,
