@@ -154,7 +154,8 @@ def shard(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col:
     and shard sizes are near equal in bytes.
 
     Null texts count 1 byte and form one group, apart from empty texts; null and repeated ids keep a row each; an empty
-    table gives no rows. Only the id and the text are read, so other columns may have any name.
+    table gives no rows; very long texts are groups like others. Only the id and the text are read, so other columns may have
+    any name.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"), F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b"null")).alias("key"))
@@ -174,14 +175,15 @@ def shard(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col:
     sums.sort(key=lambda r: r["brick"])
     placed = docs.sparkSession.createDataFrame(list(zip([r["brick"] for r in sums], spread([r["bytes"] for r in sums], shards), strict=True)), "brick long, shard int")
     where = laid.join(F.broadcast(placed), "brick").select("key", "shard")  # bounded: see the module's first lines
-    return numbered(stored(rows.join(where, "key").drop("key"), "shards"))
+    return numbered(stored(rows.join(where, "key").drop("key").withColumn("place", F.monotonically_increasing_id()), "shards"))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Adds slot, gapless from 0 in each shard: row numbers in hashed blocks of a shard, plus the rows of earlier blocks."""
+    """Adds slot, gapless from 0 in each shard: row numbers in hashed blocks of a shard, plus the rows of earlier blocks. Blocks
+    are hashed from ``place``, which no two rows share, so repeated rows spread too."""
     blocks = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("place"), F.lit(blocks)).cast("int"))
     counts = rows.groupBy("shard", "block").count()
     base = counts.select("shard", "block", (F.sum("count").over(Window.partitionBy("shard").orderBy("block")) - F.col("count")).alias("base"))  # shards x blocks rows
-    inner = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size"))
+    inner = F.row_number().over(Window.partitionBy("shard", "block").orderBy("place"))
     return rows.withColumn("inner", inner).join(F.broadcast(base), ["shard", "block"]).select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("inner") - 1).alias("slot"))

@@ -62,6 +62,24 @@ def test_best_fit_is_tightest():
             rests[want] -= s
 
 
+def test_two_levels_are_near_plain_best_fit(spark):
+    """Shards from bricks are no larger than plain best-fit decreasing makes them, but for a brick; repeated rows get slots too."""
+    rnd = random.Random(6)
+    rows = [(k % 90, "x" * int(rnd.lognormvariate(4, 1.2))) for k in range(600)] + [(7, "same")] * 200
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    totals, slots, groups_ = Counter(), defaultdict(list), Counter()
+    for r in got:
+        totals[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    for _, t in rows:
+        groups_[t] += len(t) + 1
+    plain = Counter()
+    for size, shard in zip(groups_.values(), sharding.spread(list(groups_.values()), 5), strict=True):
+        plain[shard] += size
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(got) == len(rows)
+    assert max(totals.values()) <= max(plain.values()) + sum(totals.values()) / (5 * sharding.BRICKS) * 4 + 1
+
+
 def test_op2(spark):
     turns = [r.asDict() for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()]
     want = Counter()
