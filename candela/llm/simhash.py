@@ -179,6 +179,8 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 #: The wide search for similar texts: bands of a long SimHash, bits a band, and its least certain bits that variants flip.
 BANDS, BAND_BITS, DOUBTFUL = 13, 48, 8
+#: Pairs of a text in the first pass of verification.
+FIRST = 16
 _WORDS = -(-BANDS * BAND_BITS // 64)
 _KEYS = np.arange(1, _WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -248,8 +250,9 @@ def subsets(masks: np.ndarray):
         yield rows, out
 
 
-def collide(fps: np.ndarray, doubts: np.ndarray, owners: np.ndarray, bits: int) -> list[np.ndarray]:
-    """(least owner, owner) of all that share a variant of their low ``bits`` bits; places with too many are halved first."""
+def collide(fps: np.ndarray, doubts: np.ndarray, owners: np.ndarray, roots: np.ndarray, bits: int) -> list[np.ndarray]:
+    """(least owner, owner) of all that share a variant of their low ``bits`` bits and have unequal roots; places with too many
+    variants are halved first."""
     if len(fps) < 2:
         return []
     if (1 << np.bitwise_count(doubts).astype(np.int64)).sum() > STEP and bits > 1:
@@ -257,48 +260,52 @@ def collide(fps: np.ndarray, doubts: np.ndarray, owners: np.ndarray, bits: int)
         is_one, can, rest, out = (fps & one) != 0, (doubts & one) != 0, doubts & ~one, []
         for side in (False, True):
             mine = (is_one == side) | can
-            out += collide(fps[mine], rest[mine], owners[mine], bits - 1)
+            out += collide(fps[mine], rest[mine], owners[mine], roots[mine], bits - 1)
         return out
     low = np.uint64((1 << bits) - 1)
-    made = [((fps[rows] & low)[:, None] ^ flips, np.repeat(owners[rows], flips.shape[1])) for rows, flips in subsets(doubts)]
-    variants, owner = np.concatenate([v.ravel() for v, _ in made]), np.concatenate([o for _, o in made])
+    made = [((fps[rows] & low)[:, None] ^ flips, np.repeat(rows, flips.shape[1])) for rows, flips in subsets(doubts)]
+    variants, row = np.concatenate([v.ravel() for v, _ in made]), np.concatenate([r for _, r in made])
     ordered = np.sort(variants)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(twice):
         return []
     where = np.minimum(np.searchsorted(twice, variants), len(twice) - 1)
     hit = twice[where] == variants
-    group, owner = where[hit], owner[hit]
-    order = np.lexsort((owner, group))
-    group, owner = group[order], owner[order]
+    group, row = where[hit], row[hit]
+    order = np.lexsort((owners[row], group))
+    group, row = group[order], row[order]
     first = np.concatenate(([True], group[1:] != group[:-1]))
-    head = owner[np.flatnonzero(first)][np.cumsum(first) - 1]
-    pairs = np.stack((head, owner), 1)[head != owner]
+    head = row[np.flatnonzero(first)][np.cumsum(first) - 1]
+    some = (owners[head] != owners[row]) & (roots[head] != roots[row])
+    pairs = np.stack((owners[head][some], owners[row][some]), 1)
     return [np.unique(pairs, axis=0)] if len(pairs) else []
 
 
 def candidates(prints: DataFrame) -> DataFrame:
-    """(a, b): owners of ``prints`` (owner, fps, doubts; distinct, stored) that share a variant, each with the least there."""
+    """(a, b): owners of ``prints`` (owner, root, fps, doubts; distinct, stored) with unequal roots that share a variant, each
+    with the least owner there."""
     depth = min(24, max(2, math.ceil(math.log2(max(prints.count(), 1) / BUCKET + 1))))
     low = np.uint64((1 << (BAND_BITS - depth)) - 1)
 
     def emit(batches):
         for b in batches:
-            owner = b.column("owner").to_numpy()
+            owner, root = b.column("owner").to_numpy(), b.column("root").to_numpy()
             fps, doubts = (b.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, BANDS) for c in ("fps", "doubts"))
             for band in range(BANDS):
                 fp, doubt = np.ascontiguousarray(fps[:, band]), np.ascontiguousarray(doubts[:, band])
                 for rows, flips in subsets(doubt & ~low):
                     bucket = ((fp[rows][:, None] ^ flips) >> np.uint64(BAND_BITS - depth)) | np.uint64(band << depth)
                     again = np.repeat(rows, flips.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), pa.array((fp[again] & low).view(np.int64)), pa.array((doubt[again] & low).view(np.int64)), pa.array(owner[again])], names=["bucket", "fp", "doubt", "owner"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), pa.array((fp[again] & low).view(np.int64)), pa.array((doubt[again] & low).view(np.int64)), pa.array(owner[again]), pa.array(root[again])], names=["bucket", "fp", "doubt", "owner", "root"])
 
     def join(table):
-        found = collide(table.column("fp").to_numpy().view(np.uint64), table.column("doubt").to_numpy().view(np.uint64), table.column("owner").to_numpy(), BAND_BITS - depth)
+        fps, doubts, owners, roots = (table.column(c).to_numpy() for c in ("fp", "doubt", "owner", "root"))
+        found = collide(fps.view(np.uint64), doubts.view(np.uint64), owners, roots, BAND_BITS - depth)
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
 
-    return prints.mapInArrow(emit, "bucket long, fp long, doubt long, owner long").groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
+    sent = prints.select("owner", "root", "fps", "doubts").mapInArrow(emit, "bucket long, fp long, doubt long, owner long, root long")
+    return sent.groupBy("bucket").applyInArrow(join, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -322,20 +329,32 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
 
 
 def similar(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """For ``docs`` (doc_id, owner, text): the distinct owners, and (owner, root) with equal roots for linked texts.
+    """For ``docs`` (doc_id, owner, text): the owners of all rows, and (owner, root) with equal roots for linked texts.
 
     Copies are settled by their hash. Other texts meet by ball hashing of a banded SimHash: the fingerprint of every band
     emits all variants of its DOUBTFUL least certain bits, so two meet wherever each bit in which they differ is doubtful to
     one of them, and those that collide are verified by the exact similarity of their shingle sets.
+
+    A large group of near copies collides in very many pairs. So a first pass verifies at most FIRST pairs a text, and a
+    second pass all that collide and whose ends are not linked yet; the groups are those that all pairs would give.
     """
     ids = stored(docs.select("doc_id", "owner"), "ids")
     first = docs.groupBy("owner").agg(F.min("text").alias("text"))
     prints = stored(bands(first, width), "bands")
-    pairs = stored(candidates(prints), "candidates")
-    used = pairs.select(F.col("a").alias("owner")).union(pairs.select(F.col("b").alias("owner"))).distinct()
-    texts = stored(docs.join(used, "owner", "left_semi").groupBy("owner").agg(F.min("text").alias("text")), "compared")
-    root = components(verified(pairs, texts, width, similarity))
-    return ids, stored(prints.select("owner").join(root.withColumnRenamed("v", "owner"), "owner", "left").withColumn("root", F.coalesce("root", "owner")), "roots")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "candidates")
+        used = pairs.select(F.col("a").alias("owner")).union(pairs.select(F.col("b").alias("owner"))).distinct()
+        texts = stored(docs.join(used, "owner", "left_semi").groupBy("owner").agg(F.min("text").alias("text")), "compared")
+        return stored(verified(pairs, texts, width, similarity), "verified")
+
+    def rooted(edges: DataFrame) -> DataFrame:
+        return stored(prints.select("owner").join(components(edges).withColumnRenamed("v", "owner"), "owner", "left").withColumn("root", F.coalesce("root", "owner")), "roots")
+
+    met = candidates(prints.withColumn("root", F.col("owner"))).withColumn("slot", F.pmod(F.xxhash64("a", "b"), F.lit(FIRST)))
+    one = links(met.groupBy("b", "slot").agg(F.min("a").alias("a")).select("a", "b").distinct())
+    rest = links(candidates(stored(prints.join(rooted(one), "owner"), "bands")).distinct())
+    return ids, rooted(one.unionByName(rest))
 
 
 def one_of_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -507,7 +507,7 @@ def test_dense_places_are_halved(monkeypatch):
     fps = np.concatenate([base, *(base ^ np.uint64(1 << int(b)) for b in rnd.integers(0, 40, 20))])
     doubts = np.array([sum(1 << int(b) for b in rnd.choice(40, 6, replace=False)) for _ in fps], np.uint64)
     owners = rnd.permutation(len(fps)).astype(np.int64)
-    pairs = lambda: {tuple(p) for e in simhash.collide(fps, doubts, owners, 40) for p in e.tolist()}
+    pairs = lambda: {tuple(p) for e in simhash.collide(fps, doubts, owners, owners, 40) for p in e.tolist()}
     whole = pairs()
     monkeypatch.setattr(simhash, "STEP", 500)
     assert whole and pairs() == whole
