@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import chat, decontaminate, ngram_quality, packing, quality_rules, secrets, sharding, simhash, substrings, tokens
+from candela.llm import chat, decontaminate, fill_middle, ngram_quality, packing, quality_rules, resample, secrets, sharding, simhash, substrings, tiers, tokens
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -71,6 +71,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary(), keep=["doc_id"])
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fill_middle.transform(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return d.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(back).alias("restored_sha256"))
+
+
+def op12_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiers.pack_documents(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_shards": op1_shards,
@@ -83,6 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_substrings": op9_substrings,
         "op10_quality_rules": op10_quality_rules,
+        "op11_fill_middle": op11_fill_middle,
+        "op12_tiers": op12_tiers,
+        "op13_resample": op13_resample,
     }
 
 
@@ -171,5 +188,38 @@ FROM g LEFT JOIN js AS a ON a.doc_id = g.doc_id AND a.kind = 1 LEFT JOIN js AS z
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || doc_id) AS x FROM documents),
+h AS (SELECT doc_id, t, w, len(w) AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT doc_id, t, w, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, t, n, form, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256,
+       sha256(CASE WHEN form = 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256
+FROM p
+"""
+
+#: The CRC-32 of all distinct features is worked out byte by byte, a join of the byte table a step.
+OP13_SQL = f"""
+WITH RECURSIVE x AS (SELECT 'd' AS side, doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents UNION ALL SELECT 'b', NULL, regexp_extract_all({_LOWER}, '{_ALNUM}') FROM benchmark),
+f AS (SELECT side, doc_id, unnest(w) AS g FROM x UNION ALL SELECT side, doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM x WHERE len(w) > 1),
+crc AS (SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) AS c FROM (SELECT unnest(range(256)) AS b)),
+u AS (SELECT g, hex(encode(g)) AS hx FROM (SELECT DISTINCT g FROM f)),
+r AS (SELECT g, hx, 0::BIGINT AS k, 4294967295::BIGINT AS c FROM u
+      UNION ALL SELECT g, hx, k + 1, xor(r.c >> 8, crc.c) FROM r JOIN crc ON crc.b = xor(r.c & 255, ('0x' || hx[2 * k + 1 : 2 * k + 2])::BIGINT) WHERE 2 * k < length(hx)),
+bucket AS MATERIALIZED (SELECT g, xor(c, 4294967295) % 10000 AS n FROM r WHERE 2 * k = length(hx)),
+fb AS MATERIALIZED (SELECT side, doc_id, n FROM f JOIN bucket USING (g)),
+s AS (SELECT n, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM fb GROUP BY n),
+gain AS (SELECT n, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM s) + 10000)::DOUBLE / ((s + 1) * ((SELECT sum(t) FROM s) + 10000)::DOUBLE)))::BIGINT AS g FROM s),
+wt AS (SELECT doc_id, count(*) AS n_features, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM fb JOIN gain USING (n) WHERE side = 'd' GROUP BY doc_id),
+sc AS (SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+              coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || d.doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+       FROM documents AS d LEFT JOIN wt USING (doc_id)),
+rk AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS n FROM sc WHERE n_features >= 39)
+SELECT sc.doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN k <= 25 * n // 100 THEN k END AS rank FROM sc LEFT JOIN rk USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_substrings": OP9_SQL, "op10_quality_rules": _op10_sql(), "op2_perspectives": OP2_SQL, "op3_decontaminate": OP3_SQL}
+    return {"op11_fill_middle": OP11_SQL, "op13_resample": OP13_SQL, "op9_substrings": OP9_SQL, "op10_quality_rules": _op10_sql(), "op2_perspectives": OP2_SQL, "op3_decontaminate": OP3_SQL}

@@ -208,11 +208,11 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, text_col: str = "text", li
     return d.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, *, text_col: str = "text", capacity: int = 4096, end_id: int = 1, keep: list[str], with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, *, text_col: str = "text", capacity: int = 4096, end_id: int = 1, keep: list[str], with_ids: bool = False, with_total: bool = False) -> DataFrame:
     """One row per piece of at most ``capacity`` tokens of each document: ``keep`` columns, piece, start, length, ids_crc32
-    and, on request, ids. A document is its tokens and ``end_id``; only longer ones are cut. Null and empty texts: no tokens
+    and, on request, doc_tokens (of the whole document) and ids. A document is its tokens and ``end_id``; only longer ones are cut. Null and empty texts: no tokens
     but the end. Very long texts are encoded whole, a slice of one text; repeated rows are cut each."""
-    fields = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])]
+    fields = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), *([T.StructField("doc_tokens", T.LongType())] if with_total else []), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])]
     keep = [c for c in keep if c.lower() not in {f.name for f in fields}]
     text = fresh(docs, "piece_text")
     d = docs.withColumn(text, F.col(text_col).cast("string"))
@@ -233,6 +233,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, *, text_col: str = "text", ca
                 raw = memoryview(flat).cast("B")
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 made = [pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc, pa.int64())]
+                if with_total:
+                    made.append(pa.array(sizes[row]))
                 if with_ids:
                     made.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view("<i4"))))
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in keep), *made], names=schema.names)

@@ -429,10 +429,13 @@ def test_distance(spark):
         m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
         return math.sqrt(sum((a * math.log2(a / c) if a else 0) + (b * math.log2(b / c) if b else 0) for a, b, c in zip(p, q, m, strict=True)) / 2)
 
-    pairs = [([1, 2, 3], [3, 2, 1]), ([1, 0, 0], [0, 0, 5]), ([4, 4, 0], [4, 4, 0]), ([7, 1, 9], [1, 1, 1])]
-    d = spark.createDataFrame(pairs, "p array<long>, q array<long>").select("p", "q", quality_rules.distance(F.col("p"), F.col("q")).alias("d"))
+    pairs = [([1, 2, 3], [3, 2, 1]), ([1, 0, 0], [0, 0, 5]), ([4, 4, 0], [4, 4, 0]), ([7, 1, 9], [1, 1, 1]), ([0, 3, 5], [2, 0, 6])]
+    rows = [(p, sum(p), [x / sum(q) for x in q]) for p, q in pairs]
+    d = spark.createDataFrame(rows, "p array<long>, total long, q array<double>").select("p", "q", quality_rules.distance(F.col("p"), F.col("total"), F.col("q")).alias("d"))
     for r in d.collect():
-        assert r.d == pytest.approx(js(r.p, r.q), abs=1e-9)
+        assert r.d == pytest.approx(js(r.p, r.q), abs=1e-7)
+    none = spark.createDataFrame([([0, 0], 0, [0.5, 0.5]), ([1, 2], 3, None)], "p array<long>, total long, q array<double>")
+    assert [r.d for r in none.select(quality_rules.distance(F.col("p"), F.col("total"), F.col("q")).alias("d")).collect()] == [None, None]
 
 
 def test_op10_keeps_good_and_drops_bad(spark):

@@ -8,11 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from candela.llm import chat, decontaminate, ngram_quality, packing, quality_rules, secrets, sharding, simhash, substrings, tokens
+from candela.llm import chat, decontaminate, fill_middle, ngram_quality, packing, quality_rules, resample, secrets, sharding, simhash, substrings, tiers, tokens
 from candela.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-RESULTS = "n_words n_hit hit_items spans n_tokens n_bytes fp component_id kept perplexity shard slot sequence_id offset piece length block owner key win bucket links links_key k_id k_owner __lang ref_lang lang_ k0 k1 root fps doubts good_id good_owner one_id one_owner row number item hit_windows scanned words tri sorted chars hist n_hist base_failed scan_parts pack_part pack_rank start digest salt"
+RESULTS = "n_words n_hit hit_items spans n_tokens n_bytes fp component_id kept perplexity shard slot sequence_id offset piece length block owner key win bucket links links_key k_id k_owner __lang ref_lang lang_ k0 k1 root fps doubts good_id good_owner one_id one_owner row number item hit_windows scanned words tri sorted chars hist n_hist base_failed scan_parts pack_part pack_rank start digest salt n form prefix_chars middle_chars output segments residuals fim_text fim_digest n_features weight score rank draw_id draw_place rank_at rank_part score_text score_id place part ids doc_tokens window step"
 
 
 def odd_rows():
@@ -60,6 +60,10 @@ OPERATORS = {
     "tokens": lambda d, b, y: tokens.count_tokens(d, vocabulary()),
     "substrings": lambda d, b, y: substrings.remove_repeats(d),
     "rules": lambda d, b, y: quality_rules.judge(d, keep=d.columns),
+    "fill_middle": lambda d, b, y: fill_middle.transform(d),
+    "rank_index": lambda d, b, y: fill_middle.rank_index(d),
+    "resample": lambda d, b, y: resample.resample(d, b, keep=d.columns),
+    "tiers": lambda d, b, y: tiers.pack_documents(d, vocabulary(), tiers=(128, 256)),
 }
 
 
@@ -68,6 +72,8 @@ def test_odd_rows(name, odd, bench, labels):
     out = OPERATORS[name](odd, bench, labels).collect()
     if name == "packing":
         assert {r.doc_id for r in out} == {r[0] for r in odd_rows()} and sum(r.piece == 0 for r in out) == len(odd_rows())
+    elif name == "tiers":
+        assert {r.doc_id for r in out} == {r[0] for r in odd_rows()} and sum(r.start == 0 for r in out) == len(odd_rows())
     elif name != "one_of_each":
         assert len(out) == len(odd_rows())
 
