@@ -78,7 +78,7 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiers.pack_documents(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
+    return tiers.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
 
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:

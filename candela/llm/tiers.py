@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candela.llm.common import small_batches, stored
-from candela.llm.tokens import gathered, token_pieces
+from candela.llm.tokens import gathered, token_pieces, unpacked
 
 TIERS, STEP_WINDOWS = (256, 512, 1024, 2048), 8
 
@@ -151,9 +151,9 @@ def parts_of(length: np.ndarray, ranks: np.ndarray, runs: np.ndarray) -> tuple[n
     return row[order], run[order]
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, step_tokens: int | None = None, end_id: int = 1) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, step_tokens: int | None = None, end_id: int = 1, with_ids: bool = True) -> DataFrame:
     """A row a piece: doc_id, start (the document's ids before it), length, ids_crc32, doc_tokens, sequence_id, offset, window (the
-    sequence's size), step (of training; all its sequences have one size) and ids.
+    sequence's size), step (of training; all its sequences have one size) and, unless declined, ids.
 
     ``tiers`` are powers of two; ``step_tokens`` (STEP_WINDOWS of the longest) go into a step. Null and empty texts are a document of the end token alone; very long ones
     are cut, all pieces kept; null ids, repeated rows and ties in length are packed each: ranges are cut at unique places, so one
@@ -162,7 +162,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
     spark, longest = docs.sparkSession, max(tiers)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = stored(token_pieces(named, vocabulary, capacity=longest, end_id=end_id, keep=["doc_id"], with_ids=True, with_total=True).drop("piece", "ids_crc32").withColumn("place", F.monotonically_increasing_id()), "pieces")
+    cut = stored(token_pieces(named, vocabulary, capacity=longest, end_id=end_id, keep=["doc_id"], with_ids=True, with_total=True, packed=True).drop("piece", "ids_crc32").withColumn("place", F.monotonically_increasing_id()), "pieces")
     names = [*cut.columns, "part", "rank"]
     schema = T.StructType([*cut.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType())])
     ranked = stored(cut.repartitionByRange(parts, "length", "place").mapInArrow(lambda batches: counted(batches, names), schema), "ranked")
@@ -171,7 +171,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
         base[r["length"], r["part"]] = histogram[r["length"]]
         histogram[r["length"]] += r["count"]
     table = spark.sparkContext.broadcast((base, *numbered(plan(dict(histogram), tiers), step_tokens or STEP_WINDOWS * longest)))
-    result = T.StructType([docs.select(F.col(id_col).alias("doc_id")).schema[0], *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step")), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    result = T.StructType([docs.select(F.col(id_col).alias("doc_id")).schema[0], *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step")), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 
     def place(batches):
         base, runs, bases = table.value
@@ -186,13 +186,13 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
             within, size, window = chosen[:, 3], chosen[:, 4], chosen[:, 5]
             index = chosen[:, 6] + ranks[row] - chosen[:, 1]
             first, step, steps = (np.array([bases[w][i] for w in window.tolist()], np.int64) for i in range(3))
-            lists = b.column("ids")
-            ids = gathered(np.asarray(lists.values), np.asarray(lists.offsets)[:-1][row] + within, size).astype("<u4")
+            packed, starts = unpacked(b.column("ids"), length)
+            ids = gathered(packed, starts[row] + within, size).astype("<u4")
             raw, ends = memoryview(ids).cast("B"), np.cumsum(size)
             crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
             made = [np.asarray(b.column("start"))[row] + within, size, crc, np.asarray(b.column("doc_tokens"))[row], first + index, chosen[:, 7], window, step + index % steps]
-            bounds = pa.array(np.concatenate(([0], ends)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), *(pa.array(x, pa.int64()) for x in made), pa.ListArray.from_arrays(bounds, pa.array(ids.view("<i4")))], names=result.names)
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.view("<i4")))] if with_ids else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), *(pa.array(x, pa.int64()) for x in made), *lists], names=result.names)
 
     small_batches(spark)
     return ranked.mapInArrow(place, result)

@@ -102,7 +102,7 @@ class Pieces:
             from sentencepiece import SentencePieceProcessor
 
             lib = SentencePieceProcessor(model_file=path)
-            self.encode = lambda text: lib.encode(text, num_threads=1)
+            self.encode, self.size = lambda text: lib.encode(text, num_threads=1), lib.get_piece_size()
         else:
             from tokenizers import Tokenizer
 
@@ -110,7 +110,7 @@ class Pieces:
             lib.no_truncation()
             lib.no_padding()
             self.encode, self.model = lambda text: lib.encode(text, add_special_tokens=False).ids, lib.model
-            self.chunked = by_chunks(json.loads(lib.to_str()))
+            self.chunked, self.size = by_chunks(json.loads(lib.to_str())), max(lib.get_vocab(with_added_tokens=True).values()) + 1
 
     def of_tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each pre-token is given to the vocabulary's model once."""
@@ -179,6 +179,13 @@ def pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
+def unpacked(column: pa.BinaryArray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in a column of packed runs of the given lengths, one after the other, and where each run starts."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    width = int(bounds[-1] - bounds[0]) // int(lengths.sum())
+    return np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(f"<u{width}"), np.cumsum(lengths) - lengths
+
+
 def _texts(part: pa.RecordBatch, name: str) -> pa.Array:
     return pc.fill_null(part.column(name), "")
 
@@ -208,11 +215,12 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, text_col: str = "text", li
     return d.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, *, text_col: str = "text", capacity: int = 4096, end_id: int = 1, keep: list[str], with_ids: bool = False, with_total: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, *, text_col: str = "text", capacity: int = 4096, end_id: int = 1, keep: list[str], with_ids: bool = False, with_total: bool = False, packed: bool = False) -> DataFrame:
     """One row per piece of at most ``capacity`` tokens of each document: ``keep`` columns, piece, start, length, ids_crc32
-    and, on request, doc_tokens (of the whole document) and ids. A document is its tokens and ``end_id``; only longer ones are cut. Null and empty texts: no tokens
+    and, on request, doc_tokens (of the whole document) and ids, ``packed`` as little-endian unsigned numbers of 2 bytes where the
+    vocabulary allows, else 4. A document is its tokens and ``end_id``; only longer ones are cut. Null and empty texts: no tokens
     but the end. Very long texts are encoded whole, a slice of one text; repeated rows are cut each."""
-    fields = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), *([T.StructField("doc_tokens", T.LongType())] if with_total else []), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])]
+    fields = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), *([T.StructField("doc_tokens", T.LongType())] if with_total else []), *([T.StructField("ids", T.BinaryType() if packed else T.ArrayType(T.IntegerType()))] if with_ids else [])]
     keep = [c for c in keep if c.lower() not in {f.name for f in fields}]
     text = fresh(docs, "piece_text")
     d = docs.withColumn(text, F.col(text_col).cast("string"))
@@ -235,7 +243,10 @@ def token_pieces(docs: DataFrame, vocabulary: str, *, text_col: str = "text", ca
                 made = [pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc, pa.int64())]
                 if with_total:
                     made.append(pa.array(sizes[row]))
-                if with_ids:
+                if with_ids and packed:
+                    width = 2 if max(table.size, end_id + 1) <= 1 << 16 else 4
+                    made.append(pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(flat.astype(f"<u{width}"))]))
+                elif with_ids:
                     made.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view("<i4"))))
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in keep), *made], names=schema.names)
 

@@ -108,6 +108,18 @@ def test_op12(spark, texts):
         assert max(sizes) - min(sizes) <= 1 and max(sizes) <= 8 * 2048 // w
 
 
+def test_tiers_with_ids_give_the_documents_back(spark, texts):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(Q.vocabulary())
+    some = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    got = defaultdict(list)
+    for r in sorted(tiers.pack_documents(some, Q.vocabulary(), tiers=(64, 128)).collect(), key=lambda r: (r.doc_id, r.start)):
+        assert len(r.ids) == r.length and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        got[r.doc_id] += r.ids
+    assert all(ids == [*lib.encode(texts[k], add_special_tokens=False).ids, 1] for k, ids in got.items()) and len(got) == some.count()
+
+
 @pytest.mark.parametrize("histogram", [{}, {1: 1}, {2048: 5}, {1500: 1000}, {1: 5000}, {1025: 1000, 3: 10}, {7: 10**12, 2047: 10**11}])
 def test_plans_fill_every_window(histogram):
     runs = tiers.plan(histogram)
