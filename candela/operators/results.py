@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,19 +152,52 @@ def parse(docs: DataFrame, text_col: str = "text", source_col: str | None = None
     return out.drop("__lines", "__all", "__meta")
 
 
+def narrative_codes(rules: list[tuple] = RULES) -> Callable[[Column], Column]:
+    """A function of lower-cased text: the codes, in order of the rules, whose every list has a phrase in it. All phrases are sought in
+    one pass over the text, by an automaton that a task builds once; texts come and codes go in Arrow batches."""
+    made: list = []
+
+    def automaton():
+        if not made:
+            import ahocorasick
+
+            found, bit = ahocorasick.Automaton(), 0
+            phrases: dict[str, int] = {}
+            need = []
+            for _, *lists in rules:
+                need.append(0)
+                for phrase_list in lists:
+                    need[-1] |= 1 << bit
+                    for p in phrase_list:
+                        phrases[p] = phrases.get(p, 0) | 1 << bit
+                    bit += 1
+            for p, mask in phrases.items():
+                found.add_word(p, mask)
+            found.make_automaton()
+            made.append((found, need, {}))
+        return made[0]
+
+    @F.arrow_udf("array<string>")
+    def codes(texts: pa.Array) -> pa.Array:
+        found, need, known = automaton()
+        out = []
+        for text in texts.to_pylist():
+            mask = 0
+            for _, bits in found.iter(text or ""):
+                mask |= bits
+            if mask not in known:
+                known[mask] = [code for (code, *_), n in zip(rules, need, strict=True) if mask & n == n]
+            out.append(known[mask])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return codes
+
+
 def classify(narrative: Column, values: Column | None = None, explicit: Column | None = None, rules: list[tuple] = RULES) -> Column:
     """Failure codes in order of discovery: given codes, measured values below their bounds, then the narrative's phrases."""
-    text = F.lower(F.coalesce(narrative, F.lit("")))
-    any_of = lambda phrases: F.coalesce(*[F.when(text.contains(p), True) for p in phrases], F.lit(False))
-    parts = []
+    found = narrative_codes(rules)(F.lower(F.coalesce(narrative, F.lit(""))))
     if values is not None:
-        parts += [F.when(metric(values, names) < bound, F.lit(code)) for code, names, bound in METRICS]
-    for code, first, *others in rules:
-        cond = any_of(first)
-        for more in others:
-            cond = cond & any_of(more)
-        parts.append(F.when(cond, F.lit(code)))
-    found = F.array_compact(F.array(*parts))
+        found = F.concat(F.array_compact(F.array(*(F.when(metric(values, names) < bound, F.lit(code)) for code, names, bound in METRICS))), found)
     if explicit is not None:
         known = F.filter(F.transform(F.coalesce(explicit, F.array().cast("array<string>")), plain_code), lambda x: x.isin(ONTOLOGY))
         found = F.concat(known, found)
@@ -180,4 +216,5 @@ def ingest(docs: DataFrame, order_col: str, text_col: str = "text") -> tuple[Dat
 
 
 def mode_counts(results: DataFrame) -> DataFrame:
-    return results.select(F.explode("failure_modes").alias("failure_mode")).groupBy("failure_mode").agg(F.count("*").alias("n"))
+    """Results by failure mode. Exploded with its empty rows: Spark would else push a filter on the array, and so a second classification, to the scan."""
+    return results.select(F.explode_outer("failure_modes").alias("failure_mode")).where("failure_mode is not null").groupBy("failure_mode").agg(F.count("*").alias("n"))

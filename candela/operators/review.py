@@ -79,8 +79,9 @@ def first_transitions(reviews: DataFrame, order_col: str = "seq") -> DataFrame:
 
 
 def ranked_counts(reviews: DataFrame, array_col: str, name: str, order_col: str = "seq") -> DataFrame:
-    """``name``, n and first_seen of the entries of an array column, most frequent first, ties by first appearance."""
-    e = reviews.select(F.col(order_col).alias("s"), F.posexplode(array_col).alias("pos", name))
+    """``name``, n and first_seen of the entries of an array column, most frequent first, ties by first appearance. Exploded with its empty
+    rows, so that no filter on the array is inferred and pushed below what makes it."""
+    e = reviews.select(F.col(order_col).alias("s"), F.posexplode_outer(array_col).alias("pos", name)).where("pos is not null")
     return e.groupBy(name).agg(F.count("*").alias("n"), F.min(F.struct("s", "pos")).alias("first_seen")).orderBy(F.desc("n"), "first_seen")
 
 

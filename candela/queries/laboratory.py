@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from candela.operators import health, results, review, summaries
 from candela.operators import telemetry as T
+from candela.operators.staging import staged
 from candela.queries.tables import SEQ_HASH, seq_hash, table
 
 CAMPAIGN, RUN = "CAMP", "R1"
@@ -105,7 +106,7 @@ def failure_mode_counts(spark, sf_dir):
 
 def _reviews(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("candidate_id"), F.lit("scored").alias("status"))
-    return review.review(_results(spark, sf_dir), c, CAMPAIGN, RUN)
+    return review.review(staged(_results(spark, sf_dir), "results"), c, CAMPAIGN, RUN)  # texts are classified once, whatever reads the reviews
 
 
 def review_rollup(spark, sf_dir):
