@@ -12,6 +12,7 @@ All fingerprints on one variant are within ``2 r`` bits of each other, so each i
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -179,8 +180,12 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 #: The wide search for similar texts: bands of a long SimHash, bits a band, and its least certain bits that variants flip.
 BANDS, BAND_BITS, DOUBTFUL = 13, 48, 8
-#: Pairs of a text in the first pass of verification.
-FIRST = 16
+#: Bands of the passes that link what is easily linked: a text tries one other in each place it meets any.
+EARLY = ((0, 1, 2), (3, 4, 5))
+#: Standard deviations beyond its mean at which a distance of long SimHashes rules a similarity out.
+BEYOND = 4.5
+#: Pairs that one step makes at once.
+PAIRS = 2_000_000
 _WORDS = -(-BANDS * BAND_BITS // 64)
 _KEYS = np.arange(1, _WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -205,8 +210,8 @@ def long_bits(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(z.astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, : BANDS * BAND_BITS]
 
 
-def banded(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bands of each text's SimHash over distinct shingles, and masks of the DOUBTFUL bits nearest to a tie."""
+def banded(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bands of each text's SimHash over distinct shingles, masks of the DOUBTFUL bits nearest to a tie, and the number of shingles."""
     from xxhash import xxh64_intdigest
 
     each = [np.fromiter((xxh64_intdigest(x, 42) for x in shingles(t, width)), np.uint64) for t in texts]
@@ -220,21 +225,21 @@ def banded(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]
     lean = (2 * ones - sizes[:, None]).reshape(-1, BANDS, BAND_BITS)
     place = np.uint64(1) << np.arange(BAND_BITS, dtype=np.uint64)
     doubt = np.argsort(np.abs(lean), axis=2, kind="stable")[:, :, :DOUBTFUL]
-    return ((lean > 0) * place).sum(axis=2, dtype=np.uint64), place[doubt].sum(axis=2, dtype=np.uint64)
+    return ((lean > 0) * place).sum(axis=2, dtype=np.uint64), place[doubt].sum(axis=2, dtype=np.uint64), sizes
 
 
 def bands(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(owner, fps, doubts) of ``docs`` (owner, text)."""
+    """(owner, size, fps, doubts) of ``docs`` (owner, text)."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 2 << 20):
-                fps, doubts = banded(part.column("text").to_pylist(), width)
+                fps, doubts, sizes = banded(part.column("text").to_pylist(), width)
                 bounds = pa.array(np.arange(0, fps.size + 1, BANDS, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("owner"), *(pa.ListArray.from_arrays(bounds, pa.array(x.ravel().view(np.int64))) for x in (fps, doubts))], names=["owner", "fps", "doubts"])
+                yield pa.RecordBatch.from_arrays([part.column("owner"), pa.array(sizes, pa.int64()), *(pa.ListArray.from_arrays(bounds, pa.array(x.ravel().view(np.int64))) for x in (fps, doubts))], names=["owner", "size", "fps", "doubts"])
 
     small_batches(docs.sparkSession)
-    return docs.select("owner", "text").mapInArrow(run, "owner long, fps array<long>, doubts array<long>")
+    return docs.select("owner", "text").mapInArrow(run, "owner long, size long, fps array<long>, doubts array<long>")
 
 
 def subsets(masks: np.ndarray):
@@ -250,40 +255,79 @@ def subsets(masks: np.ndarray):
         yield rows, out
 
 
-def collide(fps: np.ndarray, doubts: np.ndarray, owners: np.ndarray, roots: np.ndarray, bits: int) -> list[np.ndarray]:
-    """(least owner, owner) of all that share a variant of their low ``bits`` bits and have unequal roots; places with too many
-    variants are halved first."""
-    if len(fps) < 2:
-        return []
-    if (1 << np.bitwise_count(doubts).astype(np.int64)).sum() > STEP and bits > 1:
-        one = np.uint64(1 << (bits - 1))
-        is_one, can, rest, out = (fps & one) != 0, (doubts & one) != 0, doubts & ~one, []
-        for side in (False, True):
-            mine = (is_one == side) | can
-            out += collide(fps[mine], rest[mine], owners[mine], roots[mine], bits - 1)
-        return out
-    low = np.uint64((1 << bits) - 1)
-    made = [((fps[rows] & low)[:, None] ^ flips, np.repeat(rows, flips.shape[1])) for rows, flips in subsets(doubts)]
-    variants, row = np.concatenate([v.ravel() for v, _ in made]), np.concatenate([r for _, r in made])
-    ordered = np.sort(variants)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    if not len(twice):
-        return []
-    where = np.minimum(np.searchsorted(twice, variants), len(twice) - 1)
-    hit = twice[where] == variants
-    group, row = where[hit], row[hit]
-    order = np.lexsort((owners[row], group))
-    group, row = group[order], row[order]
-    first = np.concatenate(([True], group[1:] != group[:-1]))
-    head = row[np.flatnonzero(first)][np.cumsum(first) - 1]
-    some = (owners[head] != owners[row]) & (roots[head] != roots[row])
-    pairs = np.stack((owners[head][some], owners[row][some]), 1)
-    return [np.unique(pairs, axis=0)] if len(pairs) else []
-
+def groups(fps: np.ndarray, doubts: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(variant, row) of all variants of the low ``bits`` bits that several rows share, sorted by variant; places with too many
+    variants are halved first. Rows are numbers into the arrays."""
+
+    def part(rows, left, bits, high):
+        if len(rows) < 2:
+            return
+        if (1 << np.bitwise_count(left).astype(np.int64)).sum() > STEP and bits > 1:
+            one = np.uint64(1 << (bits - 1))
+            is_one, can = (fps[rows] & one) != 0, (left & one) != 0
+            for side in (False, True):
+                mine = (is_one == side) | can
+                yield from part(rows[mine], left[mine] & ~one, bits - 1, high | one if side else high)
+            return
+        low = np.uint64((1 << bits) - 1)
+        made = [((fps[rows[some]] & low)[:, None] ^ flips, np.repeat(rows[some], flips.shape[1])) for some, flips in subsets(left)]
+        variants, row = np.concatenate([v.ravel() for v, _ in made]), np.concatenate([r for _, r in made])
+        order = np.argsort(variants, kind="stable")
+        variants, row = variants[order], row[order]
+        same = variants[1:] == variants[:-1]
+        hit = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        if hit.any():
+            yield variants[hit] | high, row[hit]
 
-def candidates(prints: DataFrame) -> DataFrame:
-    """(a, b): owners of ``prints`` (owner, root, fps, doubts; distinct, stored) with unequal roots that share a variant, each
-    with the least owner there."""
+    low = np.uint64((1 << bits) - 1)
+    yield from part(np.arange(len(fps)), doubts & low, bits, np.uint64(0))
+
+
+def one_each(variants: np.ndarray, row: np.ndarray, owners: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """(a, b): for each row the busiest of those that it shares a variant with, if their roots differ. The busiest meets most others, so
+    near copies of one text meet in few of them."""
+    start = np.flatnonzero(np.concatenate(([True], variants[1:] != variants[:-1])))
+    size = np.diff(np.append(start, len(variants)))
+    busy = np.bincount(row, weights=np.repeat(size, size), minlength=len(owners))
+    group = np.repeat(np.arange(len(start)), size)
+    order = np.lexsort((owners[row], -busy[row], group))
+    head = np.repeat(row[order][start], size)
+    pick = np.lexsort((owners[head], -busy[head], row[order]))
+    mine, head = row[order][pick], head[pick]
+    first = np.concatenate(([True], mine[1:] != mine[:-1]))
+    mine, head = mine[first], head[first]
+    some = roots[mine] != roots[head]
+    return np.stack((np.minimum(owners[head], owners[mine]), np.maximum(owners[head], owners[mine])), 1)[some]
+
+
+def all_pairs_apart(variants: np.ndarray, row: np.ndarray, owners: np.ndarray, roots: np.ndarray, doubts: np.ndarray) -> Iterator[np.ndarray]:
+    """(a, b) of all rows with unequal roots that share a variant. Of the variants that two rows share, only that with zeros in all
+    bits which both doubt makes the pair, so a pair is made once."""
+    order = np.lexsort((roots[row], variants))
+    variants, row = variants[order], row[order]
+    n = len(row)
+    edge = np.concatenate((np.flatnonzero((variants[1:] != variants[:-1]) | (roots[row[1:]] != roots[row[:-1]])) + 1, [n]))
+    last = np.concatenate((np.flatnonzero(variants[1:] != variants[:-1]) + 1, [n]))
+    at = np.arange(n)
+    run_end, group_end = edge[np.searchsorted(edge, at, "right")], last[np.searchsorted(last, at, "right")]
+    partners = group_end - run_end
+    sums = np.cumsum(partners)
+    begin = 0
+    while begin < n:
+        end = max(begin + 1, int(np.searchsorted(sums, (sums[begin - 1] if begin else 0) + PAIRS, "right")))
+        many = partners[begin:end]
+        i = np.repeat(at[begin:end], many)
+        j = run_end[i] + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+        x, y = row[i], row[j]
+        only = (variants[i] & doubts[x] & doubts[y]) == 0
+        x, y = owners[x[only]], owners[y[only]]
+        yield np.stack((np.minimum(x, y), np.maximum(x, y)), 1)
+        begin = end
+
+
+def candidates(prints: DataFrame, bands: Sequence[int] = range(BANDS), each: bool = True) -> DataFrame:
+    """(a, b), a < b: owners of ``prints`` (owner, root, fps, doubts; distinct, stored) with unequal roots that share a variant of one of the
+    ``bands``: all of them once a band, or, unless ``each``, one for every owner and place."""
     depth = min(24, max(2, math.ceil(math.log2(max(prints.count(), 1) / BUCKET + 1))))
     low = np.uint64((1 << (BAND_BITS - depth)) - 1)
 
@@ -291,23 +335,40 @@ def candidates(prints: DataFrame) -> DataFrame:
         for b in batches:
             owner, root = b.column("owner").to_numpy(), b.column("root").to_numpy()
             fps, doubts = (b.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, BANDS) for c in ("fps", "doubts"))
-            for band in range(BANDS):
+            for band in bands:
                 fp, doubt = np.ascontiguousarray(fps[:, band]), np.ascontiguousarray(doubts[:, band])
                 for rows, flips in subsets(doubt & ~low):
                     bucket = ((fp[rows][:, None] ^ flips) >> np.uint64(BAND_BITS - depth)) | np.uint64(band << depth)
                     again = np.repeat(rows, flips.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), pa.array((fp[again] & low).view(np.int64)), pa.array((doubt[again] & low).view(np.int64)), pa.array(owner[again]), pa.array(root[again])], names=["bucket", "fp", "doubt", "owner", "root"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), pa.array((fp[again] & low).view(np.int64)), pa.array(doubt[again].view(np.int64)), pa.array(owner[again]), pa.array(root[again])], names=["bucket", "fp", "doubt", "owner", "root"])
 
     def join(table):
         fps, doubts, owners, roots = (table.column(c).to_numpy() for c in ("fp", "doubt", "owner", "root"))
-        found = collide(fps.view(np.uint64), doubts.view(np.uint64), owners, roots, BAND_BITS - depth)
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        fps, doubts = fps.view(np.uint64), doubts.view(np.uint64)
+        high = np.uint64((table.column("bucket")[0].as_py() & ((1 << depth) - 1)) << (BAND_BITS - depth))
+        found = [np.zeros((0, 2), np.int64)]
+        for variants, row in groups(fps, doubts, BAND_BITS - depth):
+            found += all_pairs_apart(variants | high, row, owners, roots, doubts) if each else [one_each(variants, row, owners, roots)]
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
 
     sent = prints.select("owner", "root", "fps", "doubts").mapInArrow(emit, "bucket long, fp long, doubt long, owner long, root long")
     return sent.groupBy("bucket").applyInArrow(join, "a long, b long")
 
 
+def likely(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` whose numbers of shingles allow the similarity and whose long SimHashes don't rule it out: at the least cosine of
+    such sets, bits differ with the probability angle / pi, and a distance BEYOND that many standard deviations over the mean is too far."""
+    n = BANDS * BAND_BITS
+    x = prints.select(F.col("owner").alias("a"), F.col("size").alias("size_a"), F.col("fps").alias("fps_a"))
+    y = prints.select(F.col("owner").alias("b"), F.col("size").alias("size_b"), F.col("fps").alias("fps_b"))
+    j = pairs.join(x, "a").join(y, "b").where((F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")))
+    apart = F.aggregate(F.zip_with("fps_a", "fps_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    cosine = F.least(F.lit(1.0), similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) / F.sqrt(F.nullif(F.col("size_a").cast("double") * F.col("size_b"), F.lit(0.0))))
+    share = F.acos(cosine) / math.pi
+    return j.where((F.least("size_a", "size_b") == 0) | (apart <= n * share + BEYOND * F.sqrt(n * share * (1 - share)))).select("a", "b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b) whose ``texts`` (owner, text) have a Jaccard similarity of shingle sets of at least ``similarity``."""
 
@@ -335,26 +396,29 @@ def similar(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> tupl
     emits all variants of its DOUBTFUL least certain bits, so two meet wherever each bit in which they differ is doubtful to
     one of them, and those that collide are verified by the exact similarity of their shingle sets.
 
-    A large group of near copies collides in very many pairs. So a first pass verifies at most FIRST pairs a text, and a
-    second pass all that collide and whose ends are not linked yet; the groups are those that all pairs would give.
+    A large group of near copies collides in very many pairs. So what is easily linked is linked first, over a few bands and with one
+    trial a text and place; then all pairs that collide in any band and are not linked yet are tried, those first dropped that
+    their sizes or long SimHashes rule out. A pair left out is linked already, so the groups are those that trying all pairs gives.
     """
     ids = stored(docs.select("doc_id", "owner"), "ids")
     first = docs.groupBy("owner").agg(F.min("text").alias("text"))
     prints = stored(bands(first, width), "bands")
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "candidates")
+        pairs = stored(likely(pairs.distinct(), prints, similarity), "candidates")
         used = pairs.select(F.col("a").alias("owner")).union(pairs.select(F.col("b").alias("owner"))).distinct()
         texts = stored(docs.join(used, "owner", "left_semi").groupBy("owner").agg(F.min("text").alias("text")), "compared")
         return stored(verified(pairs, texts, width, similarity), "verified")
 
     def rooted(edges: DataFrame) -> DataFrame:
-        return stored(prints.select("owner").join(components(edges).withColumnRenamed("v", "owner"), "owner", "left").withColumn("root", F.coalesce("root", "owner")), "roots")
-
-    met = candidates(prints.withColumn("root", F.col("owner"))).withColumn("slot", F.pmod(F.xxhash64("a", "b"), F.lit(FIRST)))
-    one = links(met.groupBy("b", "slot").agg(F.min("a").alias("a")).select("a", "b").distinct())
-    rest = links(candidates(stored(prints.join(rooted(one), "owner"), "bands")).distinct())
-    return ids, rooted(one.unionByName(rest))
+        return stored(prints.join(components(edges).withColumnRenamed("v", "owner"), "owner", "left").withColumn("root", F.coalesce("root", "owner")), "roots")
+
+    now, edges = prints.withColumn("root", F.col("owner")), None
+    for some in EARLY:
+        found = links(candidates(now, some, each=False))
+        edges = found if edges is None else edges.unionByName(found)
+        now = rooted(edges)
+    return ids, rooted(edges.unionByName(links(candidates(now)))).select("owner", "root")
 
 
 def one_of_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
