@@ -24,13 +24,14 @@ def mean_pairwise_distance(vectors: list[list[float]]) -> float:
     return float(np.mean([np.linalg.norm(x[i] - x[j]) for i in range(n) for j in range(i)]))
 
 
-def greedy_map(candidates: DataFrame, q: int, *, order_col: str, vector_col: str, quality_col: str, temperature: float = 10.0, gamma: float | None = None) -> tuple[list[dict], float]:
+def greedy_map(candidates: DataFrame, q: int, *, order_col: str, vector_col: str, quality_col: str | None = None, temperature: float = 10.0, gamma: float | None = None) -> tuple[list[dict], float]:
     """(trace, mean pairwise distance). The trace has step, key (of ``order_col``), quality, gain and log_det for each of
     ``q`` picks; ties go to the smallest key. Where no candidate has a positive determinant, the best quality left is taken
-    with log_det 0. Missing qualities count 50; no candidates, no picks."""
+    with log_det 0. Without a quality column the overall score counts, else
+    the manufacturability score; missing qualities count 50; no candidates, no picks."""
     if temperature <= 0:
         raise ValueError(f"temperature must be positive, got {temperature}")
-    d = candidates.select(F.col(order_col).alias("key"), F.col(vector_col).cast("array<double>").alias("x"), F.coalesce(F.col(quality_col).cast("double"), F.lit(50.0)).alias("s"))
+    d = candidates.select(F.col(order_col).alias("key"), F.col(vector_col).cast("array<double>").alias("x"), F.coalesce(*(F.col(c).cast("double") for c in ([quality_col] if quality_col else ["overall_score", "manufacturability_score"]) if c in candidates.columns), F.lit(50.0)).alias("s"))
     top = d.agg(F.max("s")).first()[0]
     if top is None:
         return [], 0.0

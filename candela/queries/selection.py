@@ -59,16 +59,30 @@ def crowding_topk(spark, sf_dir):
 def gp_acquisition(spark, sf_dir):
     """Upper confidence bounds of all vectors, one in ten of them measured."""
     v = _vectors(spark, sf_dir).select("vec_id", F.transform("x", lambda e: e / 4).alias("x"), F.col("quality").alias("y"))
-    a = surrogate.acquisition(v, v.where("vec_id % 10 = 0").select("x", (F.col("y") / 100).alias("y")), kind="UCB", seed=1, max_rows=20_000)
+    a = surrogate.acquisition(v, v.where("vec_id % 10 = 0").select("x", (F.col("y") / 100).alias("y")), kind="UCB", seed=1)
     return a.select("vec_id", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"), F.round("acquisition", 6).alias("acquisition"))
 
 
+def gp_two_measured(spark, sf_dir):
+    """Upper confidence bounds of all vectors where two are measured: the posterior has a closed form."""
+    v = _vectors(spark, sf_dir).select("vec_id", F.transform("x", lambda e: e / 4).alias("x"), F.col("quality").alias("y"))
+    a = surrogate.acquisition(v, v.where("vec_id < 2").select("x", (F.col("y") / 100).alias("y")), kind="UCB", seed=1)
+    return a.select("vec_id", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"), F.round("acquisition", 6).alias("acquisition"))
+
+
+def feature_acquisition(spark, sf_dir):
+    """Upper confidence bounds from two random features, whose normal equations are summed over all measured vectors, one in ten."""
+    v = _vectors(spark, sf_dir).select("vec_id", F.transform("x", lambda e: e / 4).alias("x"), F.col("quality").alias("y"))
+    a = surrogate.acquisition(v, v.where("vec_id % 10 = 0").select("x", (F.col("y") / 100).alias("y")), kind="UCB", seed=3, max_rows=0, features=2)
+    return a.select("vec_id", F.round("mean", 6).alias("mean"), (F.col("variance") * 1e6).alias("variance_ppm"), F.round("acquisition", 6).alias("acquisition"))
+
+
 def async_batch(spark, sf_dir):
     """Expected improvement over fantasy worlds of pending candidates, then a diverse batch: in fifty candidates one is
     measured and one pending."""
     d = Q.seq_hash(spark, sf_dir).select(F.col("doc_id").alias("candidate_id"), S.feature_vector(F.col("sequence")).alias("x"), (F.col("doc_id") % 97 / 97).alias("y"))
     state = F.col("candidate_id") % 50
-    return surrogate.propose(d.where(state > 1), d.where(state == 0), d.where(state == 1), batch_size=5, seed=11, max_rows=20_000)
+    return surrogate.propose(d.where(state > 1), d.where(state == 0), d.where(state == 1), batch_size=5, seed=11)
 
 
 def _predicted(spark, sf_dir):
@@ -104,7 +118,13 @@ _ERR = "(SELECT l_extendedprice / 110000.0::DOUBLE AS t, l_quantity * 1500.0::DO
 _RANK = f"(SELECT list_sort(list(abs(t - p))) AS v, least(1.0, ceil((count(*) + 1) * 0.9::DOUBLE) / count(*)) * (count(*) - 1) AS k FROM {_ERR} AS e)"
 _MARGIN = f"(SELECT v[floor(k)::BIGINT + 1] + (v[least(len(v), floor(k)::BIGINT + 2)] - v[floor(k)::BIGINT + 1]) * (k - floor(k)) FROM {_RANK} AS r)"
 
-QUERIES = {f.__name__: f for f in (novelty_batch, kmer_jaccard_topk, dpp_batch, dpp_batch_10, pareto_front, pareto_ranks, crowding_topk, gp_acquisition, async_batch, conformal_interval, conformal_coverage)}
+def _feature_sql(k: int, dimensions: int = 64) -> str:
+    """The k-th of the two random features of feature_acquisition."""
+    directions, phases = surrogate.frequencies(dimensions, 2, 3)
+    return f"cos(list_dot_product(x, {[float(w) for w in directions[:, k]]}::DOUBLE[]) + {float(phases[k])!r}::DOUBLE)"
+
+
+QUERIES = {f.__name__: f for f in (novelty_batch, kmer_jaccard_topk, dpp_batch, dpp_batch_10, pareto_front, pareto_ranks, crowding_topk, gp_acquisition, gp_two_measured, feature_acquisition, async_batch, conformal_interval, conformal_coverage)}
 SQL = {
     "novelty_batch": f"""WITH b AS (SELECT * FROM {_BASE} AS q),
       s1 AS (SELECT b.*, {_PRI.format('100')} AS pri, 100.0 AS nov FROM b ORDER BY pri DESC, id LIMIT 1),
@@ -128,6 +148,14 @@ SQL = {
         FROM f WINDOW v AS (PARTITION BY k ORDER BY volume, l_suppkey), d AS (PARTITION BY k ORDER BY discount, volume, l_suppkey)),
       h AS (SELECT l_suppkey, k, n <= 2 OR nv IS NULL OR pv IS NULL OR nd IS NULL OR pd IS NULL AS is_end, coalesce((nv - pv) / nullif(sv, 0), 0) + coalesce((nd - pd) / nullif(sd, 0), 0) AS c FROM g)
       SELECT l_suppkey, k AS pareto_rank, CASE WHEN NOT is_end THEN round(c, 5) END AS crowding_distance, is_end FROM h ORDER BY k, is_end DESC, c DESC, l_suppkey LIMIT 12""",
+    "gp_two_measured": f"""WITH v AS (SELECT vec_id, list_transform(x, lambda e: e / 4) AS x, s / 100 AS y FROM {_V} AS t), a AS (SELECT * FROM v WHERE vec_id = 0), b AS (SELECT * FROM v WHERE vec_id = 1),
+      k AS (SELECT v.vec_id, exp(-0.5::DOUBLE * pow(list_distance(v.x, a.x), 2)) AS p, exp(-0.5::DOUBLE * pow(list_distance(v.x, b.x), 2)) AS q, exp(-0.5::DOUBLE * pow(list_distance(a.x, b.x), 2)) AS c, 1 + 1e-4::DOUBLE + 1e-6::DOUBLE AS d, a.y AS ya, b.y AS yb FROM v, a, b),
+      m AS (SELECT vec_id, (p * (d * ya - c * yb) + q * (d * yb - c * ya)) / (d * d - c * c) AS mean, greatest(1e-10, 1 - (d * p * p - 2 * c * p * q + d * q * q) / (d * d - c * c)) AS var FROM k)
+      SELECT vec_id, round(mean, 6) AS mean, round(var, 6) AS variance, round(mean + 2 * sqrt(var), 6) AS acquisition FROM m""",
+    "feature_acquisition": f"""WITH v AS (SELECT vec_id, list_transform(x, lambda e: e / 4) AS x, s / 100 AS y FROM {_V} AS t), f AS (SELECT vec_id, y, {_feature_sql(0)} AS p, {_feature_sql(1)} AS q FROM v),
+      n AS (SELECT sum(p * p) + 1.01e-4::DOUBLE AS a, sum(p * q) AS b, sum(q * q) + 1.01e-4::DOUBLE AS c, sum(p * y) AS u, sum(q * y) AS w FROM f WHERE vec_id % 10 = 0),
+      m AS (SELECT vec_id, (p * (c * u - b * w) + q * (a * w - b * u)) / (a * c - b * b) AS mean, greatest(1e-10, 1.01e-4::DOUBLE * (c * p * p - 2 * b * p * q + a * q * q) / (a * c - b * b)) AS var FROM f, n)
+      SELECT vec_id, round(mean, 6) AS mean, var * 1e6 AS variance_ppm, round(mean + 2 * sqrt(var), 6) AS acquisition FROM m""",
     "conformal_interval": f"SELECT round(lo, 7) AS lower_bound, round(hi, 7) AS upper_bound, round(hi - lo, 7) AS interval_width, 2 * m > 0.35 AS is_high_uncertainty, count(*) AS n FROM (SELECT m, greatest(0.0, p - m) AS lo, least(1.0, p + m) AS hi FROM {_ERR} AS e, (SELECT {_MARGIN} AS m)) GROUP BY 1, 2, 3, 4",
     "conformal_coverage": f"SELECT round(avg((t BETWEEN greatest(0.0, p - m) AND least(1.0, p + m))::INT), 6) AS coverage FROM {_ERR} AS e, (SELECT {_MARGIN} AS m)",
 }

@@ -172,3 +172,36 @@ def test_acquisition_queries_against_brute_force(spark, tmp_path):
     var = np.maximum(1e-10, 1 - np.einsum("ij,jk,ik->i", k(x, x[some]), inv, k(x, x[some])))
     for r in R.queries()["gp_acquisition"](spark, str(tmp_path)).collect():
         assert r.mean == pytest.approx(mean[r.vec_id], abs=2e-6) and r.variance == pytest.approx(var[r.vec_id], abs=2e-6) and r.acquisition == pytest.approx(mean[r.vec_id] + 2 * var[r.vec_id] ** 0.5, abs=4e-6)
+
+
+def test_features_come_near_the_exact_posterior(spark):
+    """Beyond max_rows random features take over: mean and deviation within 0.1 of the exact ones, on any partitioning, and nothing is refused."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 2))
+    y = np.sin(x[:, 0]) + 0.5 * x[:, 1]
+    d = spark.createDataFrame([(i, x[i].tolist(), float(y[i])) for i in range(400)], "i int, x array<double>, y double")
+    seen, wait, rest = d.where("i < 300"), d.where("i between 300 and 309").select("x"), d.where("i >= 310").select("i", "x")
+    run = lambda n, **k: {r.i: (r["mean"], r.variance**0.5, r.acquisition) for r in surrogate.acquisition(rest, seen.repartition(n), wait, seed=2, kind="UCB", **k).collect()}
+    exact, near, again = run(1), run(3, max_rows=50, features=2048), run(7, max_rows=50, features=2048)
+    # where measured rows are near; in the tails 1.96 deviations of either model hold the other's mean
+    for i in exact:
+        assert abs(exact[i][0] - near[i][0]) < 0.05 + 4 * (exact[i][1] + near[i][1]) and near[i] == pytest.approx(again[i], abs=1e-4)
+    close = [i for i in exact if exact[i][1] < 0.02]
+    assert len(close) > 50 and max(abs(exact[i][0] - near[i][0]) for i in close) < 0.1 and max(abs(exact[i][2] - near[i][2]) for i in close) < 0.2
+
+
+def test_kernel_of_features():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 3))
+    basis = surrogate.frequencies(3, 4096, 7)
+    phi = surrogate.mapped(x, *basis)
+    assert np.abs(phi @ phi.T - surrogate.kernel(x, x)).max() < 0.1
+
+
+def test_default_qualities(spark):
+    d = spark.createDataFrame([("a", [0.0], None, 70.0), ("b", [5.0], 90.0, 10.0), ("c", [9.0], None, None)], "id string, x array<double>, overall_score double, manufacturability_score double")
+    assert [t["quality"] for t in dpp.greedy_map(d, 3, order_col="id", vector_col="x", gamma=1.0)[0]] == [90.0, 70.0, 50.0]
+    got = {r.id: r.q for r in d.select("id", surrogate.outcome(d).alias("q")).collect()}
+    assert got == {"a": 70.0, "b": 90.0, "c": 50.0}
+    picks = surrogate.propose(d.select("id", "x"), d, batch_size=2, use_dpp=False, id_col="id", seed=1).collect()
+    assert len(picks) == 2 and picks[0].id == "b"
