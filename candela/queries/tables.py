@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of its files; as a pattern, since a table may be a single file and a plain stream path a folder only."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def letters(text: Column) -> Column:
     return F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
 

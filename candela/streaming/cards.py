@@ -25,7 +25,12 @@ def outcomes(records: DataFrame) -> DataFrame:
     return records.select("candidate_id", "stage", "seq", ok.alias("passed"), F.when(ok, none).otherwise(codes).alias("codes"), potency.alias("potency"))
 
 
-def _advance(card: dict, r) -> dict:
+def new_card() -> dict:
+    return {"experiment_state": "designed", "status": "draft", "potency": None, "risk_flags": []}
+
+
+def advance(card: dict, r) -> dict:
+    """The card after one outcome."""
     third = r.stage == STAGES[2]
     card["experiment_state"] = "measured" if third else "in_flight_assay" if r.passed else "failed"
     card["status"] = "rejected" if not r.passed else "evaluated" if third else card["status"]
@@ -45,11 +50,11 @@ def fold_cards(stream: DataFrame) -> DataFrame:
     """``outcomes`` rows folded a candidate in order of seq; a row a record with the card after it. State: the card."""
 
     def step(key, batches, state: GroupState):
-        card = dict(zip(("experiment_state", "status", "potency", "risk_flags"), state.get, strict=True)) if state.exists else {"experiment_state": "designed", "status": "draft", "potency": None, "risk_flags": []}
+        card = dict(zip(("experiment_state", "status", "potency", "risk_flags"), state.get, strict=True)) if state.exists else new_card()
         card["risk_flags"] = list(card["risk_flags"])
         rows = []
         for r in in_order(batches, ["seq"]):
-            card = _advance(card, r)
+            card = advance(card, r)
             rows.append((key[0], r.stage, card["experiment_state"], card["status"], card["potency"], list(card["risk_flags"])))
         state.update((card["experiment_state"], card["status"], card["potency"], card["risk_flags"]))
         yield pd.DataFrame(rows, columns=["candidate_id", "stage", "experiment_state", "status", "potency", "risk_flags"])
