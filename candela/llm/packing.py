@@ -4,7 +4,8 @@ The histogram has at most ``capacity`` lengths however many documents there are.
 sequence are enumerated on a coarse grid of lengths, their repeat counts are fitted to the histogram by non-negative
 least squares and rounded down; what the patterns leave over, in documents and in gaps, is packed best fit decreasing,
 by runs of equal lengths and equal gaps. The plan is a list of runs (length, first rank, count, first sequence, offset);
-its size depends on the capacity and the grid, not on the input. Executors look their documents up in it by rank.
+its size depends on the capacity and the grid, not on the input. Executors look their documents up in it by rank; token ids
+travel with their pieces, two bytes each where the vocabulary allows.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candela.llm.common import fresh, stored
-from candela.llm.tokens import token_pieces
+from candela.llm.tokens import token_pieces, unpacked
 
 GRID, PATTERN_DOCS = 32, 6
 
@@ -159,57 +161,79 @@ def fitted(histogram: dict[int, int], capacity: int, floor: int) -> list[tuple[i
     return runs
 
 
-def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
-    """``pieces`` (doc_id, piece, length, ...) plus sequence_id and offset.
+def counted(batches, names: list[str]):
+    """Numbers the pieces of each length within the task, in the order in which they come: their columns, the task and the number."""
+    from pyspark import TaskContext
+
+    part, seen = TaskContext.get().partitionId(), defaultdict(int)
+    for b in batches:
+        length = np.asarray(b.column("length"))
+        order = np.argsort(length, kind="stable")
+        values, counts = np.unique(length, return_counts=True)
+        before = np.array([seen[v] for v in values.tolist()], np.int64)
+        ranks = np.empty(len(length), np.int64)
+        ranks[order] = np.arange(len(length)) - np.repeat(np.cumsum(counts) - counts - before, counts)
+        for v, c in zip(values.tolist(), counts.tolist(), strict=True):
+            seen[v] += c
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(ranks)], names=names)
+
+
+def ranked(pieces: DataFrame, tag: str) -> tuple[DataFrame, str, str, dict[tuple[int, int], int], dict[int, int]]:
+    """``pieces`` (length, ...; stored) with the task and the number of each among the task's pieces of its length; the names of these
+    columns; for each length and task the pieces of earlier tasks; and the histogram of lengths.
+
+    Tasks come from a range partitioning by length and place, which no two rows share, so a length or an id that most rows have is
+    split; a task's part holds neighbouring lengths, so the (part, length) counts are at most tasks + lengths rows."""
+    parts = max(1, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    place, part, rank = fresh(pieces, "pack_place"), fresh(pieces, "pack_part"), fresh(pieces, "pack_rank")
+    names = [*pieces.columns, part, rank]
+    schema = T.StructType([*pieces.schema.fields, T.StructField(part, T.IntegerType()), T.StructField(rank, T.LongType())])
+    dealt = pieces.withColumn(place, F.monotonically_increasing_id()).repartitionByRange(parts, "length", place).drop(place)
+    out = stored(dealt.mapInArrow(lambda batches: counted(batches, names), schema), tag)
+    base, histogram = {}, defaultdict(int)
+    for r in sorted(out.groupBy("length", part).count().collect(), key=lambda r: (r["length"], r[part])):
+        base[r["length"], r[part]] = histogram[r["length"]]
+        histogram[r["length"]] += r["count"]
+    return out, part, rank, base, dict(histogram)
 
-    Ranks among equal lengths come from a range partitioning by (length, doc_id, piece), which splits even a length that
-    most pieces share; a task's part holds a contiguous range of lengths, so all (part, length) counts together are at
-    most tasks + capacity rows. Null ids and repeated rows are packed like others; no pieces, no rows.
-    """
-    spark, names = pieces.sparkSession, pieces.columns
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def rank(batches):
-        from pyspark import TaskContext
+def ranks_of(b: pa.RecordBatch, part: str, rank: str, base: dict[tuple[int, int], int]) -> np.ndarray:
+    """The ranks of a batch's pieces among all of their lengths."""
+    pair, back = np.unique(np.asarray(b.column("length")).astype(np.int64) << 32 | np.asarray(b.column(part)), return_inverse=True)
+    return np.asarray(b.column(rank)) + np.array([base[p >> 32, p & 0xFFFFFFFF] for p in pair.tolist()], np.int64)[back]
 
-        part, seen = TaskContext.get().partitionId(), defaultdict(int)
-        for b in batches:
-            length, ranks = np.asarray(b.column("length")), np.zeros(b.num_rows, np.int64)
-            values, first, counts = np.unique(length, return_index=True, return_counts=True)
-            for v, f, c in zip(values.tolist(), first.tolist(), counts.tolist(), strict=True):
-                ranks[f : f + c] = np.arange(seen[v], seen[v] + c)
-                seen[v] += c
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(ranks)], names=[*names, part_col, rank_col])
-
-    part_col, rank_col = fresh(pieces, "pack_part"), fresh(pieces, "pack_rank")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + f", {part_col} int, {rank_col} long"
-    ranked = stored(pieces.repartitionByRange(parts, "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece").mapInArrow(rank, schema), "ranked")
-    counts = ranked.groupBy("length", part_col).count().collect()
-    base, histogram = {}, defaultdict(int)
-    for r in sorted(counts, key=lambda r: (r["length"], r[part_col])):
-        base[r["length"], r[part_col]] = histogram[r["length"]]
-        histogram[r["length"]] += r["count"]
-    runs = sorted(plan(dict(histogram), capacity))
+
+def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
+    """``pieces`` (length, ...; stored) plus sequence_id and offset; packed ids become arrays.
+
+    Null ids and repeated rows are packed like others; no pieces, no rows.
+    """
+    names = pieces.columns
+    rows, part, rank, base, histogram = ranked(pieces, "ranked")
+    runs = sorted(plan(histogram, capacity))
     at = {x: i for i, x in reversed(list(enumerate(r[0] for r in runs)))}
-    table = spark.sparkContext.broadcast((base, at, np.array(runs, np.int64).reshape(-1, 5)))
+    table = pieces.sparkSession.sparkContext.broadcast((base, at, np.array(runs, np.int64).reshape(-1, 5)))
+    is_packed = [isinstance(f.dataType, T.BinaryType) and f.name == "ids" for f in pieces.schema]
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())) if p else f for f, p in zip(pieces.schema, is_packed, strict=True)]
 
     def place(batches):
         base, at, runs = table.value
         for b in batches:
-            length, part = np.asarray(b.column("length")), np.asarray(b.column(part_col))
-            ranks, row = np.asarray(b.column(rank_col)).copy(), np.zeros(b.num_rows, np.int64)
-            pair = length.astype(np.int64) << 32 | part
-            for p in np.unique(pair).tolist():
-                mine = pair == p
-                x = p >> 32
-                ranks[mine] += base[x, p & 0xFFFFFFFF]
-                lo = at[x]
+            if not b.num_rows:
+                continue
+            length, ranks, row = np.asarray(b.column("length")), ranks_of(b, part, rank, base), np.zeros(b.num_rows, np.int64)
+            for x in np.unique(length).tolist():
+                mine, lo = length == x, at[x]
                 hi = int(np.searchsorted(runs[:, 0], x, "right"))
                 row[mine] = lo + np.searchsorted(runs[lo:hi, 1], ranks[mine], "right") - 1
             chosen = runs[row]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(chosen[:, 3] + ranks - chosen[:, 1]), pa.array(chosen[:, 4].copy())], names=[*names, "sequence_id", "offset"])
+            columns = [b.column(c) for c in names]
+            for i in np.flatnonzero(is_packed).tolist():
+                ids, starts = unpacked(columns[i], length)
+                columns[i] = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(chosen[:, 3] + ranks - chosen[:, 1]), pa.array(chosen[:, 4].copy())], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long")
+    return rows.mapInArrow(place, T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -221,7 +245,5 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
     columns may have any name.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if not with_ids:
-        return pack(stored(token_pieces(named, vocabulary, capacity=capacity, end_id=end_id, keep=["doc_id"]), "pieces"), capacity)
-    cut = stored(token_pieces(named, vocabulary, capacity=capacity, end_id=end_id, keep=["doc_id"], with_ids=True).withColumn("row", F.monotonically_increasing_id()), "pieces")
-    return pack(cut.drop("ids"), capacity).join(cut.select("row", "ids"), "row").drop("row")  # the ids stay out of the planning passes
+    cut = token_pieces(named, vocabulary, capacity=capacity, end_id=end_id, keep=["doc_id"], with_ids=with_ids, packed=True)
+    return pack(stored(cut, "pieces"), capacity)

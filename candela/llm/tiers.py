@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candela.llm.common import small_batches, stored
+from candela.llm.packing import ranked, ranks_of
 from candela.llm.tokens import gathered, token_pieces, unpacked
 
 TIERS, STEP_WINDOWS = (256, 512, 1024, 2048), 8
@@ -118,23 +119,6 @@ def numbered(runs: list[tuple], step_tokens: int) -> tuple[np.ndarray, dict[int,
     return np.array(sorted(runs), np.int64).reshape(-1, 8), bases
 
 
-def counted(batches, names: list[str]):
-    """Numbers the pieces of each length within the task, in the order in which they come."""
-    from pyspark import TaskContext
-
-    part, seen = TaskContext.get().partitionId(), defaultdict(int)
-    for b in batches:
-        length = np.asarray(b.column("length"))
-        order = np.argsort(length, kind="stable")
-        values, counts = np.unique(length, return_counts=True)
-        before = np.array([seen[v] for v in values.tolist()], np.int64)
-        ranks = np.empty(len(length), np.int64)
-        ranks[order] = np.arange(len(length)) - np.repeat(np.cumsum(counts) - counts - before, counts)
-        for v, c in zip(values.tolist(), counts.tolist(), strict=True):
-            seen[v] += c
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(ranks)], names=names)
-
-
 def parts_of(length: np.ndarray, ranks: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, run) for every part of every piece, rows in order."""
     rows, which = [], []
@@ -160,17 +144,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
     length or one id spreads over tasks. No rows, no rows. Only the id and the text are read, so other columns may have any name.
     """
     spark, longest = docs.sparkSession, max(tiers)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = stored(token_pieces(named, vocabulary, capacity=longest, end_id=end_id, keep=["doc_id"], with_ids=True, with_total=True, packed=True).drop("piece", "ids_crc32").withColumn("place", F.monotonically_increasing_id()), "pieces")
-    names = [*cut.columns, "part", "rank"]
-    schema = T.StructType([*cut.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType())])
-    ranked = stored(cut.repartitionByRange(parts, "length", "place").mapInArrow(lambda batches: counted(batches, names), schema), "ranked")
-    base, histogram = {}, defaultdict(int)
-    for r in sorted(ranked.groupBy("length", "part").count().collect()):  # a range holds neighbouring lengths: tasks + longest rows
-        base[r["length"], r["part"]] = histogram[r["length"]]
-        histogram[r["length"]] += r["count"]
-    table = spark.sparkContext.broadcast((base, *numbered(plan(dict(histogram), tiers), step_tokens or STEP_WINDOWS * longest)))
+    cut = token_pieces(named, vocabulary, capacity=longest, end_id=end_id, keep=["doc_id"], with_ids=True, with_total=True, packed=True).drop("piece", "ids_crc32")
+    rows, part, rank, base, histogram = ranked(stored(cut, "pieces"), "ranked")
+    table = spark.sparkContext.broadcast((base, *numbered(plan(histogram, tiers), step_tokens or STEP_WINDOWS * longest)))
     result = T.StructType([docs.select(F.col(id_col).alias("doc_id")).schema[0], *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step")), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 
     def place(batches):
@@ -178,9 +155,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
         for b in batches:
             if not b.num_rows:
                 continue
-            length, part = np.asarray(b.column("length")), np.asarray(b.column("part"))
-            pair, back = np.unique(length << 32 | part, return_inverse=True)
-            ranks = np.asarray(b.column("rank")) + np.array([base[p >> 32, p & 0xFFFFFFFF] for p in pair.tolist()], np.int64)[back]
+            length, ranks = np.asarray(b.column("length")), ranks_of(b, part, rank, base)
             row, run = parts_of(length, ranks, runs)
             chosen = runs[run]
             within, size, window = chosen[:, 3], chosen[:, 4], chosen[:, 5]
@@ -195,4 +170,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), *(pa.array(x, pa.int64()) for x in made), *lists], names=result.names)
 
     small_batches(spark)
-    return ranked.mapInArrow(place, result)
+    return rows.mapInArrow(place, result)

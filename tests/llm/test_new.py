@@ -120,6 +120,33 @@ def test_tiers_with_ids_give_the_documents_back(spark, texts):
     assert all(ids == [*lib.encode(texts[k], add_special_tokens=False).ids, 1] for k, ids in got.items()) and len(got) == some.count()
 
 
+def test_packed_sequences_with_ids_give_the_documents_back(spark, texts):
+    from tokenizers import Tokenizer
+
+    from candela.llm import packing
+
+    lib = Tokenizer.from_file(Q.vocabulary())
+    some = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    got, sequence = defaultdict(list), defaultdict(list)
+    for r in sorted(packing.pack_documents(some, Q.vocabulary(), capacity=300, with_ids=True).collect(), key=lambda r: (r.doc_id, r.start)):
+        assert len(r.ids) == r.length and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        got[r.doc_id] += r.ids
+        sequence[r.sequence_id].append((r.offset, r.length))
+    assert all(ids == [*lib.encode(texts[k], add_special_tokens=False).ids, 1] for k, ids in got.items()) and len(got) == some.count()
+    assert all(sum(n for _, n in v) <= 300 and sorted(v)[0][0] == 0 for v in sequence.values())
+
+
+def test_one_repeated_row_is_ranked_over_many_tasks(spark):
+    """Rows equal in id, text and length are split over the ranges, and still get gapless places."""
+    from candela.llm import packing
+
+    d = spark.createDataFrame([(1, "one two three")] * 3000, "doc_id long, text string")
+    rows = packing.pack_documents(d, Q.vocabulary(), capacity=64).collect()
+    assert len(rows) == 3000 and len({(r.sequence_id, r.offset) for r in rows}) == 3000
+    out, part, *_ = packing.ranked(spark.createDataFrame([(4,)] * 3000, "length long"), "test")
+    assert out.select(part).distinct().count() > 2
+
+
 @pytest.mark.parametrize("histogram", [{}, {1: 1}, {2048: 5}, {1500: 1000}, {1: 5000}, {1025: 1000, 3: 10}, {7: 10**12, 2047: 10**11}])
 def test_plans_fill_every_window(histogram):
     runs = tiers.plan(histogram)
