@@ -1,12 +1,15 @@
 """Pareto fronts and crowding distance; all objectives are maximised, a missing one counts 0.
 
-A front is found in two phases: every part keeps its own non-dominated rows, then the survivors are compared with all
-survivors, sent in blocks of a bounded number of rows. Peeling fronts stops once enough rows are covered; the ranks of all rows come
-from one sweep in falling order of the objectives' sum.
+A front is found in falling order of the objectives' sum, in which dominators come first, after every task has dropped what its own rows
+dominate. Peeling fronts stops once enough rows are covered. The ranks of all rows are lengths of chains: over a grid of ranges for
+two objectives, in n log n and without a collect; in one sweep over blocks for more.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+from bisect import bisect_left, bisect_right
 from functools import reduce
 
 import numpy as np
@@ -14,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela.operators.staging import staged
+from candela.operators.staging import shared_folder, staged
 
 BLOCK_ROWS = 20_000
+#: Distinct points that a cell of the grid should hold.
+CELL_ROWS = 100_000
 
 
 def _undominated(points: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -34,9 +39,18 @@ def _points(batch, objectives) -> np.ndarray:
     return np.stack([np.asarray(batch.column(c), float) for c in objectives], 1) if batch.num_rows else np.zeros((0, len(objectives)))
 
 
+def _summed(objectives: list[str]) -> list:
+    """Falling order in which every dominator comes first: the objectives too, since sums may be equal after rounding."""
+    return [F.desc(sum((F.col(c) for c in objectives[1:]), F.col(objectives[0]))), *(F.desc(c) for c in objectives)]
+
+
 def front(d: DataFrame, objectives: list[str]) -> DataFrame:
-    """The rows of ``d`` (objectives without nulls) that no other row dominates."""
-    names = d.columns
+    """The rows of ``d`` (objectives without nulls) that no other row dominates.
+
+    Each task first drops what its own rows dominate. Of the rest the BLOCK_ROWS points highest in sum are compared with each other;
+    what stays is on the front, since dominators have the higher sum, and it drops what it dominates before the next points are
+    taken. So only points of the front are sent to the tasks, and each round's rest is stored."""
+    names, flag = d.columns, "front_state"
 
     def local(batches):
         kept = None
@@ -48,27 +62,34 @@ def front(d: DataFrame, objectives: list[str]) -> DataFrame:
         if kept is not None:
             yield from kept.to_batches()
 
-    some = staged(d.select(*names).mapInArrow(local, d.schema), "front")
-    blocks = max(1, -(-some.count() // BLOCK_ROWS))
-    out = some
-    for k in range(blocks):
-        mine = some.where(F.pmod(F.xxhash64(*objectives), F.lit(blocks)) == k).select(*objectives).distinct()
-        sent = d.sparkSession.sparkContext.broadcast(np.array([tuple(r) for r in mine.collect()], float).reshape(-1, len(objectives)))
+    left, done = staged(d.select(*names).mapInArrow(local, d.schema), "front"), []
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema) + f", {flag} boolean"
+    while rows := left.select(*objectives).distinct().orderBy(*_summed(objectives)).limit(BLOCK_ROWS).collect():
+        top = np.array([tuple(r) for r in rows], float)
+        sent = d.sparkSession.sparkContext.broadcast((top[_undominated(top, top)], top))
 
         def against(batches, sent=sent):
+            final, top = sent.value
+            row = np.dtype((np.void, 8 * len(objectives)))
+            same = lambda p, q: np.isin(np.ascontiguousarray(p + 0.0).view(row).ravel(), np.ascontiguousarray(q + 0.0).view(row).ravel())
             for b in batches:
-                yield b.filter(pa.array(_undominated(_points(b, objectives), sent.value)))
+                p = _points(b, objectives)
+                on = same(p, final)
+                keep = on | (~same(p, top) & _undominated(p, final))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(on)], names=[*names, flag]).filter(pa.array(keep))
 
-        out = out.mapInArrow(against, d.schema)
-    return out
+        split = staged(left.mapInArrow(against, schema), "front")
+        done.append(split.where(flag).select(*names))
+        left = split.where(~F.col(flag)).select(*names)
+    return reduce(DataFrame.unionByName, done) if done else left
 
 
 def fronts(d: DataFrame, id_col: str, objectives: list[str], cover: int | None = None) -> DataFrame:
     """``d`` with pareto_rank from 1. With ``cover`` fronts are peeled until that many rows are ranked; without it all rows are
-    ranked in one ordered sweep."""
+    ranked, by chains over a grid for two objectives and in an ordered sweep for more."""
     left = staged(d.select(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in objectives else F.col(c) for c in d.columns)), "pareto")
     if cover is None:
-        return swept(left, objectives)
+        return chained(left, objectives) if len(objectives) == 2 else swept(left, objectives)
     out, rank, covered = None, 0, 0
     while covered < cover:
         rank += 1
@@ -82,6 +103,82 @@ def fronts(d: DataFrame, id_col: str, objectives: list[str], cover: int | None =
     return out if out is not None else left.withColumn("pareto_rank", F.lit(0))
 
 
+def _stairs(steps: list[tuple[float, int]]) -> list[tuple[float, int]]:
+    """Of (value, rank) those that no other beats in both, by falling value and so rising rank."""
+    out: list[tuple[float, int]] = []
+    for v, r in sorted(steps, key=lambda s: (-s[0], -s[1])):
+        if not out or r > out[-1][1]:
+            out.append((v, r))
+    return out
+
+
+def _ranked_cell(a: np.ndarray, b: np.ndarray, above: list[tuple[float, int]], beside: list[tuple[float, int]]) -> tuple[list[int], list[tuple[float, int]], list[tuple[float, int]]]:
+    """Ranks of a cell's distinct points, in falling order of (a, b), in n log n.
+
+    ``above`` has (b, rank) of the points with higher a in the same range of b, ``beside`` (a, rank) of those with higher b; both as
+    stairs. The highest rank over a point is found in the stairs of its own range by bisection and in the others' by a pointer.
+    Returned are the ranks and the stairs that the cells below and beside need."""
+    negative, ranks = [-v for v, _ in above], [r for _, r in above]  # both rising
+    out, at, other = [], 0, 0
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        while at < len(beside) and beside[at][0] >= x:
+            other = beside[at][1]
+            at += 1
+        i = bisect_right(negative, -y)
+        r = 1 + max(other, ranks[i - 1] if i else 0)
+        out.append(r)
+        j = bisect_left(ranks, r)  # stairs of no higher rank and no higher b give way
+        if j < len(ranks) and ranks[j] == r:
+            j += 1
+        lo = bisect_left(negative, -y, 0, j)
+        negative[lo:j], ranks[lo:j] = [-y], [r]
+    below = [(-v, r) for v, r in zip(negative, ranks, strict=True)]
+    base = [(math.inf, above[-1][1])] if above else []
+    return out, below, _stairs([*beside, *base, *zip(a.tolist(), out, strict=True)])
+
+
+def chained(d: DataFrame, objectives: list[str]) -> DataFrame:
+    """``d`` (stored, two objectives without nulls) with pareto_rank: the longest chain of dominators that ends in a row.
+
+    The distinct points are cut into a grid of ranges of both objectives. A cell needs the stairs of the cell above it (higher in
+    the first objective) and of the one beside it (higher in the second), so the cells of a diagonal are ranked at once, each in
+    n log n by one task, and their stairs are stored for the next diagonal. Nothing but the ranges' bounds reaches the driver."""
+    one, two = objectives
+    points = d.select(F.col(one).alias("a"), F.col(two).alias("b")).distinct()
+    points = staged(points.select((F.col("a") + 0.0).alias("a"), (F.col("b") + 0.0).alias("b")), "points")
+    grid = max(1, math.ceil(points.count() / CELL_ROWS))
+    bounds = [[q for q in sorted(set(v), reverse=True)] for v in points.approxQuantile(["a", "b"], [k / grid for k in range(1, grid)], 0.2 / grid)] if grid > 1 else [[], []]
+    cell = lambda c, cuts: sum(((F.col(c) < v).cast("int") for v in cuts), F.lit(0))
+    columns = len(bounds[1]) + 1
+    cells = points.withColumn("i", cell("a", bounds[0])).withColumn("j", cell("b", bounds[1])).withColumn("turn", F.col("i") + F.col("j"))
+    path = f"{shared_folder(d.sparkSession)}/staged-cells-{uuid.uuid4().hex}"
+    cells.write.partitionBy("turn").parquet(path)  # a diagonal is a folder
+    fields = "i int, j int, kind string, a double, b double, rank long"
+    cells = d.sparkSession.read.schema("a double, b double, i int, j int, turn int").parquet(path).select("i", "j", F.lit("point").alias("kind"), "a", "b", F.lit(0).cast("long").alias("rank"), "turn")
+
+    def rank(table):
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        kind = np.asarray(table.column("kind").to_pylist())
+        a, b, r = (np.asarray(table.column(c)) for c in ("a", "b", "rank"))
+        stairs = {k: sorted(zip(a[kind == k].tolist(), r[kind == k].tolist(), strict=True), key=lambda s: -s[0]) for k in ("above", "beside")}
+        mine = np.flatnonzero(kind == "point")
+        mine = mine[np.lexsort((-b[mine], -a[mine]))]
+        ranks, below, beside = _ranked_cell(a[mine], b[mine], stairs["above"], stairs["beside"])
+        made = [(i, j, "done", x, y, k) for x, y, k in zip(a[mine].tolist(), b[mine].tolist(), ranks, strict=True)]
+        made += [(i + 1, j, "above", v, 0.0, k) for v, k in below] + [(i, j + 1, "beside", v, 0.0, k) for v, k in beside]
+        names = ("i", "j", "kind", "a", "b", "rank")
+        return pa.table({n: pa.array([m[c] for m in made], t) for c, (n, t) in enumerate(zip(names, (pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.int64()), strict=True))})
+
+    done, stairs = [], None
+    for turn in range(len(bounds[0]) + columns):
+        here = cells.where(F.col("turn") == turn).drop("turn")
+        step = staged((here if stairs is None else here.unionByName(stairs)).groupBy("i", "j").applyInArrow(rank, fields), "diagonal")
+        done.append(step.where("kind = 'done'").select("a", "b", "rank"))
+        stairs = step.where((F.col("kind") != "done") & (F.col("i") <= len(bounds[0])) & (F.col("j") < columns))
+    ranks = reduce(DataFrame.unionByName, done).select(F.col("a").alias("chain_a"), F.col("b").alias("chain_b"), F.col("rank").cast("int").alias("pareto_rank"))
+    return d.join(ranks, (F.col(one) + 0.0 == F.col("chain_a")) & (F.col(two) + 0.0 == F.col("chain_b"))).select(*d.columns, "pareto_rank")
+
+
 def _chained(points: np.ndarray, below: np.ndarray) -> np.ndarray:
     """Ranks of ``points``, dominators first: one more than the highest rank among a point's dominators, here or ``below``."""
     ranks = below + 1

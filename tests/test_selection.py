@@ -205,3 +205,26 @@ def test_default_qualities(spark):
     assert got == {"a": 70.0, "b": 90.0, "c": 50.0}
     picks = surrogate.propose(d.select("id", "x"), d, batch_size=2, use_dpp=False, id_col="id", seed=1).collect()
     assert len(picks) == 2 and picks[0].id == "b"
+
+
+@pytest.mark.parametrize(("cell", "high"), [(5, 12), (40, 12), (1000, 12), (9, 1000)])
+def test_chains_over_a_grid(spark, monkeypatch, cell, high):
+    """Ranks of two objectives over grids of any fineness equal those by peeling; repeated points and values share them."""
+    monkeypatch.setattr(pareto, "CELL_ROWS", cell)
+    pts = np.random.default_rng(cell + high).integers(-high // 2, high, (90, 2)).astype(float)
+    got = {r.i: r.pareto_rank for r in pareto.fronts(spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "i long, a double, b double"), "i", ["a", "b"]).collect()}
+    left, want, rank = set(range(90)), {}, 1
+    while left:
+        top = {i for i in left if not any((pts[j] >= pts[i]).all() and (pts[j] > pts[i]).any() for j in left)}
+        want |= dict.fromkeys(top, rank)
+        left, rank = left - top, rank + 1
+    assert got == want
+
+
+def test_fronts_in_blocks(spark, monkeypatch):
+    """A front of many points, all on one anti-diagonal, found a few points at a time; repeated points all stay."""
+    monkeypatch.setattr(pareto, "BLOCK_ROWS", 7)
+    pts = [(float(k), float(40 - k)) for k in range(40)] * 2 + [(float(k) - 0.5, float(39 - k)) for k in range(40)] + [(-0.0, 40.0)]
+    d = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "i long, a double, b double").repartition(3)
+    assert {r.i for r in pareto.front(d, ["a", "b"]).collect()} == {*range(80), 120}
+    assert pareto.front(d.limit(0), ["a", "b"]).count() == 0
