@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,13 +79,6 @@ def proline_violations(seq: Column) -> Column:
     return _found(seq, "P{3,}", one)
 
 
-def suite(seq: Column) -> dict[str, Column]:
-    """violations in rule order, net_charge_ph74 and gravy_index; ``summary`` of the violations gives the rest."""
-    s = S.clean(seq)
-    charge, hydropathy = S.net_charge(s), S.gravy(s)
-    return {"violations": violations(s, charge, hydropathy), "net_charge_ph74": charge, "gravy_index": hydropathy}
-
-
 def violations(s: Column, charge: Column, hydropathy: Column) -> Column:
     """All violations of a clean sequence, in rule order."""
     found = F.concat(motif_violations(s), run_violations(s), precipitation_violations(charge, hydropathy), cysteine_violations(s), proline_violations(s)).cast(VIOLATION)
@@ -98,6 +93,58 @@ def screened(df: DataFrame, sequence_col: str = "sequence") -> DataFrame:
     return d.withColumns(summary(F.col("violations")))
 
 
+def counted(df: DataFrame, sequence_col: str = "sequence") -> DataFrame:
+    """``df`` with n_fatal, n_high_risk, n_warning and passed_hard_drc, net_charge_ph74 and gravy_index: the verdicts of ``screened``
+    without its findings. Residues of a whole Arrow batch are counted at once, and findings are counted from them and from neighbours;
+    no text is built. A null sequence has no finding and an empty one's charge."""
+    names = df.columns
+    clean, fields = "clean_", [("n_fatal", "int"), ("n_high_risk", "int"), ("n_warning", "int"), ("passed_hard_drc", "boolean"), ("net_charge_ph74", "double"), ("gravy_index", "double")]
+    while clean in names:
+        clean += "_"
+    ends, each = S.charge_terms(7.4)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                made = _verdicts(b.column(clean).fill_null(""), ends, each)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *map(pa.array, made)], names=[*names, *(n for n, _ in fields)])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"{n} {t}" for n, t in fields])
+    return df.withColumn(clean, S.clean(F.col(sequence_col))).mapInArrow(run, schema)
+
+
+def _verdicts(texts: pa.StringArray, ends: float, each: dict[str, float]) -> list[np.ndarray]:
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw else np.zeros(0, np.uint8)
+    bounds = bounds - bounds[0]
+    n, row = len(texts), np.repeat(np.arange(len(texts)), np.diff(bounds))
+    count = np.bincount(row * 256 + data, minlength=256 * n).reshape(n, 256)
+    length = count[:, :128].sum(1) + count[:, 192:].sum(1)  # characters: all bytes but those that go on with one
+    of = lambda letters: sum(count[:, ord(x)] for x in letters)
+    charge, total = np.full(n, ends), np.zeros(n)
+    for a, w in each.items():  # in the order of the column form, so that sums are equal to the last bit
+        charge = charge + of(a) * w
+    for a, w in S.HYDROPATHY.items():
+        total = total + of(a) * w
+    gravy = np.where(length > 0, total / np.maximum(length, 1), 0.0)
+    pair = np.flatnonzero((data[:-1] == ord("D")) & (row[:-1] == row[1:]))
+    after = data[pair + 1] if len(pair) else pair
+    per_row = lambda at: np.bincount(row[at], minlength=n)
+
+    def runs(letters: str, least: int) -> np.ndarray:
+        inside = np.isin(data, np.frombuffer(letters.encode(), np.uint8))
+        begins = inside & np.concatenate(([True], ~inside[:-1] | (row[1:] != row[:-1])))[: len(data)]
+        start = np.flatnonzero(begins)
+        size = np.add.reduceat(inside & True, start, dtype=np.int64) if len(start) else start
+        return per_row(start[size >= least])
+
+    dull = (np.abs(charge) < 0.5) & (gravy > 0.3)
+    fatal = per_row(pair[after == ord("G")]) + runs("VILFYW", 5) + (dull & (gravy > 0.6))
+    high = per_row(pair[(after == ord("S")) | (after == ord("N"))]) + (dull & ~(gravy > 0.6)) + of("C") % 2
+    return [fatal.astype(np.int32), high.astype(np.int32), runs("P", 3).astype(np.int32), fatal == 0, charge, gravy]
+
+
 def summary(violations: Column) -> dict[str, Column]:
     stops = F.transform(F.filter(violations, lambda v: v["severity"] == "fatal"), lambda v: v["message"])
     remedy = F.create_map(*(F.lit(x) for kv in REMEDIES.items() for x in kv))

@@ -73,9 +73,8 @@ def rule_screening(spark, sf_dir):
     """Design rules over a sequence of every lineitem: how many pass, by findings."""
     from candela.queries.tables import hashed, table
 
-    d = D.screened(table(spark, sf_dir, "lineitem").select(hashed(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sequence")))
-    n = lambda level: F.size(F.filter("violations", lambda x: x["severity"] == level))
-    return d.select("passed_hard_drc", n("fatal").alias("n_fatal"), n("high_risk").alias("n_high_risk"), n("warning").alias("n_warning")).groupBy("passed_hard_drc", "n_fatal", "n_high_risk", "n_warning").agg(F.count("*").alias("n"))
+    d = D.counted(table(spark, sf_dir, "lineitem").select(hashed(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sequence")))
+    return d.groupBy("passed_hard_drc", "n_fatal", "n_high_risk", "n_warning").agg(F.count("*").alias("n"))
 
 
 def drc_violations(spark, sf_dir):

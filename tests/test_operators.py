@@ -258,3 +258,38 @@ def test_graph_source_and_settings(spark):
     assert n.first().id == "a" and e.first().target == "b"
     s = settings.parse("weights:\n  length: 0.2  # share\n  charge: 0.5\nkinds:\n  - a\n  - b\nname: 'x'\non: true\n")
     assert s == {"weights": {"length": 0.2, "charge": 0.5}, "kinds": ["a", "b"], "name": "x", "on": True}
+
+
+def test_counted_verdicts_equal_the_findings(spark):
+    """The fast verdicts are those of the full findings, to the last bit of charge and hydropathy."""
+    import random
+
+    from candela.functions import design_rules
+
+    rnd = random.Random(9)
+    rows = ["", None, "D", "G", "DG", " dg ", "PPP", "PP", "PPPP" * 2, "VILFYW", "VILF", "CCC", "é漢DGéPPP", "DGDSDNDDG"] + ["".join(rnd.choice("ACDGNSPVILFYWKREHX") for _ in range(rnd.randint(0, 60))) for _ in range(300)]
+    d = spark.createDataFrame(list(enumerate(rows)), "i int, sequence string").repartition(3)
+    fast = {r.i: r for r in design_rules.counted(d).collect()}
+    for r in design_rules.screened(d.where("sequence is not null")).collect():
+        n = {level: sum(v.severity == level for v in r.violations) for level in ("fatal", "high_risk", "warning")}
+        f = fast[r.i]
+        assert (f.n_fatal, f.n_high_risk, f.n_warning, f.passed_hard_drc, f.net_charge_ph74, f.gravy_index) == (n["fatal"], n["high_risk"], n["warning"], r.passed_hard_drc, r.net_charge_ph74, r.gravy_index), r.sequence
+    assert len(fast) == len(rows) and fast[1].n_fatal == 0
+
+
+def test_failure_rules_literally(spark):
+    """What a narrative of each rule's words gives, written out."""
+    from candela.operators import results
+
+    cases = [
+        ("There was no measurable activity.", ["NO_BINDING"]), ("Weak activity and OFF-TARGET effects", ["WEAK_BINDING", "OFF_TARGET_SIGNAL"]), ("buffer failed", []), ("Buffer incompatibility", ["BUFFER_INCOMPATIBILITY"]), ("the failed condition was a buffer", ["BUFFER_INCOMPATIBILITY"]),
+        ("aggregated product seen", ["AGGREGATED_PRODUCT", "AGGREGATION"]), ("aggregates", ["AGGREGATED_PRODUCT", "AGGREGATION"]), ("high background interference", ["ASSAY_INTERFERENCE"]), ("no controls; bad controls", ["MISSING_REPRODUCIBILITY_CONTEXT", "INSUFFICIENT_CONTROLS"]), ("control was missing", ["INSUFFICIENT_CONTROLS"]),
+        ("hydrophobicity and cyclization", ["SYN_HYDROPHOBIC_SEQUENCE", "SYN_CYCLISATION_FAILED"]), ("freeze thaw, freeze-thaw", ["FREEZE_THAW_INSTABILITY"]), ("co-eluting", ["COELUTING_IMPURITIES"]), ("protease", ["PROTEASE_LABILE"]), ("all good", []), ("", []), (None, []),
+        ("no bindingno functional effect", ["NO_BINDING", "NO_FUNCTIONAL_EFFECT"]),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r.i: r.m for r in d.select("i", results.classify(F.col("t")).alias("m")).collect()}
+    assert [got[i] for i in range(len(cases))] == [m for _, m in cases]
+    values = F.create_map(F.lit("Crude yield"), F.lit("12 mg"), F.lit("purity"), F.lit("95 %"), F.lit("Solubility"), F.lit("0.4"))
+    row = spark.range(1).select(results.classify(F.lit("protease"), values, F.array(F.lit("no-binding"), F.lit("odd"))).alias("m")).first()
+    assert row.m == ["NO_BINDING", "SYN_LOW_YIELD", "LOW_AQUEOUS_SOLUBILITY", "PROTEASE_LABILE"]

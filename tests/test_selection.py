@@ -34,7 +34,10 @@ def brute(x, s, q, tau, gamma):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_dpp_equals_determinants(spark, seed):
+@pytest.mark.parametrize("active", [2, 9, 2048])
+def test_dpp_equals_determinants(spark, seed, active, monkeypatch):
+    """The picks are those of plain determinants, however few rows a pass brings."""
+    monkeypatch.setattr(dpp, "ACTIVE", active)
     rng = np.random.default_rng(seed)
     x, s = rng.normal(size=(50, 5)), rng.integers(0, 100, 50).astype(float)
     d = spark.createDataFrame([(i, x[i].tolist(), float(s[i])) for i in range(50)], "i long, x array<double>, s double").repartition(3)
@@ -43,7 +46,9 @@ def test_dpp_equals_determinants(spark, seed):
     assert [t["key"] for t in trace] == want and np.allclose([t["log_det"] for t in trace], logs) and far > 0
 
 
-def test_dpp_diversity_and_edges(spark):
+@pytest.mark.parametrize("active", [2, 2048])
+def test_dpp_diversity_and_edges(spark, active, monkeypatch):
+    monkeypatch.setattr(dpp, "ACTIVE", active)
     a, b = "KWKLFKKIGAVLKVL", "GIGKFLHSAKKFGKAFVGEIMNS"
     rows = [("A1", a, 95.0), ("A2", a + "A", 94.8), ("A3", a + "G", 94.5), ("A4", a + "S", 94.2), ("B1", b, 88.0), ("B2", b + "A", 87.5), ("B3", b + "G", 87.0)]
     d = spark.createDataFrame(rows, "id string, sequence string, q double").withColumn("x", S.feature_vector(F.col("sequence")))
