@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from candela.operators import events as E
@@ -62,3 +63,31 @@ def enforce(df: DataFrame, expectations: list[Expectation], when: str) -> DataFr
 def with_contract(before: list[Expectation], job: Callable[[DataFrame], DataFrame], after: list[Expectation]) -> Callable[[DataFrame], DataFrame]:
     """For ``df.transform``: assumptions are checked on the input, guarantees on the output."""
     return lambda df: enforce(job(enforce(df, before, "assumption")), after, "guarantee")
+
+
+def observed(df: DataFrame, expectations: list[Expectation]) -> tuple[DataFrame, Observation]:
+    """``df`` with the broken rows of each expectation counted in whatever pass reads it."""
+    seen = Observation(f"contract-{uuid.uuid4().hex}")
+    counts = [F.count_if(~F.coalesce(x.predicate, F.lit(False))).alias(str(k)) for k, x in enumerate(expectations)]
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts), seen
+
+
+def publish(df: DataFrame, before: list[Expectation], job: Callable[[DataFrame], DataFrame], after: list[Expectation], path: str) -> dict[str, int]:
+    """Runs ``job`` and writes its rows as Parquet to ``path``, in one pass: assumptions and guarantees are counted on the way. The rows are
+    written beside and moved to ``path`` only if no fatal expectation is broken; else nothing stays and ContractBroken is raised.
+    Returns the broken rows by expectation, of warnings too."""
+    spark, aside = df.sparkSession, f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    source, first = observed(df, before)
+    made, last = observed(job(source), after)
+    made.write.parquet(aside)
+    counts = {x.name: seen.get[str(k)] for seen, of in ((first, before), (last, after)) for k, x in enumerate(of)}
+    fatal = [f"{x.name} ({counts[x.name]} rows)" for x in [*before, *after] if x.severity == "fatal" and counts[x.name]]
+    to, at = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, aside))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fatal:
+        fs.delete(at, True)
+        raise ContractBroken("; ".join(fatal))
+    if not fs.rename(at, to):
+        fs.delete(at, True)
+        raise FileExistsError(path)
+    return counts

@@ -167,8 +167,8 @@ def unmatched(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> D
     return rows.join(others.select(F.col(other_key).alias("__other")), F.col(key) == F.col("__other"), "left_anti")
 
 
-def preflight(rows: DataFrame, manifest: dict | None = None, *, manifest_events: list[dict] | None = None, required: list[str] | None = None, strict: bool = True, allow_ambiguous: bool = True, threshold: float = 0.95, max_pairs: int | None = 25_000) -> DataFrame:
-    """All events of a dataset: manifest, contract, then leakage. ``rows`` come from ``sources.datasets.read_dataset``."""
+def preflight(rows: DataFrame, manifest: dict | None = None, *, manifest_events: list[dict] | None = None, required: list[str] | None = None, strict: bool = True, allow_ambiguous: bool = True, threshold: float = 0.95, max_pairs: int | None = 25_000, grouped: bool = False) -> DataFrame:
+    """All events of a dataset: manifest, contract, then leakage, as pairs of rows or ``grouped`` (see ``leakage_events``). ``rows`` come from ``sources.datasets.read_dataset``."""
     spark = rows.sparkSession
     split = manifest["split_column"] if manifest else None
     required = list(required or ["peptide_id", "sequence"])
@@ -184,6 +184,6 @@ def preflight(rows: DataFrame, manifest: dict | None = None, *, manifest_events:
     if rows.isEmpty():
         parts.append(E.fixed(spark, [{"severity": "warning", "code": "DATASET_EMPTY", "message": "dataset loaded with no records"}]))
     s = d.select(F.col("_row_number").alias("row"), F.trim("peptide_id").alias("id"), S.normalised(F.col("sequence")).alias("sequence"), (F.coalesce(F.trim(F.col(split)), F.lit("")) if split else F.lit("")).alias("split"))
-    parts.append(leakage.leakage_events(s, tags=manifest.get("split_tags", []) if manifest else [], threshold=threshold, max_pairs=max_pairs, strict=strict))
+    parts.append(leakage.leakage_events(s, tags=manifest.get("split_tags", []) if manifest else [], threshold=threshold, max_pairs=max_pairs, strict=strict, grouped=grouped))
     out = E.union(*parts)
     return E.strict(out, "data governance preflight") if strict else out

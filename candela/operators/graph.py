@@ -26,32 +26,56 @@ def integrity_events(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return E.union(nodes.where("id is null").select(E.event("error", "NODE_ID_MISSING", "node without an id").alias("e")).select("e.*"), *ends)
 
 
+#: Steps along the edges before paths are doubled.
+STEPS = 6
+
+
+def _doubled(hop: DataFrame) -> DataFrame:
+    """(id, next) over paths twice as long as those of ``hop``."""
+    return staged(hop.join(hop.select(F.col("id").alias("next"), F.col("next").alias("far")), "next").select("id", F.col("far").alias("next")).distinct(), "hop")
+
+
 def reachable(edges: DataFrame, starts: DataFrame, *, up: bool = False) -> DataFrame:
     """(start, id): every node reachable from each id of ``starts``, along the edges or (``up``) against them; itself left out.
 
-    A frontier join a step: what is already known is taken off, so a node is followed once a start.
+    A frontier join a step for STEPS steps, in which a node is followed once a start. Where the graph is deeper, paths are doubled: what
+    is known within d steps, and what paths of just d lead to from there, is what is known within 2 d, so the rounds grow with the logarithm of the depth.
     """
     near, far = ("target", "source") if up else ("source", "target")
-    step = staged(edges.select(F.col(near).alias("id"), F.col(far).alias("next")).distinct(), "steps")
+    hop = staged(edges.select(F.col(near).alias("id"), F.col(far).alias("next")).distinct(), "steps")
     seen = front = staged(starts.select(F.col("id").alias("start"), "id").distinct(), "front")
-    while not front.isEmpty():
-        front = staged(front.join(step, "id").select("start", F.col("next").alias("id")).distinct().join(seen, ["start", "id"], "left_anti"), "front")
+    for _ in range(STEPS):
+        front = staged(front.join(hop, "id").select("start", F.col("next").alias("id")).distinct().join(seen, ["start", "id"], "left_anti"), "front")
+        if front.isEmpty():
+            return seen.where("start <> id")
         seen = seen.unionByName(front)
-    return seen.where("start <> id")
+    seen = staged(seen.distinct(), "seen")
+    n = seen.count()
+    while True:
+        seen = staged(seen.unionByName(seen.join(hop, "id").select("start", F.col("next").alias("id"))).distinct(), "seen")
+        m = seen.count()
+        if m == n:
+            return seen.where("start <> id")
+        n, hop = m, _doubled(hop)
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """What is left after peeling nodes without incoming edges, again and again: the edges on or behind a cycle; empty if none."""
+    """The edges on or behind a cycle, empty if there is none: those left after peeling nodes without incoming edges, again and again.
+
+    After STEPS rounds of peeling, paths are doubled instead until they are longer than the nodes are many: an edge is left if
+    such a path ends at its source."""
     left = staged(edges.select("source", "target").distinct(), "peel")
     n = left.count()
-    while n:
-        inner = left.select(F.col("target").alias("source")).distinct()
-        left = staged(left.join(inner, "source", "left_semi"), "peel")
+    for _ in range(STEPS):
+        left = staged(left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi"), "peel")
         m = left.count()
-        if m == n:
-            break
+        if m in (0, n):
+            return left
         n = m
-    return left
+    hop, length, nodes = left.select(F.col("source").alias("id"), F.col("target").alias("next")), 1, left.select("source").union(left.select("target")).distinct().count()
+    while length < nodes and not hop.isEmpty():
+        hop, length = _doubled(hop), 2 * length
+    return left.join(hop.select(F.col("next").alias("source")).distinct(), "source", "left_semi")
 
 
 def check_acyclic(edges: DataFrame) -> None:

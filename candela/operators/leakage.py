@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from candela.functions import sequence as S
 from candela.operators import events as E
+from candela.operators.staging import staged
 
 _FINGERPRINT = ["length", "head", "tail"]
 
@@ -63,11 +64,40 @@ def near_groups(distinct: DataFrame, threshold: float = 0.95) -> DataFrame:
     of a sequence counted, not paired. ``distinct`` is ``distinct_rows``."""
     d = fingerprinted(distinct)
     o = d.select(*_FINGERPRINT, F.col("row").alias("other_row"), F.col("sequence").alias("other_sequence"), F.col("splits").alias("other_splits"), F.col("n").alias("other_n"))
-    same = F.aggregate(F.map_entries("splits"), F.lit(0).cast("long"), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("other_splits", e["key"]), F.lit(0)))
-    j = d.drop("n_pairs").join(o, _FINGERPRINT).where(F.col("other_row") < F.col("row")).withColumn("n_pairs", F.col("n") * F.col("other_n") - same).where("n_pairs > 0")
+    j = d.drop("n_pairs").join(o, _FINGERPRINT).where(F.col("other_row") < F.col("row")).withColumn("n_pairs", F.col("n") * F.col("other_n") - _same_split()).where("n_pairs > 0")
     return j.withColumn("similarity", S.identity(F.col("sequence"), F.col("other_sequence"))).where(F.col("similarity") >= threshold).select("row", "other_row", "similarity", "n_pairs")
 
 
+def indel_groups(distinct: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """row, other_row (of the shorter), similarity, n_pairs of sequences whose lengths differ by one and that are alike once the longer is
+    shifted to one end: ``distinct`` is ``distinct_rows``.
+
+    None is missed: with n residues of which at most m may differ, one of m + 1 segments agrees, so a shorter sequence meets a
+    longer one on (n, segment, residues), the longer with both of its ends cut. What meets is verified, each pair once."""
+    n = F.col("n_short")
+    most = F.greatest(n - F.ceil(F.lit(threshold) * (n + 1) - F.lit(1e-9)), F.lit(-1)).cast("int")
+
+    def segments(text):
+        begin = lambda k: F.floor(k * n / (most + 1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), most), lambda k: F.struct(k.alias("k"), F.substring(text, begin(k) + 1, begin(k + 1) - begin(k)).alias("residues")))
+
+    def keyed(d, *texts):
+        cut = F.concat(*(segments(t) for t in texts)) if len(texts) > 1 else segments(texts[0])
+        return d.where((most >= 0) & (n > 0)).select("row", "n_short", F.explode(F.array_distinct(cut)).alias("s")).select("row", "n_short", "s.k", "s.residues")
+
+    short = keyed(distinct.withColumn("n_short", F.length("sequence")), F.col("sequence")).withColumnRenamed("row", "other_row")
+    longer = keyed(distinct.withColumn("n_short", F.length("sequence") - 1), F.substring(F.col("sequence"), F.lit(1), n), F.substring(F.col("sequence"), F.lit(2), n))
+    met = longer.join(short, ["n_short", "k", "residues"]).select("row", "other_row").distinct()
+    o = distinct.select(F.col("row").alias("other_row"), F.col("sequence").alias("other_sequence"), F.col("splits").alias("other_splits"), F.col("n").alias("other_n"))
+    j = met.join(distinct.drop("n_pairs"), "row").join(o, "other_row").withColumn("n_pairs", F.col("n") * F.col("other_n") - _same_split()).where("n_pairs > 0")
+    return j.withColumn("similarity", S.identity(F.col("sequence"), F.col("other_sequence"))).where(F.col("similarity") >= threshold).select("row", "other_row", "similarity", "n_pairs")
+
+
+def _same_split():
+    """Pairs of rows in one split, from the maps of two sequences."""
+    return F.aggregate(F.map_entries("splits"), F.lit(0).cast("long"), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("other_splits", e["key"]), F.lit(0)))
+
+
 def with_pairs_before(rows: DataFrame, blocks: int = 1024) -> DataFrame:
     """``rank`` in the row's block and ``pairs_before``: pairs compared before the row, in row order.
 
@@ -98,9 +128,14 @@ def cut_row(rows: DataFrame, max_pairs: int) -> int | None:
     return d.agg(F.min("row")).first()[0]
 
 
-def leakage_events(rows: DataFrame, *, tags: list[str] = (), threshold: float = 0.95, max_pairs: int | None = None, strict: bool = False) -> DataFrame:
-    """Tag mismatches, exact and near leakage as events. With ``max_pairs`` the search stops in row order, with a warning."""
+def leakage_events(rows: DataFrame, *, tags: list[str] = (), threshold: float = 0.95, max_pairs: int | None = None, strict: bool = False, grouped: bool = False) -> DataFrame:
+    """Tag mismatches, exact and near leakage as events. With ``max_pairs`` the search stops in row order, with a warning.
+
+    An event a pair of rows, or, if ``grouped``, no more than the rows allow: an exact event a row, with the first row of its sequence and
+    the number of rows of other splits that have it, and a near one a pair of unequal sequences, with the pairs of rows behind it."""
     spark = rows.sparkSession
+    if grouped:
+        return _grouped_events(rows, tags, threshold, strict)
     near = near_pairs(rows, threshold) if max_pairs is None else near_pairs_budgeted(rows, threshold, max_pairs)
     exact, tagged, end = exact_pairs(rows), rows, []
     if max_pairs is not None and (cut := cut_row(rows, max_pairs)) is not None:
@@ -112,7 +147,18 @@ def leakage_events(rows: DataFrame, *, tags: list[str] = (), threshold: float =
         near.select(E.event("error" if strict else "warning", "SPLIT_LEAKAGE_NEAR_DUPLICATE", F.format_string("high similarity near-duplicate sequence detected (score %.3f)", "similarity"), row_id=c("id"), metadata={k: c(k) for k in ("sequence", "other_sequence", "similarity", "split", "other_split", "row", "other_row")}).alias("e")).select("e.*"),
         E.fixed(spark, end),
     ]
-    if tags:
-        wrong = tagged.where((c("split") != "") & ~c("split").isin(list(tags)))
-        out.append(wrong.select(E.event("error", "DATASET_SPLIT_TAG_MISMATCH", F.concat(F.lit("split value '"), "split", F.lit("' not in split manifest tags")), row_id=c("id"), metadata={"allowed": F.lit(",".join(tags))}).alias("e")).select("e.*"))
-    return E.union(*out)
+    return E.union(*out, *_tag_events(tagged, tags))
+
+
+def _tag_events(rows: DataFrame, tags: list[str]) -> list[DataFrame]:
+    if not tags:
+        return []
+    wrong = rows.where((F.col("split") != "") & ~F.col("split").isin(list(tags)))
+    return [wrong.select(E.event("error", "DATASET_SPLIT_TAG_MISMATCH", F.concat(F.lit("split value '"), "split", F.lit("' not in split manifest tags")), row_id=F.col("id"), metadata={"allowed": F.lit(",".join(tags))}).alias("e")).select("e.*")]
+
+
+def _grouped_events(rows: DataFrame, tags: list[str], threshold: float, strict: bool) -> DataFrame:
+    c = F.col
+    exact = exact_links(rows).select(E.event("error", "SPLIT_LEAKAGE_EXACT_SEQUENCE", "exact sequence observed across multiple splits", row=c("row"), row_id=c("id"), metadata={k: c(k) for k in ("first_row", "n_links")}).alias("e")).select("e.*")
+    near = near_groups(staged(distinct_rows(rows), "texts"), threshold).select(E.event("error" if strict else "warning", "SPLIT_LEAKAGE_NEAR_DUPLICATE", F.format_string("high similarity near-duplicate sequence detected (score %.3f)", "similarity"), row=c("row"), metadata={k: c(k) for k in ("other_row", "similarity", "n_pairs")}).alias("e")).select("e.*")
+    return E.union(exact, near, *_tag_events(rows, tags))

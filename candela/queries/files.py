@@ -11,7 +11,7 @@ from candela.operators import artifacts as A
 from candela.operators import telemetry as T
 from candela.operators.staging import shared_folder
 from candela.plans import jobs as J
-from candela.queries.tables import SEQ_HASH, count_sql, seq_hash, table
+from candela.queries.tables import SEQ_HASH, count_sql, seq_hash, streamed, table
 from candela.sources import datasets, sinks
 
 
@@ -37,6 +37,28 @@ def csv_typed(spark, sf_dir):
     return d.select("l_orderkey", "l_linenumber", "quantity", "absent", F.array_join("_invalid", ";").alias("invalid"))
 
 
+def csv_modes(spark, sf_dir):
+    """lineitem as CSV with wrong numbers, read by a schema that keeps the records that do not fit, and one that leaves them out."""
+    path, li = _folder(spark, "modes"), table(spark, sf_dir, "lineitem")
+    quantity = F.when(F.col("l_linenumber") == 2, "many").otherwise(F.col("l_quantity").cast("string"))
+    li.select("l_orderkey", quantity.alias("quantity"), "l_returnflag").write.option("header", True).csv(path)
+    schema = "l_orderkey long, quantity double, l_returnflag string"
+    kept = datasets.read_by_schema(spark, path, schema).groupBy(F.when(F.col("_corrupt_record").isNull(), "fits").otherwise(F.substring_index("_corrupt_record", ",", -1)).alias("what")).agg(F.count("*").alias("n"), F.count("quantity").alias("n_quantity"))
+    rest = datasets.read_by_schema(spark, path, schema, "DROPMALFORMED").select(F.lit("left in").alias("what"), "quantity", "l_orderkey", "l_returnflag")
+    return kept.unionByName(rest.groupBy("what").agg(F.count("*").alias("n"), F.count("quantity").alias("n_quantity")))
+
+
+def split_stream(spark, sf_dir):
+    """events as a stream into good rows and dead letters, its first batch delivered twice."""
+    path = _folder(spark, "split")
+    e = streamed(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("value") % 1 < 0.35, "Timeout").alias("error"))
+    sinks.split_stream(e, path).awaitTermination()
+    again = table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("value") % 1 < 0.35, "Timeout").alias("error"))
+    sinks.split_batch(path)(again, 0)
+    good, dead = spark.read.parquet(f"{path}/good"), spark.read.parquet(f"{path}/dead")
+    return good.groupBy(F.lit("good").alias("what"), "event_type").agg(F.count("*").alias("n")).unionByName(dead.groupBy(F.col("error").alias("what"), "event_type").agg(F.count("*").alias("n")))
+
+
 def json_artifacts(spark, sf_dir):
     """orders as JSON texts, some of them broken, read with their errors; a missing file and a wrong suffix are rows too."""
     path, o = _folder(spark, "json"), table(spark, sf_dir, "orders")
@@ -157,10 +179,12 @@ def dataset_rules(spark, sf_dir):
     return some.unionByName(counts.select(F.lit("rows").alias("code"), F.col("rows").alias("n"))).unionByName(counts.select(F.lit("ids").alias("code"), F.col("unique_peptides").alias("n")))
 
 
-QUERIES = {f.__name__: f for f in (csv_dataset, csv_typed, json_artifacts, telemetry_csv_drop, telemetry_json_drop, graph_files, candidate_files, appended_log, artifact_bundle, feature_csv, packet_files, card_files, dead_letter_log, dataset_rules)}
+QUERIES = {f.__name__: f for f in (csv_dataset, csv_typed, csv_modes, split_stream, json_artifacts, telemetry_csv_drop, telemetry_json_drop, graph_files, candidate_files, appended_log, artifact_bundle, feature_csv, packet_files, card_files, dead_letter_log, dataset_rules)}
 SQL = {
     "csv_dataset": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name AS name, c_mktsegment || ', \"x\"' AS seg, n, 2 AS lo, n + 1 AS hi, n AS kinds FROM customer, (SELECT count(*) AS n FROM customer)",
     "csv_typed": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber NOT IN (2, 3) THEN l_quantity::DOUBLE END AS quantity, NULL AS absent, CASE WHEN l_linenumber = 2 THEN 'quantity' ELSE '' END AS invalid FROM lineitem",
+    "csv_modes": "SELECT CASE WHEN l_linenumber = 2 THEN l_returnflag ELSE 'fits' END AS what, count(*) AS n, count(*) FILTER (l_linenumber <> 2) AS n_quantity FROM lineitem GROUP BY 1 UNION ALL SELECT 'left in', count(*), count(*) FROM lineitem WHERE l_linenumber <> 2",
+    "split_stream": "SELECT CASE WHEN value % 1 < 0.35 THEN 'Timeout' ELSE 'good' END AS what, event_type, count(*) AS n FROM events GROUP BY ALL",
     "json_artifacts": "SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'invalid JSON' ELSE '' END AS error, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT 'file does not exist', 1 UNION ALL SELECT 'unsupported suffix, expected one of .json, .jsonl', 1",
     "telemetry_csv_drop": "SELECT codes, count(*) AS n, count(*) AS n_orders, count(DISTINCT l_partkey) AS n_candidates FROM (SELECT l_partkey, array_to_string(list_filter([CASE WHEN l_quantity * 2 < 90 THEN 'SYN_PURITY_FAIL' END, CASE WHEN l_discount * 20 < 0.5 THEN 'SOLUBILITY_LOW' END, CASE WHEN l_tax * 5 > 0.30 THEN 'AGGREGATION_HIGH' END], lambda x: x IS NOT NULL), ';') AS codes FROM lineitem) GROUP BY codes",
     "telemetry_json_drop": "SELECT 'P' || l_partkey AS candidate_id, count(*) AS n, round(sum(l_quantity), 2) AS yield_mg FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY 'P' || l_partkey, CAST(l_quantity::DOUBLE AS VARCHAR)) AS k FROM lineitem) WHERE l_orderkey % 3 <> 2 OR k = 1 GROUP BY 1",

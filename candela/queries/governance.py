@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from candela.operators import contracts as K
 from candela.operators import governance as G
 from candela.operators import leakage as L
 from candela.functions.sequence import STANDARD
-from candela.operators.staging import staged
-from candela.queries.tables import SEQ_RAW, SEQ_TEXT, SPLIT_ROWS, letters, repeated, repeated_sql, seq_raw, seq_text, split_rows, table
+from candela.operators.staging import shared_folder, staged
+from candela.queries.tables import SEQ_HASH, SEQ_RAW, SEQ_TEXT, SPLIT_ROWS, letters, repeated, repeated_sql, seq_hash, seq_raw, seq_text, split_rows, table
 
 TAGS = ["s0", "s1"]
 
@@ -88,6 +91,31 @@ def preflight_counts(spark, sf_dir):
     return one.unionByName(wrong).withColumn("n", F.lit(1).cast("long")).unionByName(exact).unionByName(near).groupBy("severity", "code").agg(F.sum("n").alias("n")).where("n > 0")
 
 
+def indel_duplicates(spark, sf_dir):
+    """Sequences of which one lacks an end residue of the other, and of every third of them another one is changed: pairs one indel apart."""
+    d = seq_hash(spark, sf_dir)
+    cut = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.expr("substr(sequence, 2)")).otherwise(F.expr("substr(sequence, 1, length(sequence) - 1)")).alias("s"))
+    changed = cut.select((-F.col("doc_id") - 1).alias("doc_id"), F.when(F.col("doc_id") % 3 == 0, F.expr("concat(substr(s, 1, 4), 'W', substr(s, 6))")).otherwise(F.col("s")).alias("sequence"))
+    rows = d.unionByName(changed).select(F.col("doc_id").alias("row"), F.col("doc_id").cast("string").alias("id"), "sequence", F.concat(F.lit("s"), F.pmod("doc_id", F.lit(2)).cast("string")).alias("split"))
+    return L.indel_groups(staged(L.distinct_rows(rows), "texts"), 0.8).select("row", "other_row", F.round("similarity", 6).alias("similarity"), "n_pairs")
+
+
+def preflight(spark, sf_dir):
+    """The preflight job itself over documents with three splits, of which the manifest lists two: its events, grouped, by code."""
+    rows = seq_text(spark, sf_dir).select(F.col("doc_id").alias("_row_number"), F.concat(F.lit("p"), "doc_id").alias("peptide_id"), "sequence", F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")).alias("split"))
+    manifest = {"split_column": "split", "split_required": True, "split_tags": TAGS}
+    return G.preflight(rows, manifest, strict=False, max_pairs=None, grouped=True).groupBy("severity", "code").agg(F.count("*").alias("n"))
+
+
+def contract_publish(spark, sf_dir):
+    """documents published under a contract in one pass: the rows that arrive, and the rows that break each expectation."""
+    path = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    short = K.Expectation("short", F.length("sequence") <= 300, "warning")
+    counts = K.publish(seq_text(spark, sf_dir), [K.present("doc_id"), short], lambda d: d.withColumn("score", F.length("sequence") % 101), [K.bounded("score"), K.present("score")], path)
+    rows = spark.read.parquet(path).agg(F.count("*").alias("n")).select(F.lit("rows").alias("what"), "n")
+    return rows.unionByName(spark.createDataFrame(list(counts.items()), "what string, n long"))
+
+
 def seed_rule_counts(spark, sf_dir):
     d = seq_raw(spark, sf_dir).select(
         F.col("doc_id").alias("_row_number"), F.concat(F.lit("p"), repeated(F.col("doc_id"), 25).cast("string")).alias("peptide_id"), "sequence", F.when(F.col("doc_id") % 5 == 0, "x").when(F.col("doc_id") % 5 == 1, "").otherwise("30").alias("length"),
@@ -102,10 +130,23 @@ _BUCKET = "length(a.sequence) = length(b.sequence) AND left(a.sequence, 3) = lef
 _BAD20 = "regexp_matches(sequence, '[^ACDEFGHIKLMNPQRSTVWY]')"
 _PRE = f"(SELECT * FROM {SPLIT_ROWS} AS t)"
 
-QUERIES = {f.__name__: f for f in (identifier_validation, duplicate_ids, split_distribution, unlisted_split_tags, contract_event_counts, exact_leakage_pairs, exact_leakage_groups, near_duplicates, near_duplicates_budgeted, benchmark_leakage, reference_check, preflight_counts, seed_rule_counts)}
+QUERIES = {f.__name__: f for f in (identifier_validation, duplicate_ids, split_distribution, unlisted_split_tags, contract_event_counts, exact_leakage_pairs, exact_leakage_groups, near_duplicates, near_duplicates_budgeted, benchmark_leakage, reference_check, preflight_counts, indel_duplicates, preflight, contract_publish, seed_rule_counts)}
 _WHOLE = ("contract_event_counts", "exact_leakage_groups", "near_duplicates", "preflight_counts", "seed_rule_counts", "benchmark_leakage")
 QUERIES |= {f"{n}_whole": QUERIES[n] for n in _WHOLE}  # the names of the round before
+_CUT = f"(SELECT doc_id AS row, sequence, doc_id % 2 AS sp FROM {SEQ_HASH} AS t UNION ALL SELECT -doc_id - 1, CASE WHEN doc_id % 3 = 0 THEN substr(s, 1, 4) || 'W' || substr(s, 6) ELSE s END, (doc_id + 1) % 2 FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(sequence, 2) ELSE left(sequence, length(sequence) - 1) END AS s FROM {SEQ_HASH} AS t))"
+_HITS = "len(list_filter(range(1, length(b.sequence) + 1), lambda i: substr(a.sequence, i + {}, 1) = substr(b.sequence, i, 1)))"
+
 SQL = {
+    "indel_duplicates": f"""WITH c AS (SELECT sequence, min(row) AS row, count(*) FILTER (sp = 0) AS n0, count(*) FILTER (sp = 1) AS n1 FROM {_CUT} AS t GROUP BY sequence),
+      p AS (SELECT a.row, b.row AS other_row, greatest({_HITS.format(0)}, {_HITS.format(1)}) / length(a.sequence)::DOUBLE AS s, a.n0 * b.n1 + a.n1 * b.n0 AS n_pairs FROM c AS a JOIN c AS b ON length(a.sequence) = length(b.sequence) + 1 WHERE b.sequence <> '')
+      SELECT row, other_row, round(s, 6) AS similarity, n_pairs FROM p WHERE s >= 0.8 AND n_pairs > 0""",
+    "preflight": f"""SELECT severity, code, count(*) AS n FROM (
+        SELECT 'warning' AS severity, 'DATASET_UNLISTED_SPLIT_TAG' AS code FROM (SELECT DISTINCT split FROM {_PRE} AS t WHERE split NOT IN ('s0', 's1'))
+        UNION ALL SELECT 'error', 'DATASET_SPLIT_TAG_MISMATCH' FROM {_PRE} AS t WHERE split NOT IN ('s0', 's1')
+        UNION ALL SELECT 'error', 'DATASET_INVALID_SEQUENCE' FROM {_PRE} AS t WHERE sequence = ''
+        UNION ALL SELECT 'error', 'SPLIT_LEAKAGE_EXACT_SEQUENCE' FROM (SELECT sequence, count(*) OVER (PARTITION BY sequence) AS n, count(*) OVER (PARTITION BY sequence, split) AS m FROM {_PRE} AS t) WHERE n > m
+        UNION ALL SELECT 'warning', 'SPLIT_LEAKAGE_NEAR_DUPLICATE' FROM (SELECT DISTINCT a.sequence, b.sequence AS other FROM {_PRE} AS a JOIN {_PRE} AS b ON {_BUCKET} AND a.sequence < b.sequence AND a.split <> b.split WHERE {_SIM} >= 0.95)) GROUP BY severity, code""",
+    "contract_publish": f"SELECT 'rows' AS what, count(*) AS n FROM documents UNION ALL SELECT 'doc_id present', 0 UNION ALL SELECT 'score present', 0 UNION ALL SELECT 'score within [0.0, 100.0]', 0 UNION ALL SELECT 'short', count(*) FILTER (length(sequence) > 300) FROM {SEQ_TEXT} AS t",
     "identifier_validation": "SELECT c_custkey, CASE WHEN trim(id) = '' THEN 'identifier is empty' WHEN NOT regexp_matches(trim(id), '^[A-Za-z0-9][A-Za-z0-9._-]*$') THEN 'identifier has unsupported characters' END AS reason FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_name || ' x' WHEN c_custkey % 11 = 0 THEN '  ' ELSE c_name END AS id FROM customer)",
     "duplicate_ids": "SELECT id AS row_id, r AS row, f AS previous_row FROM (SELECT CAST(n_chars AS VARCHAR) AS id, doc_id AS r, min(doc_id) OVER (PARTITION BY n_chars) AS f FROM documents) WHERE r > f",
     "split_distribution": f"SELECT split, count(*) AS n FROM {SPLIT_ROWS} AS t GROUP BY split",
@@ -140,4 +181,4 @@ SQL = {
         UNION ALL SELECT 'warning', 'SEED_TOPOLOGY_MISSING' FROM s WHERE top = '' UNION ALL SELECT 'error', 'SEED_TOPOLOGY' FROM s WHERE top = 'ring'
         UNION ALL SELECT 'warning', 'SEED_GRAM_STATUS' FROM s WHERE gram = 'other' UNION ALL SELECT 'warning', 'SEED_GRAM_STATUS_MISSING' FROM s WHERE gram = '') GROUP BY severity, code""",
 }
-SQL |= {f"{n}_whole": SQL[n] for n in _WHOLE}
+SQL |= {f"{n}_whole": SQL[n] for n in _WHOLE if n in SQL}

@@ -56,6 +56,18 @@ def read_typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return d.select("_row_number", *(c.alias(n) for n, c in cast.items()), bad.alias("_invalid"))
 
 
+def read_by_schema(spark: SparkSession, path: str, schema: str, mode: str = "PERMISSIVE") -> DataFrame:
+    """A CSV file or folder with a header, read by a DDL ``schema`` into types. PERMISSIVE keeps every record, what does not fit as null
+    and the record's text in ``_corrupt_record``; FAILFAST stops at the first; DROPMALFORMED leaves them out."""
+    from pyspark.sql.types import StringType, StructType
+
+    kinds = StructType.fromDDL(schema)
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", mode)
+    if mode == "PERMISSIVE":
+        return reader.option("columnNameOfCorruptRecord", "_corrupt_record").schema(StructType([*kinds.fields]).add("_corrupt_record", StringType())).csv(path)
+    return reader.schema(kinds).csv(path)
+
+
 def expanded(spark: SparkSession, paths: list[str], suffixes: tuple[str, ...] = (".json", ".jsonl")) -> tuple[list[str], DataFrame]:
     """The files of a list of files and folders, sorted and each once, and (path, error) rows of what is missing or has
     another suffix. Only the listing that a read starts with is on the driver."""

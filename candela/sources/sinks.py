@@ -81,3 +81,20 @@ def write_cards(df: DataFrame, text_col: str, path: str, needs: tuple[str, ...]
 def dead_letters(calls: DataFrame) -> DataFrame:
     """Failed calls as (agent, error_type, error_message, ts, payload)."""
     return calls.where("not ok").select("agent", "error_type", "error_message", "ts", "payload")
+
+
+def split_batch(path: str, error_col: str = "error"):
+    """For ``foreachBatch``: rows without an error go to the table ``good``, the others to ``dead``, both under the batch's id, so that a
+    batch delivered again replaces itself in both. A micro-batch is read once a table, from the files its source has pinned."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        bad = F.coalesce(F.col(error_col), F.lit("")) != ""
+        df.where(~bad).drop(error_col).write.mode("overwrite").parquet(f"{path}/good/batch={batch_id}")
+        df.where(bad).write.mode("overwrite").parquet(f"{path}/dead/batch={batch_id}")
+
+    return write
+
+
+def split_stream(stream: DataFrame, path: str, error_col: str = "error"):
+    """Starts ``stream`` into the two tables of ``split_batch`` over what its source holds now."""
+    return stream.writeStream.foreachBatch(split_batch(path, error_col)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
