@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from candela.functions import design_rules as D
 from candela.functions import scoring as C
 from candela.functions import sequence as S
-from candela.operators import artifacts, governance, graph, results, review, telemetry
+from candela.operators import artifacts, governance, graph, payloads, results, review, telemetry
 from candela.operators import events as E
 from candela.operators.selection import novelty
 from candela.operators.staging import staged
-from candela.sources import datasets
+from candela.sources import datasets, sinks
 
 
 @dataclass
@@ -143,12 +143,27 @@ def telemetry_drop(cards: DataFrame, drop: DataFrame, stage: str) -> tuple[DataF
     return out, telemetry.counts(out)
 
 
-def artifact_batch(spark: SparkSession, path: str, kind: str | None = None, mode: str = "reference") -> tuple[DataFrame, DataFrame]:
-    """(validated artifacts, counts) of a folder of JSON and JSON-lines files."""
-    v = staged(artifacts.validated(datasets.json_payloads(spark, path), kind=kind, mode=mode), "artifacts")
+def artifact_batch(spark: SparkSession, path: str, kind: str | None = None, mode: str = "reference", out: str | None = None, pattern: str = "*.{json,jsonl}") -> tuple[DataFrame, DataFrame]:
+    """(validated artifacts, counts) of a folder of JSON and JSON-lines files; with ``out`` the valid ones are also exported as a bundle
+    with manifest and report, to be read again by kind."""
+    v = staged(artifacts.validated(datasets.json_payloads(spark, path, pattern=pattern), kind=kind, mode=mode), "artifacts")
+    if out:
+        sinks.write_bundle(v.where("valid").select("artifact_type", "artifact_id", "payload"), out)
     return v, artifacts.counts(v)
 
 
+def campaign_report(r: "Review") -> DataFrame:
+    """A campaign's report as lines of markdown, in order (line, value): the decision and its rationale, the next round's buckets with their sizes,
+    the most frequent steps and the risks. A line a bucket, step and risk."""
+    d = r.decision
+    head = d.select(F.posexplode(F.array(F.concat(F.lit("# Campaign "), "campaign_id"), F.lit(""), F.concat(F.lit("Decision: "), "decision"), F.concat(F.lit("Rationale: "), "rationale"), F.lit(""), F.lit("## Next round"))).alias("line", "value"))
+    buckets = r.next_round.groupBy("bucket").agg(F.count("*").alias("n")).select((F.row_number().over(Window.orderBy("bucket")) + 99).alias("line"), F.concat(F.lit("- "), "bucket", F.lit(": "), F.col("n").cast("string")).alias("value"))  # three buckets
+    steps = d.select(F.posexplode("alternatives_considered").alias("line", "value")).select((F.col("line") + 1001).alias("line"), F.concat(F.lit("- "), "value").alias("value"))
+    risks = d.select(F.posexplode("risks").alias("line", "value")).select((F.col("line") + 10_001).alias("line"), F.concat(F.lit("- "), "value").alias("value"))
+    titles = d.select(F.explode(F.array(F.struct(F.lit(1000).alias("line"), F.lit("## Steps").alias("value")), F.struct(F.lit(10_000).alias("line"), F.lit("## Risks").alias("value")))).alias("t")).select("t.*")
+    return head.unionByName(buckets).unionByName(titles).unionByName(steps).unionByName(risks)
+
+
 def dataset_validation(seed: DataFrame, liability: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, counts) of the seed and the liability dataset, the second checked against the first."""
     spark = seed.sparkSession
@@ -162,6 +177,65 @@ def next_batch(candidates: DataFrame, *, batch_size: int = 5, weights: tuple[flo
     return novelty.select_batch(candidates, batch_size, weights)
 
 
+@dataclass
+class Plan:
+    """A selection plan: the ranking, the plan's own row, and the graph rows that it adds."""
+
+    rankings: DataFrame
+    plan: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+
+    @property
+    def batch(self) -> DataFrame:
+        return self.rankings.where("selected")
+
+    @property
+    def backups(self) -> DataFrame:
+        return self.rankings.where("not selected")
+
+
+def selection_plan(candidates: DataFrame, *, campaign_id: str, run_id: str, batch_size: int = 5, weights: tuple[float, float, float] = novelty.WEIGHTS) -> Plan:
+    """The next batch as a plan with its policy, selected ids and summary request, and as nodes and edges: every candidate with its
+    rank, the ranks informing the plan, the plan requesting a summary. The graph runs one way by construction, and is checked."""
+    spark = candidates.sparkSession
+    ranking = staged(next_batch(candidates, batch_size=batch_size, weights=weights), "rankings")
+    at, prompt = f"{campaign_id}-{run_id}", f"active-learning-scoring-summary-{campaign_id}-{run_id}"
+    chosen = [r[0] for r in ranking.where("selected").orderBy("rank").select("candidate_id").collect()]  # batch_size at most
+    policy = F.struct(F.lit(batch_size).alias("batch_size"), *(F.lit(w).alias(f"{n}_weight") for n, w in zip(("exploitation", "exploration", "uncertainty"), weights, strict=True)), F.lit("7 points per risk flag, capped at 35").alias("risk_penalty"), F.lit("greedy k-mer Jaccard novelty against selected sequences").alias("diversity_method"))
+    plan = spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(campaign_id).alias("campaign_id"), F.current_timestamp().alias("created_at"), policy.alias("selection_policy"), F.array(*map(F.lit, chosen)).cast("array<string>").alias("selected_candidate_ids"), F.lit(prompt).alias("scoring_summary_prompt_id"))
+    rank_id = F.concat(F.lit(f"{at}-"), "candidate_id", F.lit("-active-learning-rank"))
+    plan_id = f"{at}-active-learning-plan"
+    kind = lambda d, i, t, payload: d.select(i.alias("id"), F.lit(t).alias("node_type"), payload.alias("payload"))
+    nodes = kind(candidates, F.col("candidate_id").cast("string"), "peptide_candidate", F.to_json(F.struct(*candidates.columns)))
+    nodes = nodes.unionByName(kind(ranking, rank_id, "active_learning_rank", F.to_json(F.struct(*ranking.columns))))
+    nodes = nodes.unionByName(kind(plan, F.lit(plan_id), "active_learning_plan", F.to_json(F.struct(*plan.columns))))
+    nodes = nodes.unionByName(kind(plan, F.lit(prompt), "prompt_packet", F.to_json(F.struct(F.lit(prompt).alias("packet_id"), F.col("selected_candidate_ids")))))
+    edge = lambda d, s, t, e: d.select(s.alias("source"), t.alias("target"), F.lit(e).alias("edge_type"))
+    edges = edge(ranking, F.col("candidate_id").cast("string"), rank_id, "ranked_by").unionByName(edge(ranking, rank_id, F.lit(plan_id), "informs")).unionByName(edge(plan, F.lit(plan_id), F.lit(prompt), "requests_summary"))
+    graph.check_acyclic(edges)
+    return Plan(ranking, plan, nodes, edges)
+
+
+def repair_then_evaluate(outputs: DataFrame, *, json_col: str = "output", kind_col: str = "artifact", expected: dict[str, str] | None = None, **how) -> DataFrame:
+    """Outputs against their contracts, before and after repair, ``expected`` mapping context ids to columns: codes_before, repairs, repaired (JSON), failure_codes, warnings, passed and
+    retry_recommended. Fields that repair does not know stay as they are; what is no object is evaluated as it came."""
+    want = {k: F.col(v) for k, v in (expected or {}).items()}
+    first = payloads.evaluated(outputs, json_col=json_col, kind_col=kind_col, expected=want, **how).withColumnRenamed("failure_codes", "codes_before").drop("warnings", "passed", "retry_recommended")
+    names = [*payloads.CONTEXT_IDS, "sequence", *payloads.SCORES, *payloads.LISTS]
+    kept = {c: f"kept_{i}" for i, c in enumerate(first.columns)}
+    d = payloads.repaired(first.select(*(F.col(c).alias(k) for c, k in kept.items())), json_col=kept[json_col], expected={k: F.col(kept[v]) for k, v in (expected or {}).items()})
+    fixed = F.from_json(F.to_json(F.struct(*(n for n in names if n in d.columns))), "map<string,string>")
+    old = F.from_json(F.col(kept[json_col]), "map<string,string>")
+    lists = [n for n in payloads.LISTS if n in d.columns]
+    merged = F.map_concat(F.map_filter(old, lambda k, _: ~k.isin([*names])), F.map_filter(fixed, lambda k, v: v.isNotNull() & ~k.isin(lists)))
+    parts = F.transform(F.map_entries(merged), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), F.to_json(F.array(e["value"])).substr(F.lit(2), F.length(F.to_json(F.array(e["value"]))) - 2)))
+    more = F.array_compact(F.array(*(F.when(F.col(n).isNotNull(), F.concat(F.lit(f'"{n}":'), F.to_json(n))) for n in lists)))
+    body = F.when(old.isNull(), F.col(kept[json_col])).otherwise(F.concat(F.lit("{"), F.array_join(F.concat(parts, more), ","), F.lit("}")))
+    back = d.select(*(F.col(k).alias(c) for c, k in kept.items()), "repairs", body.alias("repaired"))
+    return payloads.evaluated(back, json_col="repaired", kind_col=kind_col, expected=want, **how)
+
+
 def dialectic_screen(candidates: DataFrame, threshold: float = 0.35) -> DataFrame:
     """Advocate and sceptic scores (own ``affinity`` and ``liability`` columns take part) and the verdict of each candidate."""
     d = D.screened(candidates)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ["sequences", "governance", "selection", "laboratory", "records", "jobs", "files"]
+SUBJECTS = ["sequences", "governance", "selection", "laboratory", "records", "jobs", "files", "plans"]
 
 
 def _all(name: str) -> dict:

@@ -150,12 +150,12 @@ def edge_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema("source string, target string, edge_type string").csv(path)
 
 
-def json_payloads(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+def json_payloads(spark: SparkSession, path: str, recursive: bool = True, pattern: str = "*.{json,jsonl}") -> DataFrame:
     """(path, index, payload, error) of JSON and JSON-lines files: a top-level list gives a row an item, a JSONL file a row
     a line, an object one row without index; what does not parse, and empty files, have an error. A JSON file all of whose
     lines are JSON on their own, as Spark writes them, counts as JSON lines."""
     blank = spark.createDataFrame([(f, None, "") for f in empty_files(spark, path, recursive)], "path string, index int, payload string")
-    files = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.{json,jsonl}").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     each = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     by_line = F.col("path").endswith(".jsonl") | ((F.size(each) > 1) & F.forall(each, lambda x: F.try_parse_json(x).isNotNull()))
     files = files.withColumn("by_line", by_line)
