@@ -181,9 +181,12 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 #: The wide search for similar texts: bands of a long SimHash, bits a band, and its least certain bits that variants flip.
 BANDS, BAND_BITS, DOUBTFUL = 13, 48, 8
 #: Bands of the passes that link what is easily linked: a text tries one other in each place it meets any.
-EARLY = ((0, 1, 2), (3, 4, 5))
+EARLY = ((0, 1, 2, 3, 4, 5), (6, 7, 8, 9, 10, 11, 12))
 #: Standard deviations beyond its mean at which a distance of long SimHashes rules a similarity out.
 BEYOND = 4.5
+#: Other bands that travel with a band where all pairs are made, and the deviations at which they rule a pair out in that band's
+#: place; a pair that they rule out by chance, one in 2,000 at the bound itself, has its other bands left.
+MORE, MORE_BEYOND = 5, 3.5
 #: Pairs that one step makes at once.
 PAIRS = 2_000_000
 _WORDS = -(-BANDS * BAND_BITS // 64)
@@ -300,9 +303,16 @@ def one_each(variants: np.ndarray, row: np.ndarray, owners: np.ndarray, roots: n
     return np.stack((np.minimum(owners[head], owners[mine]), np.maximum(owners[head], owners[mine])), 1)[some]
 
 
-def all_pairs_apart(variants: np.ndarray, row: np.ndarray, owners: np.ndarray, roots: np.ndarray, doubts: np.ndarray) -> Iterator[np.ndarray]:
-    """(a, b) of all rows with unequal roots that share a variant. Of the variants that two rows share, only that with zeros in all
-    bits which both doubt makes the pair, so a pair is made once."""
+def farthest(bits: int, similarity: float, deviations: float) -> float:
+    """The distance of SimHashes of ``bits`` bits that sets of this Jaccard similarity pass by so many deviations only; sets of unequal
+    sizes are nearer."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return bits * share + deviations * math.sqrt(bits * share * (1 - share))
+
+
+def all_pairs_apart(variants: np.ndarray, row: np.ndarray, owners: np.ndarray, roots: np.ndarray, doubts: np.ndarray, more: np.ndarray, most: float) -> Iterator[np.ndarray]:
+    """(a, b) of all rows with unequal roots that share a variant and whose bits in ``more`` differ in ``most`` places at most. Of the
+    variants that two rows share, only that with zeros in all bits which both doubt makes the pair, so a pair is made once."""
     order = np.lexsort((roots[row], variants))
     variants, row = variants[order], row[order]
     n = len(row)
@@ -320,39 +330,43 @@ def all_pairs_apart(variants: np.ndarray, row: np.ndarray, owners: np.ndarray, r
         j = run_end[i] + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
         x, y = row[i], row[j]
         only = (variants[i] & doubts[x] & doubts[y]) == 0
-        x, y = owners[x[only]], owners[y[only]]
+        x, y = x[only], y[only]
+        near = np.bitwise_count(more[x] ^ more[y]).sum(axis=1, dtype=np.int64) <= most
+        x, y = owners[x[near]], owners[y[near]]
         yield np.stack((np.minimum(x, y), np.maximum(x, y)), 1)
         begin = end
 
 
-def candidates(prints: DataFrame, bands: Sequence[int] = range(BANDS), each: bool = True) -> DataFrame:
+def candidates(prints: DataFrame, similarity: float, bands: Sequence[int] = range(BANDS), each: bool = True) -> DataFrame:
     """(a, b), a < b: owners of ``prints`` (owner, root, fps, doubts; distinct, stored) with unequal roots that share a variant of one of the
-    ``bands``: all of them once a band, or, unless ``each``, one for every owner and place."""
+    ``bands``: all of them once a band, but for those that MORE other bands rule out, or, unless ``each``, one for every owner and place."""
     depth = min(24, max(2, math.ceil(math.log2(max(prints.count(), 1) / BUCKET + 1))))
     low = np.uint64((1 << (BAND_BITS - depth)) - 1)
+    names, most = [f"m{k}" for k in range(MORE if each else 0)], farthest(MORE * BAND_BITS, similarity, MORE_BEYOND)
 
     def emit(batches):
         for b in batches:
             owner, root = b.column("owner").to_numpy(), b.column("root").to_numpy()
             fps, doubts = (b.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, BANDS) for c in ("fps", "doubts"))
             for band in bands:
+                others = [np.ascontiguousarray(fps[:, (band + 1 + k) % BANDS]) for k in range(len(names))]
                 fp, doubt = np.ascontiguousarray(fps[:, band]), np.ascontiguousarray(doubts[:, band])
                 for rows, flips in subsets(doubt & ~low):
                     bucket = ((fp[rows][:, None] ^ flips) >> np.uint64(BAND_BITS - depth)) | np.uint64(band << depth)
                     again = np.repeat(rows, flips.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), pa.array((fp[again] & low).view(np.int64)), pa.array(doubt[again].view(np.int64)), pa.array(owner[again]), pa.array(root[again])], names=["bucket", "fp", "doubt", "owner", "root"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), pa.array((fp[again] & low).view(np.int64)), pa.array(doubt[again].view(np.int64)), pa.array(owner[again]), pa.array(root[again]), *(pa.array(m[again].view(np.int64)) for m in others)], names=["bucket", "fp", "doubt", "owner", "root", *names])
 
     def join(table):
         fps, doubts, owners, roots = (table.column(c).to_numpy() for c in ("fp", "doubt", "owner", "root"))
-        fps, doubts = fps.view(np.uint64), doubts.view(np.uint64)
+        fps, doubts, more = fps.view(np.uint64), doubts.view(np.uint64), np.stack([table.column(c).to_numpy().view(np.uint64) for c in names], 1) if each else None
         high = np.uint64((table.column("bucket")[0].as_py() & ((1 << depth) - 1)) << (BAND_BITS - depth))
         found = [np.zeros((0, 2), np.int64)]
         for variants, row in groups(fps, doubts, BAND_BITS - depth):
-            found += all_pairs_apart(variants | high, row, owners, roots, doubts) if each else [one_each(variants, row, owners, roots)]
+            found += all_pairs_apart(variants | high, row, owners, roots, doubts, more, most) if each else [one_each(variants, row, owners, roots)]
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
 
-    sent = prints.select("owner", "root", "fps", "doubts").mapInArrow(emit, "bucket long, fp long, doubt long, owner long, root long")
+    sent = prints.select("owner", "root", "fps", "doubts").mapInArrow(emit, ", ".join(["bucket long, fp long, doubt long, owner long, root long", *(f"{c} long" for c in names)]))
     return sent.groupBy("bucket").applyInArrow(join, "a long, b long")
 
 
@@ -415,10 +429,10 @@ def similar(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> tupl
 
     now, edges = prints.withColumn("root", F.col("owner")), None
     for some in EARLY:
-        found = links(candidates(now, some, each=False))
+        found = links(candidates(now, similarity, some, each=False))
         edges = found if edges is None else edges.unionByName(found)
         now = rooted(edges)
-    return ids, rooted(edges.unionByName(links(candidates(now)))).select("owner", "root")
+    return ids, rooted(edges.unionByName(links(candidates(now, similarity)))).select("owner", "root")
 
 
 def one_of_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -513,7 +513,7 @@ def test_dense_places_are_halved(monkeypatch):
     want = {(min(a, b), max(a, b)) for i, a in enumerate(owners.tolist()) for j, b in enumerate(owners.tolist()) if i < j and not (fps[i] ^ fps[j]) & ~(doubts[i] | doubts[j])}
 
     def pairs():
-        found = [tuple(p) for v, r in simhash.groups(fps, doubts, 40) for e in simhash.all_pairs_apart(v, r, owners, owners, doubts) for p in e.tolist()]
+        found = [tuple(p) for v, r in simhash.groups(fps, doubts, 40) for e in simhash.all_pairs_apart(v, r, owners, owners, doubts, np.zeros((len(fps), 1), np.uint64), 0) for p in e.tolist()]
         assert len(found) == len(set(found)), "a pair is made once"
         return set(found)
 
