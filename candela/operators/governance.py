@@ -19,7 +19,7 @@ SEED_COLUMNS = [
     "hydrophobic_fraction", "aromatic_count", "cysteine_count", "methionine_count", "asparagine_glutamine_count", "known_stability_notes",
     "known_solubility_notes", "reference", "notes",
 ]
-LIABILITY_COLUMNS = "peptide_id name source_database source_organism liability_bucket liability_type sequence target_organism severity metric reference notes".split()
+LIABILITY_COLUMNS = ["peptide_id", "name", "source_database", "source_organism", "liability_bucket", "liability_type", "sequence", "target_organism", "severity", "metric", "reference", "notes"]
 TOPOLOGIES = ["cyclic", "linear"]
 GRAM = ["Gram-positive", "Gram-negative", "Gram+/Gram-", "Fungal", "Unknown"]
 BUCKETS = ["liability", "near-negative"]

@@ -62,6 +62,7 @@ def review(results: DataFrame, candidates: DataFrame, campaign_id: str, run_id:
     modes = F.col("failure_modes")
     d = j.where("__id is not null").drop("__id").withColumn("status", status(modes)).withColumn("recommendations", recommended(modes))
     bad = F.col("status") == "rejected"
+    # The sentences of decision records.
     listed = F.coalesce(F.nullif(F.array_join(modes, ", "), F.lit("")), F.lit("none"))
     d = d.withColumns({
         "decision_id": F.concat(F.lit(f"{campaign_id}-{run_id}-"), "candidate_id", F.lit("-decision")),
@@ -102,6 +103,7 @@ def campaign_decision(reviews: DataFrame, campaign_id: str, run_id: str) -> Data
     modes = ranked_counts(reviews, "failure_modes", "mode").agg(F.sort_array(F.collect_list(F.struct("first_seen", "mode"))).alias("m")).select(F.transform("m", lambda x: F.concat(F.lit("Frequent failure mode: "), x["mode"])).alias("modes"))  # the ontology bounds them
     c = lambda x: F.col(x).cast("string")
     pending = F.greatest(F.col("reviewed") - F.col("advanced") - F.col("rejected"), F.lit(0))
+    # The sentences of campaign decisions.
     at = f"{campaign_id} in run {run_id}"
     rationale = (
         F.when(F.col("reviewed") == 0, f"No candidates were reviewed for {at}; hold and refresh assay inputs before proceeding.")

@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Which kind of cause a failure code points to.
-CAUSES = {"synthesis": "SYN_", "purification": "PURIFICATION_|COELUTING_|ANALYTICAL_|LCMS_", "solubility": "LOW_AQUEOUS_|PRECIPITATION|AGGREGATI", "binding": "NO_BINDING|WEAK_BINDING|WRONG_BINDING", "model": "MODEL_|DOCKING_|STRUCTURE_|DATA_LEAKAGE"}
+CAUSES = {
+    "synthesis": ["SYN_"],
+    "purification": ["PURIFICATION_", "COELUTING_", "ANALYTICAL_", "LCMS_"],
+    "solubility": ["LOW_AQUEOUS_", "PRECIPITATION", "AGGREGATI"],
+    "binding": ["NO_BINDING", "WEAK_BINDING", "WRONG_BINDING"],
+    "model": ["MODEL_", "DOCKING_", "STRUCTURE_", "DATA_LEAKAGE"],
+}
 
 
 def distinct_parts(df: DataFrame, column: str, separator: str = ";") -> DataFrame:
@@ -20,7 +26,7 @@ def causes(modes: Column) -> Column:
     def cause(code: Column) -> Column:
         out = F.lit("other")
         for name, starts in reversed(CAUSES.items()):
-            out = F.when(code.rlike(f"^({starts})"), name).otherwise(out)
+            out = F.when(code.rlike(f"^({'|'.join(starts)})"), name).otherwise(out)
         return out
 
     return F.array_distinct(F.transform(modes, cause))

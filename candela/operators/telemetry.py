@@ -25,7 +25,7 @@ ALIASES = {
     "censored": ["censored", "is_censored", "above_detection_limit", "censored_above_limit"],
 }
 STAGES = ("stage_1_crude_lcms", "stage_2_purified_qc", "stage_3_bioassay")
-#: What a field counts as where a record lacks it; the expected mass falls back to the observed one.
+# What a field counts as where a record lacks it; the expected mass falls back to the observed one.
 DEFAULTS = {"crude_purity_pct": 50.0, "yield_mg": 5.0, "mass_observed_da": 1000.0, "purified_purity_pct": 95.0, "solubility_mg_ml": 2.0, "aggregation_index": 0.05, "dls_polydispersity": 0.12}
 
 

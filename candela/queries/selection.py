@@ -37,6 +37,23 @@ def dpp_batch_10(spark, sf_dir):
     return dpp.select_batch(_vectors(spark, sf_dir), 10, order_col="vec_id", vector_col="x", quality_col="quality", temperature=50.0, gamma=GAMMA)
 
 
+def _orders(spark, sf_dir):
+    """orders as points: price, day of the year and customer, all scaled."""
+    o = table(spark, sf_dir, "orders")
+    price, day = F.col("o_totalprice").cast("double"), F.dayofyear("o_orderdate")
+    return o.select("o_orderkey", price.alias("price"), day.cast("double").alias("day"), F.array(price / 50_000, day / 60.0, (F.col("o_custkey") % 97) / 20.0).alias("x"), (price / 1000).alias("quality"))
+
+
+def dpp_orders(spark, sf_dir):
+    """A diverse batch of fifty among all orders."""
+    return dpp.select_batch(_orders(spark, sf_dir), 50, order_col="o_orderkey", vector_col="x", quality_col="quality", temperature=50.0, gamma=1.0).select("step", "o_orderkey", F.round("quality", 4).alias("quality"), F.round("log_det", 4).alias("log_det"))
+
+
+def pareto_orders(spark, sf_dir):
+    """The fronts of all orders by price and day of the year."""
+    return pareto.fronts(_orders(spark, sf_dir).select("o_orderkey", "price", "day"), "o_orderkey", ["price", "day"]).select("o_orderkey", "pareto_rank")
+
+
 def _suppliers(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(F.sum("l_quantity"), 2).alias("volume"), F.round(F.avg("l_discount"), 6).alias("discount"))
     return li
@@ -124,7 +141,7 @@ def _feature_sql(k: int, dimensions: int = 64) -> str:
     return f"cos(list_dot_product(x, {[float(w) for w in directions[:, k]]}::DOUBLE[]) + {float(phases[k])!r}::DOUBLE)"
 
 
-QUERIES = {f.__name__: f for f in (novelty_batch, kmer_jaccard_topk, dpp_batch, dpp_batch_10, pareto_front, pareto_ranks, crowding_topk, gp_acquisition, gp_two_measured, feature_acquisition, async_batch, conformal_interval, conformal_coverage)}
+QUERIES = {f.__name__: f for f in (novelty_batch, kmer_jaccard_topk, dpp_batch, dpp_batch_10, dpp_orders, pareto_orders, pareto_front, pareto_ranks, crowding_topk, gp_acquisition, gp_two_measured, feature_acquisition, async_batch, conformal_interval, conformal_coverage)}
 SQL = {
     "novelty_batch": f"""WITH b AS (SELECT * FROM {_BASE} AS q),
       s1 AS (SELECT b.*, {_PRI.format('100')} AS pri, 100.0 AS nov FROM b ORDER BY pri DESC, id LIMIT 1),

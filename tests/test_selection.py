@@ -233,3 +233,34 @@ def test_fronts_in_blocks(spark, monkeypatch):
     d = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "i long, a double, b double").repartition(3)
     assert {r.i for r in pareto.front(d, ["a", "b"]).collect()} == {*range(80), 120}
     assert pareto.front(d.limit(0), ["a", "b"]).count() == 0
+
+
+def test_queries_over_orders_against_brute_force(spark):
+    """Fronts and a diverse batch of all orders of the smallest tables, by plain loops."""
+    from candela import queries as R
+    from candela.queries import selection
+
+    sf = "/root/testdata/sf0.001"
+    rows = selection._orders(spark, sf).orderBy("o_orderkey").collect()
+    pts = np.array([(r.price, r.day) for r in rows])
+    order = sorted(range(len(rows)), key=lambda i: (-pts[i][0], -pts[i][1]))
+    rank = np.zeros(len(rows), int)
+    for k, i in enumerate(order):
+        before = [j for j in order[:k] if pts[j][1] >= pts[i][1] and tuple(pts[j]) != tuple(pts[i])]
+        rank[i] = 1 + max((rank[j] for j in before), default=0)
+    assert {r.o_orderkey: r.pareto_rank for r in R.queries()["pareto_orders"](spark, sf).collect()} == {r.o_orderkey: rank[i] for i, r in enumerate(rows)}
+    x, s = np.array([r.x for r in rows]), np.array([r.quality for r in rows])
+    q, chosen, gains = np.exp((s - s.max()) / 50.0), [], []
+    for _ in range(50):
+        if chosen:
+            w, k = q[chosen], np.exp(-((x[:, None] - x[chosen][None]) ** 2).sum(-1))
+            inner = np.linalg.inv(np.outer(w, w) * np.exp(-((x[chosen][:, None] - x[chosen][None]) ** 2).sum(-1)))
+            cross = q[:, None] * w[None] * k
+            gain = q**2 - np.einsum("ij,jk,ik->i", cross, inner, cross)
+        else:
+            gain = q**2
+        gain[chosen] = -np.inf
+        chosen.append(int(gain.argmax()))
+        gains.append(float(np.log(gain.max())))
+    got = R.queries()["dpp_orders"](spark, sf).orderBy("step").collect()
+    assert [r.o_orderkey for r in got] == [rows[i].o_orderkey for i in chosen] and got[-1].log_det == pytest.approx(sum(gains), abs=1e-2)
