@@ -53,7 +53,9 @@ def feasibility_model(history: DataFrame, vector_col: str = "x", made_col: str =
 
 
 def with_feasibility(candidates: DataFrame, model, vector_col: str = "x", acquisition_col: str = "acquisition") -> DataFrame:
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    d = model.transform(candidates.withColumn("features", array_to_vector(vector_col))).withColumn("feasibility", vector_to_array("probability")[1])
-    return d.withColumn("weighted_acquisition", feasible(F.col(acquisition_col), F.col("feasibility"))).drop("features", "rawPrediction", "probability", "prediction")
+    """``candidates`` with the model's probability as feasibility, from its coefficients in built-in functions, and the weighted acquisition."""
+    fitted = model.stages[-1]
+    weights = F.array(*(F.lit(float(w)) for w in fitted.coefficients.toArray()))
+    score = F.aggregate(F.zip_with(vector_col, weights, lambda x, w: x * w), F.lit(float(fitted.intercept)), lambda a, v: a + v)
+    d = candidates.withColumn("feasibility", 1.0 / (1.0 + F.exp(-score)))
+    return d.withColumn("weighted_acquisition", feasible(F.col(acquisition_col), F.col("feasibility")))
