@@ -75,7 +75,8 @@ def observed(df: DataFrame, expectations: list[Expectation]) -> tuple[DataFrame,
 def publish(df: DataFrame, before: list[Expectation], job: Callable[[DataFrame], DataFrame], after: list[Expectation], path: str) -> dict[str, int]:
     """Runs ``job`` and writes its rows as Parquet to ``path``, in one pass: assumptions and guarantees are counted on the way. The rows are
     written beside and moved to ``path`` only if no fatal expectation is broken; else nothing stays and ContractBroken is raised.
-    Returns the broken rows by expectation, of warnings too."""
+    Returns the broken rows by expectation, of warnings too. A session that has observed cannot ship Spark ML models that keep their
+    training summary, which holds the session: score with their coefficients, or with a model that was saved and loaded."""
     spark, aside = df.sparkSession, f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     source, first = observed(df, before)
     made, last = observed(job(source), after)
