@@ -4,9 +4,10 @@ Patterns are windows of consecutive benchmark words. For each pattern length a s
 how far the scan may jump, a bucket table keyed by the closing block and then the opening block selects the few
 patterns that could end here, and a direct comparison of the words confirms them.
 
-Patterns are read in blocks of at most ``max_patterns``. A block's words and window numbers, and nothing that grows with
-the items, are broadcast to one scan over the documents; a benchmark that outgrows one block adds further scans, each stored
-before the next begins, so one block is out at a time. Which items hold a window is joined to the hits in Spark.
+Patterns are read in blocks of about ``max_patterns`` and ``max_bytes`` at most. A block's words and window numbers, and
+nothing that grows with the items, are broadcast to one scan over the documents; a benchmark that outgrows one block adds
+further scans, each stored before the next begins and its block removed from all executors, so one block is out at a time.
+Which items hold a window is joined to the hits in Spark.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import types as T
 
 from candela.llm.common import alnum_words, fresh, stored, with_columns
 
-#: A broadcast block: this many patterns of ``window`` words and their numbers stay below about 60 MB in a Python worker.
-MAX_PATTERNS = 100_000
+#: A broadcast block: about this many patterns and, as a word may be of any length, this many bytes of their text at most, which
+#: with the tables stay below about 100 MB in a Python worker. Patterns are dealt by hash; a block goes over by one pattern.
+MAX_PATTERNS, MAX_BYTES = 100_000, 16 << 20
 
 
 class WuManber:
@@ -71,10 +73,11 @@ def windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "te
     return numbered, stored(held.where("item is not null").join(numbered, "win").select("number", "item"), "items")
 
 
-def marked(docs: DataFrame, patterns: DataFrame, *, text_col: str = "text", keep: list[str], max_patterns: int = MAX_PATTERNS) -> DataFrame:
+def marked(docs: DataFrame, patterns: DataFrame, *, text_col: str = "text", keep: list[str], max_patterns: int = MAX_PATTERNS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``keep`` columns plus n_words, hit_spans, hit_windows (numbers of ``patterns`` (number, win) that occur) and n_hit."""
     spark = docs.sparkSession
-    blocks = max(1, math.ceil(patterns.count() / max_patterns))
+    many, size = patterns.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("win")), F.lit(0))).first()
+    blocks = max(1, math.ceil(many / max_patterns), math.ceil(size / max_bytes))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.IntegerType())), T.StructField("hit_windows", T.ArrayType(T.LongType())), T.StructField("n_hit", T.LongType())]
     text = fresh(docs, "scan_text")
     out = docs.withColumn(text, F.col(text_col).cast("string"))
@@ -119,10 +122,11 @@ def marked(docs: DataFrame, patterns: DataFrame, *, text_col: str = "text", keep
         out = with_columns(out, fields, make, [text, *(["hit_spans", "hit_windows"] if k else [])], [*keep, *([] if last else [text])])
         if not last:
             out = stored(out, "marked")
+            table.destroy()
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, keep: list[str] | None = None, max_patterns: int = MAX_PATTERNS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, keep: list[str] | None = None, max_patterns: int = MAX_PATTERNS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``keep`` columns (all by default) plus n_words, hit_spans array<int> (start, end, start, end, ...; merged word
     intervals, end exclusive), hit_items array<string> (sorted) and n_hit.
 
@@ -135,6 +139,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
     plain = {c: f"k{i}" for i, c in enumerate(keep)}
     patterns, items = windows(benchmark, item_col, item_text, window)
     d = docs.select(*(F.col(c).alias(k) for c, k in plain.items()), F.col(text_col).cast("string").alias("scanned"))
-    m = stored(marked(d, patterns, text_col="scanned", keep=list(plain.values()), max_patterns=max_patterns).withColumn("row", F.monotonically_increasing_id()), "hits")
+    m = stored(marked(d, patterns, text_col="scanned", keep=list(plain.values()), max_patterns=max_patterns, max_bytes=max_bytes).withColumn("row", F.monotonically_increasing_id()), "hits")
     named = m.where("n_hit > 0").select("row", F.explode("hit_windows").alias("number")).join(items, "number").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("hit_items"))
     return m.join(named, "row", "left").select(*(F.col(k).alias(c) for c, k in plain.items()), "n_words", "hit_spans", F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"), "n_hit")

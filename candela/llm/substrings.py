@@ -9,6 +9,8 @@ covered windows that overlap make up the maximal repeats, whose words are remove
 Whole copies of a text need no extension: all but the copy with the least id are covered outright. Within a slice of
 documents equal anchors or windows are settled on the spot, and those that one text repeats are one row with all their
 places, so a passage that very many documents share, or that one repeats, brings one document's row a slice to the shuffle.
+What remains of a key is aggregated before it is shuffled and joined back to its rows, whose side of the join can be split,
+so no key, however common, is one task's.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,17 +136,19 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("owner"), text.alias("text"))
     ids = d.where("doc_id is not null")
     small_batches(docs.sparkSession)
-    least = Window.partitionBy("key")
     seen = ids.select("doc_id", "owner", F.unhex(F.sha2("text", 256)).alias("digest"))
     first = seen.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     first = first.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     salted = seen.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     copies = stored(salted.join(first, ["digest", "salt"]).where("doc_id > first").select("doc_id", "owner").distinct(), "copies")
-    shared = anchors(ids, width, seed).withColumn("lo", F.min("owner").over(least)).withColumn("hi", F.max("owner").over(least)).where("sure or lo < hi")
+    at = anchors(ids, width, seed)
+    several = at.groupBy("key").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.bool_or("sure").alias("known")).where("known or lo < hi")
+    shared = at.join(several.select("key", F.lit(True).alias("met")), "key", "left").where("sure or met")
     places = shared.groupBy("doc_id", "owner").agg(F.flatten(F.collect_list("pos")).alias("at")).join(copies, ["doc_id", "owner"], "left_anti")
     found = ids.join(stored(places, "places"), ["doc_id", "owner"])
-    same = Window.partitionBy("h1", "h2")
-    covered = extended(found, width, seed).withColumn("lo", F.min("doc_id").over(same)).where("sure or lo < doc_id")
+    around = extended(found, width, seed)
+    earliest = around.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
+    covered = around.join(earliest, ["h1", "h2"], "left").where("sure or lo < doc_id")
     starts = stored(covered.groupBy("doc_id", "owner").agg(F.flatten(F.collect_list("start")).alias("starts")), "covered")
     return starts.select("doc_id", "owner", "starts", F.lit(False).alias("whole")).union(copies.select("doc_id", "owner", F.lit(None).cast("array<int>"), F.lit(True)))
 

@@ -412,6 +412,16 @@ def test_op9_planted(spark, tmp_shared):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in Q.op9_substrings(spark, tmp_shared).collect()} == removed(texts)
 
 
+def test_op9_passage_of_all(spark, tmp_shared):
+    """One passage in every row, dealt over many partitions and slices, ids falling: only the least id keeps it."""
+    rnd = random.Random(12)
+    shared = " ".join(f"p{i}" for i in range(20))
+    own = lambda: " ".join(f"o{rnd.randint(0, 10**9)}" for _ in range(rnd.randint(0, 30)))
+    texts = {k: f"{own()} {shared} {own()}" for k in range(400)}
+    spark.createDataFrame(sorted(texts.items(), reverse=True), "doc_id long, text string").repartition(37).write.parquet(f"{tmp_shared}/documents.parquet")
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in Q.op9_substrings(spark, tmp_shared).collect()} == removed(texts)
+
+
 def test_op10(spark, texts):
     for r in Q.op10_quality_rules(spark, SF).collect():
         t = texts[r.doc_id]

@@ -145,6 +145,7 @@ def test_patterns_in_blocks_give_the_same(spark, odd, bench):
     d = odd.select("doc_id", "text")
     rows = lambda n: sorted(map(str, decontaminate.scan(d, bench, max_patterns=n).collect()))
     assert rows(2) == rows(100_000)
+    assert rows(10**6) == sorted(map(str, decontaminate.scan(d, bench, max_bytes=200).collect()))
 
 
 def test_scratch_is_removed(spark):
