@@ -2,8 +2,8 @@
 
 Seeds: of every run of ``width - seed + 1`` word ``seed``-grams the one with the least hash is an anchor (winnowing), so
 any two equal windows of ``width`` words share an anchor at the same place. Anchors meet by hash; those of a single text
-are dropped. Extend: around each remaining anchor all windows of ``width`` words that hold it are taken, to the left and
-to the right, and equal windows meet by a 128-bit hash whose halves come from independent word hashes. A window that starts in a document with a smaller id is covered;
+are dropped. Extend: around each remaining anchor the windows of ``width`` words that chose it are taken, to the left and
+to the right (equal windows choose alike), and equal windows meet by a 128-bit hash whose halves come from independent word hashes. A window that starts in a document with a smaller id is covered;
 covered windows that overlap make up the maximal repeats, whose words are removed.
 
 Whole copies of a text need no extension: all but the copy with the least id are covered outright. Within a slice of
@@ -108,8 +108,8 @@ def anchors(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
 
 
 def extended(found: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """(h1, h2, doc_id, owner, start, sure): the windows around the anchors ``at`` of ``found`` (doc_id, owner, text, at), by a
-    128-bit hash of two independent halves; sure: known here to start in a smaller document."""
+    """(h1, h2, doc_id, owner, start, sure): the windows whose own anchor, the least of their seeds, is among ``at`` of ``found``
+    (doc_id, owner, text, at), by a 128-bit hash of two independent halves; sure: known here to start in a smaller document."""
 
     def run(batches):
         for batch in batches:
@@ -117,8 +117,11 @@ def extended(found: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFram
                 ids, owners, at = part.column("doc_id").to_numpy(), part.column("owner").to_numpy(), part.column("at")
                 halves, bounds = hashed(part.column("text"), 11, 12)
                 row = np.repeat(np.arange(len(ids)), np.diff(np.asarray(at.offsets)))
-                start = (np.asarray(at.flatten()) + bounds[row])[:, None] - np.arange(width - seed + 1)[None, :]
-                start = np.unique(start[(start >= bounds[row][:, None]) & (start + width <= bounds[row + 1][:, None])])
+                anchor = np.zeros(len(halves[0]), bool)
+                anchor[np.asarray(at.flatten()) + bounds[row]] = True
+                of = np.repeat(np.arange(len(ids)), np.diff(bounds))
+                own = least_at(rolled(halves[0], seed, 0), width - seed + 1)
+                start = np.flatnonzero(anchor[own] & (of[: len(own)] == of[width - 1 :]))
                 h1, h2 = (rolled(h, width, k)[start] for k, h in enumerate(halves))
                 row = np.searchsorted(bounds, start, "right") - 1
                 index, _, beyond, row, places = settled((h1, h2), row, start - bounds[row], ids)
@@ -147,7 +150,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     places = shared.groupBy("doc_id", "owner").agg(F.flatten(F.collect_list("pos")).alias("at")).join(copies, ["doc_id", "owner"], "left_anti")
     found = ids.join(stored(places, "places"), ["doc_id", "owner"])
     around = extended(found, width, seed)
-    earliest = around.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
+    earliest = around.where("not sure").groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"))
     covered = around.join(earliest, ["h1", "h2"], "left").where("sure or lo < doc_id")
     starts = stored(covered.groupBy("doc_id", "owner").agg(F.flatten(F.collect_list("start")).alias("starts")), "covered")
     return starts.select("doc_id", "owner", "starts", F.lit(False).alias("whole")).union(copies.select("doc_id", "owner", F.lit(None).cast("array<int>"), F.lit(True)))
