@@ -6,6 +6,11 @@ are literals in the plan, and one row comes back. Nothing is carried from step t
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,11 +78,82 @@ def alike(d: DataFrame, least: float, *, id_col: str, kmers_col: str) -> DataFra
     return j.select(F.col("id").alias(id_col), "other_id", S.jaccard(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= least - 1e-9)
 
 
-def most_alike(d: DataFrame, k: int, *, id_col: str, kmers_col: str, levels: tuple[float, ...] = (0.7, 0.4, 0.2, 0.1, 1e-6)) -> DataFrame:
-    """The ``k`` most similar pairs by Jaccard similarity, then ids. The bound on the similarity falls until ``k`` pairs reach
-    it, so few candidates are made where similar pairs exist; pairs without a common k-mer never count."""
-    for least in levels:
-        found = staged(alike(d, least, id_col=id_col, kmers_col=kmers_col).orderBy(F.desc("similarity"), id_col, "other_id").limit(k), "alike")
-        if found.count() >= k:
-            break
-    return found.orderBy(F.desc("similarity"), id_col, "other_id")
+#: Rows of a block where blocks are few, rows of a block at most, and the number of blocks up to that.
+BLOCK_LEAST, BLOCK_MOST, BLOCKS = 4_096, 100_000, 64
+
+
+def _closest(table: pa.Table, k: int, bound: float) -> list[tuple[float, int, int]]:
+    """The ``k`` pairs (-similarity, row, row) of highest similarity, then ids, of two blocks (``side`` 0 and 1) or within one (side 0 only); none below ``bound``.
+
+    Counts of common k-mers come from the posting lists of the second block, some rows of the first at a time."""
+    ids, side = np.asarray(table.column("id")), np.asarray(table.column("side"))
+    lists = table.column("k").combine_chunks()
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+    codes = np.asarray(pc.list_flatten(lists).dictionary_encode().indices).astype(np.int64)
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(second)
+    second = first if alone else second
+    place = np.full(len(ids), -1)
+    place[second] = np.arange(len(second))
+    mine = np.flatnonzero(place[owner] >= 0)
+    mine = mine[np.argsort(codes[mine], kind="stable")]
+    posts, start = place[owner[mine]], np.searchsorted(codes[mine], np.arange(codes.max(initial=-1) + 2))
+    begins, width, other = np.concatenate([[0], np.cumsum(sizes)]), len(second), sizes[second]
+    step, best = max(1, 1_000_000 // max(1, width)), []
+    for at in range(0, len(first), step):
+        rows = first[at : at + step]
+        n = sizes[rows]
+        of = np.repeat(np.arange(len(rows)), n)
+        token = codes[np.repeat(begins[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        many = start[token + 1] - start[token]
+        post = posts[np.repeat(start[token] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        shared = np.bincount(np.repeat(of, many) * width + post, minlength=len(rows) * width).reshape(len(rows), width)
+        a, b = np.nonzero(shared * (1 + bound) >= np.maximum(0.5, bound * (n[:, None] + other[None]) - 1e-6))
+        common = shared[a, b]
+        similarity = common / (n[a] + other[b] - common)
+        x, y = ids[rows[a]], ids[second[b]]
+        keep = (x < y) if alone else x != y
+        x, y, similarity = np.minimum(x, y)[keep], np.maximum(x, y)[keep], similarity[keep]
+        if len(similarity) > k:
+            near = similarity >= np.partition(similarity, len(similarity) - k)[len(similarity) - k]
+            x, y, similarity = x[near], y[near], similarity[near]
+        best = sorted([*best, *zip((-similarity).tolist(), x.tolist(), y.tolist(), strict=True)])[:k]
+        if len(best) == k:
+            bound = max(bound, -best[-1][0])
+    return best
+
+
+def most_alike(d: DataFrame, k: int, *, id_col: str, kmers_col: str) -> DataFrame:
+    """The ``k`` most similar pairs by Jaccard similarity, then ids, among all pairs with a common k-mer; ids are unique.
+
+    Rows are put in blocks of like sizes. First every block is compared with itself, which gives a bound; then every two blocks whose sizes
+    can reach it are compared. A task holds two blocks and hands back ``k`` pairs, so memory is bounded and no pair is a row of
+    the plan; the time is that of all pairs, over all tasks."""
+    rows = staged(d.select(F.col(id_col).alias("id"), F.col(kmers_col).alias("k")), "kmers").withColumn("n", F.size("k")).where("n > 0")
+    total = rows.count()
+    blocks = max(1, min(BLOCKS, math.ceil(total / BLOCK_LEAST)), math.ceil(total / BLOCK_MOST))
+    rows = staged(rows.repartitionByRange(blocks, "n", "id").withColumn("block", F.spark_partition_id()), "blocks")
+    sizes = {r["block"]: (r["lo"], r["hi"]) for r in rows.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).collect()}
+    kind = d.schema[id_col].dataType.simpleString()
+    fields = f"`{id_col}` {kind}, other_id {kind}, similarity double"
+
+    def compared(pairs: list[tuple[int, int]], bound: float) -> DataFrame:
+        sides = [(i, j, b, s) for i, j in pairs for s, b in enumerate((i, j) if i != j else (i,))]
+        met = rows.join(F.broadcast(d.sparkSession.createDataFrame(sides, "one int, two int, block int, side int")), "block").select("one", "two", "side", "id", "k")
+
+        def closest(table):
+            best = _closest(table, k, bound)
+            of = table.column("id").type
+            return pa.table({id_col: pa.array([x for _, x, _ in best], of), "other_id": pa.array([y for _, _, y in best], of), "similarity": pa.array([-s for s, _, _ in best], pa.float64())})
+
+        return staged(met.groupBy("one", "two").applyInArrow(closest, fields), "alike")
+
+    in_order = [F.desc("similarity"), F.col(id_col), F.col("other_id")]
+    found = compared([(b, b) for b in sizes], 0.0)
+    last = found.orderBy(*in_order).limit(k).agg(F.min("similarity").alias("s"), F.count("*").alias("n")).first()
+    bound = last["s"] if last["n"] == k else 0.0
+    reach = [(i, j) for i in sizes for j in sizes if i < j and min(sizes[i][1], sizes[j][1]) >= bound * max(sizes[i][0], sizes[j][0]) - 1e-9]
+    if reach:
+        found = found.unionByName(compared(reach, bound))
+    return found.orderBy(*in_order).limit(k)

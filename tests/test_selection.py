@@ -162,6 +162,21 @@ def test_most_alike_pairs(spark):
     assert {(r.i, r.other_id) for r in novelty.alike(d, 0.3, id_col="i", kmers_col="k").collect()} == {(a, b) for s, a, b in pairs if -s >= 0.3 - 1e-9}
 
 
+def test_most_alike_pairs_in_many_blocks(spark, monkeypatch):
+    """Blocks of few rows: every two blocks meet, ties at the bound go by ids, and the k-mer sets' sequence is worked out once."""
+    rnd = np.random.default_rng(7)
+    sets = {i: sorted({f"k{x}" for x in rnd.integers(0, 12, rnd.integers(1, 6))}) for i in range(120)}
+    d = spark.createDataFrame(list(sets.items()), "i long, k array<string>")
+    jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    pairs = sorted((-jac(sets[a], sets[b]), a, b) for a in sets for b in sets if a < b and set(sets[a]) & set(sets[b]))
+    monkeypatch.setattr(novelty, "BLOCK_LEAST", 15)
+    for k in (3, 40, 400):
+        got = [(r.i, r.other_id, r.similarity) for r in novelty.most_alike(d, k, id_col="i", kmers_col="k").collect()]
+        assert got == [(a, b, -s) for s, a, b in pairs[:k]]
+    few = novelty.most_alike(d.where("i < 3"), 400, id_col="i", kmers_col="k").collect()
+    assert len(few) == sum(a < 3 and b < 3 for _, a, b in pairs)
+
+
 def test_acquisition_queries_against_brute_force(spark, tmp_path):
     """gp_acquisition over a small table: the posterior by plain linear algebra, one vector in ten measured."""
     from candela import queries as R
