@@ -77,7 +77,7 @@ def card_stream(spark, sf_dir):
     at = {s: k for k, s in enumerate(T.STAGES)}
     staged_rows = records.withColumn("stage", F.explode(F.array(*map(F.lit, T.STAGES))))
     order = F.create_map(*(F.lit(x) for kv in at.items() for x in kv))[F.col("stage")].cast("long") * (1 << 60) + F.col("ingest_order") * (1 << 24) + F.round(F.col("l_extendedprice") * 100).cast("long")
-    rows = stateful.drained(stateful.fold_cards(cards.outcomes(staged_rows.withColumn("seq", order)), _cards(spark, sf_dir)), "cards")
+    rows = stateful.drained(stateful.fold_cards(cards.outcomes(staged_rows.withColumn("seq", order)), _cards(spark, sf_dir), every=False), "cards")
     last = rows.groupBy("candidate_id").agg(F.max_by(F.struct("experiment_state", "status", "potency", F.array_join("risk_flags", ";").alias("risk_flags")), "seq").alias("c"))
     return last.select("candidate_id", "c.*")
 

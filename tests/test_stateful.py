@@ -46,3 +46,25 @@ def test_cards_start_from_a_table_and_take_no_record_twice(spark, tmp_shared):
     stream = spark.readStream.schema(spark.read.parquet(f"{tmp_shared}/drop").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_shared}/drop")
     got = stateful.drained(stateful.fold_cards(stream, table), "test").collect()
     assert len(got) == 20 and {(r.candidate_id, r.experiment_state, r.status, r.potency, tuple(r.risk_flags)) for r in got} == want
+
+
+def test_cards_of_a_bucket_equal_a_plain_fold(spark, tmp_shared, monkeypatch):
+    """Candidates that share a bucket, all stages mixed, over three files with a replay: each record's card, and the last one a file."""
+    monkeypatch.setattr(stateful, "BUCKETS", 2)
+    rnd = random.Random(5)
+    records = [(f"c{rnd.randint(0, 12)}", rnd.choice(telemetry.STAGES), k, ok := rnd.random() < 0.5, [] if ok else rnd.sample(["A", "B", "C"], rnd.randint(1, 2)), float(k % 7)) for k in range(200)]
+    schema = "candidate_id string, stage string, seq long, passed boolean, codes array<string>, potency double"
+    for part in (records[:80], records[60:130], records[130:]):
+        spark.createDataFrame(rnd.sample(part, len(part)), schema).coalesce(1).write.mode("append").parquet(f"{tmp_shared}/drop")
+    table = spark.createDataFrame([("c1", "designed", "draft", 1.5, ["OLD"]), ("c99", "designed", "draft", None, [])], "candidate_id string, experiment_state string, status string, potency double, risk_flags array<string>")
+    held = {"c1": {"experiment_state": "designed", "status": "draft", "potency": 1.5, "risk_flags": ["OLD"]}}
+    want = set()
+    for r in spark.createDataFrame(records, schema).orderBy("seq").collect():
+        c = held[r.candidate_id] = cards.advance(held.get(r.candidate_id, cards.new_card()), r)
+        want.add((r.candidate_id, r.stage, r.seq, c["experiment_state"], c["status"], c["potency"], tuple(c["risk_flags"])))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_shared}/drop")
+    got = [(r.candidate_id, r.stage, r.seq, r.experiment_state, r.status, r.potency, tuple(r.risk_flags)) for r in stateful.drained(stateful.fold_cards(stream(), table), "test").collect()]
+    assert len(got) == 200 and set(got) == want
+    last = stateful.drained(stateful.fold_cards(stream(), table, every=False), "test").collect()
+    assert len(last) <= 39 and {r.seq for r in last} >= {max(r[2] for r in records if r[0] == c) for c in held}
+    assert {(r.candidate_id, r.stage, r.seq, r.experiment_state, r.status, r.potency, tuple(r.risk_flags)) for r in last} <= want
