@@ -8,12 +8,13 @@ from candela.operators import artifacts as A
 from candela.operators import contracts as X
 from candela.operators import graph as R
 from candela.operators import payloads as P
+from candela.operators.staging import spread
 from candela.queries.tables import SEQ_HASH, seq_hash, table
 
 
 def _payloads(spark, sf_dir):
     """events as JSON payloads with scores out of bounds, numbers as text, lower-case sequences and lists as text."""
-    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    e = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     score = F.when(F.col("k") % 3 == 0, F.format_string('"%d.5"', F.col("k") * 3)).when(F.col("k") % 3 == 1, F.format_string("%d", 40 - F.col("k") * 2)).otherwise(F.lit('"n/a"'))
     return e.select("event_id", "k", F.concat(F.lit('{"candidate_id":"c'), "user_id", F.lit('","sequence":" ack'), F.lower("event_type"), F.lit(' ","overall_score":'), score, F.lit(',"confidence":'), F.format_string("%d", "k"), F.lit(',"risk_flags":"A, B,,'), "k", F.lit('"}')).alias("payload"))
 
@@ -24,8 +25,9 @@ def payload_repair(spark, sf_dir):
 
 
 def payload_repair_log(spark, sf_dir):
+    """What repairs were made. An outer explode: a plain one has the optimizer ask first whether ``repairs`` is empty, which parses each payload once a field."""
     d = P.repaired(_payloads(spark, sf_dir))
-    return d.select(F.explode("repairs").alias("repair")).groupBy(F.regexp_replace("repair", r"-?[0-9.]+", "#").alias("repair")).agg(F.count("*").alias("n"))
+    return d.select(F.explode_outer("repairs").alias("repair")).where("repair is not null").groupBy(F.regexp_replace("repair", r"-?[0-9.]+", "#").alias("repair")).agg(F.count("*").alias("n"))
 
 
 def output_contract(spark, sf_dir):

@@ -72,3 +72,9 @@ def test_benchmark_passages(spark, tmp_path):
     assert {(r.doc_id, r.item_id): r.n_shared for r in rows} == want == {(0, 0): 5, (2, 1): 1, (4, 0): 6}
     assert {r.item_id: r.n_item for r in rows} == {0: len(cut(item, 10)), 1: 1}
     assert {(r.doc_id, r.item_id): r.n_shared for r in R.queries()["benchmark_leakage"](spark, str(tmp_path)).collect()} == want
+
+
+def test_repairs_parse_a_payload_once(spark):
+    """No filter inferred from the explode, which would parse each payload once a field."""
+    log = R.queries()["payload_repair_log"](spark, "/root/testdata/sf0.001")
+    assert log._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
