@@ -13,7 +13,7 @@ from candela.functions import sequence as S
 from candela.operators import artifacts, governance, graph, payloads, results, review, telemetry
 from candela.operators import events as E
 from candela.operators.selection import novelty
-from candela.operators.staging import staged
+from candela.operators.staging import spread, staged
 from candela.sources import datasets, sinks
 
 
@@ -221,6 +221,7 @@ def repair_then_evaluate(outputs: DataFrame, *, json_col: str = "output", kind_c
     """Outputs against their contracts, before and after repair, ``expected`` mapping context ids to columns: codes_before, repairs, repaired (JSON), failure_codes, warnings, passed and
     retry_recommended. Fields that repair does not know stay as they are; what is no object is evaluated as it came."""
     want = {k: F.col(v) for k, v in (expected or {}).items()}
+    outputs = spread(outputs)
     first = payloads.evaluated(outputs, json_col=json_col, kind_col=kind_col, expected=want, **how).withColumnRenamed("failure_codes", "codes_before").drop("warnings", "passed", "retry_recommended")
     names = [*payloads.CONTEXT_IDS, "sequence", *payloads.SCORES, *payloads.LISTS]
     kept = {c: f"kept_{i}" for i, c in enumerate(first.columns)}

@@ -78,3 +78,13 @@ def test_repairs_parse_a_payload_once(spark):
     """No filter inferred from the explode, which would parse each payload once a field."""
     log = R.queries()["payload_repair_log"](spark, "/root/testdata/sf0.001")
     assert log._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_repaired_rows_of_one_small_file_are_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from candela.plans import jobs
+
+    outputs = spark.createDataFrame([(k, '{"candidate_id":"c"}', "candidate_card", "c") for k in range(40)], "k long, output string, artifact string, want string").coalesce(1)
+    out = jobs.repair_then_evaluate(outputs, expected={"candidate_id": "want"})
+    assert len({r.p for r in out.select(F.spark_partition_id().alias("p")).collect()}) > 1 and out.count() == 40
