@@ -279,3 +279,19 @@ def test_queries_over_orders_against_brute_force(spark):
         gains.append(float(np.log(gain.max())))
     got = R.queries()["dpp_orders"](spark, sf).orderBy("step").collect()
     assert [r.o_orderkey for r in got] == [rows[i].o_orderkey for i in chosen] and got[-1].log_det == pytest.approx(sum(gains), abs=1e-2)
+
+
+def test_a_pass_hands_on_few_rows_of_a_task(spark, monkeypatch):
+    """With a small ACTIVE and many batches in a task the picks are those of one pass over all rows, ties and singular sets included."""
+    rnd = np.random.default_rng(9)
+    rows = [(int(i), [float(x) for x in rnd.integers(0, 3, 2)], float(rnd.integers(0, 5))) for i in range(600)]  # nine points: singular after nine picks
+    d = spark.createDataFrame(rows, "i long, x array<double>, s double").coalesce(1)
+    how = {"order_col": "i", "vector_col": "x", "quality_col": "s", "gamma": 1.0}
+    want, _ = dpp.greedy_map(d, 14, **how)
+    monkeypatch.setattr(dpp, "ACTIVE", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got, _ = dpp.greedy_map(d, 14, **how)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [t["key"] for t in got] == [t["key"] for t in want] and len(got) == 14
