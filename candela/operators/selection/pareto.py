@@ -14,14 +14,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.operators.staging import shared_folder, staged
 
 BLOCK_ROWS = 20_000
-#: Distinct points that a cell of the grid should hold.
-CELL_ROWS = 100_000
+#: Distinct points that a cell of the grid should hold, and how many times that the fullest may hold.
+CELL_ROWS, FULLEST = 100_000, 5
 
 
 def _undominated(points: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -142,15 +143,24 @@ def chained(d: DataFrame, objectives: list[str]) -> DataFrame:
 
     The distinct points are cut into a grid of ranges of both objectives. A cell needs the stairs of the cell above it (higher in
     the first objective) and of the one beside it (higher in the second), so the cells of a diagonal are ranked at once, each in
-    n log n by one task, and their stairs are stored for the next diagonal. Nothing but the ranges' bounds reaches the driver."""
+    n log n by one task, and their stairs are stored for the next diagonal. Nothing but the ranges' bounds reaches the driver.
+
+    Diagonals follow each other, so there should be few. Where the objectives are independent, n / CELL_ROWS cells are a grid whose side is
+    the root of that; where they run together the points lie in fewer of its cells, and the grid is made finer until none is too full."""
     one, two = objectives
     points = d.select(F.col(one).alias("a"), F.col(two).alias("b")).distinct()
     points = staged(points.select((F.col("a") + 0.0).alias("a"), (F.col("b") + 0.0).alias("b")), "points")
-    grid = max(1, math.ceil(points.count() / CELL_ROWS))
-    bounds = [[q for q in sorted(set(v), reverse=True)] for v in points.approxQuantile(["a", "b"], [k / grid for k in range(1, grid)], 0.2 / grid)] if grid > 1 else [[], []]
+    finest = max(1, math.ceil(points.count() / CELL_ROWS))
+    grid = math.isqrt(finest - 1) + 1
     cell = lambda c, cuts: sum(((F.col(c) < v).cast("int") for v in cuts), F.lit(0))
+    while True:
+        bounds = [[q for q in sorted(set(v), reverse=True)] for v in points.approxQuantile(["a", "b"], [k / grid for k in range(1, grid)], 0.2 / grid)] if grid > 1 else [[], []]
+        cells = points.withColumn("i", cell("a", bounds[0])).withColumn("j", cell("b", bounds[1]))
+        if grid == finest or cells.groupBy("i", "j").count().agg(F.max("count")).first()[0] <= FULLEST * CELL_ROWS:
+            break
+        grid = min(2 * grid, finest)
     columns = len(bounds[1]) + 1
-    cells = points.withColumn("i", cell("a", bounds[0])).withColumn("j", cell("b", bounds[1])).withColumn("turn", F.col("i") + F.col("j"))
+    cells = cells.withColumn("turn", F.col("i") + F.col("j")).repartition("turn", "i")  # a cell is one file
     path = f"{shared_folder(d.sparkSession)}/staged-cells-{uuid.uuid4().hex}"
     cells.write.partitionBy("turn").parquet(path)  # a diagonal is a folder
     fields = "i int, j int, kind string, a double, b double, rank long"
@@ -158,16 +168,22 @@ def chained(d: DataFrame, objectives: list[str]) -> DataFrame:
 
     def rank(table):
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        kind = np.asarray(table.column("kind").to_pylist())
         a, b, r = (np.asarray(table.column(c)) for c in ("a", "b", "rank"))
-        stairs = {k: sorted(zip(a[kind == k].tolist(), r[kind == k].tolist(), strict=True), key=lambda s: -s[0]) for k in ("above", "beside")}
-        mine = np.flatnonzero(kind == "point")
+        here = {k: np.flatnonzero(np.asarray(pc.equal(table.column("kind"), k))) for k in ("point", "above", "beside")}
+        stairs = {k: sorted(zip(a[here[k]].tolist(), r[here[k]].tolist(), strict=True), key=lambda s: -s[0]) for k in ("above", "beside")}
+        mine = here["point"]
         mine = mine[np.lexsort((-b[mine], -a[mine]))]
         ranks, below, beside = _ranked_cell(a[mine], b[mine], stairs["above"], stairs["beside"])
-        made = [(i, j, "done", x, y, k) for x, y, k in zip(a[mine].tolist(), b[mine].tolist(), ranks, strict=True)]
-        made += [(i + 1, j, "above", v, 0.0, k) for v, k in below] + [(i, j + 1, "beside", v, 0.0, k) for v, k in beside]
-        names = ("i", "j", "kind", "a", "b", "rank")
-        return pa.table({n: pa.array([m[c] for m in made], t) for c, (n, t) in enumerate(zip(names, (pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.int64()), strict=True))})
+        n, under, over = len(mine), len(below), len(beside)
+        columns = {
+            "i": pa.array(np.repeat([i, i + 1, i], [n, under, over]), pa.int32()),
+            "j": pa.array(np.repeat([j, j, j + 1], [n, under, over]), pa.int32()),
+            "kind": pa.array(np.repeat(["done", "above", "beside"], [n, under, over]), pa.string()),
+            "a": pa.array(np.concatenate([a[mine], [v for v, _ in below], [v for v, _ in beside]]), pa.float64()),
+            "b": pa.array(np.concatenate([b[mine], np.zeros(under + over)]), pa.float64()),
+            "rank": pa.array([*ranks, *(k for _, k in below), *(k for _, k in beside)], pa.int64()),
+        }
+        return pa.table(columns)
 
     done, stairs = [], None
     for turn in range(len(bounds[0]) + columns):

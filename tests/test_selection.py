@@ -241,6 +241,24 @@ def test_chains_over_a_grid(spark, monkeypatch, cell, high):
     assert got == want
 
 
+@pytest.mark.parametrize(("together", "most"), [(False, 9), (True, 60)])
+def test_diagonals_grow_with_the_root(spark, monkeypatch, together, most):
+    """Of independent objectives 25 cells are nine diagonals, not 49; where they run together the grid is finer. Ranks stay."""
+    monkeypatch.setattr(pareto, "CELL_ROWS", 100)
+    tags, real = [], pareto.staged
+    monkeypatch.setattr(pareto, "staged", lambda d, tag: (tags.append(tag), real(d, tag))[1])
+    rnd = np.random.default_rng(4)
+    a = rnd.permutation(2500).astype(float)
+    b = a + rnd.random(2500) if together else rnd.permutation(2500).astype(float)
+    got = pareto.fronts(spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "i long, a double, b double"), "i", ["a", "b"]).collect()
+    assert tags.count("diagonal") <= most
+    best, want = [], {}
+    for i in np.lexsort((-b, -a)).tolist():
+        want[i] = 1 + max((r for y, r in best if y >= b[i]), default=0)
+        best.append((b[i], want[i]))
+    assert {r.i: r.pareto_rank for r in got} == want
+
+
 def test_fronts_in_blocks(spark, monkeypatch):
     """A front of many points, all on one anti-diagonal, found a few points at a time; repeated points all stay."""
     monkeypatch.setattr(pareto, "BLOCK_ROWS", 7)
