@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.operators import events as E
-from candela.operators.staging import staged
+from candela.operators.staging import dealt, staged
 
 
 class CycleFound(ValueError):
@@ -17,11 +17,14 @@ class CycleFound(ValueError):
 
 
 def integrity_events(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes without an id; edges whose source or target is no node."""
-    ids = nodes.select("id").where("id is not null").distinct()
-    ends = []
+    """Nodes without an id; edges whose source or target is no node. The ends that are no node are found first, each once, and
+    stored; only their edges are events."""
+    n = max(nodes.count(), 2 * edges.count())
+    named = edges.select(F.col("source").alias("id")).union(edges.select("target")).where("id is not null")
+    unknown = dealt(named, "id", n).distinct().join(dealt(nodes.select("id").where("id is not null"), "id", n), "id", "left_anti")
+    unknown, ends = staged(unknown, "unknown").select(F.col("id").alias("unknown")), []
     for side in ("source", "target"):
-        bad = edges.join(ids, F.col(side) == F.col("id"), "left_anti")
+        bad = edges.join(unknown, F.col(side) == F.col("unknown"), "left_semi").unionByName(edges.where(F.col(side).isNull()))
         ends.append(bad.select(E.event("error", f"EDGE_{side.upper()}_UNKNOWN", F.concat(F.lit(f"edge {side} is not a node: "), F.coalesce(side, F.lit(""))), row_id=F.col(side)).alias("e")).select("e.*"))
     return E.union(nodes.where("id is null").select(E.event("error", "NODE_ID_MISSING", "node without an id").alias("e")).select("e.*"), *ends)
 

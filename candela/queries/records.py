@@ -8,7 +8,7 @@ from candela.operators import artifacts as A
 from candela.operators import contracts as X
 from candela.operators import graph as R
 from candela.operators import payloads as P
-from candela.operators.staging import spread
+from candela.operators.staging import dealt, spread, staged
 from candela.queries.tables import SEQ_HASH, seq_hash, table
 
 
@@ -96,7 +96,8 @@ def graph_cycle_check(spark, sf_dir):
 
 def graph_integrity(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    nodes = e.select(F.col("source").alias("id")).union(e.select("target")).distinct().where("id not in ('n3', 'r2')").withColumn("node_type", F.left("id", F.lit(1))).withColumn("payload", F.lit(None).cast("string"))
+    ids = staged(dealt(e.select(F.col("source").alias("id")).union(e.select("target")), "id", 2 * e.count()).distinct(), "ids")
+    nodes = ids.where("id not in ('n3', 'r2')").withColumn("node_type", F.left("id", F.lit(1))).withColumn("payload", F.lit(None).cast("string"))
     return R.integrity_events(nodes, e).groupBy("severity", "code").agg(F.count("*").alias("n"))
 
 

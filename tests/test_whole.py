@@ -88,3 +88,17 @@ def test_repaired_rows_of_one_small_file_are_several_tasks(spark):
     outputs = spark.createDataFrame([(k, '{"candidate_id":"c"}', "candidate_card", "c") for k in range(40)], "k long, output string, artifact string, want string").coalesce(1)
     out = jobs.repair_then_evaluate(outputs, expected={"candidate_id": "want"})
     assert len({r.p for r in out.select(F.spark_partition_id().alias("p")).collect()}) > 1 and out.count() == 40
+
+
+def test_unknown_ends_without_gathered_rows(spark, monkeypatch):
+    """Events of a graph come from its stored unknown ends; the edges are neither sorted nor hashed for them. Null ends and ids, and ends
+    that many edges share, count as before."""
+    from candela.operators import graph, staging
+
+    monkeypatch.setattr(staging, "PART_ROWS", 10)
+    nodes = spark.createDataFrame([(f"n{k}",) for k in range(40)] + [(None,)], "id string")
+    edges = spark.createDataFrame([("gone", f"n{k}") for k in range(60)] + [("n1", None), (None, "n2"), ("n3", "n4")], "source string, target string")
+    got = graph.integrity_events(nodes, edges)
+    assert {(r.code, r["count"]) for r in got.groupBy("code").count().collect()} == {("NODE_ID_MISSING", 1), ("EDGE_SOURCE_UNKNOWN", 61), ("EDGE_TARGET_UNKNOWN", 21)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "SortMergeJoin" not in plan and "LeftSemi" in plan
