@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from candela.functions.sequence import HYDROPHOBIC_WIDE
 from candela.operators import artifacts as A
 from candela.operators import telemetry as T
-from candela.operators.staging import shared_folder
+from candela.operators.staging import dealt, shared_folder, staged
 from candela.plans import jobs as J
 from candela.queries.tables import SEQ_HASH, count_sql, seq_hash, streamed, table
 from candela.sources import datasets, sinks
@@ -76,7 +76,12 @@ def telemetry_csv_drop(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     li.select(F.concat(F.lit("P"), "l_partkey").alias("Sample ID"), (F.col("l_quantity") * 2).alias("HPLC_Purity"), (F.col("l_discount") * 20).alias("Solubility (mg/ml)"), (F.col("l_tax") * 5).alias("agg_index"), "l_suppkey").write.option("header", True).csv(path)
     r = T.records(datasets.telemetry_csv(spark, path))
-    return r.withColumn("codes", F.array_join(T.stage2()["failure_codes"], ";")).groupBy("codes").agg(F.count("*").alias("n"), F.count_distinct("ingest_order").alias("n_orders"), F.count_distinct("candidate_id").alias("n_candidates"))
+    r = staged(r.select(F.array_join(T.stage2()["failure_codes"], ";").alias("codes"), "ingest_order", "candidate_id"), "drop")
+    n = r.count()
+    # each distinct count on its own, in parts of bounded rows: both at once double all rows, and whole files' rows meet in one task
+    orders = dealt(r.select("codes", "ingest_order"), "ingest_order", n).distinct().groupBy("codes").agg(F.count("*").alias("n_orders"))
+    candidates = dealt(r.select("codes", "candidate_id"), "candidate_id", n).groupBy("codes", "candidate_id").agg(F.count("*").alias("n")).groupBy("codes").agg(F.sum("n").alias("n"), F.count("candidate_id").alias("n_candidates"))
+    return candidates.join(orders, "codes").select("codes", "n", "n_orders", "n_candidates")
 
 
 def telemetry_json_drop(spark, sf_dir):

@@ -102,3 +102,8 @@ def test_unknown_ends_without_gathered_rows(spark, monkeypatch):
     assert {(r.code, r["count"]) for r in got.groupBy("code").count().collect()} == {("NODE_ID_MISSING", 1), ("EDGE_SOURCE_UNKNOWN", 61), ("EDGE_TARGET_UNKNOWN", 21)}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "SortMergeJoin" not in plan and "LeftSemi" in plan
+
+
+def test_drop_counts_do_not_double_rows(spark):
+    plan = R.queries()["telemetry_csv_drop"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "REPARTITION_BY_NUM" in plan
