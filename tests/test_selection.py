@@ -313,3 +313,18 @@ def test_a_pass_hands_on_few_rows_of_a_task(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert [t["key"] for t in got] == [t["key"] for t in want] and len(got) == 14
+
+
+def test_a_proposal_scores_each_candidate_once(spark):
+    """The passes of the diverse batch read stored acquisitions; candidates are neither read nor scored again for each of them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(f"c{k}", [float(k % 7), float(k % 5)], k / 50) for k in range(60)]
+    d = spark.createDataFrame(rows, "candidate_id string, x array<double>, y double")
+    got = surrogate.propose(d.where("y >= 0.2").select("candidate_id", "x").mapInArrow(counted, "candidate_id string, x array<double>"), d.where("y < 0.2"), batch_size=3, seed=2).collect()
+    assert len(got) == 3 and seen.value == 50
