@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from candela.functions import sequence as S
 from candela.operators import events as E
 from candela.operators import leakage
+from candela.operators.staging import staged
 
 ID_PATTERN = r"^[A-Za-z0-9][A-Za-z0-9._-]*$"
 _AMBIGUOUS, _OTHER = f"[{S.AMBIGUOUS}]", f"[^{S.STANDARD}{S.AMBIGUOUS}]"
@@ -170,6 +171,7 @@ def unmatched(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> D
 def preflight(rows: DataFrame, manifest: dict | None = None, *, manifest_events: list[dict] | None = None, required: list[str] | None = None, strict: bool = True, allow_ambiguous: bool = True, threshold: float = 0.95, max_pairs: int | None = 25_000, grouped: bool = False) -> DataFrame:
     """All events of a dataset: manifest, contract, then leakage, as pairs of rows or ``grouped`` (see ``leakage_events``). ``rows`` come from ``sources.datasets.read_dataset``."""
     spark = rows.sparkSession
+    rows = staged(rows, "preflight")  # every check reads them, and their texts may be costly
     split = manifest["split_column"] if manifest else None
     required = list(required or ["peptide_id", "sequence"])
     if manifest and manifest.get("split_required", True) and split not in required:

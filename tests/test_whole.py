@@ -107,3 +107,19 @@ def test_unknown_ends_without_gathered_rows(spark, monkeypatch):
 def test_drop_counts_do_not_double_rows(spark):
     plan = R.queries()["telemetry_csv_drop"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_preflight_reads_its_rows_once(spark):
+    from candela.operators import governance
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    kinds = "_row_number long, peptide_id string, sequence string, split string"
+    rows = spark.createDataFrame([(k, f"p{k}", TEXTS[k], f"s{k % 3}") for k in range(len(TEXTS))], kinds).mapInArrow(counted, kinds)
+    got = governance.preflight(rows, {"split_column": "split", "split_required": True, "split_tags": ["s0", "s1"]}, strict=False, max_pairs=None, grouped=True)
+    assert got.where("code = 'DATASET_SPLIT_TAG_MISMATCH'").count() == 3 and got.count() > 3 and seen.value == len(TEXTS)
