@@ -12,7 +12,7 @@ All fingerprints on one variant are within ``2 r`` bits of each other, so each i
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -184,11 +184,10 @@ BANDS, BAND_BITS, DOUBTFUL = 13, 48, 8
 EARLY = ((0, 1, 2, 3, 4, 5), (6, 7, 8, 9, 10, 11, 12))
 #: Standard deviations beyond its mean at which a distance of long SimHashes rules a similarity out.
 BEYOND = 4.5
-#: Other bands that travel with a band where all pairs are made, and the deviations at which they rule a pair out in that band's
-#: place; a pair that they rule out by chance, one in 2,000 at the bound itself, has its other bands left.
-MORE, MORE_BEYOND = 5, 3.5
 #: Pairs that one step makes at once.
 PAIRS = 2_000_000
+#: Shingles that one bucket of the search by rare shingles should hold, and bits of the most slots in which shingles are counted for it.
+SHINGLES, SLOT_BITS = 1 << 15, 20
 _WORDS = -(-BANDS * BAND_BITS // 64)
 _KEYS = np.arange(1, _WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -204,6 +203,12 @@ def shingles(text: str | None, width: int) -> set[bytes]:
     return {joined[a:b] for a, b in zip(starts, ends[width - 1 :].tolist(), strict=False)}
 
 
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter((xxh64_intdigest(x, 42) for x in shingles(text, width)), np.uint64)
+
+
 def long_bits(hashes: np.ndarray) -> np.ndarray:
     """A row of ``BANDS * BAND_BITS`` bits a shingle hash (the finaliser of splitmix64 on keyed hashes)."""
     z = hashes[:, None] + _KEYS[None, :]
@@ -215,9 +220,7 @@ def long_bits(hashes: np.ndarray) -> np.ndarray:
 
 def banded(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bands of each text's SimHash over distinct shingles, masks of the DOUBTFUL bits nearest to a tie, and the number of shingles."""
-    from xxhash import xxh64_intdigest
-
-    each = [np.fromiter((xxh64_intdigest(x, 42) for x in shingles(t, width)), np.uint64) for t in texts]
+    each = [shingle_hashes(t, width) for t in texts]
     sizes = np.array([len(h) for h in each])
     hashes, doc = np.concatenate([np.zeros(0, np.uint64), *each]), np.repeat(np.arange(len(each)), sizes)
     ones = np.zeros((len(each), BANDS * BAND_BITS), np.int32)
@@ -303,11 +306,16 @@ def one_each(variants: np.ndarray, row: np.ndarray, owners: np.ndarray, roots: n
     return np.stack((np.minimum(owners[head], owners[mine]), np.maximum(owners[head], owners[mine])), 1)[some]
 
 
-def farthest(bits: int, similarity: float, deviations: float) -> float:
-    """The distance of SimHashes of ``bits`` bits that sets of this Jaccard similarity pass by so many deviations only; sets of unequal
-    sizes are nearer."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return bits * share + deviations * math.sqrt(bits * share * (1 - share))
+def spans(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of every j from ``begin[i]`` to before ``end[i]``, about PAIRS at a time."""
+    many = end - begin
+    sums, at = np.cumsum(many), 0
+    while at < len(many):
+        to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + PAIRS, "right")))
+        some = many[at:to]
+        i = np.repeat(np.arange(at, to), some)
+        yield i, begin[i] + np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some)
+        at = to
 
 
 def all_pairs_apart(variants: np.ndarray, row: np.ndarray, owners: np.ndarray, roots: np.ndarray, doubts: np.ndarray, more: np.ndarray, most: float) -> Iterator[np.ndarray]:
@@ -319,68 +327,169 @@ def all_pairs_apart(variants: np.ndarray, row: np.ndarray, owners: np.ndarray, r
     edge = np.concatenate((np.flatnonzero((variants[1:] != variants[:-1]) | (roots[row[1:]] != roots[row[:-1]])) + 1, [n]))
     last = np.concatenate((np.flatnonzero(variants[1:] != variants[:-1]) + 1, [n]))
     at = np.arange(n)
-    run_end, group_end = edge[np.searchsorted(edge, at, "right")], last[np.searchsorted(last, at, "right")]
-    partners = group_end - run_end
-    sums = np.cumsum(partners)
-    begin = 0
-    while begin < n:
-        end = max(begin + 1, int(np.searchsorted(sums, (sums[begin - 1] if begin else 0) + PAIRS, "right")))
-        many = partners[begin:end]
-        i = np.repeat(at[begin:end], many)
-        j = run_end[i] + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+    for i, j in spans(edge[np.searchsorted(edge, at, "right")], last[np.searchsorted(last, at, "right")]):
         x, y = row[i], row[j]
         only = (variants[i] & doubts[x] & doubts[y]) == 0
         x, y = x[only], y[only]
         near = np.bitwise_count(more[x] ^ more[y]).sum(axis=1, dtype=np.int64) <= most
         x, y = owners[x[near]], owners[y[near]]
         yield np.stack((np.minimum(x, y), np.maximum(x, y)), 1)
-        begin = end
 
 
-def candidates(prints: DataFrame, similarity: float, bands: Sequence[int] = range(BANDS), each: bool = True) -> DataFrame:
-    """(a, b), a < b: owners of ``prints`` (owner, root, fps, doubts; distinct, stored) with unequal roots that share a variant of one of the
-    ``bands``: all of them once a band, but for those that MORE other bands rule out, or, unless ``each``, one for every owner and place."""
+def apart(variants: np.ndarray, row: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """The rows that share a variant (sorted) with a row of another root."""
+    start = np.flatnonzero(np.concatenate(([True], variants[1:] != variants[:-1])))
+    mixed = np.minimum.reduceat(roots[row], start) != np.maximum.reduceat(roots[row], start)
+    return np.unique(row[np.repeat(mixed, np.diff(np.append(start, len(row))))])
+
+
+def placed(prints: DataFrame, bands: Sequence[int], find: Callable, schema: str) -> DataFrame:
+    """``find(groups, owners, roots)``, arrays by column of ``schema``, of every place where variants of one of the ``bands`` of ``prints``
+    (owner, root, fps, doubts; distinct, stored) meet; ``groups`` are (variant, row) of those that several rows share."""
     depth = min(24, max(2, math.ceil(math.log2(max(prints.count(), 1) / BUCKET + 1))))
     low = np.uint64((1 << (BAND_BITS - depth)) - 1)
-    names, most = [f"m{k}" for k in range(MORE if each else 0)], farthest(MORE * BAND_BITS, similarity, MORE_BEYOND)
 
     def emit(batches):
         for b in batches:
             owner, root = b.column("owner").to_numpy(), b.column("root").to_numpy()
             fps, doubts = (b.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, BANDS) for c in ("fps", "doubts"))
             for band in bands:
-                others = [np.ascontiguousarray(fps[:, (band + 1 + k) % BANDS]) for k in range(len(names))]
                 fp, doubt = np.ascontiguousarray(fps[:, band]), np.ascontiguousarray(doubts[:, band])
                 for rows, flips in subsets(doubt & ~low):
                     bucket = ((fp[rows][:, None] ^ flips) >> np.uint64(BAND_BITS - depth)) | np.uint64(band << depth)
                     again = np.repeat(rows, flips.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), pa.array((fp[again] & low).view(np.int64)), pa.array(doubt[again].view(np.int64)), pa.array(owner[again]), pa.array(root[again]), *(pa.array(m[again].view(np.int64)) for m in others)], names=["bucket", "fp", "doubt", "owner", "root", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), pa.array((fp[again] & low).view(np.int64)), pa.array(doubt[again].view(np.int64)), pa.array(owner[again]), pa.array(root[again])], names=["bucket", "fp", "doubt", "owner", "root"])
 
     def join(table):
         fps, doubts, owners, roots = (table.column(c).to_numpy() for c in ("fp", "doubt", "owner", "root"))
-        fps, doubts, more = fps.view(np.uint64), doubts.view(np.uint64), np.stack([table.column(c).to_numpy().view(np.uint64) for c in names], 1) if each else None
-        high = np.uint64((table.column("bucket")[0].as_py() & ((1 << depth) - 1)) << (BAND_BITS - depth))
-        found = [np.zeros((0, 2), np.int64)]
-        for variants, row in groups(fps, doubts, BAND_BITS - depth):
-            found += all_pairs_apart(variants | high, row, owners, roots, doubts, more, most) if each else [one_each(variants, row, owners, roots)]
-        pairs = np.unique(np.concatenate(found), axis=0)
+        made = find(groups(fps.view(np.uint64), doubts.view(np.uint64), BAND_BITS - depth), owners, roots)
+        return pa.table({f.split()[0]: pa.array(np.ascontiguousarray(x)) for f, x in zip(schema.split(", "), made, strict=True)})
+
+    sent = prints.select("owner", "root", "fps", "doubts").mapInArrow(emit, "bucket long, fp long, doubt long, owner long, root long")
+    return sent.groupBy("bucket").applyInArrow(join, schema)
+
+
+def candidates(prints: DataFrame, bands: Sequence[int]) -> DataFrame:
+    """(a, b), a < b: for every owner of ``prints`` and place one other that it meets there, if their roots differ."""
+
+    def find(met, owners, roots):
+        return np.unique(np.concatenate([np.zeros((0, 2), np.int64), *(one_each(v, row, owners, roots) for v, row in met)]), axis=0).T
+
+    return placed(prints, bands, find, "a long, b long")
+
+
+def meeting(prints: DataFrame) -> DataFrame:
+    """(owner, root) of all that share a variant of any band with an owner of another root: what may still be linked."""
+
+    def find(met, owners, roots):
+        rows = np.unique(np.concatenate([np.zeros(0, np.int64), *(apart(v, row, roots) for v, row in met)]))
+        return owners[rows], roots[rows]
+
+    return placed(prints, range(BANDS), find, "owner long, root long").distinct()
+
+
+def often(texts: DataFrame, width: int, bits: int) -> np.ndarray:
+    """How many shingles of ``texts`` fall into each of 2^``bits`` slots by the low bits of their hashes: at least as many as texts
+    hold one of them. Tasks count their own texts; only the sums, of a fixed size, reach the driver."""
+    size = min(1 << bits, 4096)
+
+    def count(batches):
+        seen = np.zeros(1 << bits, np.int32)
+        for batch in batches:
+            for part in slices(batch):
+                hashes = np.concatenate([np.zeros(0, np.uint64), *(shingle_hashes(t, width) for t in part.column("text").to_pylist())])
+                seen += np.bincount((hashes & np.uint64(len(seen) - 1)).astype(np.int64), minlength=len(seen)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(0, len(seen), size)), pa.array([x.tobytes() for x in seen.reshape(-1, size)])], names=["slot", "seen"])
+
+    def add(table):
+        total = np.zeros(size, np.int64)
+        for x in table.column("seen"):
+            total += np.frombuffer(x.as_buffer(), np.int32)
+        return pa.table({"slot": table.column("slot").slice(0, 1), "seen": [total.tobytes()]})
+
+    out = np.zeros(1 << bits, np.int64)
+    for r in texts.select("text").mapInArrow(count, "slot long, seen binary").groupBy("slot").applyInArrow(add, "slot long, seen binary").collect():
+        out[r.slot : r.slot + size] = np.frombuffer(r.seen, np.int64)
+    return out
+
+
+def rare_first(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles in whose first places a similar text must share one, rarest first, and the most shingles that a text may have to which
+    the place still counts. Of n and m shingles o = similarity / (1 + similarity) (n + m) must be shared, so texts that share
+    none of their first n - o + 1 and m - o + 1, in an order that is the same for all, can't be similar. No shingles count as one that stands for none."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(1, np.uint64), np.zeros(1, np.int64)
+    ordered = hashes[np.lexsort((hashes, counts[(hashes & np.uint64(len(counts) - 1)).astype(np.int64)]))]
+    reach = np.floor((n - np.arange(n)) * (1 + similarity) / similarity - n + 1e-6).astype(np.int64)
+    some = reach >= similarity * n - 1e-6
+    return ordered[some], reach[some]
+
+
+def rare_pairs(shingle: np.ndarray, size: np.ndarray, reach: np.ndarray, owners: np.ndarray, roots: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """(a, b) of all rows with unequal roots and one ``shingle``, of which neither has more shingles (``size``) than the other's ``reach``.
+    Rows that reach their own size meet each other; the rest can only meet shorter ones of these, which are found by size."""
+    own = reach >= size
+    first, rest = np.flatnonzero(own), np.flatnonzero(~own)
+    group, none = np.unique(shingle, return_inverse=True)[1].astype(np.int64), np.zeros(len(owners), np.uint64)
+
+    def fitting(x, y):
+        fit = (roots[x] != roots[y]) & (size[x] <= reach[y]) & (size[y] <= reach[x])
+        x, y = owners[x[fit]], owners[y[fit]]
+        return np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
+
+    for pairs in all_pairs_apart(group[first].view(np.uint64), first, np.arange(len(owners)), roots, none, none[:, None], 0):
+        yield fitting(pairs[:, 0], pairs[:, 1])
+    wide = int(size.max(initial=0)) + 2
+    shorter = first[np.lexsort((size[first], group[first]))]
+    keys, base = group[shorter] * wide + size[shorter], group[rest] * wide
+    begin = np.searchsorted(keys, base + np.ceil(similarity * size[rest] - 1e-6).astype(np.int64))
+    for i, j in spans(begin, np.maximum(begin, np.searchsorted(keys, base + reach[rest], "right"))):
+        yield fitting(rest[i], shorter[j])
+
+
+def rare_candidates(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b), a < b: all owners of ``texts`` (owner, root, size, text; stored) with unequal roots that share one of their first, rarest shingles, once a bucket.
+    No pair of that similarity is missed. Near copies share the shingles of their common text, which come last, so a large group
+    of them meets in few pairs."""
+    n, total = texts.agg(F.count("owner"), F.sum("size")).first()
+    counts = often(texts, width, min(SLOT_BITS, max(12, math.ceil(math.log2(n + 1)) + 4)))
+    buckets = max(32, math.ceil((1 - similarity) * (total or 0) / SHINGLES))
+
+    def emit(batches):
+        for batch in batches:
+            for part in slices(batch):
+                hashes = [shingle_hashes(t, width) for t in part.column("text").to_pylist()]
+                each = [rare_first(h, counts, similarity) for h in hashes]
+                if not each:
+                    continue
+                again = np.repeat(np.arange(len(each)), [len(x) for x, _ in each])
+                shingle, reach = (np.concatenate(x) for x in zip(*each, strict=True))
+                columns = [((shingle >> np.uint64(32)) % np.uint64(buckets)).view(np.int64), shingle.view(np.int64), np.array([len(h) for h in hashes])[again], reach, part.column("owner").to_numpy()[again], part.column("root").to_numpy()[again]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "shingle", "size", "reach", "owner", "root"])
+
+    def join(table):
+        found = rare_pairs(*(table.column(c).to_numpy() for c in ("shingle", "size", "reach", "owner", "root")), similarity)
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
         return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
 
-    sent = prints.select("owner", "root", "fps", "doubts").mapInArrow(emit, ", ".join(["bucket long, fp long, doubt long, owner long, root long", *(f"{c} long" for c in names)]))
+    sent = texts.select("owner", "root", "text").mapInArrow(emit, "bucket long, shingle long, size long, reach long, owner long, root long")
     return sent.groupBy("bucket").applyInArrow(join, "a long, b long")
 
 
 def likely(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` whose numbers of shingles allow the similarity and whose long SimHashes don't rule it out: at the least cosine of
-    such sets, bits differ with the probability angle / pi, and a distance BEYOND that many standard deviations over the mean is too far."""
+    """The ``pairs`` that collide in a band, whose numbers of shingles allow the similarity and whose long SimHashes don't rule it out: at the least
+    cosine of such sets, bits differ with the probability angle / pi, and a distance BEYOND that many standard deviations over the mean is too far."""
     n = BANDS * BAND_BITS
-    x = prints.select(F.col("owner").alias("a"), F.col("size").alias("size_a"), F.col("fps").alias("fps_a"))
-    y = prints.select(F.col("owner").alias("b"), F.col("size").alias("size_b"), F.col("fps").alias("fps_b"))
+    x = prints.select(F.col("owner").alias("a"), F.col("size").alias("size_a"), F.col("fps").alias("fps_a"), F.col("doubts").alias("doubts_a"))
+    y = prints.select(F.col("owner").alias("b"), F.col("size").alias("size_b"), F.col("fps").alias("fps_b"), F.col("doubts").alias("doubts_b"))
     j = pairs.join(x, "a").join(y, "b").where((F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")))
+    certain = F.zip_with("doubts_a", "doubts_b", lambda p, q: F.bitwise_not(p.bitwiseOR(q)))
+    collide = F.exists(F.zip_with(F.zip_with("fps_a", "fps_b", lambda p, q: p.bitwiseXOR(q)), certain, lambda p, q: p.bitwiseAND(q)), lambda v: v == 0)
     apart = F.aggregate(F.zip_with("fps_a", "fps_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     cosine = F.least(F.lit(1.0), similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) / F.sqrt(F.nullif(F.col("size_a").cast("double") * F.col("size_b"), F.lit(0.0))))
     share = F.acos(cosine) / math.pi
-    return j.where((F.least("size_a", "size_b") == 0) | (apart <= n * share + BEYOND * F.sqrt(n * share * (1 - share)))).select("a", "b")
+    return j.where(collide).where((F.least("size_a", "size_b") == 0) | (apart <= n * share + BEYOND * F.sqrt(n * share * (1 - share)))).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -411,8 +520,10 @@ def similar(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> tupl
     one of them, and those that collide are verified by the exact similarity of their shingle sets.
 
     A large group of near copies collides in very many pairs. So what is easily linked is linked first, over a few bands and with one
-    trial a text and place; then all pairs that collide in any band and are not linked yet are tried, those first dropped that
-    their sizes or long SimHashes rule out. A pair left out is linked already, so the groups are those that trying all pairs gives.
+    trial a text and place. Then all texts that collide in any band with one that they are not linked to are searched again, as a
+    set, by their rarest shingles: every similar pair shares one, few others do. Those that collide are tried, but for those that their
+    sizes or long SimHashes rule out. A pair left out is linked already or not similar, so the groups are those that trying all pairs
+    that collide gives.
     """
     ids = stored(docs.select("doc_id", "owner"), "ids")
     first = docs.groupBy("owner").agg(F.min("text").alias("text"))
@@ -429,10 +540,12 @@ def similar(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> tupl
 
     now, edges = prints.withColumn("root", F.col("owner")), None
     for some in EARLY:
-        found = links(candidates(now, similarity, some, each=False))
+        found = links(candidates(now, some))
         edges = found if edges is None else edges.unionByName(found)
         now = rooted(edges)
-    return ids, rooted(edges.unionByName(links(candidates(now, similarity)))).select("owner", "root")
+    met = stored(meeting(now).join(prints.select("owner", "size"), "owner"), "met")
+    texts = stored(docs.join(met, "owner").groupBy("owner").agg(*(F.min(c).alias(c) for c in ("root", "size", "text"))), "open")
+    return ids, rooted(edges.unionByName(links(rare_candidates(texts, width, similarity)))).select("owner", "root")
 
 
 def one_of_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

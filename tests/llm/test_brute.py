@@ -571,6 +571,26 @@ def test_near_copies_in_one_place_lose_no_link(spark, seed):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(want) > 5
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_rare_shingles_miss_no_similar_pair(monkeypatch, seed):
+    """Against all pairs, over sets of unequal sizes, the same and none at all, with any number of slots."""
+    rnd, gen = random.Random(seed), np.random.default_rng(seed)
+    monkeypatch.setattr(simhash, "PAIRS", 3 if seed % 2 else 2_000_000)
+    base = gen.integers(0, 1 << 63, (3, 20, 60)[seed % 3]).tolist()
+    sets = [set(rnd.sample(base, rnd.randint(int(len(base) * 0.7), len(base)))) | set(gen.integers(0, 1 << 63, rnd.randint(0, len(base) // 4)).tolist()) for _ in range(60)]
+    sets += [set(), set(), {5}, {5}, {6}]
+    roots, owners, counts = np.array([rnd.randrange(len(sets)) for _ in sets]), gen.permutation(len(sets)) - 9, np.zeros((1, 64, 4096)[seed % 3], np.int64)
+    for h in (h for s in sets for h in s):
+        counts[h % len(counts)] += 1
+    rows = [simhash.rare_first(np.array(list(s), np.uint64), counts, 0.8) for s in sets]
+    again = np.repeat(np.arange(len(sets)), [len(x) for x, _ in rows])
+    shingle, reach = (np.concatenate(x) for x in zip(*rows, strict=True))
+    got = {tuple(p) for e in simhash.rare_pairs(shingle.view(np.int64), np.array([len(s) for s in sets])[again], reach, owners[again], roots[again], 0.8) for p in e.tolist()}
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if roots[i] != roots[j]]
+    want = {tuple(sorted((int(owners[i]), int(owners[j])))) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert want and want <= got and len(got) <= len(pairs)
+
+
 def test_op6_bounds_are_quantiles(spark):
     """The bounds of each language are the widened quantiles of its calibration documents, and they decide."""
     sf = "/root/testdata/sf0.01"
