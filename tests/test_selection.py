@@ -177,6 +177,54 @@ def test_most_alike_pairs_in_many_blocks(spark, monkeypatch):
     assert len(few) == sum(a < 3 and b < 3 for _, a, b in pairs)
 
 
+def test_most_alike_meets_few_pairs_and_misses_none(spark):
+    """Sets of 6 to 60 k-mers, some near copies: the search equals a plain loop at any bound, in a block and between two, and few of all pairs meet."""
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(8)
+    sets = [set(rnd.integers(0, 2000, n).tolist()) for n in rnd.integers(6, 61, 700)]
+    for i in range(0, 120, 4):
+        sets[i + 1] = {*sorted(sets[i])[i // 12 :], 2000}
+    ids = rnd.permutation(700).tolist()
+
+    def block(rows):
+        k = pa.array([sorted(f"k{x}" for x in sets[r]) for r in rows])
+        t, out = pa.table({"id": [ids[r] for r in rows], "k": pa.ListArray.from_arrays(k.offsets, k.values.dictionary_encode())}), pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, t.schema) as w:
+            w.write_table(t)
+        return out.getvalue().to_pybytes()
+
+    jac = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    every = sorted((-jac(a, b), min(ids[a], ids[b]), max(ids[a], ids[b]), (a < 350) == (b < 350)) for a in range(700) for b in range(a) if sets[a] & sets[b])
+    whole, two = novelty._Sets([block(range(700))]), novelty._Sets([block(range(350)), block(range(350, 700))])
+    for bound in (0.0, 0.1, 0.3, 0.5, 0.6, 0.75, 0.9, 1.0):
+        for k in (5, 5000):
+            assert [r[:3] for r in whole.search(k, bound)] == [p[:3] for p in every if -p[0] >= bound][:k]
+            assert [r[:3] for r in two.search(k, bound)] == [p[:3] for p in every if -p[0] >= bound and not p[3]][:k]
+    assert len(every) > 50_000
+    assert whole.search(5, 0.6, most=len(every) // 10) is not None and whole.search(5, 0.0, most=len(every) - 1) is None
+
+
+def test_most_alike_copies_and_null_ids(spark, monkeypatch):
+    """Of many equal sets only those of the first k + 1 ids are compared, an id of several rows counts as in a join, and a null id pairs with nothing."""
+    rows = [(i, ["a", "b", "c"]) for i in range(2000)] + [(i, ["a", "b", "c", f"d{i % 7}"]) for i in range(1990, 2300)] + [(None, ["a", "b", "c"]), (5000, ["z"]), (5001, None), (5002, [])]
+    d = spark.createDataFrame(rows, "i long, k array<string>")
+    stored, real = {}, novelty.staged
+
+    def staged(df, tag):
+        out = real(df, tag)
+        stored[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(novelty, "staged", staged)
+    got = [tuple(r) for r in novelty.most_alike(d, 3, id_col="i", kmers_col="k").collect()]
+    assert got == [(0, 1, 1.0), (0, 2, 1.0), (0, 3, 1.0)] and stored["kmers"] == 8 * 4 + 1
+    twice = spark.createDataFrame([(1, ["a", "b"]), (1, ["b", "a"]), (2, ["a", "b"]), (3, ["a", "c"]), (3, ["b"])], "i long, k array<string>")
+    got = [tuple(r) for r in novelty.most_alike(twice, 9, id_col="i", kmers_col="k").collect()]
+    assert got == [(1, 2, 1.0)] * 2 + [(1, 3, 0.5)] * 2 + [(2, 3, 0.5)] + [(1, 3, pytest.approx(1 / 3))] * 2 + [(2, 3, pytest.approx(1 / 3))]
+    assert novelty.most_alike(twice.limit(0), 9, id_col="i", kmers_col="k").count() == 0
+
+
 def test_acquisition_queries_against_brute_force(spark, tmp_path):
     """gp_acquisition over a small table: the posterior by plain linear algebra, one vector in ten measured."""
     from candela import queries as R
