@@ -7,7 +7,7 @@ are literals in the plan, and one row comes back. Nothing is carried from step t
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +100,7 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with pa.ipc.new_stream(sink, t.schema) as out:
             out.write_table(t)
         n = np.diff(ends, prepend=0)
-        yield pa.RecordBatch.from_pydict({"block": pa.array([TaskContext.get().partitionId()], pa.int32()), "lo": pa.array([n.min()], pa.int32()), "hi": pa.array([n.max()], pa.int32()), "pack": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "lo": pa.array([n.min()], pa.int32()), "hi": pa.array([n.max()], pa.int32()), "pack": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
 
 def _places(begins: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -116,12 +116,13 @@ class _Sets:
     can be 1, and by two common ones among the first ``n - max(t * n, 2) + 2`` (a prefix filter) where it is more. So none is missed, and parts of
     about three k-mers make few other pairs meet. Of these the parities of k-mers by bit tell by how many two sets differ at least."""
 
-    def __init__(self, packs: list[bytes]) -> None:
+    def __init__(self, packs: list[bytes], sides: Sequence[int] = (0, 1)) -> None:
         tables = [pa.ipc.open_stream(p).read_all() for p in packs]
         lists = [t.column("k").combine_chunks() for t in tables]
         codes = np.concatenate([np.asarray(c.indices) for c in pa.chunked_array([x.values for x in lists]).unify_dictionaries().chunks])
         self.ids = np.concatenate([np.asarray(t.column("id")) for t in tables])
-        self.alone, self.first = len(packs) == 1, tables[0].num_rows
+        self.first = sum(t.num_rows for t, side in zip(tables, sides, strict=False) if side == 0)
+        self.alone = self.first == len(self.ids)
         self.sizes = n = np.concatenate([np.asarray(pc.list_value_length(x)) for x in lists]).astype(np.int64)
         counts = np.bincount(codes)
         self.words, rank = len(counts), np.empty(len(counts), np.int64)
@@ -222,18 +223,23 @@ def most_alike(d: DataFrame, k: int, *, id_col: str, kmers_col: str) -> DataFram
     rows = staged(sets.withColumn("copy", copy).where(F.col("copy") <= k + 1).select("id", "k", F.size("k").alias("n")), "kmers")
     total = rows.count()
     blocks = max(1, min(BLOCKS, math.ceil(total / BLOCK_LEAST)), math.ceil(total / BLOCK_MOST))
-    packs = staged(rows.repartitionByRange(blocks, "n", "id").select("id", "k").mapInArrow(_packed, "block int, lo int, hi int, pack binary"), "blocks")
-    sizes = {r["block"]: (r["lo"], r["hi"]) for r in packs.select("block", "lo", "hi").collect()}
+    packs = staged(rows.repartitionByRange(blocks, "n", "id").select("id", "k").mapInArrow(_packed, "part int, lo int, hi int, pack binary"), "blocks")
+    parts = sorted(packs.select("part", "lo", "hi").collect())  # a part is a block, or several are, should Spark make more of them
+    members: dict[int, list] = {}
+    for at, part in enumerate(parts):
+        members.setdefault(at * blocks // max(blocks, len(parts)), []).append(part)
+    sizes = {b: (min(p["lo"] for p in m), max(p["hi"] for p in m)) for b, m in members.items()}
     kind = d.schema[id_col].dataType.simpleString()
     fields = f"`{id_col}` {kind}, other_id {kind}, similarity double"
     in_order = [F.desc("similarity"), F.col(id_col), F.col("other_id")]
 
     def compared(pairs: list[tuple[int, int]], bound: float | None) -> DataFrame:
-        sides = [(i, j, b, s) for i, j in pairs for s, b in enumerate((i, j) if i != j else (i,))]
-        met = packs.join(F.broadcast(spark.createDataFrame(sides, "one int, two int, block int, side int")), "block").select("one", "two", "side", "pack")
+        sides = [(i, j, p["part"], s) for i, j in pairs for s, b in enumerate((i, j) if i != j else (i,)) for p in members[b]]
+        met = packs.join(F.broadcast(spark.createDataFrame(sides, "one int, two int, part int, side int")), "part").select("one", "two", "side", "pack")
 
         def closest(table: pa.Table) -> pa.Table:
-            s = _Sets([p.as_py() for p in table.sort_by("side").column("pack")])
+            table = table.sort_by("side")
+            s = _Sets([p.as_py() for p in table.column("pack")], table.column("side").to_pylist())
             best: list = []
             for step in STEPS if bound is None else ():
                 found = s.search(k, step, FIRST_LOOK)

@@ -201,6 +201,8 @@ def test_most_alike_meets_few_pairs_and_misses_none(spark):
         for k in (5, 5000):
             assert [r[:3] for r in whole.search(k, bound)] == [p[:3] for p in every if -p[0] >= bound][:k]
             assert [r[:3] for r in two.search(k, bound)] == [p[:3] for p in every if -p[0] >= bound and not p[3]][:k]
+    several = novelty._Sets([block(range(200)), block(range(200, 350)), block(range(350, 700))], [0, 0, 1])
+    assert several.search(50, 0.3) == two.search(50, 0.3)
     assert len(every) > 50_000
     assert whole.search(5, 0.6, most=len(every) // 10) is not None and whole.search(5, 0.0, most=len(every) - 1) is None
 
@@ -225,6 +227,22 @@ def test_most_alike_copies_and_null_ids(spark, monkeypatch):
     assert novelty.most_alike(twice.limit(0), 9, id_col="i", kmers_col="k").count() == 0
 
 
+def test_most_alike_blocks_do_not_follow_the_partitions(spark, monkeypatch):
+    """Where Spark makes more partitions than there are blocks, a block takes several of them, so no more pairs of blocks meet."""
+    rnd = np.random.default_rng(9)
+    sets = {i: sorted({f"k{x}" for x in rnd.integers(0, 60, rnd.integers(1, 20))}) for i in range(150)}
+    d = spark.createDataFrame(list(sets.items()), "i long, k array<string>")
+    jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    pairs = sorted((-jac(sets[a], sets[b]), a, b) for a in sets for b in sets if a < b)
+    asked, meetings = [], []
+    monkeypatch.setattr(novelty, "BLOCK_LEAST", 50)
+    ranged, dealt = type(d).repartitionByRange, type(d).repartition
+    monkeypatch.setattr(type(d), "repartitionByRange", lambda self, n, *c: asked.append(n) or ranged(self, 21, *c))
+    monkeypatch.setattr(type(d), "repartition", lambda self, n, *c: meetings.append(n) or dealt(self, n, *c))
+    got = [(r.i, r.other_id, -r.similarity) for r in novelty.most_alike(d, 20, id_col="i", kmers_col="k").collect()]
+    assert got == [(a, b, s) for s, a, b in pairs[:20]] and asked == [3] and meetings[0] == 3 and max(meetings) <= 6
+
+
 def test_acquisition_queries_against_brute_force(spark, tmp_path):
     """gp_acquisition over a small table: the posterior by plain linear algebra, one vector in ten measured."""
     from candela import queries as R
